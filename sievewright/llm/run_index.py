@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Symbols packed into the first sort key: seven of nine bits.
-FIRST = 7
+#: Places of an index: a sort key holds a place and two ranks of so many bits.
+PLACE_BITS = 21
+MOST = (1 << PLACE_BITS) - 1
 
 
 class RunIndex:
@@ -22,44 +23,62 @@ class RunIndex:
         self.starts = np.concatenate(([0], np.cumsum(lengths + 1)))[:-1]
         self.lengths = lengths
         n = int((lengths + 1).sum())
+        if n > MOST:
+            raise ValueError(f"an index holds at most {MOST} symbols")
+        data = np.frombuffer(b"".join(segments), np.uint8)
+        dense = np.zeros(256, np.int64)
+        used = np.unique(data)
+        dense[used] = np.arange(1, len(used) + 1)
         text = np.zeros(n, np.int64)
         inside = np.ones(n, bool)
         inside[self.starts + lengths] = False
-        text[inside] = np.frombuffer(b"".join(segments), np.uint8).astype(np.int64) + 1
-        self.text, self.n = text, n
+        text[inside] = dense[data]
+        self.text, self.n, self.ends = text, n, self.starts + lengths
+        #: symbols packed into the first sort key
+        self.first = 2 * PLACE_BITS // max(1, int(len(used)).bit_length())
         self._sort()
         self._compress()
 
     def _sort(self) -> None:
-        n = self.n
-        padded = np.concatenate((self.text, np.zeros(FIRST, np.int64)))
+        """Doubling; a key carries its place, so keys are sorted and not their order. The end of a segment is unlike any other."""
+        n, first = self.n, self.first
+        bits = 2 * PLACE_BITS // first
+        padded = np.concatenate((self.text, np.zeros(first, np.int64)))
         key = np.zeros(n, np.int64)
-        for i in range(FIRST):
-            key = (key << 9) | padded[i : i + n]
+        for i in range(first):
+            key <<= bits
+            key |= padded[i : i + n]
+        at = np.arange(n, dtype=np.int64)
+        last = self.ends[np.searchsorted(self.ends, at)]
+        unlike = at + first > last  # the key reaches the end of its segment
         self.levels: list[tuple[int, np.ndarray]] = []
-        width = FIRST
+        width = first
         while True:
-            order = np.argsort(key)
-            ordered = key[order]
-            new = np.empty(n, np.int64)
-            new[0] = 0
-            np.cumsum(ordered[1:] != ordered[:-1], out=new[1:])
+            key <<= PLACE_BITS
+            key |= at
+            key.sort()
+            order = key & MOST
+            new = np.empty(n, bool)
+            new[0] = True
+            key >>= PLACE_BITS
+            np.not_equal(key[1:], key[:-1], out=new[1:])
+            new |= unlike[order]
             rank = np.empty(n, np.int64)
-            rank[order] = new
-            self.levels.append((width, rank))
-            if new[-1] == n - 1:
+            number = np.cumsum(new) - 1
+            rank[order] = number
+            self.levels.append((width, rank.astype(np.int32)))
+            if number[-1] == n - 1:
                 break
-            far = np.full(n, -1, np.int64)
-            if width < n:
-                far[: n - width] = rank[width:]
-            key = (rank << 32) | (far + 1)
+            key = rank << PLACE_BITS
+            key[: max(n - width, 0)] |= rank[width:] if width < n else 0
             width *= 2
         self.order = order
 
     def _compress(self) -> None:
         before = self.text[self.order - 1]
-        before[self.order == 0] = -1
-        change = before[1:] != before[:-1]
+        before[self.order == 0] = 0
+        # what stands before a segment is unlike anything else, too
+        change = (before[1:] != before[:-1]) | (before[1:] == 0)
         head = np.concatenate(([True], change))
         self.head_rows = np.flatnonzero(head)
         self.tail_rows = np.flatnonzero(np.concatenate((change, [True])))
@@ -79,10 +98,10 @@ class RunIndex:
             same[ok] = rank[x[ok]] == rank[y[ok]]
             length[same] += width
         live = np.ones(len(a), bool)
-        for _ in range(FIRST - 1):
+        for _ in range(self.first - 1):
             x, y = a + length, b + length
             live &= (x < self.n) & (y < self.n)
-            live[live] = self.text[x[live]] == self.text[y[live]]
+            live[live] = (self.text[x[live]] == self.text[y[live]]) & (self.text[x[live]] > 0)
             length[live] += 1
         return length
 

@@ -5,11 +5,11 @@ document or another. The corpus is not indexed as one text. Each such string hol
 `GRAM` bytes with the smallest hash in it, so equal strings meet under equal anchors:
 
 1. every anchor gives a row of its gram's hash and the hash of its whole surroundings (no text);
-2. grams seen once can't repeat; grams whose surroundings are all alike repeat in full;
-3. for the rest the surroundings themselves are dealt by gram to run-length indexes (`run_index`) of bounded
-   size, which mark the long matches;
-4. a gram with more than `hot` places is first parted by longer and longer cores, down to single strings,
-   which are only counted; so no group of unbounded size is gathered.
+2. grams seen once can't repeat; surroundings seen twice repeat in full;
+3. for grams with several kinds of surroundings, one of each kind is dealt by gram to run-length indexes
+   (`run_index`) of bounded size, which mark the long matches;
+4. a gram of more than `hot` kinds is first parted by longer cores, then into single strings, which are only
+   counted; so no group of unbounded size is gathered.
 
 Null text counts as empty; a document shorter than `least` loses nothing; the order of rows, repeated rows
 and other columns don't matter (rows are told apart by an id of their own).
@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, release
+from .common import discard, materialise, release
 from .run_index import RunIndex
 
 LEAST = 200
 #: Bytes of an anchor's gram, for a `least` of 200; shorter strings take a quarter of theirs.
 GRAM = 48
-#: Places of a gram above which its group is parted further.
+#: Kinds of surroundings of a gram above which its group is parted further.
 HOT = 1024
 #: Bytes of surroundings in one run-length index.
 INDEX_BYTES = 1_000_000
@@ -308,26 +308,38 @@ def _strings(least: int):
 
 def repeated_spans(docs: DataFrame, least: int = LEAST, hot: int = HOT) -> DataFrame:
     """Rows (rid, start, end): byte spans of docs (rid long, text string) that lie in repeated strings; they may overlap."""
+    spark = docs.sparkSession
     gram = max(1, GRAM * least // LEAST)
+    one = F.count(F.lit(1)).alias("n")
     scan = docs.mapInArrow(_scan(least, gram), "rid long, at int, gram long, around long, start int, end int").select("rid", "at", "gram", "around", "start", "end")
-    seen = scan.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("around").alias("low"), F.max("around").alias("high")).where("n > 1")
-    kind = F.expr(f"case when low = high then 0 when n <= {int(hot)} then 1 else 2 end").cast("byte")
-    found, _ = materialise(scan.drop("around").join(seen.hint("shuffle_hash"), "gram").select("rid", "gram", "start", "end", (F.col("at") - F.col("start")).alias("lead"), kind.alias("kind")), "anchors")
-    release(docs.sparkSession)
-    mixed = found.where("kind > 0").groupBy("rid").agg(F.collect_list(F.struct("gram", "start", "end", "lead", (F.col("kind") == 2).alias("hot"))).alias("places"))
-    pieces, _ = materialise(docs.join(mixed.hint("shuffle_hash"), "rid").select("rid", "text", "places").mapInArrow(_cut, "gram long, rid long, start int, lead int, piece binary, hot boolean"), "pieces")
-    release(docs.sparkSession)
-    whole = found.where("kind = 0").select("rid", "start", "end")
+    seen = scan.groupBy("gram").agg(one, F.min("around").alias("low"), F.max("around").alias("high")).where("n > 1")
+    found, _ = materialise(scan.join(seen.select("gram", (F.col("low") == F.col("high")).alias("alike")).hint("shuffle_hash"), "gram"), "anchors")
+    release(spark)
+    # surroundings seen twice lie in repeats; of each kind of surroundings one place goes on
+    mixed = found.where("not alike")
+    kinds = mixed.groupBy("gram", "around").agg(one, F.min(F.struct("rid", "at")).alias("first"))
+    crowd = kinds.groupBy("gram").agg((F.count(F.lit(1)) > hot).alias("hot"))
+    placed = mixed.join(kinds.hint("shuffle_hash"), ["gram", "around"])
+    first = (F.col("rid") == F.col("first.rid")) & (F.col("at") == F.col("first.at"))
+    places, _ = materialise(placed.select("rid", "at", "gram", "start", "end", (F.col("n") > 1).alias("alike"), first.alias("first")), "places")
+    release(spark)
+    sent = places.where("first").join(crowd.hint("shuffle_hash"), "gram").groupBy("rid").agg(F.collect_list(F.struct("gram", "start", "end", (F.col("at") - F.col("start")).alias("lead"), "hot")).alias("places"))
+    pieces, pieces_path = materialise(docs.join(sent.hint("shuffle_hash"), "rid").select("rid", "text", "places").mapInArrow(_cut, "gram long, rid long, start int, lead int, piece binary, hot boolean"), "pieces")
+    release(spark)
+    whole = found.where("alike").select("rid", "start", "end").unionByName(places.where("alike").select("rid", "start", "end"))
     cool = pieces.where("not hot").select("gram", "rid", "start", "piece")
     indexed = cool.repartition("gram").sortWithinPartitions("gram").mapInArrow(_index(least), "rid long, start int, end int")
-    parts = pieces.where("hot").select("rid", "start", "lead", "piece").mapInArrow(_parts(least, gram), "core long, whole long, rid long, start int, piece binary")
-    cores = parts.select("core", "whole", "rid", "start").distinct().groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high")).where("n > 1")
+    parts = pieces.where("hot").select("rid", "start", "lead", "piece").mapInArrow(_parts(least, gram), "core long, whole long, rid long, start int, piece binary").dropDuplicates(["core", "whole", "rid", "start"])
+    cores = parts.groupBy("core").agg(one, F.min("whole").alias("low"), F.max("whole").alias("high")).where("n > 1")
     parted = parts.join(cores, "core")
     whole_parts = parted.where("low = high").select("rid", "start", (F.col("start") + F.length("piece")).cast("int").alias("end"))
     strings = parted.where("low <> high").select("rid", "start", "piece").mapInArrow(_strings(least), "string binary, rid long, start int").distinct()
-    often = strings.groupBy("string").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("string")
+    often = strings.groupBy("string").agg(one).where("n > 1").select("string")
     counted = strings.join(often, "string", "left_semi").select("rid", "start", (F.col("start") + least).cast("int").alias("end"))
-    return whole.unionByName(indexed).unionByName(whole_parts).unionByName(counted)
+    marked, _ = materialise(indexed.unionByName(whole_parts).unionByName(counted), "marked")
+    discard(spark, pieces_path)
+    release(spark)
+    return whole.unionByName(marked)
 
 
 def _merge(spans) -> list[tuple[int, int]]:

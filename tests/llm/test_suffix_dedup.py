@@ -68,18 +68,19 @@ def test_empty_table(spark):
 
 def test_run_index_against_all_pairs():
     rng = random.Random(4)
-    for _ in range(100):
-        base = bytes(rng.choices(b"abc", k=60))
-        segments = [base[(a := rng.randint(0, 50)) : a + rng.randint(1, 40)] for _ in range(rng.randint(1, 6))]
+    for _ in range(400):
+        alphabet = rng.choice([b"ab", b"abcdef", b"a"])
+        base = bytes(rng.choices(alphabet, k=60))
+        segments = list({base[(a := rng.randint(0, 50)) : a + rng.randint(1, 40)] + bytes(rng.choices(alphabet, k=rng.randint(0, 6))) for _ in range(rng.randint(1, 6))})
         index = RunIndex(segments)
-        text = index.text.tolist()
         stats = index.matching_statistics()
-        for i in range(index.n):
+        places = [(s, i) for s in range(len(segments)) for i in range(len(segments[s]))]
+        for s, i in places:
             best = 0
-            for j in range(index.n):
-                if i != j:
-                    k = 0
-                    while i + k < index.n and j + k < index.n and text[i + k] == text[j + k]:
+            for t, j in places:
+                if (s, i) != (t, j):
+                    a, b, k = segments[s][i:], segments[t][j:], 0
+                    while k < min(len(a), len(b)) and a[k] == b[k]:
                         k += 1
                     best = max(best, k)
-            assert stats[i] == best
+            assert stats[index.starts[s] + i] == best
