@@ -330,10 +330,13 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, hot: int = HOT) -> DataF
     cool = pieces.where("not hot").select("gram", "rid", "start", "piece")
     indexed = cool.repartition("gram").sortWithinPartitions("gram").mapInArrow(_index(least), "rid long, start int, end int")
     parts = pieces.where("hot").select("rid", "start", "lead", "piece").mapInArrow(_parts(least, gram), "core long, whole long, rid long, start int, piece binary").dropDuplicates(["core", "whole", "rid", "start"])
-    cores = parts.groupBy("core").agg(one, F.min("whole").alias("low"), F.max("whole").alias("high")).where("n > 1")
-    parted = parts.join(cores, "core")
-    whole_parts = parted.where("low = high").select("rid", "start", (F.col("start") + F.length("piece")).cast("int").alias("end"))
-    strings = parted.where("low <> high").select("rid", "start", "piece").mapInArrow(_strings(least), "string binary, rid long, start int").distinct()
+    # as above: parts seen twice lie in repeats, and one place of each kind goes on where a core has several kinds
+    kinds = parts.groupBy("core", "whole").agg(one, F.min(F.struct("rid", "start")).alias("first"))
+    cores = kinds.groupBy("core").agg(F.sum("n").alias("places"), F.count(F.lit(1)).alias("kinds")).where("places > 1")
+    parted = parts.join(kinds.join(cores, "core").select("core", "whole", "n", "kinds", "first"), ["core", "whole"])
+    whole_parts = parted.where("n > 1").select("rid", "start", (F.col("start") + F.length("piece")).cast("int").alias("end"))
+    alone = parted.where((F.col("kinds") > 1) & (F.col("rid") == F.col("first.rid")) & (F.col("start") == F.col("first.start")))
+    strings = alone.select("rid", "start", "piece").mapInArrow(_strings(least), "string binary, rid long, start int").distinct()
     often = strings.groupBy("string").agg(one).where("n > 1").select("string")
     counted = strings.join(often, "string", "left_semi").select("rid", "start", (F.col("start") + least).cast("int").alias("end"))
     marked, _ = materialise(indexed.unionByName(whole_parts).unionByName(counted), "marked")
