@@ -1,9 +1,641 @@
-"""Registered queries."""
+"""The registered queries over the driver's tables. Each has its SQL under the same name in `sql`."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import lists, text
+from ..operators import answers, curation, ingest, metrics, obligation, references, retrieval, statistics, temporal
+from . import corpus as C
+from . import sql
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def r6(c):
+    return F.round(c, 6)
+
+
+def out(df: DataFrame) -> DataFrame:
+    """Doubles as rounded to 6 digits, counts as longs."""
+    kinds = dict(df.dtypes)
+    return df.select(*(r6(c).alias(c) if kinds[c] == "double" else F.col(c).cast("long").alias(c) if kinds[c] in ("int", "smallint") else F.col(c) for c in df.columns))
+
+
+# --- text and ingestion
+
+
+@query
+def tokenize_stats(spark, sf):
+    t = text.tokenize(F.col("text"))
+    d = C.table(spark, sf, "documents").select("doc_id", t.alias("t"))
+    return out(d.select("doc_id", F.size("t").alias("tokens"), F.size(F.array_distinct("t")).alias("distinct_tokens"), F.array_max(F.transform("t", lambda x: F.length(x))).alias("longest")))
+
+
+@query
+def content_token_sets(spark, sf):
+    d = C.table(spark, sf, "documents")
+    a, b = text.content_tokens(F.col("text")), text.content_tokens(F.col("text"), lists.FAILURE_STOPWORDS)
+    return out(d.select("doc_id", F.size(a).alias("answer_tokens"), F.size(b).alias("failure_tokens"), r6(text.overlap_share(a, b)).alias("share")))
+
+
+@query
+def word_counts_census(spark, sf):
+    rows = C.sections(spark, sf).withColumn("chunk_id", F.col("evidence_id"))
+    return out(ingest.census(rows, rows, 40))
+
+
+@query
+def document_stats(spark, sf):
+    return out(ingest.document_statistics(C.sections(spark, sf)))
+
+
+@query
+def placeholder_documents(spark, sf):
+    return out(ingest.placeholders(C.sections(spark, sf)))
+
+
+@query
+def paragraph_explode(spark, sf):
+    d = C.table(spark, sf, "documents").select("doc_id", F.posexplode(text.paragraphs(F.col("text"))).alias("n", "p"))
+    return out(d.select("doc_id", "n", F.md5("p").alias("digest"), F.char_length("p").alias("chars")))
+
+
+@query
+def sentence_split(spark, sf):
+    d = C.table(spark, sf, "documents")
+    a, b = text.clause_sentences(F.col("text")), text.answer_sentences(F.col("text"))
+    return out(d.select("doc_id", F.size(a).alias("clauses"), F.size(b).alias("sentences"), F.md5(F.concat_ws("|", b)).alias("digest")))
+
+
+@query
+def chunk_sections(spark, sf):
+    d = C.table(spark, sf, "documents").select(F.concat_ws("::", F.col("doc_id").cast("string"), F.lit("P")).alias("chunk_id"), F.col("doc_id").cast("string").alias("doc_id"), F.lit("P").alias("section"), "text")
+    rows = ingest.chunk_sections(d, 120, 0)
+    return out(rows.select("chunk_id", "doc_id", "part", "parts", F.size(F.split(F.trim("text"), r"\s+")).alias("words")))
+
+
+@query
+def chunk_overlap(spark, sf):
+    """Overlapping windows: no SQL."""
+    d = C.table(spark, sf, "documents").select(F.concat_ws("::", F.col("doc_id").cast("string"), F.lit("P")).alias("chunk_id"), F.col("doc_id").cast("string").alias("doc_id"), F.lit("P").alias("section"), "text")
+    return out(ingest.chunk_sections(d, 120, 20).select("chunk_id", "doc_id", "part", "parts", F.md5("text").alias("digest")))
+
+
+@query
+def keyword_find(spark, sf):
+    return out(ingest.find(C.sections(spark, sf), "the and"))
+
+
+@query
+def table_of_contents(spark, sf):
+    return out(C.sections(spark, sf).select("doc_id", "ord", "section", F.char_length("text").alias("chars")))
+
+
+@query
+def section_lookup(spark, sf):
+    return out(ingest.lookup(C.sections(spark, sf), "7", "p1").select("doc_id", "section", F.md5("text").alias("digest")))
+
+
+@query
+def html_sections(spark, sf):
+    p = C.table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), "html")
+    return out(ingest.sections(ingest.html_blocks(p, "h1", "p")).select("doc_id", "section", "section_title", "order", "chars"))
+
+
+@query
+def section_labels(spark, sf):
+    forms = ["Article (%d): On Governance", "Article %d Scope", "%d. Definitions", "6.%d.1 The Board", "Appendix (%d)", "Schedule No. (%d)", "chapter %d: Rules", "Part Two of %d", "General Provisions %d"]
+    heads = F.array(*(F.format_string(f, (F.pmod("doc_id", F.lit(30)) + 1).cast("int")) for f in forms))
+    h = C.table(spark, sf, "documents").select("doc_id", F.posexplode(heads).alias("n", "heading"))
+    return out(h.select("doc_id", "n", text.section_label(F.col("heading")).alias("label"), text.is_container(F.col("heading")).alias("container")))
+
+
+@query
+def dates_and_statuses(spark, sf):
+    i = F.col("doc_id").cast("int")
+    raw = F.format_string("%d/%d/%d", F.pmod(i, F.lit(28)) + 1, F.pmod(i, F.lit(12)) + 1, F.pmod(i, F.lit(9)) + 2018)
+    raw = F.when(F.pmod(i, F.lit(6)) == 0, F.concat(raw, F.lit(" on"))).otherwise(raw)
+    state = F.element_at(F.array(*map(F.lit, ["In-Force", "In force", "Revoked", "Superseded", "Not yet in force", "Under Review"])), (F.pmod(i, F.lit(6)) + 1).cast("int"))
+    d = C.table(spark, sf, "documents")
+    iso = text.normalise_date(raw)
+    return out(d.select("doc_id", iso.alias("date"), text.normalise_status(state).alias("status"), temporal.labelling_eligible(iso, "2021-06-15").alias("eligible")))
+
+
+@query
+def fingerprints(spark, sf):
+    d = C.table(spark, sf, "documents")
+    return out(d.select("doc_id", text.fingerprint(F.col("source"), F.col("doc_id").cast("string"), F.col("text"), size=32).alias("key"), F.length(text.excerpt(F.col("text"))).alias("excerpt_chars")))
+
+
+@query
+def title_switch(spark, sf):
+    d = C.table(spark, sf, "documents")
+    title = F.when(F.pmod("doc_id", F.lit(3)) == 0, F.col("source")).otherwise(F.col("lang"))
+    with_title = text.indexable_text(F.col("text"), title, F.col("lang"), F.col("source"))
+    without = text.indexable_text(F.col("text"), title, F.col("lang"))
+    return out(d.select("doc_id", F.md5(with_title).alias("with_title"), F.md5(without).alias("without_title")))
+
+
+@query
+def context_join(spark, sf):
+    d = C.table(spark, sf, "documents").select("doc_id", F.md5("text").alias("key"), "text")
+    raw = F.concat(F.lit("Sure! Here is one:  \""), F.substring(F.col("text"), 1, 60), F.lit(" and so on. More\""))
+    ctx = d.where(F.pmod("doc_id", F.lit(2)) == 0).groupBy("key").agg(F.min("text").alias("text")).select("key", text.clean_context(raw).alias("context"))
+    return out(retrieval.with_context(d, ctx).select("doc_id", F.md5("text").alias("digest")))
+
+
+@query
+def duplicate_texts(spark, sf):
+    d = C.table(spark, sf, "documents")
+    g = d.groupBy(F.md5("text").alias("digest")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
+    return out(g.where("n > 1"))
+
+
+@query
+def cache_migration(spark, sf):
+    """Old cache entries kept where their text belongs to one document only."""
+    from ..sources.readers import migrate_keys
+
+    d = C.table(spark, sf, "documents")
+    old = d.groupBy("text").agg(F.max("doc_id").alias("value"))
+    return out(migrate_keys(old, d.select("text", F.col("doc_id").alias("key"))))
+
+
+@query
+def scope_profiles(spark, sf):
+    s = C.sections(spark, sf)
+    return out(ingest.scope_profile(s, "p[13]$|p[13] ").select("doc_id", F.md5("profile").alias("digest")) if False else ingest.scope_profile(s.withColumn("title", F.col("source")), "^p[13] ").select("doc_id", F.md5("profile").alias("digest")))
+
+
+# --- retrieval
+
+
+@query
+def postings(spark, sf):
+    return out(retrieval.postings(C.chunks(spark, sf)))
+
+
+@query
+def term_statistics(spark, sf):
+    c = C.chunks(spark, sf)
+    return out(retrieval.term_statistics(retrieval.postings(c), c))
+
+
+def _found(df):
+    return out(df.select("query_id", "idx", "rank", "score"))
+
+
+@query
+def bm25_topk(spark, sf):
+    return _found(C.lexical(spark, sf))
+
+
+@query
+def bm25_depth_100(spark, sf):
+    return _found(C.lexical(spark, sf, 100))
+
+
+@query
+def hashed_dense_topk(spark, sf):
+    return _found(C.dense(spark, sf))
+
+
+@query
+def vector_topk(spark, sf):
+    e = C.table(spark, sf, "embeddings")
+    q = e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return _found(retrieval.vector_top(e.where("vec_id >= 20").select(F.col("vec_id").alias("idx"), F.col("embedding").alias("v")), q, 10))
+
+
+@query
+def vector_label_recall(spark, sf):
+    e = C.table(spark, sf, "embeddings")
+    q = e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    top = retrieval.vector_top(e.where("vec_id >= 20").select(F.col("vec_id").alias("idx"), F.col("embedding").alias("v")), q, 10)
+    named = top.join(e.select(F.col("vec_id").alias("idx"), "label"), "idx").join(e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted")), "query_id")
+    return out(named.groupBy("query_id").agg(F.avg((F.col("label") == F.col("wanted")).cast("double")).alias("share")))
+
+
+@query
+def rrf_fusion(spark, sf):
+    return _found(C.fused(spark, sf))
+
+
+@query
+def lexical_rerank(spark, sf):
+    """A deterministic stand-in scorer, not a cross-encoder."""
+    return _found(retrieval.rerank(C.fused(spark, sf, 50), C.chunks(spark, sf), C.questions(spark, sf), retrieval.lexical_pair, 10))
+
+
+@query
+def sparse_topk(spark, sf):
+    c = C.chunks(spark, sf)
+    posted = retrieval.postings(c)
+    w = posted.join(retrieval.term_statistics(posted, c), "term").select("idx", "term", (F.log1p("tf") * F.col("idf")).alias("weight"))
+    return _found(retrieval.sparse(w, retrieval.query_terms(C.questions(spark, sf)).select("query_id", "term", F.col("n").cast("double").alias("weight")), 10))
+
+
+@query
+def prf_terms(spark, sf):
+    return out(retrieval.feedback_terms(C.lexical(spark, sf, 3), C.chunks(spark, sf), C.questions(spark, sf)))
+
+
+@query
+def prf_rewrite(spark, sf):
+    q = C.questions(spark, sf)
+    return out(retrieval.feedback_rewrite(retrieval.feedback_terms(C.lexical(spark, sf, 3), C.chunks(spark, sf), q), q))
+
+
+@query
+def generated_rewrite(spark, sf):
+    """A stand-in generator that echoes part of the question, and fails on every third."""
+    gen = lambda q: F.when(F.pmod(F.length(q), F.lit(3)) == 0, F.lit(None)).otherwise(F.concat(F.lit("  "), F.substring(q, 1, 30), F.lit(" \n x ")))
+    return out(retrieval.generated_rewrite(C.questions(spark, sf), gen))
+
+
+# --- labels and metrics
+
+
+@query
+def gold_evidence(spark, sf):
+    return out(C.labels(spark, sf))
+
+
+@query
+def question_categories(spark, sf):
+    return out(C.categorised(spark, sf).groupBy("category").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _scores(spark, sf, found=None):
+    found = C.with_evidence(C.lexical(spark, sf) if found is None else found, spark, sf)
+    return metrics.score(found, C.labels(spark, sf), C.questions(spark, sf))
+
+
+@query
+def metrics_per_question(spark, sf):
+    return out(_scores(spark, sf))
+
+
+@query
+def retrieval_scorecard(spark, sf):
+    """Flagship: BM25 over all documents for all passages, every metric by category and cut."""
+    return out(metrics.by_category(_scores(spark, sf), C.categorised(spark, sf)))
+
+
+@query
+def fusion_scorecard(spark, sf):
+    return out(metrics.by_category(_scores(spark, sf, C.fused(spark, sf)), C.categorised(spark, sf)))
+
+
+@query
+def answerable_scorecard(spark, sf):
+    return out(metrics.answerable_means(_scores(spark, sf), C.categorised(spark, sf)))
+
+
+def _at_10(scores):
+    return scores.where("k = 10").select(F.col("query_id").alias("key"), F.col("mrr").alias("value"))
+
+
+@query
+def paired_bootstrap(spark, sf):
+    a, b = _scores(spark, sf), _scores(spark, sf, C.fused(spark, sf))
+    return out(statistics.paired(_at_10(a), _at_10(b), "20260101:bm25:rrf:mrr", 200))
+
+
+@query
+def bootstrap_mean(spark, sf):
+    return out(statistics.bootstrap(_at_10(_scores(spark, sf)), "20260101:bm25:mrr", 200))
+
+
+@query
+def improved_worsened(spark, sf):
+    a, b = _at_10(_scores(spark, sf)), _at_10(_scores(spark, sf, C.fused(spark, sf)))
+    return out(metrics.discordant(a, b, "key"))
+
+
+def _top(spark, sf):
+    top = C.lexical(spark, sf).groupBy("query_id").agg(F.max("score").alias("score"))
+    return C.categorised(spark, sf).join(top, "query_id").select(F.col("query_id").alias("key"), (F.col("category") != "unanswerable").alias("answerable"), F.round("score", 9).alias("score"))
+
+
+@query
+def auc(spark, sf):
+    return out(statistics.auc(_top(spark, sf).withColumnRenamed("answerable", "positive")))
+
+
+@query
+def auc_bootstrap(spark, sf):
+    return out(statistics.auc_bootstrap(_top(spark, sf).withColumnRenamed("answerable", "positive"), "20260101", 100))
+
+
+@query
+def abstention_curve(spark, sf):
+    return out(statistics.abstention_curve(_top(spark, sf)))
+
+
+@query
+def score_spread(spark, sf):
+    t = _top(spark, sf)
+    return out(t.groupBy("answerable").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"), F.median("score").alias("middle"), F.max("score").alias("high")))
+
+
+@query
+def worst_unanswerable(spark, sf):
+    return out(_top(spark, sf).where("not answerable").orderBy(F.desc("score"), "key").limit(5))
+
+
+@query
+def abstention_correct(spark, sf):
+    t = _top(spark, sf)
+    return out(t.select("key", (F.col("answerable") == (F.col("score") > 60.0)).alias("correct")))
+
+
+@query
+def interaction_2x2(spark, sf):
+    q = C.questions(spark, sf)
+    cells = None
+    for a, b, found in ((False, False, C.lexical(spark, sf)), (True, False, C.dense(spark, sf)), (False, True, C.fused(spark, sf)), (True, True, retrieval.rerank(C.fused(spark, sf, 50), C.chunks(spark, sf), q, retrieval.lexical_pair, 10))):
+        one = _scores(spark, sf, found).where("k = 10").agg(F.avg("mrr").alias("value")).select(F.lit(a).alias("first"), F.lit(b).alias("second"), "value")
+        cells = one if cells is None else cells.unionByName(one)
+    return out(statistics.interaction(cells))
+
+
+@query
+def config_grid(spark, sf):
+    """An ablation over window sizes as one plan: the budget is a column of the result."""
+    d = C.table(spark, sf, "documents").select(F.concat_ws("::", F.col("doc_id").cast("string"), F.lit("P")).alias("chunk_id"), F.col("doc_id").cast("string").alias("doc_id"), F.lit("P").alias("section"), "text")
+    rows = None
+    for budget in (60, 120, 240):
+        one = ingest.chunk_sections(d, budget, 0).agg(F.lit(budget).alias("budget"), F.count(F.lit(1)).alias("chunks"), F.count_if("part > 0").alias("split"))
+        rows = one if rows is None else rows.unionByName(one)
+    return out(rows)
+
+
+# --- references
+
+
+def _outcomes(spark, sf):
+    return references.resolved(C.referring(spark, sf))
+
+
+@query
+def reference_edges(spark, sf):
+    return out(references.edges(_outcomes(spark, sf)).select("source", "target", "number", "cross_document"))
+
+
+@query
+def reference_census(spark, sf):
+    return out(references.census(_outcomes(spark, sf)))
+
+
+@query
+def adjacency(spark, sf):
+    return out(references.adjacency(references.edges(_outcomes(spark, sf))))
+
+
+@query
+def hops(spark, sf):
+    near = references.adjacency(references.edges(_outcomes(spark, sf)))
+    seeds = C.referring(spark, sf).where("ord = 1").select(F.col("doc_id").alias("key"), F.concat_ws("::", "doc_id", "section").alias("node"))
+    return out(references.reachable(near, seeds, 3))
+
+
+def _doc_edges(spark, sf):
+    """Edges between the texts of neighbouring documents of every third id."""
+    c = C.chunks(spark, sf).select("idx", "evidence_id")
+    e = c.where(F.pmod("idx", F.lit(3)) == 0).select((F.col("idx") + 1).alias("idx"), F.col("evidence_id").alias("source")).join(c, "idx")
+    return e.select("source", F.col("evidence_id").alias("target")).where("source <> target").distinct()
+
+
+def _required(spark, sf):
+    return C.labels(spark, sf).where("gain = 2").select("query_id", "evidence_id")
+
+
+@query
+def premise(spark, sf):
+    return out(references.premise(C.labels(spark, sf), references.adjacency(_doc_edges(spark, sf))))
+
+
+@query
+def ceiling(spark, sf):
+    found = C.with_evidence(C.lexical(spark, sf, 1), spark, sf).select("query_id", "evidence_id").distinct()
+    missed = C.labels(spark, sf).select("query_id", "evidence_id").join(found, ["query_id", "evidence_id"], "left_anti")
+    return out(references.ceiling(missed, found, references.adjacency(_doc_edges(spark, sf))))
+
+
+@query
+def graph_expand(spark, sf):
+    return out(retrieval.expand(C.lexical(spark, sf), C.chunks(spark, sf), _doc_edges(spark, sf), 20))
+
+
+@query
+def expansion_size(spark, sf):
+    return out(retrieval.expansion_size(C.lexical(spark, sf, 20), C.chunks(spark, sf), _doc_edges(spark, sf)))
+
+
+# --- answers
+
+
+def _context(spark, sf):
+    return C.lexical(spark, sf).join(C.chunks(spark, sf), "idx").join(C.questions(spark, sf), "query_id")
+
+
+@query
+def extractive_answer(spark, sf):
+    e = answers.extractive(_context(spark, sf))
+    return out(e.select("query_id", "n", "evidence_id", F.md5("quote").alias("digest"), F.char_length("quote").alias("chars")))
+
+
+@query
+def answer_decisions(spark, sf):
+    d = answers.decide(C.questions(spark, sf), C.lexical(spark, sf), 60.0)
+    return out(d.select("query_id", "abstained", F.round("top_score", 6).alias("top_score")))
+
+
+@query
+def citation_validity(spark, sf):
+    ctx = _context(spark, sf)
+    d = answers.decide(C.questions(spark, sf), ctx, 60.0)
+    return out(answers.validate(answers.extractive(ctx), ctx, d))
+
+
+def _tagged(spark, sf):
+    q = C.questions(spark, sf)
+    a = F.concat(F.substring("query", 1, 40), F.lit(" [1]. And "), F.substring("query", 41, 40), F.lit(" [2][3]. None [99]. [4, 5] after the tag"))
+    return q.select("query_id", F.when(F.pmod("query_id", F.lit(5)) == 0, "Not covered by these passages.").otherwise(a).alias("answer"))
+
+
+@query
+def claims_parse(spark, sf):
+    c = answers.claims(_tagged(spark, sf))
+    return out(c.select("query_id", "n", F.length("claim").alias("chars"), F.array_join(F.transform("numbers", lambda x: x.cast("string")), ",").alias("numbers")))
+
+
+@query
+def tagged_citations(spark, sf):
+    t = answers.tagged(_tagged(spark, sf), C.with_evidence(C.lexical(spark, sf), spark, sf))
+    return out(t.select("query_id", "n", "evidence_id", F.length("quote").alias("chars")))
+
+
+@query
+def over_attribution(spark, sf):
+    return out(answers.over_attributed(_tagged(spark, sf)))
+
+
+MODALS = ["The company shall report", "The company shall not report", "The company may report", "The company should report", "The company reports"]
+
+
+def _modal(shift):
+    return F.element_at(F.array(*map(F.lit, MODALS)), (F.pmod(F.col("doc_id") + F.floor(F.col("doc_id") / shift), F.lit(5)) + 1).cast("int"))
+
+
+@query
+def obligation_drift(spark, sf):
+    d = C.table(spark, sf, "documents").select("doc_id", _modal(1000003).alias("claim"), F.concat(_modal(5), F.lit(". "), F.col("text")).alias("source"))
+    return out(d.select("doc_id", obligation.strongest(F.col("claim")).alias("claim_force"), F.array_join(obligation.forces(F.col("source")), ",").alias("source_forces"), obligation.drift(F.col("claim"), F.col("source")).alias("drift")))
+
+
+@query
+def obligation_fidelity(spark, sf):
+    d = C.table(spark, sf, "documents").select(_modal(1000003).alias("claim"), _modal(5).alias("source"))
+    return out(obligation.fidelity(d))
+
+
+def _dated(spark, sf):
+    return C.lexical(spark, sf).withColumnRenamed("idx", "doc_id")
+
+
+@query
+def in_force(spark, sf):
+    return out(temporal.judged(_dated(spark, sf), C.commencements(spark, sf), "2024-02-01").select("query_id", "doc_id", "rank", "in_force"))
+
+
+@query
+def temporal_exposure(spark, sf):
+    return out(temporal.exposure(_dated(spark, sf), C.commencements(spark, sf), "2024-02-01"))
+
+
+@query
+def exposure_by_category(spark, sf):
+    e = temporal.exposure(_dated(spark, sf), C.commencements(spark, sf), "2024-02-01")
+    return out(temporal.exposure_summary(e, C.categorised(spark, sf)))
+
+
+# --- curation
+
+
+def _items(spark, sf):
+    """Questions with labels that are wrong in known ways."""
+    b = C.table(spark, sf, "benchmark")
+    i = F.col("item_id")
+    e = F.struct(F.pmod(i * 7, F.lit(90)).cast("string").alias("doc_id"), F.concat(F.lit("P"), F.pmod(i, F.lit(4)).cast("string")).alias("section"), F.lit("").alias("why"))
+    e2 = F.struct(F.pmod(i * 7 + F.pmod(i, F.lit(2)), F.lit(90)).cast("string").alias("doc_id"), F.when(F.pmod(i, F.lit(9)) == 0, "").otherwise("P1").alias("section"), F.lit("").alias("why"))
+    kinds = ["single_hop", "cross_document", "cross_section", "unanswerable", "odd"]
+    n = F.pmod(i, F.lit(5)).cast("int")
+    none = F.array().cast("array<struct<doc_id: string, section: string, why: string>>")
+    return b.select(
+        F.format_string("Q%03d", F.when(F.pmod(i, F.lit(13)) == 0, 1).otherwise(i).cast("int")).alias("id"), F.col("text").alias("question"),
+        F.element_at(F.array(*map(F.lit, kinds)), n + 1).alias("category"), F.when(F.pmod(i, F.lit(8)) == 0, "huge").otherwise("easy").alias("difficulty"),
+        F.when(n == 3, F.when(F.pmod(i, F.lit(2)) == 0, none).otherwise(F.array(e))).when(n == 0, F.array(e)).otherwise(F.array(e, e2)).alias("required_evidence"),
+        none.alias("helpful_evidence"), F.when(F.pmod(i, F.lit(10)) == 0, "guessed").otherwise("hand_written").alias("source"), F.pmod(i * 3, F.lit(26)).cast("double").alias("minutes"),
+        F.when(F.pmod(i, F.lit(4)) != 0, "high").alias("confidence"),
+    )
+
+
+def _registry(spark, sf):
+    d = C.table(spark, sf, "documents").where("doc_id < 80")
+    return d.select(F.col("doc_id").cast("string").alias("doc_id"), F.when(F.pmod("doc_id", F.lit(10)) == 0, " false ").when(F.pmod("doc_id", F.lit(3)) == 0, "true").otherwise("").alias("labelling_eligible"))
+
+
+@query
+def validator_errors(spark, sf):
+    v = curation.validate(_items(spark, sf), _registry(spark, sf), C.sections(spark, sf))
+    return out(v.groupBy("id", "level", "message").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query
+def promotion_gate(spark, sf):
+    return out(_items(spark, sf).select("question", F.array_join(curation.blocking_reasons(), "; ").alias("reasons")))
+
+
+@query
+def promoted(spark, sf):
+    items = _items(spark, sf)
+    return out(curation.promote(items.withColumn("id", F.md5("question")), items.where("minutes < 9")).select("id", "new_id"))
+
+
+@query
+def corrupted_labels(spark, sf):
+    b = _items(spark, sf).where("required_evidence is not null")
+    return out(curation.corrupt(b.withColumn("id", F.md5("question")), C.sections(spark, sf).select("doc_id", "section", "ord"), "7"))
+
+
+@query
+def control_score(spark, sf):
+    d = C.table(spark, sf, "labels")
+    key = d.select(F.col("doc_id").alias("id"), (F.col("toxic") == 1).alias("corrupted"))
+    verdicts = d.where("doc_id % 7 <> 0").select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, "sound").otherwise("broken").alias("verdict"))
+    return out(curation.control_score(key, verdicts))
+
+
+@query
+def coverage(spark, sf):
+    return out(curation.coverage(C.labels(spark, sf).where("gain = 2"), C.chunks(spark, sf)))
+
+
+@query
+def mix_gap(spark, sf):
+    have = C.categorised(spark, sf).groupBy("category").agg(F.count(F.lit(1)).alias("have"))
+    goal = spark.range(1).select(F.explode(F.map_from_arrays(F.array(*map(F.lit, ("single_hop", "cross_document", "unanswerable", "comparative"))), F.array(*map(F.lit, (20, 10, 15, 5))))).alias("category", "target"))
+    return out(curation.mix_gap(have, goal))
+
+
+@query
+def failure_taxonomy(spark, sf):
+    rows = C.chunks(spark, sf).groupBy("evidence_id").agg(F.min_by(F.struct("idx", "text", "source"), "idx").alias("c"))
+    rows = rows.select("evidence_id", F.floor(F.col("c.idx") / 10).cast("string").alias("doc_id"), F.concat(F.lit("P"), F.pmod("c.idx", F.lit(10)).cast("string")).alias("section"), F.col("c.source").alias("group"), F.col("c.text").alias("text"))
+    found = C.with_evidence(C.lexical(spark, sf), spark, sf).select("query_id", "evidence_id").distinct()
+    missed = C.labels(spark, sf).select("query_id", "evidence_id").join(found, ["query_id", "evidence_id"], "left_anti")
+    return out(curation.failures(missed, found, C.questions(spark, sf), rows))
+
+
+@query
+def registry_fill(spark, sf):
+    d = C.table(spark, sf, "documents").select(F.col("doc_id"), F.when(F.pmod("doc_id", F.lit(3)) == 0, " ").otherwise(F.col("lang")).alias("status"))
+    new = C.table(spark, sf, "documents").select("doc_id", F.when(F.pmod("doc_id", F.lit(5)) == 0, "").otherwise(F.col("source")).alias("status"))
+    a = curation.fill(d, new, "doc_id", ["status"]).withColumnRenamed("status", "filled")
+    return out(a.join(curation.fill(d, new, "doc_id", ["status"], True).withColumnRenamed("status", "forced"), "doc_id"))
+
+
+@query
+def title_overlap(spark, sf):
+    d = C.table(spark, sf, "documents")
+    first = lambda n: F.array_join(F.slice(F.split("text", " "), 1, n), " ")
+    a, b = F.array_distinct(text.tokenize(first(8))), F.array_distinct(text.tokenize(first(6)))
+    return out(d.select("doc_id", text.overlap_share(a, b).alias("share"), curation.fetch_mode(first(8), first(6)).alias("mode")))
+
+
+@query
+def demo_export(spark, sf):
+    from ..sources import writers
+
+    found = C.with_evidence(C.lexical(spark, sf), spark, sf).join(C.chunks(spark, sf).select("idx", text.excerpt(F.col("text")).alias("excerpt")), "idx")
+    d = writers.demo(C.questions(spark, sf), _required(spark, sf), found, 60.0)
+    return out(d.select("query_id", F.size("required").alias("required"), F.size("found").alias("found"), "complete", "would_decline"))
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return sql.all_sql()
