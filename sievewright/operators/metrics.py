@@ -17,33 +17,35 @@ def cut_then_distinct(results: DataFrame, k: int | None) -> DataFrame:
 
 
 def score(results: DataFrame, labels: DataFrame, questions: DataFrame, ks=(1, 3, 5, 10)) -> DataFrame:
-    """query_id, k, recall, precision, full_recall, ndcg, mrr for every question.
+    """query_id, k, recall, precision, full_recall, ndcg, mrr for every question, all cuts in one pass.
 
     labels (query_id, evidence_id, gain): gain 2 is required, 1 is helpful. Without required evidence recall and
     full recall are 1 and mrr 0. mrr looks at all rows of results.
     """
+    whole = 2**31 - 1  # the cut that keeps all rows
     labelled = labels.groupBy("query_id", "evidence_id").agg(F.max("gain").alias("gain"))
     wanted = labelled.groupBy("query_id").agg(F.count_if(F.col("gain") == 2).alias("required"), F.sort_array(F.collect_list("gain"), asc=False).alias("gains"))
-    ranked = cut_then_distinct(results, None).join(labelled, ["query_id", "evidence_id"], "left")
-    mrr = ranked.where("gain = 2").groupBy("query_id").agg((1.0 / F.min("place")).alias("mrr"))
-    out = None
-    for k in ks:
-        top = cut_then_distinct(results, k).join(labelled, ["query_id", "evidence_id"], "left")
-        gain = F.coalesce("gain", F.lit(0)) / F.log2(F.col("place") + 1.0)
-        per = top.groupBy("query_id").agg(F.count_if(F.col("gain") == 2).alias("hits"), F.count(F.lit(1)).alias("n"), F.sum(gain).alias("dcg"))
-        rows = questions.select("query_id").join(wanted, "query_id", "left").join(per, "query_id", "left").join(mrr, "query_id", "left")
-        required, hits = F.coalesce("required", F.lit(0)), F.coalesce("hits", F.lit(0))
-        ideal = F.aggregate(F.transform(F.slice("gains", 1, k), lambda g, i: g / F.log2(i + 2.0)), F.lit(0.0), lambda a, x: a + x)
-        rows = rows.select(
-            "query_id", F.lit(k).alias("k"),
-            F.when(required == 0, 1.0).otherwise(hits / required).alias("recall"),
-            F.when(F.coalesce("n", F.lit(0)) == 0, 0.0).otherwise(hits / F.col("n")).alias("precision"),
-            F.when(required == 0, 1.0).otherwise((hits == required).cast("double")).alias("full_recall"),
-            F.when(F.coalesce(ideal, F.lit(0.0)) == 0, 0.0).otherwise(F.coalesce("dcg", F.lit(0.0)) / ideal).alias("ndcg"),
-            F.coalesce("mrr", F.lit(0.0)).alias("mrr"),
-        )
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    cuts = F.explode(F.array(*map(F.lit, sorted({*ks, whole}))))
+    first = results.select("query_id", "evidence_id", "rank", cuts.alias("k")).where(F.col("rank") <= F.col("k")).groupBy("query_id", "k", "evidence_id").agg(F.min("rank").alias("rank"))
+    placed = first.join(labelled, ["query_id", "evidence_id"], "left").withColumn("place", F.row_number().over(Window.partitionBy("query_id", "k").orderBy("rank")))
+    gain = F.coalesce("gain", F.lit(0)) / F.log2(F.col("place") + 1.0)
+    hit = F.col("gain") == 2
+    per = placed.groupBy("query_id", "k").agg(F.count_if(hit).alias("hits"), F.count(F.lit(1)).alias("n"), F.sum(gain).alias("dcg"), F.min(F.when(hit, F.col("place"))).alias("first"))
+    # one row a question, its cuts in a map
+    packed = per.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("k", F.struct("hits", "n", "dcg", "first")))).alias("cuts"))
+    rows = questions.select("query_id").join(wanted, "query_id", "left").join(packed, "query_id", "left")
+    rows = rows.select("*", F.explode(F.array(*map(F.lit, ks))).alias("k"))
+    at, whole_cut = F.try_element_at("cuts", F.col("k")), F.try_element_at("cuts", F.lit(whole))
+    required, hits, n = F.coalesce("required", F.lit(0)), F.coalesce(at["hits"], F.lit(0)), F.coalesce(at["n"], F.lit(0))
+    ideal = F.aggregate(F.transform(F.slice(F.coalesce("gains", F.array().cast("array<int>")), F.lit(1), F.col("k")), lambda g, i: g / F.log2(i + 2.0)), F.lit(0.0), lambda a, x: a + x)
+    return rows.select(
+        "query_id", "k",
+        F.when(required == 0, 1.0).otherwise(hits / required).alias("recall"),
+        F.when(n == 0, 0.0).otherwise(hits / n).alias("precision"),
+        F.when(required == 0, 1.0).otherwise((hits == required).cast("double")).alias("full_recall"),
+        F.when(ideal == 0, 0.0).otherwise(F.coalesce(at["dcg"], F.lit(0.0)) / ideal).alias("ndcg"),
+        F.coalesce(1.0 / whole_cut["first"], F.lit(0.0)).alias("mrr"),
+    )
 
 
 METRICS = ("recall", "precision", "full_recall", "ndcg", "mrr")

@@ -51,13 +51,19 @@ def pad(ranked: DataFrame, questions: DataFrame, chunks: DataFrame, k: int) -> D
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def weighted_postings(chunks: DataFrame) -> DataFrame:
-    """idx, term, weight: BM25 weight of each posting."""
-    posted = postings(chunks)
-    length = F.size(text.tokenize(F.col("text")))
-    lengths = chunks.select("idx", length.alias("dl"))
-    mean = chunks.agg(F.avg(length).alias("avgdl"))
-    parts = posted.join(term_statistics(posted, chunks), "term").join(lengths, "idx").crossJoin(F.broadcast(mean))
+def weighted_postings(chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """idx, term, weight: BM25 weight of each posting; only those of the given terms if there are any.
+
+    A chunk's length rides along with its tokens, so the text is read once for the postings and once for the mean.
+    """
+    tokens = chunks.select("idx", text.tokenize(F.col("text")).alias("t"))
+    posted = tokens.select("idx", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("idx", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    mean = tokens.agg(F.avg(F.size("t")).alias("avgdl"))
+    statistics = term_statistics(posted, chunks)
+    if terms is not None:
+        asked = terms.select("term").distinct()
+        posted, statistics = posted.join(asked, "term", "left_semi"), statistics.join(asked, "term", "left_semi")
+    parts = posted.join(statistics, "term").crossJoin(F.broadcast(mean))
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return parts.select("idx", "term", weight.alias("weight"))
 
@@ -69,7 +75,8 @@ def query_terms(questions: DataFrame) -> DataFrame:
 
 def bm25(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     """Top k chunks a question; a question without tokens gets none."""
-    hits = query_terms(questions).join(weighted_postings(chunks), "term")
+    asked = query_terms(questions)
+    hits = asked.join(weighted_postings(chunks, asked), "term")
     scored = hits.groupBy("query_id", "idx").agg(F.sum(F.col("n") * F.col("weight")).alias("score"))
     return pad(rank_rows(scored, k), questions, chunks, k)
 

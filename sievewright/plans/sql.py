@@ -137,12 +137,6 @@ res AS (SELECT x.doc_id || '::' || x.section AS source, x.number, CASE WHEN r.se
 edges AS (SELECT DISTINCT source, target, number FROM res WHERE outcome = 'intra'),
 near AS (SELECT source AS node, target AS neighbour FROM edges UNION SELECT target, source FROM edges)"""
 
-EXPAND = """
-exn AS (SELECT t.query_id, c.evidence_id AS source, t.score, t.rank FROM lex10 t JOIN chunks c USING (idx)),
-exl AS (SELECT e.query_id, n.neighbour AS target, arg_min(e.score, e.rank) AS score, min(e.rank) AS rank FROM exn e JOIN docnear n ON n.node = e.source
-  WHERE NOT EXISTS (SELECT 1 FROM exn p WHERE p.query_id = e.query_id AND p.evidence_id IS NOT DISTINCT FROM n.neighbour) GROUP BY ALL)"""
-
-
 def _modal(shift: int) -> str:
     forms = "['The company shall report', 'The company shall not report', 'The company may report', 'The company should report', 'The company reports']"
     return f"{forms}[((doc_id + doc_id // {shift}) % 5)::INTEGER + 1]"
@@ -169,7 +163,35 @@ each AS (SELECT i, id, unnest(e) AS x FROM ev),
 reg AS (SELECT doc_id::VARCHAR AS doc_id, doc_id % 10 = 0 AS barred FROM documents WHERE doc_id < 80)"""
 
 ROWS = "rows_ AS (SELECT evidence_id, (idx // 10)::VARCHAR AS doc_id, 'P' || (idx % 10) AS section, source AS grp, text FROM (SELECT evidence_id, min(idx) AS idx FROM chunks GROUP BY evidence_id) JOIN (SELECT idx, text, source FROM chunks) USING (idx))"
-BLANKS = "[ \\t\\n\\r\\x0b\\f]"
+
+
+LONGS = {
+    "answerable_scorecard": ["n"], "improved_worsened": ["improved", "worsened", "unchanged"], "auc": ["n_positive", "n_negative"], "abstention_curve": ["declined_ok", "declined_wrong"],
+    "config_grid": ["split"], "premise": ["linked"], "ceiling": ["reached"], "obligation_fidelity": ["preserved", "strengthened", "weakened", "no_force"],
+    "temporal_exposure": ["premature", "unknown", "first_premature_rank"], "exposure_by_category": ["affected", "at_rank_1"], "control_score": ["caught", "missed", "false_alarm", "correct_pass"],
+}
+
+
+def chunking(budget: int) -> str:
+    """Greedy windows without overlap, one unit (paragraph, or sentence of an overlong one) after the other."""
+    return """WITH RECURSIVE p0 AS (SELECT doc_id, text, list_filter(list_transform(string_split_regex(text, '\\n\\s*\\n'), lambda s: trim(s, ' ' || chr(10))), lambda s: s <> '') AS a,
+        list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s, ' ' || chr(10))), lambda s: s <> '') AS b, len(regexp_extract_all(text, '\\S+')) AS words FROM documents),
+      p AS (SELECT doc_id, CASE WHEN len(a) > 1 THEN a ELSE b END AS v, words FROM p0),
+      units AS (SELECT doc_id, i, w, big, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS u FROM (
+        SELECT doc_id, i, j, len(regexp_extract_all(s, '\\S+')) AS w, big FROM (
+          SELECT doc_id, i, big, unnest(range(1, len(ss) + 1)) AS j, unnest(ss) AS s FROM (
+            SELECT doc_id, i, len(regexp_extract_all(v[i], '\\S+')) > @ AS big, CASE WHEN len(regexp_extract_all(v[i], '\\S+')) > @ THEN string_split(regexp_replace(v[i], '([.;:])\\s+', concat('\\1', chr(30)), 'g'), chr(30)) ELSE [v[i]] END AS ss
+            FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM p WHERE words > @))))),
+      walk AS (
+        SELECT doc_id, u, i, big, w AS size, 1 AS part FROM units WHERE u = 1
+        UNION ALL
+        SELECT n.doc_id, n.u, n.i, n.big,
+          CASE WHEN (n.big OR k.big) AND n.i <> k.i OR k.size + n.w > @ THEN n.w ELSE k.size + n.w END,
+          CASE WHEN (n.big OR k.big) AND n.i <> k.i OR k.size + n.w > @ THEN k.part + 1 ELSE k.part END
+        FROM walk k JOIN units n ON n.doc_id = k.doc_id AND n.u = k.u + 1),
+      parts AS (SELECT doc_id, part, max(size) AS words FROM walk GROUP BY ALL)
+      SELECT doc_id || '::P#' || part AS chunk_id, doc_id::VARCHAR AS doc_id, part, max(part) OVER (PARTITION BY doc_id) AS parts, words FROM parts
+      UNION ALL SELECT doc_id || '::P', doc_id::VARCHAR, 0, 1, words FROM p WHERE words <= @""".replace("@", str(budget))
 
 
 def all_sql() -> dict[str, str]:
@@ -190,24 +212,8 @@ def all_sql() -> dict[str, str]:
       SELECT doc_id, n - 1 AS n, md5(v[n]) AS digest, length(v[n]) AS chars FROM (SELECT *, unnest(range(1, len(v) + 1)) AS n FROM c)"""
     q["sentence_split"] = f"""SELECT doc_id, len(string_split(regexp_replace(text, '([.;:])\\s+', concat('\\1', chr(30)), 'g'), chr(30))) AS clauses, len(s) AS sentences, md5(array_to_string(s, '|')) AS digest
       FROM (SELECT doc_id, text, {SENT.format('text')} AS s FROM documents)"""
-    q["chunk_sections"] = """WITH RECURSIVE p0 AS (SELECT doc_id, text, list_filter(list_transform(string_split_regex(text, '\\n\\s*\\n'), lambda s: trim(s, ' ' || chr(10))), lambda s: s <> '') AS a,
-        list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s, ' ' || chr(10))), lambda s: s <> '') AS b, len(regexp_extract_all(text, '\\S+')) AS words FROM documents),
-      p AS (SELECT doc_id, CASE WHEN len(a) > 1 THEN a ELSE b END AS v, words FROM p0),
-      units AS (SELECT doc_id, i, w, big, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS u FROM (
-        SELECT doc_id, i, j, len(regexp_extract_all(s, '\\S+')) AS w, big FROM (
-          SELECT doc_id, i, big, unnest(range(1, len(ss) + 1)) AS j, unnest(ss) AS s FROM (
-            SELECT doc_id, i, len(regexp_extract_all(v[i], '\\S+')) > 120 AS big, CASE WHEN len(regexp_extract_all(v[i], '\\S+')) > 120 THEN string_split(regexp_replace(v[i], '([.;:])\\s+', concat('\\1', chr(30)), 'g'), chr(30)) ELSE [v[i]] END AS ss
-            FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM p WHERE words > 120))))),
-      walk AS (
-        SELECT doc_id, u, i, big, w AS size, 1 AS part FROM units WHERE u = 1
-        UNION ALL
-        SELECT n.doc_id, n.u, n.i, n.big,
-          CASE WHEN (n.big OR k.big) AND n.i <> k.i OR k.size + n.w > 120 THEN n.w ELSE k.size + n.w END,
-          CASE WHEN (n.big OR k.big) AND n.i <> k.i OR k.size + n.w > 120 THEN k.part + 1 ELSE k.part END
-        FROM walk k JOIN units n ON n.doc_id = k.doc_id AND n.u = k.u + 1),
-      parts AS (SELECT doc_id, part, max(size) AS words FROM walk GROUP BY ALL)
-      SELECT doc_id || '::P#' || part AS chunk_id, doc_id::VARCHAR AS doc_id, part, max(part) OVER (PARTITION BY doc_id) AS parts, words FROM parts
-      UNION ALL SELECT doc_id || '::P', doc_id::VARCHAR, 0, 1, words FROM p WHERE words <= 120"""
+    q["chunk_sections"] = chunking(120)
+    q["config_grid"] = " UNION ALL ".join(f"SELECT {n}::BIGINT AS budget, count(*) AS chunks, count_if(part > 0) AS split FROM ({chunking(n)})" for n in (60, 120, 240))
     q["keyword_find"] = BASE + """x AS (SELECT ord, evidence_id, lower(text) AS low FROM secs WHERE contains(lower(text), 'the') AND contains(lower(text), 'and'))
       SELECT ord, evidence_id, (length(low) - length(replace(low, 'the', ''))) // 3 + (length(low) - length(replace(low, 'and', ''))) // 3 AS hits, trim(regexp_extract(low, '.{0,90}the.{0,110}')) AS snippet FROM x"""
     q["table_of_contents"] = BASE + "x AS (SELECT 1) SELECT doc_id, ord, section, length(text) AS chars FROM secs"
@@ -276,8 +282,8 @@ def all_sql() -> dict[str, str]:
     q["ceiling"] = BASE + """fd AS (SELECT DISTINCT query_id, evidence_id FROM lex JOIN chunks USING (idx) WHERE rank = 1),
       mi AS (SELECT query_id, evidence_id FROM labelled EXCEPT SELECT * FROM fd),
       walk AS (SELECT query_id, neighbour AS node, 1 AS hop FROM fd JOIN docnear ON node = evidence_id UNION SELECT w.query_id, n.neighbour, w.hop + 1 FROM walk w JOIN docnear n ON n.node = w.node WHERE w.hop < 3),
-      wm AS (SELECT query_id, node AS evidence_id, min(hop) AS at FROM walk GROUP BY ALL)
-      SELECT hop, count_if(at <= hop) AS reached, count(*) AS missed FROM mi LEFT JOIN wm USING (query_id, evidence_id), (SELECT unnest([1, 2, 3]) AS hop) GROUP BY hop"""
+      wm AS (SELECT query_id, node AS evidence_id, min(hop) AS met FROM walk GROUP BY ALL)
+      SELECT hop, count_if(met <= hop) AS reached, count(*) AS missed FROM mi LEFT JOIN wm USING (query_id, evidence_id), (SELECT unnest([1, 2, 3]) AS hop) GROUP BY hop"""
     expand = """exn AS (SELECT t.query_id, c.evidence_id AS source, t.score, t.rank FROM lex10 t JOIN chunks c USING (idx)),
       exl AS (SELECT e.query_id, n.neighbour AS target, arg_min(e.score, e.rank) AS score, min(e.rank) AS rank FROM exn e JOIN docnear n ON n.node = e.source
         ANTI JOIN exn p ON p.query_id = e.query_id AND p.source = n.neighbour GROUP BY ALL),
@@ -295,12 +301,6 @@ def all_sql() -> dict[str, str]:
       chk AS (SELECT query_id, len({content('quote')}) > 0 AND (contains(text, quote) OR len(list_intersect({content('quote')}, {content('text')})) >= least(4, len({content('quote')}))) AS ok FROM quotes JOIN last USING (query_id, evidence_id)),
       agg AS (SELECT query_id, count(*) AS c, count_if(ok) AS k FROM chk GROUP BY query_id)
       SELECT query_id, CASE WHEN abstained THEN 0 ELSE coalesce(c, 0) END AS citations, CASE WHEN abstained THEN 1.0 WHEN c IS NULL THEN 0.0 ELSE 1.0 END AS grounded, CASE WHEN abstained THEN 1.0 WHEN c IS NULL THEN 0.0 ELSE round(k / c, 6) END AS supported, abstained::INTEGER::DOUBLE AS abstained FROM dec LEFT JOIN agg USING (query_id)"""
-    strip = lambda x: f"trim({x}, ' ' || chr(10))"
-    told = "questions WHERE query_id % 5 <> 0"
-    q["claims_parse"] = BASE + f"""c AS (SELECT query_id, 0 AS n, length({strip('substr(query, 1, 40)')}) AS chars, '1' AS numbers FROM {told} UNION ALL
-      SELECT query_id, 1, length('. And ' || substr(query, 41, 40)) - length(substr(query, 41, 40)) - 1 + length(rtrim(substr(query, 41, 40), ' ' || chr(10))), '2,3' FROM {told} UNION ALL
-      SELECT query_id, 2, 6, '99' FROM {told} UNION ALL SELECT query_id, 3, 1, '4,5' FROM {told}) SELECT * FROM c"""
-    del q["claims_parse"]
     q["over_attribution"] = "SELECT item_id AS query_id, item_id % 5 <> 0 AS over FROM benchmark"
     q["obligation_drift"] = f"SELECT doc_id, c AS claim_force, s AS source_forces, {DRIFT} AS drift FROM (SELECT doc_id, {_force(1000003)} AS c, {_force(5)} AS s FROM documents)"
     q["obligation_fidelity"] = f"WITH d AS (SELECT {DRIFT} AS d FROM (SELECT {_force(1000003)} AS c, {_force(5)} AS s FROM documents)) SELECT count_if(d = 'preserved') AS preserved, count_if(d = 'strengthened') AS strengthened, count_if(d = 'weakened') AS weakened, count_if(d = 'no_force') AS no_force, round(count_if(d = 'preserved') / count_if(d <> 'no_force'), 6) AS fidelity FROM d"
@@ -341,4 +341,7 @@ def all_sql() -> dict[str, str]:
     q["demo_export"] = BASE + """g AS (SELECT query_id, evidence_id FROM labelled WHERE gain = 2), h AS (SELECT DISTINCT query_id, evidence_id FROM lex10 JOIN chunks USING (idx)), t AS (SELECT query_id, max(score) AS top FROM lex10 GROUP BY query_id)
       SELECT query_id, count(g.evidence_id) AS required, count(h.evidence_id) AS found, count(g.evidence_id) = count(h.evidence_id) AS complete, any_value(coalesce(top <= 60, true)) AS would_decline
       FROM questions LEFT JOIN t USING (query_id) LEFT JOIN g USING (query_id) LEFT JOIN h USING (query_id, evidence_id) GROUP BY query_id"""
+    # sums and conditional counts are wider than longs there
+    for name, columns in LONGS.items():
+        q[name] = f"SELECT * REPLACE ({', '.join(f'{c}::BIGINT AS {c}' for c in columns)}) FROM ({q[name]})"
     return q
