@@ -64,5 +64,17 @@ def with_rid(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return materialise(docs.withColumn("rid", F.monotonically_increasing_id()), "numbered")[0]
 
 
+def hash_sample(df: DataFrame, size: int, *keys: str, total: int | None = None) -> DataFrame:
+    """About `size` to twice as many rows, those whose keys hash below a bound; the same rows on each run. All, if there are fewer.
+
+    Only rows of the sample leave a task, however many tasks there are.
+    """
+    total = df.count() if total is None else total
+    if total <= size:
+        return df
+    bound = -(1 << 63) + int((1 << 64) * min(1.0, 1.5 * size / total)) - 1
+    return df.where(F.xxhash64(*keys) <= bound)
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)

@@ -15,7 +15,9 @@ the block's offset index and the unpacking of a single frame. The dictionary is
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
+import unicodedata
 import zlib
 
 import numpy as np
@@ -24,46 +26,94 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import hash_sample
+
 MAGIC = b"SVTK1\0"
 BLOCK_BYTES = 4_000_000
 #: Bounded sample that the dictionary is trained on, and the dictionary's size.
 SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 512, 65_536, 65_536
 LEVEL = 3
-KEPT_WORDS, LONGEST_WORD = 500_000, 64
-#: White space on which texts are cut: none of the tokenizer's words crosses it.
+KEPT_WORDS, LONGEST_WORD = 1_000_000, 64
 _ENTRY = struct.Struct("<qBQI")
 _HEAD = struct.Struct("<II")
 
 
+def _word_pattern() -> re.Pattern:
+    """The tokenizer's words, for lower-case text of characters up to U+017F."""
+    marks = {"L": "", "N": "", "W": ""}
+    for c in map(chr, range(0x180)):
+        kind = "W" if c.isspace() and not "\x1c" <= c <= "\x1f" else unicodedata.category(c)[0]
+        if kind in marks:
+            marks[kind] += re.escape(c)
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{marks['L']}]+|[{marks['N']}]|[^{marks['W'] + marks['L'] + marks['N']}]+")
+
+
+def _byte_characters() -> list[str]:
+    """The character that stands for each byte in byte-level models: itself if it is printable, else the next one from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+
+
 class WordEncoder:
-    """Ids of whole texts by a tokenizer whose words never cross white space; each word is encoded once."""
+    """Ids of whole texts by a lower-casing tokenizer whose words never cross white space; each word is encoded once.
+
+    Texts of characters up to U+017F are cut into the tokenizer's own words. Any other text, and text that may hold a
+    special token, is cut at ASCII white space only and those pieces go through the whole tokenizer.
+    """
+
+    _ODD = re.compile("[^\x00-\u012f\u0131-\u017f]")
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kept: dict[bytes, bytes] = {}
+        self.words = _word_pattern()
+        self.shown = _byte_characters()
+        self.kept: dict[str, bytes] = {}
+        self.pieces: dict[bytes, bytes] = {}
         self.end = np.array([end_id], "<u4").tobytes()
 
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+    def _learn(self, missing: list[str]) -> None:
+        """Encode words that stand alone: the library's byte-level pre-tokenizer and model, without the rest."""
+        tokenize, kept, shown = self.tokenizer.model.tokenize, self.kept, self.shown
+        for w in missing:
+            seen = w if w.isascii() and w.isprintable() else "".join(map(shown.__getitem__, w.encode()))
+            kept[w] = np.array([t.id for t in tokenize(seen)], "<u4").tobytes()
 
-    def encode(self, text: str | None) -> bytes:
-        words = (text or "").encode().split()
-        kept = self.kept
+    def _plain(self, text: str) -> bytes:
+        words, kept = self.words.findall(text.lower()), self.kept
         missing = [w for w in set(words) if w not in kept]
         if missing:
             if len(kept) > KEPT_WORDS:
                 kept.clear()
                 missing = list(set(words))
-            kept.update(zip(missing, self._encode(missing)))
-        out = b"".join(map(kept.__getitem__, words)) + self.end
+            self._learn(missing)
+        out = b"".join(map(kept.__getitem__, words))
         for w in missing:
             if len(w) > LONGEST_WORD:
                 del kept[w]
         return out
 
+    def _other(self, text: str) -> bytes:
+        words, kept = text.encode().split(), self.pieces
+        missing = [w for w in set(words) if w not in kept]
+        if missing:
+            if len(kept) > KEPT_WORDS // 4:
+                kept.clear()
+                missing = list(set(words))
+            found = self.tokenizer.encode_batch([w.decode() for w in missing], add_special_tokens=False)
+            kept.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(missing, found))
+        out = b"".join(map(kept.__getitem__, words))
+        for w in missing:
+            if len(w) > LONGEST_WORD:
+                del kept[w]
+        return out
+
+    def encode(self, text: str | None) -> bytes:
+        text = text or ""
+        return (self._other(text) if "<|" in text or self._ODD.search(text) else self._plain(text)) + self.end
+
 
 _ENCODERS: dict[tuple[str, int], WordEncoder] = {}
 
@@ -75,9 +125,9 @@ def encoder(path: str, end_id: int) -> WordEncoder:
 
 
 def train_dictionary(docs: DataFrame, path: str, end_id: int) -> bytes:
-    """A zstandard dictionary trained on the id arrays of a bounded sample (the documents of the smallest hashes)."""
-    sample = docs.where(F.octet_length("text") <= SAMPLE_BYTES).select("text").orderBy(F.xxhash64("text"), "text").limit(SAMPLE_DOCS).collect()
-    arrays = [encoder(path, end_id).encode(r.text) for r in sample]
+    """A zstandard dictionary trained on the id arrays of a bounded sample of the shorter documents."""
+    sample = hash_sample(docs, SAMPLE_DOCS, "doc_id").where(F.octet_length("text") <= SAMPLE_BYTES).select("text").limit(2 * SAMPLE_DOCS).collect()
+    arrays = [encoder(path, end_id).encode(t) for t in sorted(r.text for r in sample)]
     try:
         return zstandard.train_dictionary(DICT_BYTES, arrays).as_bytes() if len(arrays) >= 8 else b""
     except zstandard.ZstdError:  # too little to learn from
