@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import hash_sample, materialise
 
 TREES, LEAF, SAMPLE, SEED = 12, 24, 16_384, 7
 #: Vectors that a search's leaves hold, at least, and the share of the index, at least.
@@ -131,7 +131,7 @@ def neighbours(vectors: DataFrame, every: int = 100, k: int = K, trees: int = TR
     # the k + 1 smallest ids of each distinct vector
     order = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     kept, _ = materialise(rows.withColumn("n", order).where(F.col("n") <= k + 1).drop("n"), "vectors")
-    sample = [r.v for r in kept.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toLocalIterator()]
+    sample = [r.v for r in sorted(hash_sample(kept, SAMPLE, "vec_id").limit(2 * SAMPLE).collect(), key=lambda r: (r.vec_id, r.v))]
     forest = spark.sparkContext.broadcast(Forest(np.array(sample), trees))
 
     def file(batches):
