@@ -22,6 +22,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType
 
 BLANK = "▁"
 KEPT, LONGEST = 500_000, 64
@@ -197,7 +198,7 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False, text: str = "text
     """docs with a text column -> its other columns, n_pieces, ids_crc32, decodes (the ids give the text back), and ids if asked for."""
     others = [c for c in docs.columns if c not in (text, "n_pieces", "ids_crc32", "decodes", "ids")]
     schema = docs.select(*others).schema.add("n_pieces", "long").add("ids_crc32", "long").add("decodes", "boolean")
-    schema = schema.add("ids", "array<int>") if with_ids else schema
+    schema = schema.add("ids", ArrayType(IntegerType())) if with_ids else schema
 
     def run(batches):
         e = encoder(path)
