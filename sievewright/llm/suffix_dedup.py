@@ -312,16 +312,21 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, hot: int = HOT) -> DataF
     gram = max(1, GRAM * least // LEAST)
     one = F.count(F.lit(1)).alias("n")
     scan = docs.mapInArrow(_scan(least, gram), "rid long, at int, gram long, around long, start int, end int").select("rid", "at", "gram", "around", "start", "end")
+    # counts are tables of their own, so that the joins below meet plain exchanges and a crowded key can be split
     seen = scan.groupBy("gram").agg(one, F.min("around").alias("low"), F.max("around").alias("high")).where("n > 1")
-    found, _ = materialise(scan.join(seen.select("gram", (F.col("low") == F.col("high")).alias("alike")).hint("shuffle_hash"), "gram"), "anchors")
+    seen, seen_path = materialise(seen.select("gram", (F.col("low") == F.col("high")).alias("alike")), "grams")
+    release(spark)
+    found, _ = materialise(scan.join(seen.hint("shuffle_hash"), "gram"), "anchors")
+    discard(spark, seen_path)
     release(spark)
     # surroundings seen twice lie in repeats; of each kind of surroundings one place goes on
     mixed = found.where("not alike")
-    kinds = mixed.groupBy("gram", "around").agg(one, F.min(F.struct("rid", "at")).alias("first"))
-    crowd = kinds.groupBy("gram").agg((F.count(F.lit(1)) > hot).alias("hot"))
+    kinds, kinds_path = materialise(mixed.groupBy("gram", "around").agg(one, F.min(F.struct("rid", "at")).alias("first")), "kinds")
+    crowd, _ = materialise(kinds.groupBy("gram").agg((F.count(F.lit(1)) > hot).alias("hot")), "crowd")
     placed = mixed.join(kinds.hint("shuffle_hash"), ["gram", "around"])
     first = (F.col("rid") == F.col("first.rid")) & (F.col("at") == F.col("first.at"))
     places, _ = materialise(placed.select("rid", "at", "gram", "start", "end", (F.col("n") > 1).alias("alike"), first.alias("first")), "places")
+    discard(spark, kinds_path)
     release(spark)
     sent = places.where("first").join(crowd.hint("shuffle_hash"), "gram").groupBy("rid").agg(F.collect_list(F.struct("gram", "start", "end", (F.col("at") - F.col("start")).alias("lead"), "hot")).alias("places"))
     pieces, pieces_path = materialise(docs.join(sent.hint("shuffle_hash"), "rid").select("rid", "text", "places").mapInArrow(_cut, "gram long, rid long, start int, lead int, piece binary, hot boolean"), "pieces")
