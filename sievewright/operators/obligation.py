@@ -21,17 +21,25 @@ def strongest(passage: Column) -> Column:
     return F.element_at(forces(passage), 1)
 
 
-def drift(claim: Column, source: Column) -> Column:
-    """preserved, strengthened, weakened, or no_force where the claim states none."""
+def drift_of(claim: Column, source: Column) -> Column:
+    """preserved, strengthened, weakened, or no_force where the claim states none; both are arrays of forces.
+
+    Make the arrays columns of their own first: then each text is searched once.
+    """
     order = F.array(*map(F.lit, lists.FORCE_ORDER))
-    stated = strongest(claim)
-    stronger = F.array_position(order, stated) < F.array_position(order, strongest(source))
-    return F.when(stated == "none", "no_force").when(F.array_contains(forces(source), stated), "preserved").when(stronger, "strengthened").otherwise("weakened")
+    stated = F.element_at(claim, 1)
+    stronger = F.array_position(order, stated) < F.array_position(order, F.element_at(source, 1))
+    return F.when(stated == "none", "no_force").when(F.array_contains(source, stated), "preserved").when(stronger, "strengthened").otherwise("weakened")
+
+
+def drift(claim: Column, source: Column) -> Column:
+    """drift_of for two texts."""
+    return drift_of(forces(claim), forces(source))
 
 
 def fidelity(pairs: DataFrame) -> DataFrame:
     """pairs (claim, source), blank ones left out -> counts of each drift and the preserved share of those with a force (1 if none)."""
-    kept = pairs.where("trim(claim) <> '' and trim(source) <> ''").select(drift(F.col("claim"), F.col("source")).alias("d"))
+    kept = pairs.where("trim(claim) <> '' and trim(source) <> ''").select(forces(F.col("claim")).alias("c"), forces(F.col("source")).alias("s")).select(drift_of(F.col("c"), F.col("s")).alias("d"))
     count = {k: F.count_if(F.col("d") == k) for k in ("preserved", "strengthened", "weakened", "no_force")}
     forced = count["preserved"] + count["strengthened"] + count["weakened"]
     return kept.agg(*(c.alias(k) for k, c in count.items()), F.when(forced == 0, 1.0).otherwise(count["preserved"] / forced).alias("fidelity"))

@@ -501,7 +501,8 @@ def _modal(shift):
 @query
 def obligation_drift(spark, sf):
     d = C.table(spark, sf, "documents").select("doc_id", _modal(1000003).alias("claim"), F.concat(_modal(5), F.lit(". "), F.col("text")).alias("source"))
-    return out(d.select("doc_id", obligation.strongest(F.col("claim")).alias("claim_force"), F.array_join(obligation.forces(F.col("source")), ",").alias("source_forces"), obligation.drift(F.col("claim"), F.col("source")).alias("drift")))
+    d = d.select("doc_id", obligation.forces(F.col("claim")).alias("c"), obligation.forces(F.col("source")).alias("s"))
+    return out(d.select("doc_id", F.element_at("c", 1).alias("claim_force"), F.array_join("s", ",").alias("source_forces"), obligation.drift_of(F.col("c"), F.col("s")).alias("drift")))
 
 
 @query
