@@ -1,14 +1,16 @@
 """Approximate nearest neighbours: a forest of random-projection trees, searched best first, reranked exactly.
 
-Trees are fitted on a bounded sample (SAMPLE vectors of the smallest hashes) and kept as arrays, so they are small
-whatever the table's size; every vector is then filed in a leaf of every tree. A search puts the roots of all trees
-in one priority queue ordered by the worst margin met on the way, and takes leaves off it until the leaves taken
-hold `visit` vectors or a share `part` of the index, whichever is more (sizes of leaves are counted over all vectors). The
-candidates of those leaves are reranked by Euclidean distance in double precision on the original vectors.
+Trees are fitted on a bounded sample (SAMPLE to twice as many vectors, taken by hash) and kept as arrays, so they are
+small whatever the table's size; every vector is then filed in a leaf of every tree. A search puts the roots of all
+trees in one priority queue ordered by the summed squared margins of the planes crossed, and takes leaves off it until
+the leaves taken hold enough vectors. How many are enough is measured, not set: CALIBRATE queries are answered by brute
+force, and the budget is what finds RECALL of their true neighbours (vectors without any structure need a large part of
+the table, clustered ones little). The candidates of the leaves taken are reranked by Euclidean distance in double
+precision on the original vectors.
 
-Equal vectors are one class: only its k + 1 smallest ids can be among k neighbours, so a vector that a third of the
-rows share is filed k + 1 times. Queries are classed in the same way. Leaves are dealt out in salted parts of bounded
-size, and each part returns its k + 1 best for each query.
+Queries and vectors meet in packed blocks of bounded size, and each pair of blocks returns the k + 1 best of each
+query. Equal vectors are one class: only its k + 1 smallest ids can be among k neighbours, so a vector that a third of
+the rows share is filed k + 1 times. Queries are classed in the same way.
 
 Null, empty, zero and non-finite vectors take no part, nor do vectors of another length than the most common one.
 """
@@ -18,7 +20,6 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,10 +27,10 @@ from pyspark.sql import functions as F
 from .common import hash_sample, materialise
 
 TREES, LEAF, SAMPLE, SEED = 12, 24, 16_384, 7
-#: Vectors that a search's leaves hold, at least, and the share of the index, at least.
-VISIT, PART = 2_000, 0.05
-#: Vectors of one leaf that one task gets at a time.
-SALT = 4_096
+#: Queries answered by brute force to set the budget, the share of their neighbours it must find, and the least budget.
+CALIBRATE, RECALL, VISIT = 64, 0.96, 500
+#: Vectors and queries in a block.
+BLOCK, QUERY_BLOCK = 4_096, 256
 K = 10
 
 
@@ -92,11 +93,11 @@ class Forest:
         heapq.heapify(queue)
         found, held = [], 0
         while queue and held < enough:
-            worst, t, at = heapq.heappop(queue)
+            crossed, t, at = heapq.heappop(queue)
             while at >= 0:
                 margin = project[t][at]
                 right = int(margin > 0)
-                heapq.heappush(queue, (max(worst, abs(margin)), t, int(self.trees[t][3][at, 1 - right])))
+                heapq.heappush(queue, (crossed + margin * margin, t, int(self.trees[t][3][at, 1 - right])))
                 at = int(self.trees[t][3][at, right])
             found.append((t, -1 - at))
             held += sizes[t][-1 - at]
@@ -116,7 +117,107 @@ def _matrix(column) -> np.ndarray:
     return values.reshape(len(column), -1)
 
 
-def neighbours(vectors: DataFrame, every: int = 100, k: int = K, trees: int = TREES, visit: int = VISIT, part: float = PART) -> DataFrame:
+_BLOCKS = "ids array<long>, v array<double>, leaves binary"
+_QUERIES = "query array<long>, q array<double>, wanted binary"
+_FOUND = "query long, vec_id long, score double"
+
+
+def _slices(batches, size):
+    for batch in batches:
+        for at in range(0, batch.num_rows, size):
+            yield batch.slice(at, size)
+
+
+def _blocks(forest):
+    """Vectors packed with the leaf of each tree, numbered through all trees."""
+
+    def pack(batches):
+        f = forest.value
+        base = np.cumsum([0] + [tree[4] for tree in f.trees])
+        for part in _slices(batches, BLOCK):
+            m = _matrix(part.column("v"))
+            leaves = np.stack([f.file(m, t) + base[t] for t in range(len(f.trees))], axis=1).astype("<i4")
+            yield pa.RecordBatch.from_arrays([pa.array([part.column("vec_id").to_pylist()], pa.list_(pa.int64())), pa.array([m.ravel()], pa.list_(pa.float64())), pa.array([leaves.tobytes()], pa.binary())], names=["ids", "v", "leaves"])
+
+    return pack
+
+
+def _searches(forest, sizes, enough: float):
+    """Queries packed with the set of leaves that their search takes; no set is all leaves."""
+
+    def pack(batches):
+        f, held = forest.value, sizes.value
+        base = np.cumsum([0] + [tree[4] for tree in f.trees])
+        for part in _slices(batches, QUERY_BLOCK):
+            m = _matrix(part.column("v"))
+            sets = b""
+            if enough < np.inf:
+                wanted = np.zeros((len(m), base[-1]), bool)
+                for row, v in zip(wanted, m):
+                    row[[base[t] + leaf for t, leaf in f.search(v, held, enough)]] = True
+                sets = np.packbits(wanted, axis=1).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([part.column("query").to_pylist()], pa.list_(pa.int64())), pa.array([m.ravel()], pa.list_(pa.float64())), pa.array([sets], pa.binary())], names=["query", "q", "wanted"])
+
+    return pack
+
+
+def _rerank(k: int):
+    """Each pair of a block of vectors and one of queries -> the k + 1 nearest candidates of each query in it."""
+
+    def run(batches):
+        for pair in _slices(batches, 1):
+            ids = pair.column("ids")[0].values.to_numpy(zero_copy_only=False)
+            v = pair.column("v")[0].values.to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+            queries = pair.column("query")[0].values.to_numpy(zero_copy_only=False)
+            q = pair.column("q")[0].values.to_numpy(zero_copy_only=False).reshape(len(queries), -1)
+            leaves = np.frombuffer(pair.column("leaves")[0].as_py(), "<i4").reshape(len(ids), -1)
+            wanted = pair.column("wanted")[0].as_py()
+            sets = np.unpackbits(np.frombuffer(wanted, np.uint8).reshape(len(queries), -1), axis=1).view(bool) if wanted else None
+            out: list[list] = [[], [], []]
+            for i, x in enumerate(q):
+                at = np.arange(len(ids)) if sets is None else np.flatnonzero(sets[i][leaves].any(axis=1))
+                score = np.sqrt(np.square(v[at] - x).sum(axis=1))
+                if len(at) > k + 1:
+                    near = np.flatnonzero(score <= np.partition(score, k)[k])
+                    at, score = at[near], score[near]
+                best = np.lexsort((ids[at], score))[: k + 1]
+                out[0].append(np.full(len(best), queries[i]))
+                out[1].append(ids[at[best]])
+                out[2].append(score[best])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["query", "vec_id", "score"])
+
+    return run
+
+
+def _meet(blocks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The stated queries against all vectors, block by block."""
+    near = blocks.crossJoin(queries).mapInArrow(_rerank(k), _FOUND)
+    return near.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))).where(F.col("n") <= k + 1)
+
+
+def _budget(forest: Forest, sizes, kept: DataFrame, blocks: DataFrame, classes: DataFrame, packer, k: int, recall: float) -> float:
+    """Vectors that leaves must hold to find the share `recall` of the neighbours of some queries, known from brute force."""
+    some = hash_sample(classes, CALIBRATE, "query").limit(2 * CALIBRATE)
+    asked = {r.query: np.array(r.v) for r in some.collect()}
+    truth = _meet(blocks, some.coalesce(1).mapInArrow(packer, _QUERIES), k).join(kept, "vec_id").select("query", "vec_id", "v").collect()
+    held_at = []
+    for query, x in asked.items():
+        near = np.array([r.v for r in truth if r["query"] == query and r.vec_id != query][:k])
+        if not len(near):
+            continue
+        homes = np.stack([forest.file(near, t) for t in range(len(forest.trees))], axis=1)
+        held, missing = 0, np.ones(len(near), bool)
+        for t, leaf in forest.search(x, sizes, np.inf):
+            held += int(sizes[t][leaf])
+            new = missing & (homes[:, t] == leaf)
+            held_at += [held] * int(new.sum())
+            missing &= ~new
+            if not missing.any():
+                break
+    return float(np.quantile(held_at, recall)) if held_at else np.inf
+
+
+def neighbours(vectors: DataFrame, every: int = 100, k: int = K, trees: int = TREES, visit: float = VISIT, recall: float = RECALL) -> DataFrame:
     """vectors (vec_id, embedding) -> query_id, rank, vec_id, score for queries, the rows whose vec_id `every` divides.
 
     Repeated ids are rows of their own; a query's own id is never its neighbour.
@@ -124,76 +225,35 @@ def neighbours(vectors: DataFrame, every: int = 100, k: int = K, trees: int = TR
     spark = vectors.sparkSession
     rows = usable(vectors)
     common = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
-    empty = "query_id long, rank int, vec_id long, score double"
     if common is None:
-        return spark.createDataFrame([], empty)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("v") == common.d)
     # the k + 1 smallest ids of each distinct vector
     order = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     kept, _ = materialise(rows.withColumn("n", order).where(F.col("n") <= k + 1).drop("n"), "vectors")
     sample = [r.v for r in sorted(hash_sample(kept, SAMPLE, "vec_id").limit(2 * SAMPLE).collect(), key=lambda r: (r.vec_id, r.v))]
-    forest = spark.sparkContext.broadcast(Forest(np.array(sample), trees))
+    forest = Forest(np.array(sample), trees)
+    shared = spark.sparkContext.broadcast(forest)
+    blocks, _ = materialise(kept.mapInArrow(_blocks(shared), _BLOCKS), "blocks")
 
-    def file(batches):
+    def count(batches):
+        total = np.zeros(sum(tree[4] for tree in shared.value.trees), np.int64)
         for batch in batches:
-            if batch.num_rows:
-                m = _matrix(batch.column("v"))
-                for t in range(trees):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), t, np.int32)), pa.array(forest.value.file(m, t).astype(np.int32)), batch.column("vec_id").cast(pa.int64()), batch.column("v").cast(pa.list_(pa.float64()))], names=["tree", "leaf", "vec_id", "v"])
+            for leaves in batch.column("leaves"):
+                total += np.bincount(np.frombuffer(leaves.as_py(), "<i4"), minlength=len(total))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["leaf", "n"])
 
-    filed = kept.mapInArrow(file, "tree int, leaf int, vec_id long, v array<double>")
     # leaves are as many as the sample allows
-    counts = filed.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("n")).collect()
-    sizes = [np.zeros(tree[4], np.int64) for tree in forest.value.trees]
-    for r in counts:
-        sizes[r.tree][r.leaf] = r.n
-    total = int(sizes[0].sum())
-    share = spark.sparkContext.broadcast(sizes)
-    enough = max(visit, part * total) * 1.0
+    counts = {r.leaf: r.n for r in blocks.select("leaves").mapInArrow(count, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect()}
+    base = np.cumsum([0] + [tree[4] for tree in forest.trees])
+    sizes = [np.array([counts.get(i, 0) for i in range(base[t], base[t + 1])], np.int64) for t in range(trees)]
+    held = spark.sparkContext.broadcast(sizes)
 
     # a query for each distinct vector among the query rows
     asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
     classes, _ = materialise(asked.groupBy("v").agg(F.min("vec_id").alias("query")), "queries")
-
-    def probe(batches):
-        for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for query, v in zip(batch.column("query").to_pylist(), batch.column("v").to_pylist()):
-                for t, leaf in forest.value.search(np.array(v), share.value, enough):
-                    for salt in range(-(-int(share.value[t][leaf]) // SALT)):
-                        for c, x in zip(out, (t, leaf, salt, query, v)):
-                            c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64())))], names=["tree", "leaf", "salt", "query", "v"])
-
-    probes = classes.mapInArrow(probe, "tree int, leaf int, salt int, query long, v array<double>")
-    parts = {(r.tree, r.leaf): -(-r.n // SALT) for r in counts if r.n > SALT}
-    salt = F.lit(0)
-    if parts:
-        crowded = spark.createDataFrame([(*key, n) for key, n in parts.items()], "tree int, leaf int, parts int")
-        filed = filed.join(F.broadcast(crowded), ["tree", "leaf"], "left")
-        salt = F.pmod(F.xxhash64("vec_id"), F.coalesce("parts", F.lit(1))).cast("int")
-    filed = filed.withColumn("salt", salt.cast("int")).select("tree", "leaf", "salt", "vec_id", "v")
-
-    def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query": [], "vec_id": [], "score": []})
-        base, ids = np.stack(right["v"].to_numpy()), right["vec_id"].to_numpy()
-        out = []
-        for query, v in zip(left["query"], left["v"]):
-            score = np.sqrt(np.square(base - v).sum(axis=1))
-            if len(ids) > 4 * (k + 1):
-                edge = np.partition(score, k)[k]
-                near = np.flatnonzero(score <= edge)
-            else:
-                near = np.arange(len(ids))
-            best = near[np.lexsort((ids[near], score[near]))][: k + 1]
-            out.append(pd.DataFrame({"query": query, "vec_id": ids[best], "score": score[best]}))
-        return pd.concat(out)
-
-    key = ["tree", "leaf", "salt"]
-    near = probes.groupBy(*key).cogroup(filed.groupBy(*key)).applyInPandas(rank, "query long, vec_id long, score double")
-    near = near.dropDuplicates(["query", "vec_id"])
-    best = near.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))).where(F.col("n") <= k + 1)
+    enough = max(float(visit), _budget(forest, sizes, kept, blocks, classes, _searches(shared, held, np.inf), k, recall))
+    best = _meet(blocks, classes.mapInArrow(_searches(shared, held, enough), _QUERIES), k)
     of_class = asked.join(classes, "v").select("query", F.col("vec_id").alias("query_id"))
     found = of_class.join(best, "query").where("query_id <> vec_id")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
