@@ -10,11 +10,17 @@ exactly through their one-bit neighbours instead: two fingerprints differ in at
 common value among themselves and their one-bit neighbours, and at most 65 fingerprints have any one such value.
 
 Null or empty text has fingerprint zero and is linked like any other.
+
+`jaccard_components` joins texts whose sets of shingles have a Jaccard similarity of at least a bound. Two texts at 0.8 lie
+some ten bits apart, where byte positions tell little, so candidates come from an inverted index of shingles: of
+sets of n, each lists its n - ceil(bound * n) + 1 shingles of the smallest hashes, and sets within the bound share
+one of those. Candidates are kept if their sizes and fingerprints allow the bound, and verified on the whole sets.
 """
 
 from __future__ import annotations
 
 from itertools import accumulate, combinations
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +35,12 @@ WORDS = 3
 SEED = 42
 BITS = 2
 LIST = 32
+#: Shingle width, Jaccard similarity and radius of near copies. Sets at 0.8 lie about 10 bits apart (deviation 3).
+NEAR_WORDS = 5
+NEAR = 0.8
+NEAR_BITS = 24
+#: Members of a list of more than LIST sets meet in groups of about so many, dealt by hash anew in each list.
+MEET = 4
 
 
 def shingle_hashes(text: str | None, words: int = WORDS, seed: int = SEED) -> list[int]:
@@ -106,3 +118,76 @@ def simhash_components(docs: DataFrame, words: int = WORDS, seed: int = SEED) ->
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return marks.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _shingle_set(text: str | None, words: int, seed: int) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, words, seed), np.uint64))
+
+
+def _sets(words: int, seed: int, least: float):
+    """doc_id, text -> doc_id, fp, a digest of the set in two longs, its size, and the hashes it is listed under."""
+
+    def run(batches):
+        for batch in batches:
+            new: list[list] = [[], [], [], [], []]
+            for t in batch.column("text"):
+                hashes = shingle_hashes(t.as_py(), words, seed)
+                s = np.unique(np.array(hashes, np.uint64))
+                digest = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8")
+                n = len(s)
+                for c, v in zip(new, (fingerprint(hashes), digest[0], digest[1], n, s[: n - ceil(least * n - 1e-9) + 1].view(np.int64) if n else ())):
+                    c.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(c, k) for c, k in zip(new, kinds))], names=["doc_id", "fp", "d0", "d1", "size", "listed"])
+
+    return run
+
+
+def _verified(words: int, seed: int, least: float):
+    def run(batches):
+        for batch in batches:
+            last, kept = (None, None), []
+            for a, b, t, u in zip(*(batch.column(c) for c in ("a", "b", "text_a", "text_b"))):
+                if last[0] != a:
+                    last = (a, _shingle_set(t.as_py(), words, seed))
+                s, o = last[1], _shingle_set(u.as_py(), words, seed)
+                both = len(np.intersect1d(s, o, assume_unique=True))
+                kept.append(both >= least * (len(s) + len(o) - both) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    return run
+
+
+def jaccard_candidates(sets: DataFrame, least: float, bits: int, most: int = LIST, meet: int = MEET) -> DataFrame:
+    """sets (id, fp, size, listed) of distinct sets -> (a, b), a < b, pairs that share a listed shingle and may be within the bound.
+
+    All pairs of a list of at most `most` sets. In a longer list a set meets those of its group only: near copies
+    by the hundred share many lists, are dealt anew in each, and so are joined by chains of pairs.
+    """
+    postings = sets.select("id", "fp", "size", F.explode("listed").alias("h"))
+    counts = postings.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    group = F.when(F.col("n") <= most, 0).otherwise(F.pmod(F.xxhash64("h", "id"), F.ceil(F.col("n") / meet).cast("long")))
+    shared, _ = materialise(postings.join(counts, "h").select("h", group.alias("g"), "id", "fp", "size"), "shared")
+    a, b = (shared.select("h", "g", F.col("id").alias(x), F.col("fp").alias(f"fp_{x}"), F.col("size").alias(f"size_{x}")) for x in "ab")
+    pairs = a.join(b, ["h", "g"]).where("a < b").where(F.least("size_a", "size_b") >= F.lit(least) * F.greatest("size_a", "size_b") - F.lit(1e-9))
+    return pairs.where(F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= bits).select("a", "b").distinct()
+
+
+def jaccard_components(docs: DataFrame, words: int = NEAR_WORDS, least: float = NEAR, bits: int = NEAR_BITS, seed: int = SEED, most: int = LIST, meet: int = MEET) -> DataFrame:
+    """docs (doc_id long, unique and never null, text string) -> doc_id, component_id (smallest doc_id reachable).
+
+    Texts are linked if the Jaccard similarity of their sets of word shingles is at least `least`; empty sets are equal.
+    """
+    spark = docs.sparkSession
+    marks, _ = materialise(docs.select("doc_id", "text").mapInArrow(_sets(words, seed, least), "doc_id long, fp long, d0 long, d1 long, size int, listed array<long>"), "sets")
+    release(spark)
+    classes, _ = materialise(marks.groupBy("d0", "d1").agg(F.min("doc_id").alias("id")), "classes")
+    sets = marks.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "id")
+    pairs, _ = materialise(jaccard_candidates(sets, least, bits, most, meet), "candidates")
+    texts = docs.join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    texts, _ = materialise(texts, "texts")
+    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    roots, _ = materialise(connected_components(both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(words, seed, least), "a long, b long")), "roots")
+    # the root of a component is its least class, and a class is its least doc_id
+    named = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("d0", "d1", F.coalesce("root", "id").alias("component_id"))
+    return marks.select("doc_id", "d0", "d1").join(named, ["d0", "d1"]).select("doc_id", "component_id")

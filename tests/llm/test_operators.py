@@ -71,6 +71,39 @@ def test_simhash(spark, docs, texts):
     assert simhash.simhash_components(empty(spark)).count() == 0
 
 
+def five(text):
+    w = (text or "").lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def alike(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_near_copies_from_similarity_0_8(spark):
+    rng, made = random.Random(5), []
+    for t in prose(6, 25, 120):
+        made += [t, None, "", t]
+        for edits in (1, 2, 3, 5):
+            w = t.split()
+            for _ in range(edits):
+                w[rng.randrange(len(w))] = "edit%d" % rng.randrange(9)
+            made.append(" ".join(w))
+    sets = [five(t) for t in made]
+    want = reach(len(made), lambda a, b: alike(sets[a], sets[b]) >= 0.8)
+    near = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(4)
+    got = dict(map(tuple, simhash.jaccard_components(near).collect()))
+    assert [got[i] for i in range(len(made))] == want
+
+
+def test_pipeline_drops_near_copies(spark, tmp_path):
+    import corpus_pipeline
+
+    t = " ".join("w%d" % i for i in range(200))
+    docs = spark.createDataFrame([(1, t), (2, t.replace("w50 ", "x ").replace("w120 ", "y ")), (3, t.replace("w", "v"))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.simhash_dedup(spark, docs, "").collect()) == [1, 3]
+
+
 @pytest.mark.parametrize("most", [2, 32])
 def test_simhash_links_of_a_cloud(spark, most):
     """A cloud of near fingerprints, with and without lists that are too long to pair."""
