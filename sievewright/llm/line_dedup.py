@@ -2,7 +2,7 @@
 
 Units (lines, or paragraphs parted by blank lines) are normalised and digested; of each digest the unit of the
 earliest rank (smallest doc_id, then place in the document) stays and the others are removed, with their offsets in
-the original text kept. Units of fewer than `least_words` words stay: short lines repeat by chance.
+the original text kept. Units of fewer than `least_words` words stay; with NO_FLOOR all but blank ones take part.
 
 Null text is a document without units; blank units stay; a null doc_id ranks first. Everything is DataFrame
 functions. A digest that stands in a third of the documents is reduced by partial minima, and its join can be split.
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .common import with_rid
 
 LEAST_WORDS = 8
+NO_FLOOR = 1
 #: What ends a unit; it belongs to the unit before it, so that units put together give the text again.
 UNITS = {"line": r"(?<=\n)", "paragraph": r"(?<=\n[ \t\r]{0,9}\n)"}
 
@@ -30,7 +31,7 @@ def line_dedup(docs: DataFrame, least_words: int = LEAST_WORDS, unit: str = "lin
     docs = with_rid(docs.select("doc_id", "text"))
     parts = F.split(F.coalesce("text", F.lit("")), UNITS[unit], -1)
     lines = docs.select("rid", "doc_id", F.posexplode(parts).alias("n", "unit")).withColumn("clean", normalised("unit"))
-    lines = lines.where(F.size(F.split("clean", " ")) >= least_words).select("rid", "doc_id", "n", F.unhex(F.md5("clean")).alias("digest"))
+    lines = lines.where(F.col("clean") != "").where(F.size(F.split("clean", " ")) >= least_words).select("rid", "doc_id", "n", F.unhex(F.md5("clean")).alias("digest"))
     rank = F.struct("doc_id", "rid", "n")
     firsts = lines.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("digest", "first")
     gone = lines.join(firsts, "digest").where(rank != F.col("first")).groupBy("rid").agg(F.collect_set("n").alias("gone"))

@@ -44,7 +44,7 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    out = line_dedup.line_dedup(table(spark, sf_dir, "documents"), line_dedup.NO_FLOOR)
     spans = F.array_join(F.transform("removed", lambda r: F.concat_ws("+", r["start"].cast("string"), r["length"].cast("string"))), ",")
     return out.select("doc_id", "n_units", "n_removed", spans.alias("removed_spans"), F.sha2("kept_text", 256).alias("kept_sha256"))
 

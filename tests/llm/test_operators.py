@@ -217,6 +217,19 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(empty(spark)).count() == 0
 
 
+def test_line_dedup_takes_short_lines(spark):
+    rows = [(1, "all rights reserved.\nfirst"), (2, "  All  rights reserved. \n\nsecond\n\n"), (3, "second")]
+    got = {r.doc_id: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), line_dedup.NO_FLOOR).collect()}
+    assert [got[i].n_removed for i in (1, 2, 3)] == [0, 1, 1]
+    assert [got[i].kept_text for i in (1, 2, 3)] == [rows[0][1], "\nsecond\n\n", ""]
+
+
+def test_line_dedup_query_has_no_word_floor(spark, tmp_path):
+    rows = [(1, "mit license"), (2, "mit license\nother")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.n_removed for r in queries.op7_line_dedup(spark, str(tmp_path)).collect()} == {1: 0, 2: 1}
+
+
 def test_pieces_are_the_library_s(spark, docs, texts):
     import sentencepiece
 
