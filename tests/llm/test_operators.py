@@ -334,3 +334,12 @@ def test_pipeline_keeps_columns(spark, docs, tmp_path):
     assert d.where("not decodes").count() == 0
     kept = {r.doc_id for r in spark.read.parquet(f"{tmp_path}/simhash_dedup").collect()}
     assert 0 in kept and not kept & {60, 61, 62, 63, 64}
+
+
+def test_pipeline_returns_piece_ids(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "a", "some text of words"), (2, "b", "")], "doc_id long, source string, text string")
+    got = {r.doc_id: r for r in corpus_pipeline.encode_pieces(spark, docs, "").collect()}
+    assert piece_encoder.encoder(queries.PIECE_MODEL).decode(got[1].ids) == "some text of words"
+    assert [len(got[i].ids) for i in (1, 2)] == [got[i].n_pieces for i in (1, 2)]
