@@ -257,3 +257,18 @@ def test_curation(spark):
     key = spark.createDataFrame([("a", True), ("b", True), ("c", False), ("d", False)], "id string, corrupted boolean")
     verdicts = spark.createDataFrame([("a", "broken"), ("c", "sound"), ("d", "broken")], "id string, verdict string")
     assert tuple(curation.control_score(key, verdicts).first()) == (1, 1, 1, 1)
+
+
+def test_vector_queries_meet_all_rows(spark, tmp_path):
+    from sievewright.plans import catalogue
+
+    rows = [(i, [float((i * 37) % 101), float((i * 53) % 89), 1.0], i % 3) for i in range(250)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {}
+    for r in catalogue.queries()["vector_topk"](spark, str(tmp_path)).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.idx))
+    dot = lambda a, b: sum(x * y for x, y in zip(rows[a][1], rows[b][1]))
+    best = {q: sorted((i for i in range(250) if i != q), key=lambda i: (-dot(q, i), i))[:10] for q in (0, 100, 200)}
+    assert {q: [i for _, i in sorted(x)] for q, x in got.items()} == best
+    share = {r.query_id: r.share for r in catalogue.queries()["vector_label_recall"](spark, str(tmp_path)).collect()}
+    assert share == {q: round(sum(i % 3 == q % 3 for i in x) / 10, 6) for q, x in best.items()}
