@@ -4,6 +4,9 @@ A position whose suffix stands inside a run needs no sample: the suffix before i
 same preceding symbol, so its match is the match of the text position one to the left, shortened by one
 symbol. Only the two ends of each run hold a match length. Matching statistics are streamed left to right
 from these samples.
+
+The order of the suffixes is needed to build the index only. What stays are the symbol and length of each run, the samples
+at their ends, and the places of the segments.
 """
 
 from __future__ import annotations
@@ -34,10 +37,12 @@ class RunIndex:
         inside[self.starts + lengths] = False
         text[inside] = dense[data]
         self.text, self.n, self.ends = text, n, self.starts + lengths
+        self.dense = dense
         #: symbols packed into the first sort key
         self.first = 2 * PLACE_BITS // max(1, int(len(used)).bit_length())
         self._sort()
         self._compress()
+        del self.order, self.levels, self.text
 
     def _sort(self) -> None:
         """Doubling; a key carries its place, so keys are sorted and not their order. The end of a segment is unlike any other."""
@@ -82,7 +87,8 @@ class RunIndex:
         head = np.concatenate(([True], change))
         self.head_rows = np.flatnonzero(head)
         self.tail_rows = np.flatnonzero(np.concatenate((change, [True])))
-        self.run_symbols = before[self.head_rows]
+        self.run_symbols = before[self.head_rows].astype(np.uint8 if before.max(initial=0) < 256 else np.int16)
+        self.run_lengths = np.diff(np.append(self.head_rows, self.n))
         heads = self.head_rows[self.head_rows > 0]
         tails = self.tail_rows[self.tail_rows < self.n - 1]
         self.head_sample = (self.order[heads], self._common(self.order[heads], self.order[heads - 1]))
@@ -105,6 +111,29 @@ class RunIndex:
             length[live] += 1
         return length
 
+    def count(self, pattern: bytes) -> int:
+        """Occurrences of a pattern, by backward search over the runs."""
+        # rows of smaller symbols; every end of a segment is smaller than all of them
+        below = np.concatenate(([0], np.cumsum(np.bincount(self.run_symbols, self.run_lengths, 257))))
+        low, high = 0, self.n
+        for c in reversed(self.dense[np.frombuffer(pattern, np.uint8)].tolist()):
+            if not c:
+                return 0
+            runs = np.flatnonzero(self.run_symbols == c)
+            upto = np.concatenate(([0], np.cumsum(self.run_lengths[runs])))
+            low, high = (int(below[c] + self._rank(c, row, runs, upto)) for row in (low, high))
+            if low >= high:
+                return 0
+        return high - low
+
+    def _rank(self, c: int, row: int, runs: np.ndarray, upto: np.ndarray) -> int:
+        """How often the symbol c stands before the row."""
+        if row >= self.n:
+            return int(upto[-1])
+        run = int(np.searchsorted(self.head_rows, row, "right")) - 1
+        inside = row - int(self.head_rows[run]) if self.run_symbols[run] == c else 0
+        return int(upto[np.searchsorted(runs, run)]) + inside
+
     def matching_statistics(self) -> np.ndarray:
         """For each position, the longest match of the text from there with the text from any other position."""
         at = np.arange(self.n, dtype=np.int64)

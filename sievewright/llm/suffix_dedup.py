@@ -7,10 +7,13 @@ document or another. The corpus is not indexed as one text. Each such string hol
 1. every anchor gives a row of its gram's hash and the hash of its whole surroundings (no text);
 2. grams seen once can't repeat; surroundings seen twice repeat in full;
 3. for grams with several kinds of surroundings, one of each kind is dealt by gram to run-length indexes
-   (`run_index`) of bounded size, which mark the long matches;
+   (`run_index`) of bounded size, along which matching statistics are streamed and long matches marked;
 4. a gram of more than `hot` kinds is first parted by longer cores, then into single strings, which are only
    counted; so no group of unbounded size is gathered.
 
+Surroundings are taken as equal if two hashes of 64 bits are, that of the gram and that of the whole (their bytes, at most
+352, aren't compared); everything else goes by bytes or digests of 128 bits.
+
 Null text counts as empty; a document shorter than `least` loses nothing; the order of rows, repeated rows
 and other columns don't matter (rows are told apart by an id of their own).
 """
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, release
+from .common import discard, free_name, materialise
 from .run_index import RunIndex
 
 LEAST = 200
@@ -315,10 +318,8 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, hot: int = HOT) -> DataF
     # counts are tables of their own, so that the joins below meet plain exchanges and a crowded key can be split
     seen = scan.groupBy("gram").agg(one, F.min("around").alias("low"), F.max("around").alias("high")).where("n > 1")
     seen, seen_path = materialise(seen.select("gram", (F.col("low") == F.col("high")).alias("alike")), "grams")
-    release(spark)
     found, _ = materialise(scan.join(seen.hint("shuffle_hash"), "gram"), "anchors")
     discard(spark, seen_path)
-    release(spark)
     # surroundings seen twice lie in repeats; of each kind of surroundings one place goes on
     mixed = found.where("not alike")
     kinds, kinds_path = materialise(mixed.groupBy("gram", "around").agg(one, F.min(F.struct("rid", "at")).alias("first")), "kinds")
@@ -327,16 +328,15 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, hot: int = HOT) -> DataF
     first = (F.col("rid") == F.col("first.rid")) & (F.col("at") == F.col("first.at"))
     places, _ = materialise(placed.select("rid", "at", "gram", "start", "end", (F.col("n") > 1).alias("alike"), first.alias("first")), "places")
     discard(spark, kinds_path)
-    release(spark)
     sent = places.where("first").join(crowd.hint("shuffle_hash"), "gram").groupBy("rid").agg(F.collect_list(F.struct("gram", "start", "end", (F.col("at") - F.col("start")).alias("lead"), "hot")).alias("places"))
     pieces, pieces_path = materialise(docs.join(sent.hint("shuffle_hash"), "rid").select("rid", "text", "places").mapInArrow(_cut, "gram long, rid long, start int, lead int, piece binary, hot boolean"), "pieces")
-    release(spark)
     whole = found.where("alike").select("rid", "start", "end").unionByName(places.where("alike").select("rid", "start", "end"))
     cool = pieces.where("not hot").select("gram", "rid", "start", "piece")
     indexed = cool.repartition("gram").sortWithinPartitions("gram").mapInArrow(_index(least), "rid long, start int, end int")
     parts = pieces.where("hot").select("rid", "start", "lead", "piece").mapInArrow(_parts(least, gram), "core long, whole long, rid long, start int, piece binary").dropDuplicates(["core", "whole", "rid", "start"])
     # as above: parts seen twice lie in repeats, and one place of each kind goes on where a core has several kinds
     kinds = parts.groupBy("core", "whole").agg(one, F.min(F.struct("rid", "start")).alias("first"))
+    kinds, core_path = materialise(kinds, "cores")
     cores = kinds.groupBy("core").agg(F.sum("n").alias("places"), F.count(F.lit(1)).alias("kinds")).where("places > 1")
     parted = parts.join(kinds.join(cores, "core").select("core", "whole", "n", "kinds", "first"), ["core", "whole"])
     whole_parts = parted.where("n > 1").select("rid", "start", (F.col("start") + F.length("piece")).cast("int").alias("end"))
@@ -345,8 +345,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, hot: int = HOT) -> DataF
     often = strings.groupBy("string").agg(one).where("n > 1").select("string")
     counted = strings.join(often, "string", "left_semi").select("rid", "start", (F.col("start") + least).cast("int").alias("end"))
     marked, _ = materialise(indexed.unionByName(whole_parts).unionByName(counted), "marked")
-    discard(spark, pieces_path)
-    release(spark)
+    discard(spark, pieces_path, core_path)
     return whole.unionByName(marked)
 
 
@@ -361,39 +360,57 @@ def _merge(spans) -> list[tuple[int, int]]:
     return out
 
 
-def _apply(batches):
-    for batch in batches:
-        data, offsets = _column(batch, "text")
-        spans, sizes = batch.column("spans"), np.diff(offsets)
-        removed, runs, digests, kept_texts = [], [], [], []
-        for i in range(batch.num_rows):
-            text = data[offsets[i] : offsets[i + 1]].tobytes()
-            packed = spans[i].values
-            cut = _merge((x >> 32, x & 0xFFFFFFFF) for x in packed.to_pylist()) if packed is not None and len(packed) else []
-            kept, at = [], 0
-            for a, b in cut:
-                kept.append(text[at:a])
-                at = b
-            kept.append(text[at:])
-            rest = b"".join(kept)
-            removed.append(len(text) - len(rest))
-            runs.append(len(cut))
-            digests.append(hashlib.sha256(rest).hexdigest())
-            kept_texts.append(rest.decode("utf-8", "ignore"))
-        new = {"n_bytes": pa.array(sizes), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(runs, pa.int64()), "kept_sha256": pa.array(digests), "kept_text": pa.array(kept_texts)}
-        old = [n for n in batch.schema.names if n not in ("text", "spans")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in old), *new.values()], names=[*old, *new])
-
-
-def suffix_dedup(docs: DataFrame, least: int = LEAST, hot: int = HOT) -> DataFrame:
+#: Columns of the result.
+NEW = (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), ("kept_text", "string"))
+
+
+def _apply(spans: str, prefix: str):
+    def run(batches):
+        for batch in batches:
+            data, offsets = _column(batch, "text")
+            marked, sizes = batch.column(spans), np.diff(offsets)
+            removed, runs, digests, kept_texts = [], [], [], []
+            for i in range(batch.num_rows):
+                text = data[offsets[i] : offsets[i + 1]].tobytes()
+                packed = marked[i].values
+                cut = _merge((x >> 32, x & 0xFFFFFFFF) for x in packed.to_pylist()) if packed is not None and len(packed) else []
+                kept, at = [], 0
+                for a, b in cut:
+                    kept.append(text[at:a])
+                    at = b
+                kept.append(text[at:])
+                rest = b"".join(kept)
+                removed.append(len(text) - len(rest))
+                runs.append(len(cut))
+                digests.append(hashlib.sha256(rest).hexdigest())
+                kept_texts.append(rest.decode("utf-8", "ignore"))
+            new = (pa.array(sizes), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string()), pa.array(kept_texts, pa.string()))
+            old = [n for n in batch.schema.names if n not in ("text", spans)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in old), *new], names=[*old, *(prefix + n for n, _ in NEW)])
+
+    return run
+
+
+def suffix_dedup(docs: DataFrame, least: int = LEAST, hot: int = HOT, rid: str = "rid", prefix: str = "") -> DataFrame:
     """docs (rid long and unique, text string, others) -> rid, others, n_bytes, n_removed, n_spans, kept_sha256, kept_text.
 
-    kept_text is the remaining bytes decoded, without characters that a cut has split.
+    kept_text is the remaining bytes decoded, without characters that a cut has split. The names of the new columns start
+    with prefix; they replace columns of docs of the same names. See `free_prefix`.
     """
-    spans = repeated_spans(docs.select("rid", "text"), least, hot).groupBy("rid")
-    spans = spans.agg(F.collect_set((F.shiftleft(F.col("start").cast("long"), 32)) + F.col("end")).alias("spans"))
-    others = [c for c in docs.columns if c not in ("rid", "text")]
-    schema = docs.select("rid", *others).schema
-    for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), ("kept_text", "string")):
-        schema = schema.add(name, kind)
-    return docs.select("rid", *others, "text").join(spans.hint("shuffle_hash"), "rid", "left").mapInArrow(_apply, schema)
+    spans = repeated_spans(docs.select(F.col(rid).alias("rid"), "text"), least, hot).groupBy(F.col("rid").alias(rid))
+    marked = free_name(docs, "spans")
+    spans = spans.agg(F.collect_set((F.shiftleft(F.col("start").cast("long"), 32)) + F.col("end")).alias(marked))
+    new = {(prefix + name).lower() for name, _ in NEW}
+    others = [c for c in docs.columns if c.lower() not in (rid.lower(), "text") and c.lower() not in new]
+    schema = docs.select(rid, *others).schema
+    for name, kind in NEW:
+        schema = schema.add(prefix + name, kind)
+    return docs.select(rid, *others, "text").join(spans.hint("shuffle_hash"), rid, "left").mapInArrow(_apply(marked, prefix), schema)
+
+
+def free_prefix(docs: DataFrame) -> str:
+    """A prefix that keeps the new columns apart from those of docs."""
+    prefix, taken = "", {c.lower() for c in docs.columns}
+    while any(prefix + name in taken for name, _ in NEW):
+        prefix += "_"
+    return prefix

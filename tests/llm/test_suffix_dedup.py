@@ -3,7 +3,7 @@ import random
 from collections import Counter
 
 from sievewright.llm.run_index import RunIndex
-from sievewright.llm.suffix_dedup import suffix_dedup
+from sievewright.llm.suffix_dedup import free_prefix, suffix_dedup
 
 
 def brute(texts, least):
@@ -66,6 +66,28 @@ def test_empty_table(spark):
     assert suffix_dedup(spark.createDataFrame([], "rid long, text string")).count() == 0
 
 
+def test_clashing_columns(spark):
+    text = "".join(random.Random(2).choices("abcdef", k=300))
+    docs = spark.createDataFrame([(7, text, 1, 2, 3, "a", "b", "c"), (8, text + "x", 4, 5, 6, "d", "e", "f"), (9, None, 7, 8, 9, "g", "h", "i")], "rid long, text string, n_bytes int, N_Removed int, n_spans int, kept_sha256 string, kept_text string, spans string")
+    prefix = free_prefix(docs)
+    got = sorted(suffix_dedup(docs, prefix=prefix).collect())
+    assert [tuple(r)[:7] for r in got] == [(7, 1, 2, 3, "a", "b", "c"), (8, 4, 5, 6, "d", "e", "f"), (9, 7, 8, 9, "g", "h", "i")]
+    assert [(r[f"{prefix}n_removed"], r[f"{prefix}kept_text"]) for r in got] == [(300, ""), (300, "x"), (0, "")]
+    replaced = suffix_dedup(docs)
+    assert replaced.columns == ["rid", "spans", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"] and replaced.count() == 3
+
+
+def test_run_index_counts_patterns():
+    rng = random.Random(11)
+    for _ in range(100):
+        segments = list({bytes(rng.choices(b"ab\xff\0", k=rng.randint(1, 30))) for _ in range(rng.randint(1, 5))})
+        index = RunIndex(segments)
+        assert int(index.run_lengths.sum()) == index.n and not hasattr(index, "order")
+        for _ in range(10):
+            p = bytes(rng.choices(b"ab\xff\0c", k=rng.randint(1, 4)))
+            assert index.count(p) == sum(s[i : i + len(p)] == p for s in segments for i in range(len(s)))
+
+
 def test_run_index_against_all_pairs():
     rng = random.Random(4)
     for _ in range(400):
