@@ -1,9 +1,13 @@
 """SimHash near-dedup: fingerprints of word shingles, linked through a byte-position inverted index.
 
-Two fingerprints of at most two differing bits differ in at most two of their eight bytes, so they share six
-positional bytes, and two of the four byte pairs are whole in both. The index lists fingerprints under each
-two byte pairs (six lists each, keys of 32 bits). Pairs of one list are tallied by shared positional bytes,
-kept from six up, and verified bit by bit. Only different fingerprints are indexed; equal ones are one class.
+A fingerprint is eight positional bytes: tokens (position, byte), of which there are 2,048. Two fingerprints of at most two
+differing bits differ in at most two bytes, so the guaranteed minimum is six shared tokens of eight. Tokens are ordered
+by how many fingerprints hold them, rarest first, so that bytes which a third of the corpus shares come last. Of two
+fingerprints that share six of eight tokens, the six rarest of each have at least four in common; the index therefore
+lists a fingerprint under every four of its six rarest tokens, which is where four posting lists meet. Pairs of one list
+are tallied by the positional bytes they share, kept from six up, and verified bit by bit. (Posting lists of single bytes
+hold a 256th of the corpus at best, and their pairs grow with its square: 1.2e8 pairs for the three rarest bytes on
+0.5 GB, 4e11 on 30 GB.) Only different fingerprints are indexed; equal ones are one class.
 
 A list of more than LIST fingerprints (a large cloud of near copies) isn't paired. Its members are linked
 exactly through their one-bit neighbours instead: two fingerprints differ in at most two bits just if they have a
@@ -11,10 +15,14 @@ common value among themselves and their one-bit neighbours, and at most 65 finge
 
 Null or empty text has fingerprint zero and is linked like any other.
 
-`jaccard_components` joins texts whose sets of shingles have a Jaccard similarity of at least a bound. Two texts at 0.8 lie
-some ten bits apart, where byte positions tell little, so candidates come from an inverted index of shingles: of
-sets of n, each lists its n - ceil(bound * n) + 1 shingles of the smallest hashes, and sets within the bound share
-one of those. Candidates are kept if their sizes and fingerprints allow the bound, and verified on the whole sets.
+`jaccard_components` joins texts whose sets of shingles have a Jaccard similarity of at least a bound, exactly. Two texts at
+0.8 lie some ten bits apart, where byte positions guarantee nothing, so the same inverted index with count filtering is
+kept over shingles. Shingles are ordered by how many texts of a bounded sample hold them (the order changes the work, not
+the result), then by hash; of a set of n, the first n - ceil(bound * n) + TALLY are listed, and two sets within the bound
+share at least TALLY of these (or all that they must share, if that is fewer). Pairs of one list are tallied, kept from the
+guaranteed minimum up, and verified on the whole sets. In a list of more than CROWD sets (many near copies of one text)
+members first meet in small groups, which joins most of them; then each member outside the list's largest component
+meets all members of other components. Pairs within a component can't change it, so nothing is lost.
 """
 
 from __future__ import annotations
@@ -25,22 +33,22 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, release
+from .common import hash_sample, is_empty, materialise
 from .components import connected_components
 
 WORDS = 3
 SEED = 42
 BITS = 2
 LIST = 32
-#: Shingle width, Jaccard similarity and radius of near copies. Sets at 0.8 lie about 10 bits apart (deviation 3).
-NEAR_WORDS = 5
-NEAR = 0.8
-NEAR_BITS = 24
-#: Members of a list of more than LIST sets meet in groups of about so many, dealt by hash anew in each list.
-MEET = 4
+#: Shingle width and Jaccard similarity of near copies, and the shared listed shingles that a pair is kept for.
+NEAR_WORDS, NEAR, TALLY = 5, 0.8, 4
+#: Documents that the order of shingles is learned from (to twice as many), and shingles that it names.
+SAMPLE, COMMON = 16_384, 100_000
+#: A longer list isn't paired in full: MEETINGS of a member's crowded lists deal it into groups of about MEET.
+CROWD, MEET, MEETINGS = 64, 16, 2
 
 
 def shingle_hashes(text: str | None, words: int = WORDS, seed: int = SEED) -> list[int]:
@@ -85,19 +93,47 @@ def shared_bytes(a: str, b: str) -> Column:
     return 8 - F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
 
 
+#: Positional bytes of a fingerprint, those two within BITS share at least, and the tokens indexed and met of these.
+BYTES, SHARED = 8, 8 - BITS
+MET = 4
+PREFIX = BYTES - SHARED + MET
+
+
+def positional_bytes(fp: str = "fp") -> Column:
+    """The tokens of a fingerprint: position * 256 + byte."""
+    return F.array(*((F.shiftrightunsigned(fp, 8 * i).bitwiseAND(F.lit(255)) + 256 * i).cast("int") for i in range(BYTES)))
+
+
+def index_keys(marks: DataFrame) -> tuple[Column, Column]:
+    """The ranks of a fingerprint's tokens, rarest first, and the keys of its lists from these: every MET of its PREFIX rarest tokens, as ranks of 11 bits each."""
+    counts = {r.token: r.n for r in marks.select(F.explode(positional_bytes()).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()}
+    ranks = [0] * (256 * BYTES)
+    for rank, token in enumerate(sorted(range(256 * BYTES), key=lambda t: (counts.get(t, 0), t))):
+        ranks[token] = rank
+    rank_of = F.expr(f"array({', '.join(map(str, ranks))})")
+    rarest = F.array_sort(F.transform(positional_bytes(), lambda t: F.get(rank_of, t).cast("long")))
+
+    def key(places: tuple[int, ...]) -> Column:
+        out = F.lit(0).cast("long")
+        for i in places:
+            out = F.shiftleft(out, 11).bitwiseOR(F.get(F.col("rarest"), i))
+        return out
+
+    return rarest, F.array(*(key(c) for c in combinations(range(PREFIX), MET)))
+
+
 def links(marks: DataFrame, most: int = LIST) -> DataFrame:
     """marks (fp long, distinct) -> (a, b) links that join just the fingerprints of at most two differing bits.
 
     Links of crowded lists are stars of a whole neighbourhood, so that components, not pairs, are complete.
     """
-    pair = [F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
-    keys = F.array(*(F.struct(F.lit(n).alias("list"), F.shiftleft(pair[i], 16).bitwiseOR(pair[j]).alias("bytes")) for n, (i, j) in enumerate(combinations(range(4), 2))))
-    postings = marks.select("fp", F.explode(keys).alias("key")).select("fp", "key.list", "key.bytes")
-    sizes = postings.groupBy("list", "bytes").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    listed, _ = materialise(postings.join(sizes, ["list", "bytes"]), "postings")
+    rarest, keys = index_keys(marks)
+    postings = marks.select("fp", rarest.alias("rarest")).select("fp", F.explode(keys).alias("list"))
+    sizes = postings.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    listed, _ = materialise(postings.join(sizes, "list"), "postings")
     short = listed.where(F.col("n") <= most)
-    pairs = short.select("list", "bytes", F.col("fp").alias("a")).join(short.select("list", "bytes", F.col("fp").alias("b")), ["list", "bytes"]).where("a < b")
-    verified = pairs.where(shared_bytes("a", "b") >= 8 - BITS).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS).select("a", "b")
+    pairs = short.select("list", F.col("fp").alias("a")).join(short.select("list", F.col("fp").alias("b")), "list").where("a < b")
+    verified = pairs.where(shared_bytes("a", "b") >= SHARED).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS).select("a", "b")
     crowded = listed.where(F.col("n") > most).select("fp").distinct()
     flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)))
     near = crowded.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("value"))
@@ -111,7 +147,6 @@ def simhash_components(docs: DataFrame, words: int = WORDS, seed: int = SEED) ->
     Repeated rows come out as often as they came in. Null ids take part; they are a component's id only if it has no other.
     """
     marks, _ = materialise(fingerprints(docs, words, seed), "simhash")
-    release(docs.sparkSession)
     classes = marks.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots, _ = materialise(connected_components(links(classes.select("fp"))), "roots")
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -124,33 +159,64 @@ def _shingle_set(text: str | None, words: int, seed: int) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, words, seed), np.uint64))
 
 
-def _sets(words: int, seed: int, least: float):
-    """doc_id, text -> doc_id, fp, a digest of the set in two longs, its size, and the hashes it is listed under."""
+def _counted(words: int, seed: int):
+    def run(batches):
+        for batch in batches:
+            sets = [_shingle_set(t.as_py(), words, seed) for t in batch.column("text")]
+            value, n = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+    return run
+
+
+def common_shingles(docs: DataFrame, words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of shingles that at least three texts of a bounded sample hold, in order, and how many do."""
+    sample = hash_sample(docs, SAMPLE, "doc_id").select("text").limit(2 * SAMPLE).dropDuplicates(["text"])
+    counts = sample.mapInArrow(_counted(words, seed), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 2")
+    found = counts.orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    found = sorted((r.h % (1 << 64), r.n) for r in found)
+    return np.array([h for h, _ in found], np.uint64), np.array([n for _, n in found], np.int64)
+
+
+def _sets(words: int, seed: int, least: float, common):
+    """doc_id, text -> doc_id, a digest of the set in two longs, its size, and the shingles it is listed under."""
 
     def run(batches):
+        names, counts = common.value
         for batch in batches:
-            new: list[list] = [[], [], [], [], []]
+            new: list[list] = [[], [], [], []]
             for t in batch.column("text"):
-                hashes = shingle_hashes(t.as_py(), words, seed)
-                s = np.unique(np.array(hashes, np.uint64))
+                s = _shingle_set(t.as_py(), words, seed)
                 digest = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8")
                 n = len(s)
-                for c, v in zip(new, (fingerprint(hashes), digest[0], digest[1], n, s[: n - ceil(least * n - 1e-9) + 1].view(np.int64) if n else ())):
+                listed = s
+                if n and len(names):
+                    at = np.minimum(np.searchsorted(names, s), len(names) - 1)
+                    # stable, so that equal counts stay in the order of hashes
+                    listed = s[np.argsort(np.where(names[at] == s, counts[at], 0), kind="stable")]
+                for c, v in zip(new, (digest[0], digest[1], n, listed[: n - ceil(least * n - 1e-9) + TALLY].view(np.int64))):
                     c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(c, k) for c, k in zip(new, kinds))], names=["doc_id", "fp", "d0", "d1", "size", "listed"])
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(c, k) for c, k in zip(new, kinds))], names=["doc_id", "d0", "d1", "size", "listed"])
 
     return run
 
 
-def _verified(words: int, seed: int, least: float):
+def _packed(words: int, seed: int):
     def run(batches):
         for batch in batches:
-            last, kept = (None, None), []
-            for a, b, t, u in zip(*(batch.column(c) for c in ("a", "b", "text_a", "text_b"))):
-                if last[0] != a:
-                    last = (a, _shingle_set(t.as_py(), words, seed))
-                s, o = last[1], _shingle_set(u.as_py(), words, seed)
+            sets = [_shingle_set(t.as_py(), words, seed).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], names=["id", "shingles"])
+
+    return run
+
+
+def _verified(least: float):
+    def run(batches):
+        for batch in batches:
+            kept = []
+            for x, y in zip(batch.column("set_a"), batch.column("set_b")):
+                s, o = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(s, o, assume_unique=True))
                 kept.append(both >= least * (len(s) + len(o) - both) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
@@ -158,36 +224,82 @@ def _verified(words: int, seed: int, least: float):
     return run
 
 
-def jaccard_candidates(sets: DataFrame, least: float, bits: int, most: int = LIST, meet: int = MEET) -> DataFrame:
-    """sets (id, fp, size, listed) of distinct sets -> (a, b), a < b, pairs that share a listed shingle and may be within the bound.
+def _sizes_allow(least: float) -> Column:
+    return F.least("size_a", "size_b") >= F.lit(least) * F.greatest("size_a", "size_b") - F.lit(1e-9)
 
-    All pairs of a list of at most `most` sets. In a longer list a set meets those of its group only: near copies
-    by the hundred share many lists, are dealt anew in each, and so are joined by chains of pairs.
-    """
-    postings = sets.select("id", "fp", "size", F.explode("listed").alias("h"))
-    counts = postings.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    group = F.when(F.col("n") <= most, 0).otherwise(F.pmod(F.xxhash64("h", "id"), F.ceil(F.col("n") / meet).cast("long")))
-    shared, _ = materialise(postings.join(counts, "h").select("h", group.alias("g"), "id", "fp", "size"), "shared")
-    a, b = (shared.select("h", "g", F.col("id").alias(x), F.col("fp").alias(f"fp_{x}"), F.col("size").alias(f"size_{x}")) for x in "ab")
-    pairs = a.join(b, ["h", "g"]).where("a < b").where(F.least("size_a", "size_b") >= F.lit(least) * F.greatest("size_a", "size_b") - F.lit(1e-9))
-    return pairs.where(F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= bits).select("a", "b").distinct()
 
+def _sides(rows: DataFrame, *shared: str) -> tuple[DataFrame, DataFrame]:
+    others = [c for c in rows.columns if c not in shared]
+    return tuple(rows.select(*shared, *(F.col(c).alias(x if c == "id" else f"{c}_{x}") for c in others)) for x in "ab")
 
-def jaccard_components(docs: DataFrame, words: int = NEAR_WORDS, least: float = NEAR, bits: int = NEAR_BITS, seed: int = SEED, most: int = LIST, meet: int = MEET) -> DataFrame:
+
+def postings(sets: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+    """sets (id, size, listed) of distinct sets -> rows (h, id, size, n) of lists of two to `crowd` sets, and of longer ones.
+
+    The first have a column `long`, too: how many longer lists the set is in.
+    """
+    each = sets.select("id", "size", F.explode("listed").alias("h"))
+    counts = each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared, _ = materialise(each.join(counts, "h"), "shared")
+    crowded, _ = materialise(shared.where(F.col("n") > crowd), "crowded")
+    longs = crowded.groupBy("id").agg(F.count(F.lit(1)).alias("long"))
+    return shared.where(F.col("n") <= crowd).join(longs, "id", "left").withColumn("long", F.coalesce("long", F.lit(0))), crowded
+
+
+def tallied(short: DataFrame, least: float) -> DataFrame:
+    """(a, b) of sets that share enough listed shingles, those in longer lists counted as if shared."""
+    a, b = _sides(short.select("h", "id", "size", "long"), "h")
+    pairs = a.join(b, "h").where("a < b").where(_sizes_allow(least))
+    tally = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.least("long_a", "long_b")).alias("long"), F.min(F.greatest("size_a", "size_b")).alias("size"))
+    return tally.where(F.col("n") + F.col("long") >= F.least(F.lit(TALLY), F.ceil(F.lit(least) * F.col("size") - F.lit(1e-9)))).select("a", "b")
+
+
+def meetings(crowded: DataFrame, least: float, meet: int = MEET) -> DataFrame:
+    """(a, b) of members of longer lists that are dealt into one group."""
+    order = Window.partitionBy("id").orderBy("n", F.xxhash64("h"))
+    some = crowded.withColumn("place", F.row_number().over(order)).where(F.col("place") <= MEETINGS)
+    group = F.pmod(F.xxhash64("h", "id"), F.ceil(F.col("n") / meet).cast("long"))
+    a, b = _sides(some.select("h", group.alias("g"), "id", "size"), "h", "g")
+    return a.join(b, ["h", "g"]).where("a < b").where(_sizes_allow(least)).select("a", "b").distinct()
+
+
+def apart(crowded: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """(a, b) of members of a longer list that are in different components: all but pairs of its largest one."""
+    rooted, _ = materialise(crowded.join(roots.withColumnRenamed("node", "id"), "id", "left").select("h", "id", "size", F.coalesce("root", "id").alias("root")), "rooted")
+    sizes = rooted.groupBy("h", "root").agg(F.count(F.lit(1)).alias("c"))
+    split = sizes.groupBy("h").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    split, _ = materialise(split.select("h", "main"), "split")
+    rows = rooted.join(split, "h")
+    a, b = _sides(rows.select("h", "id", "size", "root", "main"), "h")
+    pairs = a.where("root_a <> main_a").join(b, "h").where("root_a <> root_b").where((F.col("root_b") == F.col("main_b")) | (F.col("a") < F.col("b"))).where(_sizes_allow(least))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def jaccard_components(docs: DataFrame, words: int = NEAR_WORDS, least: float = NEAR, seed: int = SEED, crowd: int = CROWD, meet: int = MEET) -> DataFrame:
     """docs (doc_id long, unique and never null, text string) -> doc_id, component_id (smallest doc_id reachable).
 
     Texts are linked if the Jaccard similarity of their sets of word shingles is at least `least`; empty sets are equal.
     """
     spark = docs.sparkSession
-    marks, _ = materialise(docs.select("doc_id", "text").mapInArrow(_sets(words, seed, least), "doc_id long, fp long, d0 long, d1 long, size int, listed array<long>"), "sets")
-    release(spark)
+    docs = docs.select("doc_id", "text")
+    common = spark.sparkContext.broadcast(common_shingles(docs, words, seed))
+    marks, _ = materialise(docs.mapInArrow(_sets(words, seed, least, common), "doc_id long, d0 long, d1 long, size int, listed array<long>"), "sets")
     classes, _ = materialise(marks.groupBy("d0", "d1").agg(F.min("doc_id").alias("id")), "classes")
-    sets = marks.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "id")
-    pairs, _ = materialise(jaccard_candidates(sets, least, bits, most, meet), "candidates")
-    texts = docs.join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
-    texts, _ = materialise(texts, "texts")
-    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    roots, _ = materialise(connected_components(both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(words, seed, least), "a long, b long")), "roots")
+    short, crowded = postings(marks.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "id"), crowd)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs, _ = materialise(pairs, "candidates")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        texts = docs.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi")
+        sets, _ = materialise(texts.mapInArrow(_packed(words, seed), "id long, shingles binary"), "members")
+        both = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a")
+        return materialise(both.select("a", "b", "set_a", "set_b").mapInArrow(_verified(least), "a long, b long"), "links")[0]
+
+    links = linked(tallied(short, least).unionByName(meetings(crowded, least, meet)).distinct())
+    roots, _ = materialise(connected_components(links), "roots")
+    if not is_empty(crowded):
+        links = links.unionByName(linked(apart(crowded, roots, least)))
+        roots, _ = materialise(connected_components(links), "roots")
     # the root of a component is its least class, and a class is its least doc_id
     named = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("d0", "d1", F.coalesce("root", "id").alias("component_id"))
     return marks.select("doc_id", "d0", "d1").join(named, ["d0", "d1"]).select("doc_id", "component_id")
