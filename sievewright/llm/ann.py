@@ -8,11 +8,17 @@ force, and the budget is what finds RECALL of their true neighbours (vectors wit
 the table, clustered ones little). The candidates of the leaves taken are reranked by Euclidean distance in double
 precision on the original vectors.
 
-Queries and vectors meet in packed blocks of bounded size, and each pair of blocks returns the k + 1 best of each
-query. Equal vectors are one class: only its k + 1 smallest ids can be among k neighbours, so a vector that a third of
-the rows share is filed k + 1 times. Queries are classed in the same way.
+Leaves next to each other in a tree make a cell. Vectors are sent to their cell of each tree, queries only to the cells
+in which their search takes leaves, and both meet there by an equi-join, so the work follows the budget. Both sides are
+packed into blocks of bounded size; a crowded cell has several, dealt by hash. Each pair of blocks returns the k + 1 best
+of each query among the leaves that it takes.
 
-Null, empty, zero and non-finite vectors take no part, nor do vectors of another length than the most common one.
+Equal vectors are one class: only its k + 1 smallest ids can be among k neighbours, so a vector that a third of the rows
+share is filed k + 1 times. Queries are classed in the same way.
+
+Null, empty, zero and non-finite vectors take no part, nor do rows of null id, nor vectors of another length than the most
+common one. Ties go to the smaller id. Rows of one id are rows of their own, and never each other's neighbour. An empty
+table gives an empty one. Only vec_id and embedding are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -26,11 +32,11 @@ from pyspark.sql import functions as F
 
 from .common import hash_sample, materialise
 
-TREES, LEAF, SAMPLE, SEED = 12, 24, 16_384, 7
+TREES, LEAF, SAMPLE, SEED = 4, 24, 16_384, 7
 #: Queries answered by brute force to set the budget, the share of their neighbours it must find, and the least budget.
 CALIBRATE, RECALL, VISIT = 64, 0.96, 500
-#: Vectors and queries in a block.
-BLOCK, QUERY_BLOCK = 4_096, 256
+#: Leaves in a cell; vectors and queries in a block, about.
+CELL, BLOCK, QUERY_BLOCK = 32, 2_048, 256
 K = 10
 
 
@@ -76,6 +82,16 @@ class Forest:
                 children[parent][side] = at
         return root, np.array(planes).reshape(-1, self.dim), np.array(offsets), np.array(children, int).reshape(-1, 2), leaves
 
+    @property
+    def leaves(self) -> list[int]:
+        """Leaves of each tree; those of a subtree are numbered in a row."""
+        return [tree[4] for tree in self.trees]
+
+    @property
+    def cells(self) -> np.ndarray:
+        """The number of the first cell of each tree, and of all cells at the end."""
+        return np.cumsum([0] + [-(-n // CELL) for n in self.leaves])
+
     def file(self, vectors: np.ndarray, tree: int) -> np.ndarray:
         """The leaf of each vector."""
         root, planes, offsets, children, _ = self.trees[tree]
@@ -105,109 +121,186 @@ class Forest:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """Rows (vec_id, v array<double>) of vectors that take part."""
-    v = F.col("embedding").cast("array<double>")
+    """Rows (vec_id, v) of vectors that take part."""
+    v = F.col("embedding")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return rows.where(~F.coalesce(bad, F.lit(True))).where(F.exists("v", lambda x: x != 0))
 
 
 def _matrix(column) -> np.ndarray:
-    values = column.flatten().to_numpy(zero_copy_only=False)
+    """Double precision of an array column; all rows have one length."""
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(float)
     return values.reshape(len(column), -1)
 
 
-_BLOCKS = "ids array<long>, v array<double>, leaves binary"
-_QUERIES = "query array<long>, q array<double>, wanted binary"
+_FILED = "vec_id long, {v}, cell int, part int, leaf int"
+_BLOCKS = "cell int, ids binary, leaves binary, v binary"
+_WANTED = "cell int, query long, q binary, leaves binary"
+_QUERIES = "cell int, queries binary, q binary, wanted binary"
 _FOUND = "query long, vec_id long, score double"
 
 
-def _slices(batches, size):
-    for batch in batches:
-        for at in range(0, batch.num_rows, size):
-            yield batch.slice(at, size)
+def _count(forest):
+    """Vectors in each leaf, numbered through all trees."""
 
+    def count(batches):
+        f = forest.value
+        total = [np.zeros(n, np.int64) for n in f.leaves]
+        for batch in batches:
+            m = _matrix(batch.column("v"))
+            for t, held in enumerate(total):
+                held += np.bincount(f.file(m, t), minlength=len(held))
+        every = np.concatenate(total)
+        some = np.flatnonzero(every)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(every[some])], names=["leaf", "n"])
 
-def _blocks(forest):
-    """Vectors packed with the leaf of each tree, numbered through all trees."""
+    return count
 
-    def pack(batches):
-        f = forest.value
-        base = np.cumsum([0] + [tree[4] for tree in f.trees])
-        for part in _slices(batches, BLOCK):
-            m = _matrix(part.column("v"))
-            leaves = np.stack([f.file(m, t) + base[t] for t in range(len(f.trees))], axis=1).astype("<i4")
-            yield pa.RecordBatch.from_arrays([pa.array([part.column("vec_id").to_pylist()], pa.list_(pa.int64())), pa.array([m.ravel()], pa.list_(pa.float64())), pa.array([leaves.tobytes()], pa.binary())], names=["ids", "v", "leaves"])
 
-    return pack
+def _mixed(ids: np.ndarray) -> np.ndarray:
+    """Numbers of 31 bits that tell nothing of the order of ids."""
+    return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
 
 
-def _searches(forest, sizes, enough: float):
-    """Queries packed with the set of leaves that their search takes; no set is all leaves."""
+def _file(forest, blocks):
+    """A row for each vector and tree: the cell, the leaf in it, and which of the cell's blocks takes it."""
 
-    def pack(batches):
+    def run(batches):
+        f, parts = forest.value, blocks.value
+        for batch in batches:
+            m, ids = _matrix(batch.column("v")), batch.column("vec_id").to_numpy()
+            for t, first in enumerate(f.cells[:-1]):
+                leaf = f.file(m, t)
+                cell = first + leaf // CELL
+                part = _mixed(ids) % parts[cell]
+                new = (pa.array(x.astype(np.int32)) for x in (cell, part, leaf % CELL))
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), *new], names=["vec_id", "v", "cell", "part", "leaf"])
+
+    return run
+
+
+def _groups(batches, size: int, *columns: str):
+    """Of rows sorted by cell and part, (cell, rows of the named columns) of the same cell and part, at most size."""
+    held, last = [], None
+    for batch in batches:
+        keys = np.stack([batch.column("cell").to_numpy(), batch.column("part").to_numpy()], axis=1)
+        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(keys)]):
+            if a == b:
+                continue
+            key = tuple(keys[a])
+            if last is not None and key != last and held:
+                yield last[0], pa.Table.from_batches(held)
+                held = []
+            last = key
+            for at in range(a, b, size):
+                held.append(batch.select(columns).slice(at, min(size, b - at)))
+                if sum(map(len, held)) >= size:
+                    yield last[0], pa.Table.from_batches(held)
+                    held = []
+    if held:
+        yield last[0], pa.Table.from_batches(held)
+
+
+def _pack_vectors(batches):
+    for cell, rows in _groups(batches, BLOCK, "vec_id", "leaf", "v"):
+        rows = rows.combine_chunks()
+        data = (rows["vec_id"].to_numpy().astype("<i8"), rows["leaf"].to_numpy().astype("u1"), rows["v"].chunk(0).flatten().to_numpy(zero_copy_only=False))
+        yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in data)], names=["cell", "ids", "leaves", "v"])
+
+
+def _pack_queries(batches):
+    for cell, rows in _groups(batches, QUERY_BLOCK, "query", "q", "leaves"):
+        data = (rows["query"].to_numpy().astype("<i8").tobytes(), *(b"".join(rows[c].to_pylist()) for c in ("q", "leaves")))
+        yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), *(pa.array([x], pa.binary()) for x in data)], names=["cell", "queries", "q", "wanted"])
+
+
+def _search(forest, sizes, enough: float):
+    """A row for each query and cell in which its search takes leaves, with these as bits."""
+
+    def run(batches):
         f, held = forest.value, sizes.value
-        base = np.cumsum([0] + [tree[4] for tree in f.trees])
-        for part in _slices(batches, QUERY_BLOCK):
-            m = _matrix(part.column("v"))
-            sets = b""
-            if enough < np.inf:
-                wanted = np.zeros((len(m), base[-1]), bool)
-                for row, v in zip(wanted, m):
-                    row[[base[t] + leaf for t, leaf in f.search(v, held, enough)]] = True
-                sets = np.packbits(wanted, axis=1).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([part.column("query").to_pylist()], pa.list_(pa.int64())), pa.array([m.ravel()], pa.list_(pa.float64())), pa.array([sets], pa.binary())], names=["query", "q", "wanted"])
+        for batch in batches:
+            m, ids = _matrix(batch.column("v")), batch.column("query").to_pylist()
+            out: list[list] = [[], [], [], []]
+            for query, v in zip(ids, m):
+                taken = np.zeros((f.cells[-1], CELL), bool)
+                for t, leaf in f.search(v, held, enough):
+                    taken[f.cells[t] + leaf // CELL, leaf % CELL] = True
+                cells = np.flatnonzero(taken.any(axis=1))
+                bits = np.packbits(taken[cells], axis=1)
+                for c, new in zip(out, (cells.tolist(), [query] * len(cells), [v.astype("<f8").tobytes()] * len(cells), [x.tobytes() for x in bits])):
+                    c.extend(new)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["cell", "query", "q", "leaves"])
+
+    return run
+
+
+def _nearest(x: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and distances of the k + 1 nearest, ties to the smaller id."""
+    score = np.sqrt(np.square(v - x).sum(axis=1))
+    if len(ids) > k + 1:
+        near = np.flatnonzero(score <= np.partition(score, k)[k])
+        ids, score = ids[near], score[near]
+    best = np.lexsort((ids, score))[: k + 1]
+    return ids[best], score[best]
 
-    return pack
 
+def _found(query: list, near: list) -> pa.RecordBatch:
+    n = [len(ids) for ids, _ in near]
+    columns = (np.repeat(np.array(query, np.int64), n), *(np.concatenate(c) if c else np.zeros(0) for c in zip(*near))) if near else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query", "vec_id", "score"])
 
-def _rerank(k: int):
-    """Each pair of a block of vectors and one of queries -> the k + 1 nearest candidates of each query in it."""
 
+def _rerank(k: int, dim: int, kind: str):
     def run(batches):
-        for pair in _slices(batches, 1):
-            ids = pair.column("ids")[0].values.to_numpy(zero_copy_only=False)
-            v = pair.column("v")[0].values.to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-            queries = pair.column("query")[0].values.to_numpy(zero_copy_only=False)
-            q = pair.column("q")[0].values.to_numpy(zero_copy_only=False).reshape(len(queries), -1)
-            leaves = np.frombuffer(pair.column("leaves")[0].as_py(), "<i4").reshape(len(ids), -1)
-            wanted = pair.column("wanted")[0].as_py()
-            sets = np.unpackbits(np.frombuffer(wanted, np.uint8).reshape(len(queries), -1), axis=1).view(bool) if wanted else None
-            out: list[list] = [[], [], []]
-            for i, x in enumerate(q):
-                at = np.arange(len(ids)) if sets is None else np.flatnonzero(sets[i][leaves].any(axis=1))
-                score = np.sqrt(np.square(v[at] - x).sum(axis=1))
-                if len(at) > k + 1:
-                    near = np.flatnonzero(score <= np.partition(score, k)[k])
-                    at, score = at[near], score[near]
-                best = np.lexsort((ids[at], score))[: k + 1]
-                out[0].append(np.full(len(best), queries[i]))
-                out[1].append(ids[at[best]])
-                out[2].append(score[best])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["query", "vec_id", "score"])
+        for batch in batches:
+            for i in range(batch.num_rows):
+                raw = {c: batch.column(c)[i].as_py() for c in ("ids", "leaves", "v", "queries", "q", "wanted")}
+                ids, leaves = np.frombuffer(raw["ids"], "<i8"), np.frombuffer(raw["leaves"], "u1")
+                v = np.frombuffer(raw["v"], kind).reshape(-1, dim).astype(float)
+                queries, q = np.frombuffer(raw["queries"], "<i8"), np.frombuffer(raw["q"], "<f8").reshape(-1, dim)
+                wanted = np.unpackbits(np.frombuffer(raw["wanted"], "u1").reshape(len(q), -1), axis=1).view(bool)
+                near = []
+                for x, taken in zip(q, wanted):
+                    at = np.flatnonzero(taken[leaves])
+                    near.append(_nearest(x, v[at], ids[at], k))
+                yield _found(queries, near)
 
     return run
 
 
-def _meet(blocks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The stated queries against all vectors, block by block."""
-    near = blocks.crossJoin(queries).mapInArrow(_rerank(k), _FOUND)
-    return near.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))).where(F.col("n") <= k + 1)
+def _brute(asked, k: int):
+    def run(batches):
+        for batch in batches:
+            v, ids = _matrix(batch.column("v")), batch.column("vec_id").to_numpy()
+            yield _found([query for query, _ in asked.value], [_nearest(x, v, ids, k) for _, x in asked.value])
 
+    return run
 
-def _budget(forest: Forest, sizes, kept: DataFrame, blocks: DataFrame, classes: DataFrame, packer, k: int, recall: float) -> float:
+
+def _best(near: DataFrame, k: int) -> DataFrame:
+    """The k + 1 nearest of each query; trees may find a vector more than once."""
+    once = near.groupBy("query", "vec_id").agg(F.min("score").alias("score"))
+    return once.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))).where(F.col("n") <= k + 1).drop("n")
+
+
+def _budget(forest: Forest, sizes, kept: DataFrame, classes: DataFrame, k: int, recall: float) -> float:
     """Vectors that leaves must hold to find the share `recall` of the neighbours of some queries, known from brute force."""
-    some = hash_sample(classes, CALIBRATE, "query").limit(2 * CALIBRATE)
-    asked = {r.query: np.array(r.v) for r in some.collect()}
-    truth = _meet(blocks, some.coalesce(1).mapInArrow(packer, _QUERIES), k).join(kept, "vec_id").select("query", "vec_id", "v").collect()
+    some = hash_sample(classes, CALIBRATE, "query").limit(2 * CALIBRATE).collect()
+    asked = {r.query: np.array(r.v, float) for r in some}
+    shared = kept.sparkSession.sparkContext.broadcast(list(asked.items()))
+    truth = _best(kept.mapInArrow(_brute(shared, k), _FOUND), k).join(kept, "vec_id").orderBy("query", "score", "vec_id").select("query", "vec_id", "v").collect()
+    near: dict[int, list] = {}
+    for r in truth:
+        if r["query"] != r.vec_id:
+            near.setdefault(r["query"], []).append(np.array(r.v, float))
     held_at = []
-    for query, x in asked.items():
-        near = np.array([r.v for r in truth if r["query"] == query and r.vec_id != query][:k])
-        if not len(near):
-            continue
-        homes = np.stack([forest.file(near, t) for t in range(len(forest.trees))], axis=1)
-        held, missing = 0, np.ones(len(near), bool)
-        for t, leaf in forest.search(x, sizes, np.inf):
+    for query, found in near.items():
+        homes = np.stack([forest.file(np.array(found[:k]), t) for t in range(len(forest.trees))], axis=1)
+        held, missing = 0, np.ones(len(homes), bool)
+        for t, leaf in forest.search(asked[query], sizes, np.inf):
             held += int(sizes[t][leaf])
             new = missing & (homes[:, t] == leaf)
             held_at += [held] * int(new.sum())
@@ -218,42 +311,42 @@ def _budget(forest: Forest, sizes, kept: DataFrame, blocks: DataFrame, classes:
 
 
 def neighbours(vectors: DataFrame, every: int = 100, k: int = K, trees: int = TREES, visit: float = VISIT, recall: float = RECALL) -> DataFrame:
-    """vectors (vec_id, embedding) -> query_id, rank, vec_id, score for queries, the rows whose vec_id `every` divides.
-
-    Repeated ids are rows of their own; a query's own id is never its neighbour.
-    """
+    """vectors (vec_id, embedding) -> query_id, rank, vec_id, score for queries, the rows whose vec_id `every` divides."""
     spark = vectors.sparkSession
     rows = usable(vectors)
     common = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
     if common is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("v") == common.d)
+    kind = "<f4" if rows.schema["v"].dataType.elementType.typeName() == "float" else "<f8"
+    if kind == "<f8":
+        rows = rows.withColumn("v", F.col("v").cast("array<double>"))
     # the k + 1 smallest ids of each distinct vector
     order = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     kept, _ = materialise(rows.withColumn("n", order).where(F.col("n") <= k + 1).drop("n"), "vectors")
     sample = [r.v for r in sorted(hash_sample(kept, SAMPLE, "vec_id").limit(2 * SAMPLE).collect(), key=lambda r: (r.vec_id, r.v))]
-    forest = Forest(np.array(sample), trees)
+    forest = Forest(np.array(sample, float), trees)
     shared = spark.sparkContext.broadcast(forest)
-    blocks, _ = materialise(kept.mapInArrow(_blocks(shared), _BLOCKS), "blocks")
-
-    def count(batches):
-        total = np.zeros(sum(tree[4] for tree in shared.value.trees), np.int64)
-        for batch in batches:
-            for leaves in batch.column("leaves"):
-                total += np.bincount(np.frombuffer(leaves.as_py(), "<i4"), minlength=len(total))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["leaf", "n"])
-
-    # leaves are as many as the sample allows
-    counts = {r.leaf: r.n for r in blocks.select("leaves").mapInArrow(count, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect()}
-    base = np.cumsum([0] + [tree[4] for tree in forest.trees])
-    sizes = [np.array([counts.get(i, 0) for i in range(base[t], base[t + 1])], np.int64) for t in range(trees)]
-    held = spark.sparkContext.broadcast(sizes)
+    # leaves and cells are as many as the sample allows
+    counts = np.zeros(sum(forest.leaves), np.int64)
+    for r in kept.select("v").mapInArrow(_count(shared), "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect():
+        counts[r.leaf] = r.n
+    sizes = np.split(counts, np.cumsum(forest.leaves)[:-1])
+    in_cells = np.concatenate([np.add.reduceat(held, np.arange(0, len(held), CELL)) for held in sizes])
+    blocks = spark.sparkContext.broadcast(np.maximum(1, -(-in_cells // BLOCK)))
+    filed = kept.mapInArrow(_file(shared, blocks), _FILED.format(v=f"v {rows.schema['v'].dataType.simpleString()}"))
+    packed = filed.repartition("cell", "part").sortWithinPartitions("cell", "part").mapInArrow(_pack_vectors, _BLOCKS)
 
     # a query for each distinct vector among the query rows
     asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
     classes, _ = materialise(asked.groupBy("v").agg(F.min("vec_id").alias("query")), "queries")
-    enough = max(float(visit), _budget(forest, sizes, kept, blocks, classes, _searches(shared, held, np.inf), k, recall))
-    best = _meet(blocks, classes.mapInArrow(_searches(shared, held, enough), _QUERIES), k)
+    enough = max(float(visit), _budget(forest, sizes, kept, classes, k, recall))
+    wanted, _ = materialise(classes.mapInArrow(_search(shared, spark.sparkContext.broadcast(sizes), enough), _WANTED), "wanted")
+    crowd = wanted.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("parts"))
+    dealt = wanted.join(crowd, "cell").withColumn("part", F.pmod(F.xxhash64("query"), F.col("parts")).cast("int")).drop("parts")
+    grouped = dealt.repartition("cell", "part").sortWithinPartitions("cell", "part").mapInArrow(_pack_queries, _QUERIES)
+    met = packed.hint("merge").join(grouped, "cell").select("ids", "leaves", "v", "queries", "q", "wanted")
+    best, _ = materialise(_best(met.mapInArrow(_rerank(k, common.d, kind), _FOUND), k), "nearest")
     of_class = asked.join(classes, "v").select("query", F.col("vec_id").alias("query_id"))
     found = of_class.join(best, "query").where("query_id <> vec_id")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
