@@ -7,7 +7,9 @@ are then rounded to whole copies: every document gets the whole part, and the re
 largest size down, so that a source misses its target by about its smallest document. Which of equally long
 documents get the extra copy is decided by a hash of the id, so reruns agree.
 
-Null text has size 0, empty sources take nothing, null sources are a source of their own, last in order.
+Null text has size 0, empty sources take nothing, null sources are a source of their own, last in order. Rows of one id
+are rows, and which of them get the extra copy is not defined; an empty table gives an empty one. Only doc_id, text and
+source are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -30,6 +32,24 @@ def sizes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("source").cast("string").alias("source"), key.alias("key"), size.alias("size"))
 
 
+def placed(by_source: DataFrame) -> DataFrame:
+    """The number of each source, from 0, by code point, null last; sources may be many (hosts), so no task holds all."""
+    spark = by_source.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = F.col("source").asc_nulls_last()
+    ranged = by_source.repartitionByRange(n, order).withColumn("range", F.spark_partition_id())
+    ranged, _ = materialise(ranged, "ranged")
+    # one row a range
+    sizes = sorted((r["range"], r.n) for r in ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n")).collect())
+    before, starts = 0, []
+    for r, size in sizes:
+        starts += [F.lit(r), F.lit(before).cast("long")]
+        before += size
+    start = F.element_at(F.create_map(*starts), F.col("range")) if starts else F.lit(0).cast("long")
+    within = F.row_number().over(Window.partitionBy("range").orderBy(order)) - 1
+    return ranged.withColumn("place", start + within).drop("range")
+
+
 def targets(profile: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
     """profile (key, source, size, n) -> key, source_size, target; one row a source.
 
@@ -37,8 +57,8 @@ def targets(profile: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
     to the others by weight, again and again; that ends at one level for all sources below their caps.
     """
     by_source = profile.groupBy("key").agg(F.first("source").alias("source"), F.sum(F.col("size") * F.col("n")).alias("source_size"))
-    # one row a source; null last
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    by_source = placed(by_source)
+    place = F.col("place")
     shares = F.array(*map(F.lit, map(float, weights)))
     table, _ = materialise(by_source.withColumn("w", F.element_at(shares, (F.pmod(place, F.lit(len(weights))) + 1).cast("int"))).withColumn("most", F.col("source_size") * cap), "sources")
     total = float(table.agg(F.sum("source_size")).first()[0] or 0)
@@ -99,9 +119,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
     rated = rates.withColumn("whole", F.floor(rate)).withColumn("part", rate - F.floor(rate))
     # a source's sizes are few, whatever the number of its documents
     plan = profile.join(rated, "key").select("key", "size", "n", "whole", "part").groupBy("key").applyInPandas(_settle, "key string, size long, whole long, extra long")
-    # the rank of a document among its equals, in two steps: no partition holds a whole group
+    # the rank of a document among its equals, in two steps: no partition holds a whole group, of which chunks are a 65,536th
     mark = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    marked = rows.select("doc_id", "key", "size", mark.alias("mark"), F.substring(mark, 1, 2).alias("chunk"))
+    marked = rows.select("doc_id", "key", "size", mark.alias("mark"), F.substring(mark, 1, 4).alias("chunk"))
     chunks = marked.groupBy("key", "size", "chunk").agg(F.count(F.lit(1)).alias("n"))
     chunks = chunks.withColumn("before", F.sum("n").over(Window.partitionBy("key", "size").orderBy("chunk")) - F.col("n")).drop("n")
     ranked = marked.withColumn("place", F.row_number().over(Window.partitionBy("key", "size", "chunk").orderBy("mark"))).join(chunks, ["key", "size", "chunk"])
