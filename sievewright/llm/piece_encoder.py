@@ -10,7 +10,10 @@ relaxes the best way to that position:
   ranks would give other ids.)
 
 Text is cut before blanks and around new lines where no piece of the model crosses, and each cut piece of text is
-encoded once. Characters outside the vocabulary become byte pieces. Null text counts as empty.
+encoded once. Characters outside the vocabulary become byte pieces. Null text counts as empty. The model writes a blank
+as U+2581, so a text that holds this character itself decodes to one with a blank in its place, and `decodes` is false.
+Of ways of equal score the one with the longest last piece wins. Repeated rows are rows, an empty table gives an empty
+one, other columns stay, and columns of the names that are written are replaced.
 """
 
 from __future__ import annotations
@@ -91,18 +94,14 @@ class PieceEncoder:
         key = (left, right)
         ok = self.pairs.get(key)
         if ok is None:
-            ok = self._merged(left + right) == [left, right]
+            ok = self._merged(left + right) == ([left, right] if right else [left])
             if len(self.pairs) >= KEPT:
                 self.pairs.clear()
             self.pairs[key] = ok
         return ok
 
     def _whole(self, piece: str) -> bool:
-        key = (piece, "")
-        ok = self.pairs.get(key)
-        if ok is None:
-            ok = self.pairs[key] = self._merged(piece) == [piece]
-        return ok
+        return self._follows(piece, "")
 
     def _run(self, text: str) -> list[int]:
         """Ids of text without blanks (they are BLANK by now): one pass over the ends that the automaton reports."""
