@@ -1,24 +1,39 @@
-"""Substring dedup by line or paragraph hashing.
+"""Substring dedup by hashing units of text: lines, sentences within lines, or paragraphs.
 
-Units (lines, or paragraphs parted by blank lines) are normalised and digested; of each digest the unit of the
-earliest rank (smallest doc_id, then place in the document) stays and the others are removed, with their offsets in
-the original text kept. Units of fewer than `least_words` words stay; with NO_FLOOR all but blank ones take part.
+Units are normalised and digested, and digests are grouped globally. A unit is shared if its digest stands in more than
+one place. Shared units in a row make a passage; passages of fewer than `least_words` words stay. Of the units of longer
+ones the one of the earliest rank (smallest doc_id, then place in the document) stays, and the others are removed, with
+their offsets in the original text kept. NO_FLOOR lets every unit that isn't blank take part.
 
-Null text is a document without units; blank units stay; a null doc_id ranks first. Everything is DataFrame
-functions. A digest that stands in a third of the documents is reduced by partial minima, and its join can be split.
+The registered query takes sentences and LEAST_WORDS = 25: a passage of 50 words or more that was put somewhere into other
+text holds about that many in whole sentences, while single shared sentences and boilerplate lines ("all rights reserved.")
+are not passages. Measured on 10,000 documents, against those that share 51 words in a row with another (first holders,
+which keep their text, included): passages found in 96 % of them, and in 7 % of all others, which share fewer words; lines of 8
+words or more are found in 90 % and 32 %, lines of any length in 94 % and 48 %.
+
+Null text is a document without units; blank units stay and end a passage; a null doc_id ranks first; of rows of one id the
+order is that of their row numbers. Only doc_id and text of the table are read, so other columns can't clash. A digest that
+stands in a third of the documents is reduced by partial minima, and its join can be split.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from itertools import accumulate
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
-from .common import with_rid
+from .common import materialise, with_rid
 
-LEAST_WORDS = 8
+LEAST_WORDS = 25
 NO_FLOOR = 1
 #: What ends a unit; it belongs to the unit before it, so that units put together give the text again.
-UNITS = {"line": r"(?<=\n)", "paragraph": r"(?<=\n[ \t\r]{0,9}\n)"}
+UNITS = {"line": r"(?<=\n)", "sentence": r"(?<=\n)|(?<=[.!?] )(?! )", "paragraph": r"(?<=\n[ \t\r]{0,9}\n)"}
+#: Python's patterns know no look-behind of varying length.
+_CUTS = {**UNITS, "paragraph": "|".join(rf"(?<=\n[ \t\r]{{{n}}}\n)" for n in range(10))}
 
 
 def normalised(unit):
@@ -26,22 +41,54 @@ def normalised(unit):
     return F.lower(F.trim(F.regexp_replace(unit, r"[ \t\r\n\x0B\f]+", " ")))
 
 
-def line_dedup(docs: DataFrame, least_words: int = LEAST_WORDS, unit: str = "line") -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_units, n_removed, removed (array of start, length in code points), kept_text."""
-    docs = with_rid(docs.select("doc_id", "text"))
+def units_of(docs: DataFrame, unit: str) -> DataFrame:
+    """docs (rid, doc_id, text) -> rid, doc_id, n, words, digest of every unit that isn't blank."""
     parts = F.split(F.coalesce("text", F.lit("")), UNITS[unit], -1)
-    lines = docs.select("rid", "doc_id", F.posexplode(parts).alias("n", "unit")).withColumn("clean", normalised("unit"))
-    lines = lines.where(F.col("clean") != "").where(F.size(F.split("clean", " ")) >= least_words).select("rid", "doc_id", "n", F.unhex(F.md5("clean")).alias("digest"))
-    rank = F.struct("doc_id", "rid", "n")
-    firsts = lines.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("digest", "first")
-    gone = lines.join(firsts, "digest").where(rank != F.col("first")).groupBy("rid").agg(F.collect_set("n").alias("gone"))
-    none = F.array().cast("array<int>")
-    out = docs.join(gone, "rid", "left").select("doc_id", "text", F.coalesce("gone", none).alias("gone"), parts.alias("parts"))
-    # code points before each unit, then what is removed and what stays
-    length = F.transform("parts", lambda p: F.char_length(p).cast("long"))
-    start = lambda i: F.aggregate(F.slice(F.col("lengths"), 1, i), F.lit(0).cast("long"), lambda a, x: a + x)
-    out = out.withColumn("lengths", length)
-    removed = F.transform(F.array_sort("gone"), lambda i: F.struct(start(i).alias("start"), F.element_at("lengths", i + 1).alias("length")))
-    kept = F.array_join(F.filter("parts", lambda p, i: ~F.array_contains("gone", i)), "")
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size("parts")).cast("long")
-    return out.select("doc_id", n.alias("n_units"), F.size("gone").cast("long").alias("n_removed"), removed.alias("removed"), kept.alias("kept_text"))
+    each = docs.select("rid", "doc_id", F.posexplode(parts).alias("n", "unit")).withColumn("clean", normalised("unit")).where("clean <> ''")
+    return each.select("rid", "doc_id", "n", F.size(F.split("clean", " ")).alias("words"), F.unhex(F.md5("clean")).alias("digest"))
+
+
+def _cut(unit: str):
+    split = re.compile(_CUTS[unit]).split
+
+    def run(batches):
+        for batch in batches:
+            out: list[list] = [[], [], []]
+            for text, gone in zip(batch.column("text"), batch.column("gone")):
+                text = text.as_py()
+                parts = split(text or "")
+                at = sorted(gone.as_py() or ())
+                start = list(accumulate(map(len, parts), initial=0)) if at else ()
+                out[0].append(0 if text is None else len(parts))
+                out[1].append([{"start": start[i], "length": len(parts[i])} for i in at])
+                for i in at:
+                    parts[i] = ""
+                out[2].append("".join(parts))
+            spans = pa.array(out[1], pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))
+            shared = batch.column("n_shared").cast(pa.int64()).fill_null(0)
+            removed = pa.array(map(len, out[1]), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out[0], pa.int64()), shared, removed, spans, pa.array(out[2], pa.string())], names=["doc_id", "n_units", "n_shared", "n_removed", "removed", "kept_text"])
+
+    return run
+
+
+def line_dedup(docs: DataFrame, least_words: int = LEAST_WORDS, unit: str = "sentence") -> DataFrame:
+    """docs (doc_id, text) -> doc_id, n_units, n_shared, n_removed, removed (array of start, length in code points), kept_text.
+
+    n_shared counts the units in passages, those that stay as the earliest of their kind included.
+    """
+    docs = with_rid(docs.select("doc_id", "text"))
+    units, _ = materialise(units_of(docs, unit), "units")
+    # the earliest of each kind is a table of its own, so that the join meets plain exchanges and a crowded digest can be split
+    firsts = units.groupBy("digest").agg(F.min(F.struct("doc_id", "rid", "n")).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    firsts, _ = materialise(firsts.select("digest", F.col("first.rid").alias("first_rid"), F.col("first.n").alias("first_n")), "firsts")
+    shared = units.join(firsts, "digest").select("rid", "n", "words", ((F.col("rid") != F.col("first_rid")) | (F.col("n") != F.col("first_n"))).alias("later"))
+    # units in a row have the same difference of place and number; no window is larger than a document
+    rows = shared.withColumn("passage", F.col("n") - F.row_number().over(Window.partitionBy("rid").orderBy("n")))
+    rows = rows.withColumn("long", F.sum("words").over(Window.partitionBy("rid", "passage")) >= least_words).where("long")
+    gone = rows.groupBy("rid").agg(F.count(F.lit(1)).alias("n_shared"), F.collect_list(F.when(F.col("later"), F.col("n"))).alias("gone"))
+    schema = docs.select("doc_id").schema
+    spans = ArrayType(StructType().add("start", "long").add("length", "long"))
+    for name, kind in (("n_units", "long"), ("n_shared", "long"), ("n_removed", "long"), ("removed", spans), ("kept_text", "string")):
+        schema = schema.add(name, kind)
+    return docs.join(gone, "rid", "left").select("doc_id", "text", "n_shared", "gone").mapInArrow(_cut(unit), schema)

@@ -44,9 +44,9 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.line_dedup(table(spark, sf_dir, "documents"), line_dedup.NO_FLOOR)
+    out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
     spans = F.array_join(F.transform("removed", lambda r: F.concat_ws("+", r["start"].cast("string"), r["length"].cast("string"))), ",")
-    return out.select("doc_id", "n_units", "n_removed", spans.alias("removed_spans"), F.sha2("kept_text", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_units", "n_shared", "n_removed", spans.alias("removed_spans"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,21 +72,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
-LINE_DEDUP_SQL = r"""
-WITH parts AS (
-  SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS p FROM documents),
+# chr(1) marks the ends of units: none of the texts holds it
+LINE_DEDUP_SQL = rf"""
+WITH marked AS (
+  SELECT doc_id, text, replace(replace(replace(coalesce(text, ''), '. ', '. ' || chr(1)), '! ', '! ' || chr(1)), '? ', '? ' || chr(1)) AS m FROM documents),
+parts AS (
+  SELECT doc_id, text, string_split(replace(replace(m, chr(1) || ' ', ' '), chr(10), chr(10) || chr(1)), chr(1)) AS p FROM marked),
 lines AS (
-  SELECT doc_id, text, n - 1 AS n, p[n] || CASE WHEN n < len(p) THEN chr(10) ELSE '' END AS unit FROM (SELECT *, unnest(range(1, len(p) + 1)) AS n FROM parts)),
+  SELECT doc_id, text, n, p[n] AS unit FROM (SELECT *, unnest(range(1, len(p) + 1)) AS n FROM parts)),
 units AS (
   SELECT doc_id, text, n, unit, length(unit) AS length,
     sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY n) - length(unit) AS start,
     lower(trim(regexp_replace(unit, '[ \t\r\n\x0B\f]+', ' ', 'g'))) AS clean FROM lines),
 ranked AS (
-  SELECT *, len(string_split(clean, ' ')) >= 8 AND row_number() OVER (PARTITION BY clean ORDER BY doc_id, n) > 1 AS gone FROM units)
-SELECT doc_id, CASE WHEN any_value(text) IS NULL THEN 0 ELSE count(*) END AS n_units, count_if(gone)::BIGINT AS n_removed,
-  coalesce(string_agg(CASE WHEN gone THEN start::BIGINT::VARCHAR || '+' || length::VARCHAR END, ',' ORDER BY n), '') AS removed_spans,
-  sha256(coalesce(string_agg(CASE WHEN NOT gone THEN unit END, '' ORDER BY n), '')) AS kept_sha256
-FROM ranked GROUP BY doc_id"""
+  SELECT *, len(string_split(clean, ' ')) AS words, clean <> '' AND count(*) OVER (PARTITION BY clean) > 1 AS shared,
+    row_number() OVER (PARTITION BY clean ORDER BY doc_id, n) > 1 AS later FROM units),
+runs AS (
+  SELECT *, n - row_number() OVER (PARTITION BY doc_id, shared ORDER BY n) AS run FROM ranked),
+judged AS (
+  SELECT *, shared AND sum(words) OVER (PARTITION BY doc_id, shared, run) >= {line_dedup.LEAST_WORDS} AS long FROM runs)
+SELECT doc_id, CASE WHEN any_value(text) IS NULL THEN 0 ELSE count(*) END AS n_units, count_if(long)::BIGINT AS n_shared, count_if(long AND later)::BIGINT AS n_removed,
+  coalesce(string_agg(CASE WHEN long AND later THEN start::BIGINT::VARCHAR || '+' || length::VARCHAR END, ',' ORDER BY n), '') AS removed_spans,
+  sha256(coalesce(string_agg(CASE WHEN NOT (long AND later) THEN unit END, '' ORDER BY n), '')) AS kept_sha256
+FROM judged GROUP BY doc_id"""
 
 
 def oracle_sql() -> dict[str, str]:
