@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,8 +77,12 @@ def query_terms(questions: DataFrame) -> DataFrame:
 
 def bm25(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     """Top k chunks a question; a question without tokens gets none."""
-    asked = query_terms(questions)
-    hits = asked.join(weighted_postings(chunks, asked), "term")
+    return bm25_of(weighted_postings(chunks, query_terms(questions)), chunks, questions, k)
+
+
+def bm25_of(weights: DataFrame, chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """bm25 with weights (idx, term, weight) that were made before."""
+    hits = query_terms(questions).join(weights, "term")
     scored = hits.groupBy("query_id", "idx").agg(F.sum(F.col("n") * F.col("weight")).alias("score"))
     return pad(rank_rows(scored, k), questions, chunks, k)
 
@@ -91,25 +97,92 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+#: Numbers (of 8 bytes) of query vectors that are shared with every task; more queries than that meet the vectors as a join.
+SHARED_NUMBERS = 4_000_000
+
+
+def _best_of_batches(shared, k: int, dense):
+    """The k best rows of each batch for every query; dense(batch) gives ids and a matrix with a row for each."""
+
+    def run(batches):
+        ids, matrix = shared.value
+        for batch in batches:
+            idx, m = dense(batch)
+            out: list[list] = [[], [], []]
+            for query, row in zip(ids, (matrix @ m.T) if len(idx) else ()):
+                # a score that is rounded up may pass one that is not, so a little more than the k best are looked at
+                near = np.flatnonzero(row >= np.partition(row, -k)[-k] - 1e-8) if len(row) > k else np.arange(len(row))
+                best = near[np.lexsort((idx[near], -np.round(row[near], 9)))[:k]]
+                for c, v in zip(out, (np.full(len(best), query), idx[best], row[best])):
+                    c.append(v)
+            columns = [np.concatenate(c) if c else np.zeros(0, t) for c, t in zip(out, (np.int64, np.int64, float))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "idx", "score"])
+
+    return run
+
+
 def vector_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """vectors (idx, v), queries (query_id, q): exact top k by inner product. The stated queries meet every vector."""
-    scored = vectors.crossJoin(queries).select("query_id", "idx", dot(F.col("q"), F.col("v")).alias("score"))
-    return rank_rows(scored, k)
+    """vectors (idx, v), queries (query_id, q): exact top k by inner product. The stated queries meet every vector.
+
+    Queries of up to SHARED_NUMBERS numbers are shared with the tasks, which keep the k best of each batch; more meet the
+    vectors row by row.
+    """
+    spark = vectors.sparkSession
+    queries = queries.select("query_id", "q")
+    size = queries.agg(F.sum(F.size("q"))).first()[0] or 0
+    if size > SHARED_NUMBERS:
+        return rank_rows(vectors.crossJoin(queries).select("query_id", "idx", dot(F.col("q"), F.col("v")).alias("score")), k)
+    rows = queries.orderBy("query_id").collect()
+    if not rows:
+        return spark.createDataFrame([], "query_id long, idx long, score double, rank int")
+    shared = spark.sparkContext.broadcast(([r.query_id for r in rows], np.array([r.q for r in rows], float)))
+
+    def dense(batch):
+        numbers = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(float)
+        return batch.column("idx").to_numpy(), numbers.reshape(batch.num_rows, -1)
+
+    near = vectors.select(F.col("idx").cast("long").alias("idx"), "v").mapInArrow(_best_of_batches(shared, k, dense), "query_id long, idx long, score double")
+    return rank_rows(near, k)
+
+
+def _hashed_counts(rows: DataFrame, key: str, column: str, dims: int) -> DataFrame:
+    slot = F.pmod(F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long"), F.lit(dims))
+    return rows.select(key, F.explode(text.tokenize(F.col(column))).alias("term")).groupBy(key, slot.alias("dim")).agg(F.count(F.lit(1)).cast("double").alias("n"))
 
 
 def hashed_vectors(rows: DataFrame, key: str, column: str, dims: int = 256) -> DataFrame:
     """key, dim, weight: tokens hashed into dims, counted, scaled to unit length. A model-free stand-in for an encoder."""
-    slot = F.pmod(F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long"), F.lit(dims))
-    counts = rows.select(key, F.explode(text.tokenize(F.col(column))).alias("term")).groupBy(key, slot.alias("dim")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    counts = _hashed_counts(rows, key, column, dims)
     norms = counts.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
     return counts.join(norms, key).select(key, "dim", (F.col("n") / F.col("norm")).alias("weight"))
 
 
 def hashed_dense(chunks: DataFrame, questions: DataFrame, k: int, dims: int = 256) -> DataFrame:
-    """Inner product of hashed vectors, as a join of their non-zero parts."""
-    left = hashed_vectors(questions, "query_id", "query", dims).withColumnRenamed("weight", "qw")
-    hits = left.join(hashed_vectors(chunks, "idx", "text", dims), "dim")
-    return rank_rows(hits.groupBy("query_id", "idx").agg(F.sum(F.col("qw") * F.col("weight")).alias("score")), k)
+    """Inner product of hashed vectors. Questions of up to SHARED_NUMBERS numbers are shared with the tasks, more are joined."""
+    left = hashed_vectors(questions, "query_id", "query", dims)
+    spark = chunks.sparkSession
+    if left.count() > SHARED_NUMBERS // dims:
+        hits = left.withColumnRenamed("weight", "qw").join(hashed_vectors(chunks, "idx", "text", dims), "dim")
+        return rank_rows(hits.groupBy("query_id", "idx").agg(F.sum(F.col("qw") * F.col("weight")).alias("score")), k)
+    rows = left.orderBy("query_id", "dim").collect()
+    ids = sorted({r.query_id for r in rows})
+    matrix = np.zeros((len(ids), dims))
+    for r in rows:
+        matrix[ids.index(r.query_id), r.dim] = r.weight
+    shared = spark.sparkContext.broadcast((ids, matrix))
+
+    def dense(batch):
+        m = np.zeros((batch.num_rows, dims))
+        part = batch.column("parts").flatten()
+        row = np.repeat(np.arange(batch.num_rows), np.diff(batch.column("parts").offsets.to_numpy()))
+        m[row, part.field("dim").to_numpy()] = part.field("n").to_numpy()
+        norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        # a chunk that shares no part with a question isn't found, as by the join
+        return batch.column("idx").to_numpy(), np.divide(m, norm, out=m, where=norm > 0)
+
+    packed = _hashed_counts(chunks, "idx", "text", dims).groupBy("idx").agg(F.collect_list(F.struct("dim", "n")).alias("parts"))
+    near = packed.select(F.col("idx").cast("long").alias("idx"), "parts").mapInArrow(_best_of_batches(shared, k, dense), "query_id long, idx long, score double")
+    return rank_rows(near.where("score > 0"), k)
 
 
 def fuse(systems: list[DataFrame], k: int, rrf_k: int = 60) -> DataFrame:
@@ -163,6 +236,60 @@ def generated_rewrite(questions: DataFrame, generate: Callable[[Column], Column]
     return questions.select("query_id", "query", F.coalesce(new, "query").alias("retrieval_query"))
 
 
+def rewritten(rewrites: DataFrame, search: Callable[[DataFrame, int], DataFrame], chunks: DataFrame, score_pair: Callable[[Column, Column], Column], pool: int, k: int) -> DataFrame:
+    """Retrieval with a rewritten question, reranked against the question as it was asked.
+
+    rewrites (query_id, query, retrieval_query); search(questions, depth) is any ranking system over (query_id, query).
+    """
+    found = search(rewrites.select("query_id", F.col("retrieval_query").alias("query")), pool)
+    return rerank(found, chunks, rewrites.select("query_id", "query"), score_pair, k)
+
+
+def unchanged_rewrites(rewrites: DataFrame) -> DataFrame:
+    """n, unchanged: rewrites that are the question itself."""
+    return rewrites.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("query") == F.col("retrieval_query")).alias("unchanged"))
+
+
+def encoded(rows: DataFrame, key: str, column: str, encode: Callable[[Column], Column], prefix: str = "") -> DataFrame:
+    """key, v: a text column, with an instruction prefix before it, through an encoder (a text column -> array of numbers), at unit length."""
+    v = encode(F.concat(F.lit(prefix), F.coalesce(F.col(column), F.lit(""))))
+    rows = rows.select(key, v.cast("array<double>").alias("v")).withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
+    return rows.select(key, F.when(F.col("norm") > 0, F.transform("v", lambda x: x / F.col("norm"))).otherwise(F.col("v")).alias("v"))
+
+
+def dense(chunks: DataFrame, questions: DataFrame, encode: Callable[[Column], Column], k: int, instructions: tuple[str, str] = ("", "")) -> DataFrame:
+    """Dense retrieval with an encoder; instructions are the prefixes of questions and of passages (see text.instructions)."""
+    q = encoded(questions, "query_id", "query", encode, instructions[0]).withColumnRenamed("v", "q")
+    return vector_top(encoded(chunks, "idx", "text", encode, instructions[1]), q, k)
+
+
+def sparse_expansion(weights: DataFrame, top: int = 12) -> DataFrame:
+    """weights (idx, term, weight) -> idx, place, term, weight: the heaviest terms of each chunk above zero, ties by the term."""
+    place = F.row_number().over(Window.partitionBy("idx").orderBy(F.desc(F.round("weight", 9)), "term"))
+    return weights.where("weight > 0").withColumn("place", place).where(F.col("place") <= top).select("idx", "place", "term", "weight")
+
+
+def nonzero_terms(weights: DataFrame, chunks: DataFrame) -> DataFrame:
+    """chunks, mean_terms: how many weights above zero a chunk has on average; chunks without any count."""
+    n = chunks.agg(F.count(F.lit(1)).alias("chunks"))
+    return weights.agg(F.count_if(F.col("weight") > 0).alias("terms")).crossJoin(n).select("chunks", F.when(F.col("chunks") > 0, F.col("terms") / F.col("chunks")).otherwise(0.0).alias("mean_terms"))
+
+
+def expansion_summary(sizes: DataFrame) -> DataFrame:
+    """sizes (query_id, n) -> n, mean, middle (upper median), most, none: questions without a new neighbour.
+
+    The median comes from a histogram, which is as long as the largest number of neighbours.
+    """
+    histogram = sizes.groupBy("n").agg(F.count(F.lit(1)).alias("c"))
+    packed = histogram.agg(F.array_sort(F.collect_list(F.struct("n", "c"))).alias("h"))
+    total = F.aggregate("h", F.lit(0).cast("long"), lambda a, x: a + x["c"])
+    upto = F.transform("h", lambda x: F.struct(x["n"].alias("n"), F.aggregate(F.filter("h", lambda y: y["n"] <= x["n"]), F.lit(0).cast("long"), lambda a, y: a + y["c"]).alias("c")))
+    middle = F.element_at(F.filter(upto, lambda x: x["c"] > F.floor(total / 2)), 1)["n"]
+    mean = F.aggregate("h", F.lit(0.0), lambda a, x: a + x["n"] * x["c"]) / total
+    none = F.coalesce(F.aggregate(F.filter("h", lambda x: x["n"] == 0), F.lit(0).cast("long"), lambda a, x: a + x["c"]), F.lit(0))
+    return packed.where(F.size("h") > 0).select(total.alias("n"), mean.alias("mean"), middle.alias("middle"), F.element_at("h", -1)["n"].alias("most"), none.alias("none"))
+
+
 def expand(found: DataFrame, chunks: DataFrame, edges: DataFrame, pool: int, cap: int = 15, step: float = 0.001) -> DataFrame:
     """Ranked rows and, behind them, the chunks of sections that their sections refer to or are referred to by.
 
