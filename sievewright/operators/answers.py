@@ -107,6 +107,50 @@ def tagged(answers: DataFrame, context: DataFrame) -> DataFrame:
     return first.select("query_id", place.alias("n"), "evidence_id", F.col("claim").alias("quote"))
 
 
+#: How a generator is asked; the passages are numbered, and the numbers are what answers cite.
+PROMPT = "Answer from the numbered passages only, and put the numbers of the passages used behind each sentence, as in [1] or [2][3]. If they don't answer the question, reply: Not covered by these passages.\n\n{passages}\n\nQuestion: {question}"
+
+
+def prompts(context: DataFrame, template: str = PROMPT, most: int = 700) -> DataFrame:
+    """context (query_id, query, text, rank) -> query_id, prompt: the passages by rank, numbered and cut."""
+    passage = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.regexp_replace(F.substring("text", 1, most), r"(?U)\s+\z", ""))
+    packed = context.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", passage.alias("passage")))).alias("p"), F.first("query").alias("query"))
+    before, rest = template.split("{passages}")
+    between, after = rest.split("{question}")
+    joined = F.array_join(F.transform("p", lambda x: x["passage"]), "\n\n")
+    return packed.select("query_id", F.concat(F.lit(before), joined, F.lit(between), F.col("query"), F.lit(after)).alias("prompt"))
+
+
+def claim_sources(citations: DataFrame, context: DataFrame) -> DataFrame:
+    """query_id, evidence_id, claim, source: each cited claim that isn't blank with the text it cites; of several chunks of a section the last."""
+    texts = context.groupBy("query_id", "evidence_id").agg(F.max_by("text", "rank").alias("source"))
+    named = citations.where(text.strip(F.col("quote")) != "").select("query_id", "evidence_id", F.col("quote").alias("claim"))
+    return named.join(texts, ["query_id", "evidence_id"])
+
+
+def citation_means(checked: DataFrame, over: DataFrame) -> DataFrame:
+    """answers, n, grounded, supported: means over cited answers, all of them and apart by whether they over-attribute.
+
+    checked (query_id, citations, grounded, supported), over (query_id, over).
+    """
+    cited = checked.where("citations > 0").join(over, "query_id")
+    kinds = F.explode(F.array(F.lit("all"), F.when(F.col("over"), "over_attributed").otherwise("one_source")))
+    return cited.select("grounded", "supported", kinds.alias("answers")).groupBy("answers").agg(F.count(F.lit(1)).alias("n"), F.avg("grounded").alias("grounded"), F.avg("supported").alias("supported"))
+
+
+def within_bounds(question: Column, k: Column, characters=(5, 500), results=(1, 20)) -> Column:
+    """Whether a request may be asked: the length of its question and the number of results."""
+    return F.coalesce(F.char_length(question).between(*characters) & k.between(*results), F.lit(False))
+
+
+def check_bounds(question: str, k: int, characters=(5, 500), results=(1, 20)) -> None:
+    """The same for one request, as an error."""
+    if not characters[0] <= len(question) <= characters[1]:
+        raise ValueError(f"a question has {characters[0]} to {characters[1]} characters")
+    if not results[0] <= k <= results[1]:
+        raise ValueError(f"k is {results[0]} to {results[1]}")
+
+
 def over_attributed(answers: DataFrame) -> DataFrame:
     """query_id, over: any claim with more than one number."""
     return answers.select("query_id").join(claims(answers).groupBy("query_id").agg(F.max(F.size("numbers") > 1).alias("o")), "query_id", "left").select("query_id", F.coalesce("o", F.lit(False)).alias("over"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lists, text
+from .statistics import upper_median
 
 #: How a question may have come about.
 SOURCES = ["hand_written", "derived_from_document_structure", "llm_drafted_human_verified"]
@@ -81,13 +82,89 @@ def neighbours(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "section", F.lag("section").over(w).alias("previous"), F.lead("section").over(w).alias("next"))
 
 
+def _number(text_: Column, n: Column) -> Column:
+    """A number from 0 to n - 1 from the md5 of a text: the same in any engine."""
+    return F.pmod(F.conv(F.substring(F.md5(text_), 1, 8), 16, 10).cast("long"), n)
+
+
+#: Sections in a bucket that a drawn section is looked for in, about.
+BUCKET = 64
+
+
+def spurious_sections(questions: DataFrame, rows: DataFrame, seed: str) -> DataFrame:
+    """questions (id) -> id, spurious: a section of the corpus, drawn for each by hashes of the seed, the id and the section.
+
+    Sections are dealt into buckets, a question draws a bucket, and in it the section of the least hash. An empty bucket
+    gives the first section of the corpus.
+    """
+    every = rows.select(F.concat_ws("::", "doc_id", "section").alias("evidence_id"))
+    buckets = every.agg(F.greatest(F.lit(1).cast("long"), F.floor(F.count(F.lit(1)) / BUCKET)).alias("buckets"), F.min("evidence_id").alias("first"))
+    dealt = every.crossJoin(F.broadcast(buckets)).select("evidence_id", _number(F.col("evidence_id"), F.col("buckets")).alias("bucket"))
+    asked = questions.crossJoin(F.broadcast(buckets)).select("id", "first", _number(F.concat_ws(":", F.lit(seed), "id", F.lit("bucket")), F.col("buckets")).alias("bucket"))
+    mark = F.md5(F.concat_ws(":", F.lit(seed), "id", "evidence_id"))
+    drawn = asked.join(dealt, "bucket", "left").groupBy("id").agg(F.min_by("evidence_id", F.struct(mark, "evidence_id")).alias("drawn"), F.first("first").alias("first"))
+    return drawn.select("id", F.coalesce("drawn", "first").alias("spurious"))
+
+
+def plant(items: DataFrame, rows: DataFrame, seed: str, size: int) -> DataFrame:
+    """id, place, corrupted, how, evidence_id, replacement: a blind sample of `size` questions in an order that tells nothing.
+
+    The sample is the questions of the least hash. Of these the first half that can be broken are, the others stay sound.
+    Raises ValueError where there are fewer questions than `size`.
+    """
+    mark = lambda tag: F.md5(F.concat_ws(":", F.lit(seed), F.lit(tag), "id"))
+    sample = items.orderBy(mark("sample"), "id").limit(size)
+    if sample.count() < size:
+        raise ValueError(f"fewer than {size} questions")
+    # a sample is small by its nature, so its order may be one window
+    broken = corrupt(sample, rows, seed).join(sample.select("id", mark("sample").alias("m")), "id")
+    broken = broken.withColumn("n", F.row_number().over(Window.orderBy("m", "id"))).where(F.col("n") <= size // 2).select("id", "how", "evidence_id", "replacement")
+    out = sample.select("id").join(broken, "id", "left").withColumn("place", F.row_number().over(Window.orderBy(mark("shuffle"), "id")))
+    return out.select("id", "place", F.col("how").isNotNull().alias("corrupted"), F.coalesce("how", F.lit("")).alias("how"), "evidence_id", "replacement")
+
+
+def review(items: DataFrame, rows: DataFrame) -> DataFrame:
+    """id, n, doc_id, section, why, exists, text: the required evidence of each question with what stands there; rows (evidence_id, text)."""
+    each = items.select("id", F.posexplode("required_evidence").alias("n", "e")).select("id", "n", "e.doc_id", "e.section", "e.why", F.concat_ws("::", "e.doc_id", "e.section").alias("evidence_id"))
+    found = each.join(rows.select("evidence_id", "text").withColumn("exists", F.lit(True)), "evidence_id", "left")
+    return found.select("id", "n", "doc_id", "section", "why", F.coalesce("exists", F.lit(False)).alias("exists"), F.coalesce("text", F.lit("this section does not exist in the corpus")).alias("text"))
+
+
+def recheck(items: DataFrame, rows: DataFrame, group: str, evidence: str | None = None) -> DataFrame:
+    """id, doc_id, ord, section, cited: every section of each document that a question of the group cites, cited ones marked.
+
+    group is unanswerable, multiple (two required sections or more) or cites (those that cite the section `evidence`).
+    Questions that cite nothing come with one row of nulls.
+    """
+    key = F.transform("required_evidence", lambda e: F.concat_ws("::", e["doc_id"], e["section"]))
+    wanted = {"unanswerable": F.col("category") == "unanswerable", "multiple": F.size("required_evidence") >= 2, "cites": F.array_contains(key, F.lit(evidence))}[group]
+    chosen = items.where(wanted).select("id", key.alias("keys"), F.array_distinct(F.transform("required_evidence", lambda e: e["doc_id"])).alias("docs"))
+    docs = chosen.select("id", "keys", F.explode_outer("docs").alias("doc_id"))
+    marked = docs.join(rows.select("doc_id", "ord", "section"), "doc_id", "left")
+    return marked.select("id", "doc_id", "ord", "section", F.coalesce(F.array_contains("keys", F.concat_ws("::", "doc_id", "section")), F.lit(False)).alias("cited"))
+
+
+def look_up(asked: DataFrame, drafts: DataFrame, questions: DataFrame) -> DataFrame:
+    """asked (asked) -> asked, id, origin, question: the item of that id in any case, among the drafts first, then the questions."""
+    every = drafts.select("id", "question", F.lit(0).alias("p")).unionByName(questions.select("id", "question", F.lit(1).alias("p")))
+    best = every.groupBy(F.lower("id").alias("key")).agg(F.min(F.struct("p", "id", "question")).alias("b"))
+    found = asked.withColumn("key", F.lower(F.trim("asked"))).join(best, "key", "left")
+    return found.select("asked", F.col("b.id").alias("id"), F.when(F.col("b.p") == 0, "draft").when(F.col("b.p") == 1, "question").alias("origin"), F.col("b.question").alias("question"))
+
+
+def counters(findings: DataFrame, items: DataFrame) -> DataFrame:
+    """One row: items, errors, warnings, median_minutes (the upper one) of a validation; findings (level), items (minutes)."""
+    found = findings.agg(F.count_if(F.col("level") == "error").alias("errors"), F.count_if(F.col("level") == "warning").alias("warnings"))
+    return items.agg(F.count(F.lit(1)).alias("items")).crossJoin(found).crossJoin(upper_median(items, "minutes", "median_minutes"))
+
+
 def corrupt(items: DataFrame, rows: DataFrame, seed: str) -> DataFrame:
     """id, how, evidence_id, replacement: one way to break each question's labels, drawn by a hash of seed and id.
 
     drop takes a required section away (of two or more), add puts in the neighbour of one, swap replaces one by its
     neighbour. Questions without evidence get a section of the corpus (spurious). Those that can't be broken are left out.
     """
-    draw = lambda tag, n: F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "id", F.lit(tag))), 1, 8), 16, 10).cast("long"), n)
+    draw = lambda tag, n: _number(F.concat_ws(":", F.lit(seed), "id", F.lit(tag)), n)
     n = F.size("required_evidence")
     ways = F.when(n >= 2, F.array(*map(F.lit, ("drop", "add", "swap")))).when(n == 1, F.array(F.lit("add"), F.lit("swap"))).otherwise(F.array(F.lit("spurious")))
     picked = items.select("id", "required_evidence", F.get(ways, draw("how", F.size(ways)).cast("int")).alias("how"), F.when(n > 0, F.get("required_evidence", draw("which", F.greatest(n, F.lit(1))).cast("int"))).alias("e"))
@@ -97,11 +174,10 @@ def corrupt(items: DataFrame, rows: DataFrame, seed: str) -> DataFrame:
     options = F.filter(F.array_compact(F.array("previous", "next")), lambda o: ~F.array_contains(used, o))
     joined = joined.withColumn("options", options)
     choice = F.when(F.col("how").isin("add", "swap"), F.get("options", draw("option", F.greatest(F.size("options"), F.lit(1))).cast("int")))
-    first = rows.agg(F.min(F.struct("doc_id", "ord", "section")).alias("f"))
-    out = joined.withColumn("choice", choice).crossJoin(first)
+    out = joined.withColumn("choice", choice).select("id", "how", "e", "choice").join(spurious_sections(items.where(F.size("required_evidence") <= 0).select("id"), rows, seed), "id", "left")
     out = out.where(~F.col("how").isin("add", "swap") | F.col("choice").isNotNull())
     evidence = F.when(F.col("how") != "spurious", F.concat_ws("::", "e.doc_id", "e.section"))
-    replacement = F.when(F.col("how") == "spurious", F.concat_ws("::", "f.doc_id", "f.section")).when(F.col("choice").isNotNull(), F.concat_ws("::", "e.doc_id", "choice"))
+    replacement = F.when(F.col("how") == "spurious", F.col("spurious")).when(F.col("choice").isNotNull(), F.concat_ws("::", "e.doc_id", "choice"))
     return out.select("id", "how", evidence.alias("evidence_id"), replacement.alias("replacement"))
 
 
@@ -137,6 +213,13 @@ def fetch_mode(title: Column, heading: Column, least: float = 0.8) -> Column:
     return F.when(text.overlap_share(F.array_distinct(text.tokenize(title)), F.array_distinct(text.tokenize(heading))) >= least, "entire_section").otherwise("page")
 
 
+def failure_counts(causes: DataFrame, questions: DataFrame) -> DataFrame:
+    """cause, category, n: how often each cause is met in each category; category `all` is the sum. questions (query_id, category)."""
+    joined = causes.join(questions.select("query_id", "category"), "query_id")
+    each = F.explode(F.array(F.col("category"), F.lit("all")))
+    return joined.select("cause", each.alias("category")).groupBy("cause", "category").agg(F.count(F.lit(1)).alias("n"))
+
+
 def failures(missed: DataFrame, found: DataFrame, questions: DataFrame, rows: DataFrame) -> DataFrame:
     """query_id, evidence_id, cause for each missed required section.
 

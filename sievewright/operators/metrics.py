@@ -74,6 +74,37 @@ def abstention_correct(required: DataFrame, answered: DataFrame) -> DataFrame:
     return required.join(answered, "query_id").select("query_id", ((F.col("n_required") == 0) != F.col("answered")).alias("correct"))
 
 
+def score_spread(top: DataFrame) -> DataFrame:
+    """top (answerable, score) -> answerable, n, low, middle, high."""
+    return top.groupBy("answerable").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"), F.median("score").alias("middle"), F.max("score").alias("high"))
+
+
+def worst(top: DataFrame, n: int = 5) -> DataFrame:
+    """The unanswerable questions of the highest scores."""
+    return top.where("not answerable").orderBy(F.desc("score"), "key").limit(n)
+
+
+def moved(a: DataFrame, b: DataFrame, key: str = "query_id", value: str = "value") -> DataFrame:
+    """key, before, after of every question whose value changed."""
+    pair = a.select(key, F.col(value).alias("before")).join(b.select(key, F.col(value).alias("after")), key)
+    return pair.where("before <> after")
+
+
+def before_after(a: DataFrame, b: DataFrame, questions: DataFrame, key: str = "query_id", value: str = "value") -> DataFrame:
+    """category, n, before, after: means by category. questions (key, category)."""
+    pair = a.select(key, F.col(value).alias("before")).join(b.select(key, F.col(value).alias("after")), key).join(questions.select(key, "category"), key)
+    return pair.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.avg("before").alias("before"), F.avg("after").alias("after"))
+
+
+def completeness(required: DataFrame, found: DataFrame) -> DataFrame:
+    """required, found (query_id, evidence_id) -> outcome, n: questions whose required sections were all found, in part or not at all."""
+    wanted = required.select("query_id", "evidence_id").distinct()
+    met = wanted.join(found.select("query_id", "evidence_id").distinct().withColumn("met", F.lit(1)), ["query_id", "evidence_id"], "left")
+    per = met.groupBy("query_id").agg(F.count(F.lit(1)).alias("wanted"), F.count("met").alias("met"))
+    outcome = F.when(F.col("met") == F.col("wanted"), "complete").when(F.col("met") > 0, "partial").otherwise("total_miss")
+    return per.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def discordant(a: DataFrame, b: DataFrame, key: str = "query_id", value: str = "value") -> DataFrame:
     """improved, worsened, unchanged between two tables of (key, value)."""
     pair = a.select(key, F.col(value).alias("before")).join(b.select(key, F.col(value).alias("after")), key)

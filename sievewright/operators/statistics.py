@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROUNDS = 1_000
+ROUNDS, AUC_ROUNDS = 10_000, 4_000
 
 
 def draws(seed: str, n: Column, rounds_col: Column) -> Column:
@@ -62,7 +62,7 @@ def auc(scores: DataFrame) -> DataFrame:
     return ranks.agg(p.alias("n_positive"), n.alias("n_negative"), value.alias("auc"))
 
 
-def auc_bootstrap(scores: DataFrame, seed: str, rounds: int = 200) -> DataFrame:
+def auc_bootstrap(scores: DataFrame, seed: str, rounds: int = AUC_ROUNDS) -> DataFrame:
     """low, high of the AUC; each class is resampled on its own. scores (key, positive, score)."""
     side = lambda flag: F.transform(F.array_sort(F.collect_list(F.when(F.col("positive") == flag, F.struct("key", "score")))), lambda x: x["score"])
     packed = scores.agg(side(True).alias("p"), side(False).alias("u")).where((F.size("p") > 0) & (F.size("u") > 0))
@@ -88,10 +88,29 @@ def abstention_curve(top: DataFrame) -> DataFrame:
     return run.where("is_threshold = 1").select(F.col("at").alias("threshold"), "declined_ok", "declined_wrong")
 
 
-def upper_median(column: str) -> Column:
-    """sorted[n // 2]."""
-    ordered = F.array_sort(F.collect_list(column))
-    return F.get(ordered, F.floor(F.size(ordered) / 2).cast("int"))
+def upper_median(rows: DataFrame, column: str, name: str = "median") -> DataFrame:
+    """One row: sorted[n // 2] of a column without its nulls, from a histogram of its values."""
+    histogram = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    upto = histogram.withColumn("upto", F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    total = histogram.agg(F.sum("n").alias("total"))
+    return upto.crossJoin(F.broadcast(total)).where(F.col("upto") > F.floor(F.col("total") / 2)).agg(F.min("v").alias(name))
+
+
+COMBINED = ("relevance", "scope", "sum", "min")
+
+
+def combined(scores: DataFrame) -> DataFrame:
+    """scores (relevance, scope, others) -> others, strategy, score: each way to put the two together."""
+    relevance, scope = F.col("relevance"), F.col("scope")
+    ways = {"relevance": relevance, "scope": scope, "sum": relevance + scope, "min": F.least(relevance, scope)}
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("strategy"), value.alias("score")) for name, value in ways.items())))
+    others = [c for c in scores.columns if c not in ("relevance", "scope")]
+    return scores.select(*others, each.alias("w")).select(*others, "w.strategy", "w.score")
+
+
+def spread(runs: DataFrame, value: str = "value") -> DataFrame:
+    """runs (config, value) -> low, high, spread over the configurations."""
+    return runs.agg(F.min(value).alias("low"), F.max(value).alias("high"), (F.max(value) - F.min(value)).alias("spread"))
 
 
 def interaction(cells: DataFrame, value: str = "value") -> DataFrame:
