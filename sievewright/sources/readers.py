@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 METADATA = ("section_title string, section_heading string, parent_heading string, doc_title string, title string, doc_type string, url string, effective_date string, "
@@ -14,9 +14,19 @@ QUESTIONS = (f"id string, question string, category string, difficulty string, r
 REGISTRY_COLUMNS = ("doc_id", "title", "url")
 
 
-def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Blank lines are skipped; a missing path is an error of Spark's reader."""
-    rows = spark.read.text(path).where("trim(value) <> ''")
+def _missing(e: Exception) -> bool:
+    return "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e)
+
+
+def json_lines(spark: SparkSession, path: str, schema: str, missing_ok: bool = False) -> DataFrame:
+    """Blank lines are skipped; a missing path is an error of Spark's reader, or an empty table if that is asked for."""
+    try:
+        lines = spark.read.text(path)
+    except Exception as e:
+        if missing_ok and _missing(e):
+            return spark.createDataFrame([], schema)
+        raise
+    rows = lines.where("trim(value) <> ''")
     return rows.select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
@@ -33,8 +43,9 @@ def questions(spark: SparkSession, path: str, low_confidence: bool = False) -> D
 
     Raises ValueError, with the line, where one isn't JSON, and where none is left.
     """
-    lines = spark.read.text(path).withColumn("file", F.input_file_name()).select("file", "value", F.monotonically_increasing_id().alias("m"))
-    lines = lines.withColumn("line", F.row_number().over(Window.partitionBy("file").orderBy("m")))
+    # a file of questions is read whole, so that its lines keep their numbers
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r\n|\r|\n", -1)).alias("n", "value"))
+    lines = files.select("file", "value", (F.col("n") + 1).alias("line"))
     kept = lines.where("trim(value) <> '' and not startswith(ltrim(value), '//')")
     parsed = kept.select("file", "line", F.from_json("value", QUESTIONS, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("q"))
     bad = parsed.where("q._corrupt_record is not null").select("file", "line").orderBy("file", "line").first()
@@ -50,10 +61,15 @@ def questions(spark: SparkSession, path: str, low_confidence: bool = False) -> D
     return rows.select("id", "question", "category", "difficulty", key("required_evidence").alias("required"), key("helpful_evidence").alias("helpful"), "confidence")
 
 
+def registry_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The document catalogue as it stands, without any check."""
+    rows = spark.read.csv(path, header=True, encoding="UTF-8")
+    return rows.toDF(*(c.lstrip("﻿").strip() for c in rows.columns))
+
+
 def registry(spark: SparkSession, path: str) -> DataFrame:
     """The document catalogue; raises ValueError where it breaks a rule."""
-    rows = spark.read.csv(path, header=True, encoding="UTF-8")
-    rows = rows.toDF(*(c.lstrip("﻿").strip() for c in rows.columns))
+    rows = registry_rows(spark, path)
     if missing := [c for c in REGISTRY_COLUMNS if c not in rows.columns]:
         raise ValueError(f"{path} lacks {', '.join(missing)}")
     rows = rows.select(*(F.coalesce(F.trim(c), F.lit("")).alias(c) for c in rows.columns))
@@ -75,6 +91,21 @@ def html_pages(spark: SparkSession, path: str, suffix: str = ".html") -> DataFra
     return spark.read.text(path, wholetext=True, pathGlobFilter=f"*{suffix}").select(F.regexp_extract(F.input_file_name(), rf"([^/]+){suffix}$", 1).alias("doc_id"), F.col("value").alias("html"))
 
 
+def missing_pages(pages: DataFrame, registered: DataFrame) -> DataFrame:
+    """doc_id of registered documents that have no page."""
+    return registered.select("doc_id").join(pages.select("doc_id"), "doc_id", "left_anti")
+
+
+def corpus_digest(rows: DataFrame, key: str, value: str) -> str:
+    """One sha-256 over the sha-256 of every row, in the order of the key: a changed, moved or missing row changes it.
+
+    Rows are reduced to a digest each before they are put in order; 4,096 of these by the key's hash, then all of them.
+    """
+    each = rows.select(F.xxhash64(key).alias("h"), F.col(key).cast("string").alias("k"), F.sha2(F.concat_ws("\0", F.col(key).cast("string"), value), 256).alias("d"))
+    parts = each.groupBy(F.pmod("h", F.lit(4096)).alias("p")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "d"))), lambda x: x["d"]), ""), 256).alias("d"))
+    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: x["d"]), ""), 256).alias("d")).first().d
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """path, bytes, sha256 of every file under path."""
     return spark.read.format("binaryFile").load(path).select(F.col("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
@@ -89,16 +120,19 @@ def reports(spark: SparkSession, path: str) -> DataFrame:
 
 
 def cached(spark: SparkSession, path: str, rows: DataFrame, key: str, compute) -> DataFrame:
-    """rows with the values that the table at path has for their keys; the missing ones are computed and appended."""
+    """rows with the values that the table at path has for their keys; the missing ones are computed and appended.
+
+    A table that isn't there or can't be read counts as empty; one that can't be read is written anew.
+    """
+    known, mode = None, "append"
     try:
-        old = spark.read.parquet(path)
-        known = old.select(key)
-    except Exception as e:  # no table yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
+        known = spark.read.parquet(path).select(key)
+        known.take(1)
+    except Exception as e:
         known = None
+        mode = "append" if _missing(e) else "overwrite"
     new = rows if known is None else rows.join(known, key, "left_anti")
-    compute(new.dropDuplicates([key])).write.mode("append").parquet(path)
+    compute(new.dropDuplicates([key])).write.mode(mode).parquet(path)
     return rows.join(spark.read.parquet(path), key, "left")
 
 
