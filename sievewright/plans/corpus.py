@@ -2,7 +2,7 @@
 
 Sections are the lines of a document. Retrieval units (chunks) are whole documents, whose evidence is known by the md5 of the
 text, so that copies of a text are one piece of evidence. The questions are the passages of `benchmark`; what a
-passage requires are the texts that contain it.
+passage requires are the texts that contain it. What many queries need (weights, rankings, labels) is a shared part.
 """
 
 from __future__ import annotations
@@ -12,6 +12,14 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import retrieval
+from .parts import part
+
+
+#: Ways to refer to an article: a range, plainly, in a law outside, to itself, in another instrument, in this one, in the companion, in a chapter, by an alias.
+REFERENCES = (
+    "see Articles ({n}) to ({m})", "as directed in Article ({n})", "under Article ({n}) of the Central Bank Law", "within this Article ({n})", "under Article ({n}) of the Other Code",
+    "under Article ({n}) of this Regulation", "under Article ({n}) of the Standards", "under Article ({n}) of Chapter II", "under Article ({n}) of the Financial Regulations",
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +43,10 @@ def questions(spark, sf_dir) -> DataFrame:
 
 
 def containing(spark, sf_dir) -> DataFrame:
+    return part(spark, sf_dir, "containing", _containing)
+
+
+def _containing(spark, sf_dir) -> DataFrame:
     """query_id, idx: the documents that contain a passage as it stands.
 
     Candidates come from an equi-join on the passage's longest inner token (the first and the last may be cut words),
@@ -44,11 +56,16 @@ def containing(spark, sf_dir) -> DataFrame:
     inner = F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 2, F.lit(0)))
     longest = F.element_at(F.array_sort(F.transform(inner, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), 1)["t"]
     keyed = questions(spark, sf_dir).withColumn("key", F.when(F.size(inner) > 0, longest))
-    docs = chunks(spark, sf_dir).select("idx", "text", F.explode(F.array_distinct(text.tokenize(F.col("text")))).alias("key"))
-    # only the tokens that some passage asks for leave the scan with a text
-    near = docs.join(keyed.where("key is not null"), "key").where(F.col("text").contains(F.col("query"))).select("query_id", "idx")
-    rest = keyed.where("key is null").crossJoin(chunks(spark, sf_dir).select("idx", "text")).where(F.col("text").contains(F.col("query"))).select("query_id", "idx")
-    return near.unionByName(rest).distinct()
+    docs = chunks(spark, sf_dir).select("idx", "text")
+    holds = F.col("text").contains(F.col("query"))
+    # ids meet first, so that a text is read once, however many of its tokens are asked for
+    tokens_of = docs.select("idx", F.explode(F.array_distinct(text.tokenize(F.col("text")))).alias("key"))
+    near = tokens_of.join(keyed.where("key is not null").select("query_id", "key"), "key").select("query_id", "idx")
+    found = near.join(docs, "idx").join(keyed.select("query_id", "query"), "query_id").where(holds).select("query_id", "idx")
+    short = keyed.where("key is null").select("query_id", "query")
+    if short.take(1):
+        found = found.unionByName(short.crossJoin(docs).where(holds).select("query_id", "idx"))
+    return found.distinct()
 
 
 def labels(spark, sf_dir) -> DataFrame:
@@ -67,12 +84,27 @@ def categorised(spark, sf_dir) -> DataFrame:
     return questions(spark, sf_dir).join(n, "query_id", "left").select("query_id", "query", kind.alias("category"))
 
 
+def weights(spark, sf_dir) -> DataFrame:
+    """idx, term, weight of all postings, ordered by term, so that a reader of some terms skips most of it."""
+    return part(spark, sf_dir, "weights", lambda s, d: retrieval.weighted_postings(chunks(s, d)).repartitionByRange("term").sortWithinPartitions("term"))
+
+
+def search(spark, sf_dir):
+    """BM25 over the stored weights, as a ranking system of any questions."""
+    return lambda asked, k: retrieval.bm25_of(weights(spark, sf_dir), chunks(spark, sf_dir), asked, k)
+
+
 def lexical(spark, sf_dir, k=10) -> DataFrame:
-    return retrieval.bm25(chunks(spark, sf_dir), questions(spark, sf_dir), k)
+    """A ranking is a prefix of any deeper one, so one of DEPTH is kept."""
+    if k > retrieval.DEPTH:
+        return search(spark, sf_dir)(questions(spark, sf_dir), k)
+    return part(spark, sf_dir, "lexical", lambda s, d: search(s, d)(questions(s, d), retrieval.DEPTH)).where(F.col("rank") <= k)
 
 
 def dense(spark, sf_dir, k=10) -> DataFrame:
-    return retrieval.hashed_dense(chunks(spark, sf_dir), questions(spark, sf_dir), k)
+    if k > retrieval.DEPTH:
+        return retrieval.hashed_dense(chunks(spark, sf_dir), questions(spark, sf_dir), k)
+    return part(spark, sf_dir, "dense", lambda s, d: retrieval.hashed_dense(chunks(s, d), questions(s, d), retrieval.DEPTH)).where(F.col("rank") <= k)
 
 
 def fused(spark, sf_dir, k=10) -> DataFrame:
@@ -86,14 +118,16 @@ def with_evidence(found: DataFrame, spark, sf_dir) -> DataFrame:
 def referring(spark, sf_dir) -> DataFrame:
     """Sections whose texts are made to refer to others: the tables' own prose has no references.
 
-    Section n of a document is Article n; each says which article it is directed by, every fifth refers to a range.
+    Section n of a document is Article n, and each refers to an article in one of REFERENCES; the first is a range. Documents
+    2k and 2k + 1 are a regulation and its standards.
     """
     s = sections(spark, sf_dir)
-    n = F.pmod(F.col("doc_id").cast("long") + F.col("ord"), F.lit(7)) + 1
-    plain = F.concat(F.lit("as directed in Article ("), n.cast("string"), F.lit("), "))
-    span = F.concat(F.lit("see Articles ("), n.cast("string"), F.lit(") to ("), (n + 2).cast("string"), F.lit("), "))
-    body = F.when(F.pmod("ord", F.lit(5)) == 0, span).otherwise(plain)
-    return s.select("doc_id", F.concat(F.lit("Article "), F.col("ord").cast("string")).alias("section"), "ord", F.concat(body, F.col("text")).alias("text"), F.lit("Some Regulation").alias("doc_title"))
+    doc = F.col("doc_id").cast("long")
+    n = F.pmod(doc + F.col("ord"), F.lit(7)) + 1
+    form = F.element_at(F.array(*map(F.lit, REFERENCES)), (F.pmod(doc + F.col("ord") * 3, F.lit(len(REFERENCES))) + 1).cast("int"))
+    body = F.replace(F.replace(form, F.lit("{n}"), n.cast("string")), F.lit("{m}"), (n + 2).cast("string"))
+    title = F.concat(F.lit("Topic "), F.floor(doc / 2).cast("string"), F.when(F.pmod(doc, F.lit(2)) == 0, " Regulation").otherwise(" Standards"))
+    return s.select("doc_id", F.concat(F.lit("Article "), F.col("ord").cast("string")).alias("section"), "ord", F.concat(body, F.lit(", "), F.col("text")).alias("text"), title.alias("doc_title"))
 
 
 def commencements(spark, sf_dir) -> DataFrame:

@@ -74,8 +74,8 @@ labelled AS (SELECT query_id, evidence_id, max(gain) AS gain FROM (
   SELECT query_id, evidence_id, 2 AS gain FROM inside JOIN chunks USING (idx) UNION ALL
   SELECT query_id, evidence_id, 1 FROM inside i JOIN chunks c ON c.idx = i.idx + 1) GROUP BY ALL),
 cats AS (SELECT query_id, query, CASE WHEN count(idx) = 0 THEN 'unanswerable' WHEN count(idx) = 1 THEN 'single_hop' ELSE 'cross_document' END AS category FROM questions LEFT JOIN inside USING (query_id) GROUP BY ALL),
-refs AS (SELECT doc_id, 'Article ' || ord AS section, ord, (doc_id::BIGINT + ord) % 7 + 1 AS a, ord % 5 = 0 AS is_range, text FROM secs),
-docedges AS (SELECT DISTINCT c.evidence_id AS source, d.evidence_id AS target FROM chunks c JOIN chunks d ON d.idx = c.idx + 1 WHERE c.idx % 3 = 0 AND c.evidence_id <> d.evidence_id),
+refs AS (SELECT doc_id, 'Article ' || ord AS section, ord, (doc_id::BIGINT + ord) % 7 + 1 AS a, (doc_id::BIGINT + ord * 3) % 9 AS form, text FROM secs),
+docedges AS (SELECT DISTINCT c.evidence_id AS source, d.evidence_id AS target FROM chunks c JOIN chunks d ON d.idx = c.idx + 1 WHERE c.evidence_id <> d.evidence_id),
 docnear AS (SELECT source AS node, target AS neighbour FROM docedges UNION SELECT target, source FROM docedges),
 """
 
@@ -102,11 +102,15 @@ M = ("recall", "precision", "full_recall", "ndcg", "mrr")
 MEANS = ", ".join(f"round(avg({m}), 6) AS {m}" for m in M)
 
 
+#: Rounds of a bootstrap.
+ROUNDS = 10_000
+
+
 def draw(seed: str, n: str) -> str:
     return f"(('0x' || substr(md5('{seed}:' || r || ':' || i), 1, 8))::BIGINT) % {n}"
 
 
-def boot(values: str, seed: str, rounds: int = 200) -> str:
+def boot(values: str, seed: str, rounds: int = ROUNDS) -> str:
     """Interval of the mean of `values` (key, value)."""
     return f"""
 vs AS ({values}),
@@ -130,11 +134,14 @@ kept AS (SELECT * FROM sents QUALIFY row_number() OVER (PARTITION BY query_id, n
 quotes AS (SELECT query_id, n, evidence_id, rtrim(substr(string_agg(sent, ' ' ORDER BY i), 1, 400)) AS quote FROM kept GROUP BY ALL)"""
 
 RESOLVED = """
-alln AS (SELECT doc_id, section, ord, a AS number FROM refs UNION ALL SELECT doc_id, section, ord, a + u FROM refs, (SELECT unnest([1, 2]) AS u) WHERE is_range),
-res AS (SELECT x.doc_id || '::' || x.section AS source, x.number, CASE WHEN r.section IS NULL THEN NULL ELSE x.doc_id || '::Article ' || x.number END AS target,
-  CASE WHEN r.section IS NULL THEN 'unresolved' WHEN r.ord = x.ord THEN 'self' ELSE 'intra' END AS outcome
-  FROM alln x LEFT JOIN refs r ON r.doc_id = x.doc_id AND r.ord = x.number),
-edges AS (SELECT DISTINCT source, target, number FROM res WHERE outcome = 'intra'),
+docs_ AS (SELECT DISTINCT doc_id::BIGINT AS d FROM refs),
+alln AS (SELECT doc_id, section, ord, form, a AS number FROM refs UNION ALL SELECT doc_id, section, ord, form, a + u FROM refs, (SELECT unnest([1, 2]) AS u) WHERE form = 0),
+aim AS (SELECT *, CASE WHEN form = 8 THEN 'INS-FIN-001' WHEN form = 6 AND doc_id::BIGINT % 2 = 0 AND doc_id::BIGINT + 1 IN (SELECT d FROM docs_) THEN (doc_id::BIGINT + 1)::VARCHAR ELSE doc_id END AS at FROM alln),
+res AS (SELECT x.doc_id || '::' || x.section AS source, x.number, CASE WHEN r.section IS NOT NULL THEN x.at || '::Article ' || x.number END AS target,
+  CASE WHEN form = 2 THEN 'external' WHEN form = 3 THEN 'self' WHEN form = 4 THEN 'other_instrument' WHEN r.section IS NULL THEN 'unresolved'
+    WHEN x.at = x.doc_id AND r.ord = x.ord THEN 'self' WHEN x.at = x.doc_id THEN 'intra' ELSE 'cross' END AS outcome
+  FROM aim x LEFT JOIN (SELECT doc_id, section, ord FROM refs) r ON r.doc_id = x.at AND r.ord = x.number),
+edges AS (SELECT DISTINCT source, target, number, outcome = 'cross' AS cross_document FROM res WHERE outcome IN ('intra', 'cross')),
 near AS (SELECT source AS node, target AS neighbour FROM edges UNION SELECT target, source FROM edges)"""
 
 def _modal(shift: int) -> str:
@@ -157,10 +164,10 @@ ITEMS = """items AS (SELECT item_id AS i, 'Q' || lpad((CASE WHEN item_id % 13 =
   ['single_hop', 'cross_document', 'cross_section', 'unanswerable', 'odd'][(item_id % 5)::INTEGER + 1] AS category,
   CASE WHEN item_id % 8 = 0 THEN 'huge' ELSE 'easy' END AS difficulty, CASE WHEN item_id % 10 = 0 THEN 'guessed' ELSE 'hand_written' END AS source, (item_id * 3) % 26 AS minutes,
   CASE WHEN item_id % 4 <> 0 THEN 'high' END AS confidence,
-  {'d': ((item_id * 7) % 90)::VARCHAR, 's': 'P' || (item_id % 4)} AS e1, {'d': ((item_id * 7 + item_id % 2) % 90)::VARCHAR, 's': CASE WHEN item_id % 9 = 0 THEN '' ELSE 'P1' END} AS e2 FROM benchmark),
+  {'d': ((item_id * 7919) % many)::VARCHAR, 's': 'P' || (item_id % 4)} AS e1, {'d': (((item_id + item_id % 2) * 7919) % many)::VARCHAR, 's': CASE WHEN item_id % 9 = 0 THEN '' ELSE 'P1' END} AS e2 FROM benchmark, (SELECT count(*) + count(*) // 10 AS many FROM documents)),
 ev AS (SELECT *, CASE WHEN i % 5 = 3 THEN CASE WHEN i % 2 = 0 THEN [] ELSE [e1] END WHEN i % 5 = 0 THEN [e1] ELSE [e1, e2] END AS e FROM items),
 each AS (SELECT i, id, unnest(e) AS x FROM ev),
-reg AS (SELECT doc_id::VARCHAR AS doc_id, doc_id % 10 = 0 AS barred FROM documents WHERE doc_id < 80)"""
+reg AS (SELECT doc_id::VARCHAR AS doc_id, doc_id % 10 = 0 AS barred FROM documents)"""
 
 ROWS = "rows_ AS (SELECT evidence_id, (idx // 10)::VARCHAR AS doc_id, 'P' || (idx % 10) AS section, source AS grp, text FROM (SELECT evidence_id, min(idx) AS idx FROM chunks GROUP BY evidence_id) JOIN (SELECT idx, text, source FROM chunks) USING (idx))"
 
@@ -194,6 +201,11 @@ def chunking(budget: int) -> str:
       UNION ALL SELECT doc_id || '::P', doc_id::VARCHAR, 0, 1, words FROM p WHERE words <= @""".replace("@", str(budget))
 
 
+PRF = f"""fw AS (SELECT DISTINCT query_id, idx, unnest({tok('text')}) AS term FROM lex JOIN chunks USING (idx) WHERE rank <= 3),
+      fk AS (SELECT query_id, term, count(*) AS n FROM fw WHERE length(term) >= 4 AND NOT regexp_full_match(term, '[0-9]+') AND NOT list_contains({_list(USELESS)}, term) AND NOT EXISTS (SELECT 1 FROM qterms t WHERE t.query_id = fw.query_id AND t.term = fw.term) GROUP BY ALL),
+      ft AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, term) AS place FROM fk QUALIFY place <= 8)"""
+
+
 def all_sql() -> dict[str, str]:
     s = "SELECT query_id, idx, rank, round(score, 6) AS score FROM "
     both = scores("s", "lex10") + scores("f", "fused")
@@ -226,10 +238,10 @@ def all_sql() -> dict[str, str]:
     q["fingerprints"] = "SELECT doc_id, substr(sha256(source || chr(0) || doc_id || chr(0) || text), 1, 32) AS key, length(rtrim(substr(text, 1, 320), ' ' || chr(10))) AS excerpt_chars FROM documents"
     q["title_switch"] = """SELECT doc_id, md5(CASE WHEN source = title THEN '' ELSE source || chr(10) END || title || chr(10) || lang || chr(10) || text) AS with_title, md5(title || chr(10) || lang || chr(10) || text) AS without_title
       FROM (SELECT *, CASE WHEN doc_id % 3 = 0 THEN source ELSE lang END AS title FROM documents)"""
-    q["context_join"] = """WITH k AS (SELECT text, substr(text, 1, 60) AS head FROM documents WHERE doc_id % 2 = 0 GROUP BY ALL),
-      c AS (SELECT text, regexp_replace(head || ' and so on. More', '\\s+', ' ', 'g') AS raw FROM k),
+    q["context_join"] = """WITH k AS (SELECT text FROM documents WHERE md5(text) < 'c' GROUP BY ALL),
+      c AS (SELECT text, regexp_replace(text || ' and so on. More', '\\s+', ' ', 'g') AS raw FROM k),
       d AS (SELECT text, regexp_replace(trim(raw), '^["'']+|["'']+$', '', 'g') AS t FROM c),
-      e AS (SELECT text, CASE WHEN regexp_extract(t, '^(.{20,400}?[.!?])(\\s|$)', 1) <> '' THEN regexp_extract(t, '^(.{20,400}?[.!?])(\\s|$)', 1) ELSE t END AS ctx FROM d)
+      e AS (SELECT text, CASE WHEN regexp_extract(t, '^(.{20,400}?[.!?])(\\s|$)', 1) <> '' THEN regexp_extract(t, '^(.{20,400}?[.!?])(\\s|$)', 1) ELSE rtrim(substr(t, 1, 400)) END AS ctx FROM d)
       SELECT doc_id, md5(CASE WHEN coalesce(ctx, '') = '' THEN '' ELSE ctx || chr(10) END || text) AS digest FROM documents LEFT JOIN e USING (text)"""
     q["duplicate_texts"] = "SELECT md5(text) AS digest, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY text HAVING count(*) > 1"
     q["cache_migration"] = "SELECT min(doc_id) AS key, max(doc_id) AS value FROM documents GROUP BY text HAVING count(*) = 1"
@@ -239,15 +251,13 @@ def all_sql() -> dict[str, str]:
     q["bm25_topk"] = BASE + f"x AS (SELECT 1) {s} lex10"
     q["bm25_depth_100"] = BASE + f"x AS (SELECT 1) {s} lex"
     q["hashed_dense_topk"] = BASE + f"x AS (SELECT 1) {s} dense10"
-    vec = ranked("SELECT q.vec_id AS query_id, e.vec_id AS idx, list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings e WHERE q.vec_id < 20 AND e.vec_id >= 20", 10)
+    vec = ranked("SELECT q.vec_id AS query_id, e.vec_id AS idx, list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id", 10)
     q["vector_topk"] = f"{s} ({vec})"
     q["vector_label_recall"] = f"SELECT query_id, round(avg((a.label = b.label)::INTEGER), 6) AS share FROM ({vec}) v JOIN embeddings a ON a.vec_id = v.idx JOIN embeddings b ON b.vec_id = v.query_id GROUP BY query_id"
     q["rrf_fusion"] = BASE + f"x AS (SELECT 1) {s} fused"
     q["lexical_rerank"] = BASE + f"x AS (SELECT 1) {s} rerank"
     q["sparse_topk"] = BASE + "w AS (SELECT idx, term, ln(1 + tf) * idf AS weight FROM posted JOIN stats USING (term)) " + s + "(" + ranked("SELECT query_id, idx, sum(n * weight) AS score FROM qterms JOIN w USING (term) GROUP BY ALL", 10) + ")"
-    prf = f"""fw AS (SELECT DISTINCT query_id, idx, unnest({tok('text')}) AS term FROM lex JOIN chunks USING (idx) WHERE rank <= 3),
-      fk AS (SELECT query_id, term, count(*) AS n FROM fw WHERE length(term) >= 4 AND NOT regexp_full_match(term, '[0-9]+') AND NOT list_contains({_list(USELESS)}, term) AND NOT EXISTS (SELECT 1 FROM qterms t WHERE t.query_id = fw.query_id AND t.term = fw.term) GROUP BY ALL),
-      ft AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, term) AS place FROM fk QUALIFY place <= 8)"""
+    prf = PRF
     q["prf_terms"] = BASE + prf + " SELECT query_id, term, n, place FROM ft"
     q["prf_rewrite"] = BASE + prf + " SELECT query_id, query, concat_ws(' ', query, string_agg(term, ' ' ORDER BY place)) AS retrieval_query FROM questions LEFT JOIN ft USING (query_id) GROUP BY query_id, query"
     q["generated_rewrite"] = "SELECT item_id AS query_id, text AS query, CASE WHEN length(text) % 3 = 0 THEN text ELSE text || ' ' || trim(regexp_replace('  ' || substr(text, 1, 30) || ' ' || chr(10) || ' x ', '\\s+', ' ', 'g')) END AS retrieval_query FROM benchmark"
@@ -257,22 +267,22 @@ def all_sql() -> dict[str, str]:
     q["retrieval_scorecard"] = BASE + scores("s", "lex10") + "x AS (SELECT 1) " + SCORECARD
     q["fusion_scorecard"] = BASE + scores("s", "fused") + "x AS (SELECT 1) " + SCORECARD
     q["answerable_scorecard"] = BASE + scores("s", "lex10") + "x AS (SELECT 1) SELECT k, count_if(category <> 'unanswerable') AS n, " + ", ".join(f"round(coalesce(avg({m}) FILTER (category <> 'unanswerable'), 0), 6) AS {m}" for m in M) + ", round(coalesce(avg(precision) FILTER (category = 'unanswerable'), 0), 6) AS noise FROM s JOIN cats USING (query_id) GROUP BY k"
-    q["paired_bootstrap"] = BASE + both + boot("SELECT s.query_id AS key, f.mrr - s.mrr AS value FROM s JOIN f USING (query_id, k) WHERE k = 10", "20260101:bm25:rrf:mrr") + ", CASE WHEN s[6] <= 0 AND s[195] >= 0 THEN 'no' ELSE 'yes' END AS differs FROM vv, bs"
+    q["paired_bootstrap"] = BASE + both + boot("SELECT s.query_id AS key, f.mrr - s.mrr AS value FROM s JOIN f USING (query_id, k) WHERE k = 10", "20260101:bm25:rrf:mrr") + ", CASE WHEN s[251] <= 0 AND s[9750] >= 0 THEN 'no' ELSE 'yes' END AS differs FROM vv, bs"
     q["bootstrap_mean"] = BASE + scores("s", "lex10") + boot("SELECT query_id AS key, mrr AS value FROM s WHERE k = 10", "20260101:bm25:mrr") + " FROM vv, bs"
     q["improved_worsened"] = BASE + both + "x AS (SELECT s.mrr AS a, f.mrr AS b FROM s JOIN f USING (query_id, k) WHERE k = 10) SELECT count_if(b > a) AS improved, count_if(b < a) AS worsened, count_if(a = b) AS unchanged FROM x"
     q["auc"] = BASE + TOP + " SELECT count_if(answerable) AS n_positive, count_if(NOT answerable) AS n_negative, (SELECT round(avg(CASE WHEN a.score > u.score THEN 1.0 WHEN a.score = u.score THEN 0.5 ELSE 0.0 END), 6) FROM tops a, tops u WHERE a.answerable AND NOT u.answerable) AS auc FROM tops"
     d2 = lambda tag, n: f"(('0x' || substr(md5('20260101:{tag}:' || r || ':' || i), 1, 8))::BIGINT) % {n}"
     q["auc_bootstrap"] = BASE + TOP + f""", sides AS (SELECT list(score ORDER BY key) FILTER (answerable) AS p, list(score ORDER BY key) FILTER (NOT answerable) AS u FROM tops),
-      rs AS (SELECT unnest(range(1, 101)) AS r), ps AS (SELECT r, unnest(list_transform(range(1, len(p) + 1), lambda i: p[({d2('p', 'len(p)')}) + 1])) AS a FROM sides, rs),
+      rs AS (SELECT unnest(range(1, 4001)) AS r), ps AS (SELECT r, unnest(list_transform(range(1, len(p) + 1), lambda i: p[({d2('p', 'len(p)')}) + 1])) AS a FROM sides, rs),
       us AS (SELECT r, unnest(list_transform(range(1, len(u) + 1), lambda i: u[({d2('u', 'len(u)')}) + 1])) AS b FROM sides, rs),
       au AS (SELECT r, avg(CASE WHEN a > b THEN 1.0 WHEN a = b THEN 0.5 ELSE 0.0 END) AS auc FROM ps JOIN us USING (r) GROUP BY r), l AS (SELECT list_sort(list(auc)) AS s FROM au)
-      SELECT round(s[3], 6) AS low, round(s[97], 6) AS high FROM l"""
+      SELECT round(s[101], 6) AS low, round(s[3900], 6) AS high FROM l"""
     q["abstention_curve"] = BASE + TOP + " SELECT threshold, count_if(NOT answerable AND score <= threshold) AS declined_ok, count_if(answerable AND score <= threshold) AS declined_wrong FROM (SELECT DISTINCT round(score, 2) AS threshold FROM tops), tops GROUP BY threshold"
     q["score_spread"] = BASE + TOP + " SELECT answerable, count(*) AS n, round(min(score), 6) AS low, round(median(score), 6) AS middle, round(max(score), 6) AS high FROM tops GROUP BY answerable"
     q["worst_unanswerable"] = BASE + TOP + " SELECT key, answerable, round(score, 6) AS score FROM tops WHERE NOT answerable ORDER BY tops.score DESC, key LIMIT 5"
-    q["abstention_correct"] = BASE + TOP + " SELECT key, answerable = (score > 60) AS correct FROM tops"
+    q["abstention_correct"] = BASE + TOP + " SELECT query_id, ((SELECT count(*) FROM labelled l WHERE l.query_id = q.query_id AND gain = 2) > 0) = (coalesce((SELECT arg_min(score, rank) FROM lex10 l WHERE l.query_id = q.query_id), 0) > 60) AS correct FROM questions q"
     q["interaction_2x2"] = BASE + both + scores("d", "dense10") + scores("r", "rerank") + "m AS (SELECT (SELECT avg(mrr) FROM s WHERE k = 10) AS b, (SELECT avg(mrr) FROM d WHERE k = 10) AS x, (SELECT avg(mrr) FROM f WHERE k = 10) AS y, (SELECT avg(mrr) FROM r WHERE k = 10) AS z) SELECT round(b, 6) AS base, round(x - b, 6) AS first_effect, round(y - b, 6) AS second_effect, round(z - b, 6) AS both_effect, round(z - b - (x - b + (y - b)), 6) AS interaction FROM m"
-    q["reference_edges"] = BASE + RESOLVED + " SELECT source, target, number, false AS cross_document FROM edges"
+    q["reference_edges"] = BASE + RESOLVED + " SELECT source, target, number, cross_document FROM edges"
     q["reference_census"] = BASE + RESOLVED + " SELECT outcome, count(*) AS n FROM res GROUP BY outcome UNION ALL SELECT 'mentions', count(*) FROM res"
     q["adjacency"] = BASE + RESOLVED + " SELECT node, neighbour FROM near"
     q["hops"] = BASE + RESOLVED + """, walk AS (SELECT doc_id AS key, neighbour AS node, 1 AS hop FROM refs JOIN near ON node = doc_id || '::' || section WHERE ord = 1
@@ -301,7 +311,7 @@ def all_sql() -> dict[str, str]:
       chk AS (SELECT query_id, len({content('quote')}) > 0 AND (contains(text, quote) OR len(list_intersect({content('quote')}, {content('text')})) >= least(4, len({content('quote')}))) AS ok FROM quotes JOIN last USING (query_id, evidence_id)),
       agg AS (SELECT query_id, count(*) AS c, count_if(ok) AS k FROM chk GROUP BY query_id)
       SELECT query_id, CASE WHEN abstained THEN 0 ELSE coalesce(c, 0) END AS citations, CASE WHEN abstained THEN 1.0 WHEN c IS NULL THEN 0.0 ELSE 1.0 END AS grounded, CASE WHEN abstained THEN 1.0 WHEN c IS NULL THEN 0.0 ELSE round(k / c, 6) END AS supported, abstained::INTEGER::DOUBLE AS abstained FROM dec LEFT JOIN agg USING (query_id)"""
-    q["over_attribution"] = "SELECT item_id AS query_id, item_id % 5 <> 0 AS over FROM benchmark"
+    q["over_attribution"] = "SELECT item_id AS query_id, item_id % 5 > 2 AS over FROM benchmark"
     q["obligation_drift"] = f"SELECT doc_id, c AS claim_force, s AS source_forces, {DRIFT} AS drift FROM (SELECT doc_id, {_force(1000003)} AS c, {_force(5)} AS s FROM documents)"
     q["obligation_fidelity"] = f"WITH d AS (SELECT {DRIFT} AS d FROM (SELECT {_force(1000003)} AS c, {_force(5)} AS s FROM documents)) SELECT count_if(d = 'preserved') AS preserved, count_if(d = 'strengthened') AS strengthened, count_if(d = 'weakened') AS weakened, count_if(d = 'no_force') AS no_force, round(count_if(d = 'preserved') / count_if(d <> 'no_force'), 6) AS fidelity FROM d"
     q["in_force"] = BASE + DATED + " SELECT query_id, doc_id, rank, in_force FROM judged"
@@ -324,7 +334,7 @@ def all_sql() -> dict[str, str]:
       CASE WHEN category = 'unanswerable' AND len(e) > 0 THEN 'unanswerable with evidence' END, CASE WHEN category <> 'unanswerable' AND len(e) = 0 THEN 'no evidence' END) AS reasons FROM ev"""
     q["promoted"] = BASE + ITEMS + """, r AS (SELECT md5(question) AS id FROM ev WHERE minutes > 0 AND confidence IS NOT NULL AND (category = 'unanswerable') = (len(e) = 0))
       SELECT id, 'Q' || lpad(((SELECT coalesce(max(regexp_extract(i.id, '^Q(\\d+)$', 1)::INTEGER), 0) FROM items i WHERE minutes < 9) + row_number() OVER (ORDER BY id))::VARCHAR, 3, '0') AS new_id FROM r"""
-    q["control_score"] = "WITH k AS (SELECT toxic = 1 AS bad, CASE WHEN doc_id % 7 <> 0 THEN CASE WHEN quality = 1 THEN 'sound' ELSE 'broken' END ELSE '' END AS v FROM labels) SELECT count_if(bad AND v = 'broken') AS caught, count_if(bad AND v <> 'broken') AS missed, count_if(NOT bad AND v <> 'sound') AS false_alarm, count_if(NOT bad AND v = 'sound') AS correct_pass FROM k"
+    q["control_score"] = "WITH k AS (SELECT toxic = 1 AS bad, CASE WHEN md5(doc_id::VARCHAR) >= '2' THEN CASE WHEN quality = 1 THEN 'sound' ELSE 'broken' END ELSE '' END AS v FROM labels) SELECT count_if(bad AND v = 'broken') AS caught, count_if(bad AND v <> 'broken') AS missed, count_if(NOT bad AND v <> 'sound') AS false_alarm, count_if(NOT bad AND v = 'sound') AS correct_pass FROM k"
     q["coverage"] = BASE + "u AS (SELECT evidence_id, string_agg(query_id::VARCHAR, ',' ORDER BY query_id) AS questions, count(*) AS n FROM labelled WHERE gain = 2 GROUP BY evidence_id) SELECT evidence_id, coalesce(questions, '') AS questions, coalesce(n, 0) AS n FROM (SELECT DISTINCT evidence_id FROM chunks) LEFT JOIN u USING (evidence_id)"
     q["mix_gap"] = BASE + "t AS (SELECT * FROM (VALUES ('single_hop', 20), ('cross_document', 10), ('unanswerable', 15), ('comparative', 5)) v(category, target)), h AS (SELECT category, count(*) AS have FROM cats GROUP BY category) SELECT category, coalesce(have, 0) AS have, target, target - coalesce(have, 0) AS gap FROM t LEFT JOIN h USING (category)"
     ft = lambda x: content(x, lists.FAILURE_STOPWORDS)
@@ -337,7 +347,7 @@ def all_sql() -> dict[str, str]:
         WHEN {share(ft('query'), ft('text'))} < 0.1 THEN 'lexical_gap' ELSE 'no_signal' END AS cause FROM m"""
     q["registry_fill"] = """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END AS old, CASE WHEN doc_id % 5 = 0 THEN '' ELSE source END AS new FROM documents)
       SELECT doc_id, CASE WHEN old <> '' THEN old ELSE new END AS filled, CASE WHEN new <> '' THEN new ELSE old END AS forced FROM d"""
-    q["title_overlap"] = f"SELECT doc_id, round({share('a', 'b')}, 6) AS share, CASE WHEN {share('a', 'b')} >= 0.8 THEN 'entire_section' ELSE 'page' END AS mode FROM (SELECT doc_id, list_distinct({tok(chr(32).join(['array_to_string(string_split(text, chr(32))[1:8], chr(32))']))}) AS a, list_distinct({tok('array_to_string(string_split(text, chr(32))[1:6], chr(32))')}) AS b FROM documents)"
+    q["title_overlap"] = f"SELECT doc_id, round({share('a', 'b')}, 6) AS share, CASE WHEN {share('a', 'b')} >= 0.8 THEN 'entire_section' ELSE 'page' END AS mode FROM (SELECT doc_id, list_distinct({tok("regexp_replace(text, '\\n[^\\n]*$', '')")}) AS a, list_distinct({tok("regexp_replace(text, '^[^.]*\\.', '')")}) AS b FROM documents)"
     q["demo_export"] = BASE + """g AS (SELECT query_id, evidence_id FROM labelled WHERE gain = 2), h AS (SELECT DISTINCT query_id, evidence_id FROM lex10 JOIN chunks USING (idx)), t AS (SELECT query_id, max(score) AS top FROM lex10 GROUP BY query_id)
       SELECT query_id, count(g.evidence_id) AS required, count(h.evidence_id) AS found, count(g.evidence_id) = count(h.evidence_id) AS complete, any_value(coalesce(top <= 60, true)) AS would_decline
       FROM questions LEFT JOIN t USING (query_id) LEFT JOIN g USING (query_id) LEFT JOIN h USING (query_id, evidence_id) GROUP BY query_id"""
