@@ -1,6 +1,8 @@
 """Operators on small fixtures with known results."""
 
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,6 +86,40 @@ def test_chunking(spark):
             ingest.chunk_sections(spark.createDataFrame([], "chunk_id string, doc_id string, section string, text string"), *bad)
 
 
+def plain_windows(paragraphs, budget, overlap):
+    """Windows by the stream of words since the last paragraph above the budget."""
+    out, stream, at = [], [], 0
+    count = lambda p: len(p.split())
+    while at < len(paragraphs):
+        if count(paragraphs[at]) > budget:
+            held = []
+            for s in re.split(r"(?<=[.;:])\s+", paragraphs[at]):
+                if held and sum(map(count, held)) + count(s) > budget:
+                    out.append(" ".join(held))
+                    held = []
+                held.append(s)
+            out.append(" ".join(held))
+            stream, at = [], at + 1
+            continue
+        tail = stream[len(stream) - min(overlap, len(stream)) :]
+        taken, size = [paragraphs[at]], len(tail) + count(paragraphs[at])
+        while at + len(taken) < len(paragraphs) and count(paragraphs[at + len(taken)]) <= budget and size + count(paragraphs[at + len(taken)]) <= budget:
+            size += count(paragraphs[at + len(taken)])
+            taken.append(paragraphs[at + len(taken)])
+        out.append("\n".join(([" ".join(tail)] if tail else []) + taken))
+        stream += " ".join(taken).split()
+        at += len(taken)
+    return out
+
+
+@pytest.mark.parametrize("budget,overlap", [(10, 0), (10, 3), (10, 9), (25, 12)])
+def test_windows_against_a_plain_version(spark, budget, overlap):
+    rng = random.Random(budget + overlap)
+    rows = [(i, [" ".join(rng.choice(["a", "b.", "c;", "d"]) for _ in range(rng.choice([1, 2, 3, 5, 9, 10, 11, 30, 60]))) for _ in range(rng.randint(1, 15))]) for i in range(60)]
+    got = spark.createDataFrame(rows, "i int, p array<string>").select("i", ingest.windows(F.col("p"), budget, overlap).alias("w")).collect()
+    assert {r.i: r.w for r in got} == {i: plain_windows(p, budget, overlap) for i, p in rows}
+
+
 CORPUS = [(0, "The board sets the risk appetite."), (1, "Paid up capital of the company."), (2, "The actuarial function reports.")]
 
 
@@ -174,8 +210,11 @@ def test_statistics(spark):
     assert statistics.auc(s).first().auc == pytest.approx(3.5 / 4)
     curve = statistics.abstention_curve(spark.createDataFrame([(True, 1.634), (False, 0.5)], "answerable boolean, score double")).orderBy("threshold").collect()
     assert [tuple(r) for r in curve] == [(0.5, 1, 0), (1.63, 1, 0)]
-    m = spark.createDataFrame([(1,), (2,), (3,), (10,)], "x int").agg(statistics.upper_median("x").alias("m")).first().m
-    assert m == 3
+    assert statistics.upper_median(spark.createDataFrame([(1,), (2,), (None,), (3,), (10,), (3,)], "x int"), "x", "m").first().m == 3
+    runs = spark.createDataFrame([("a", 0.25), ("b", 0.75)], "config string, value double")
+    assert tuple(statistics.spread(runs).first()) == (0.25, 0.75, 0.5)
+    each = statistics.combined(spark.createDataFrame([(1, 2.0, 3.0)], "key int, relevance double, scope double"))
+    assert {r.strategy: r.score for r in each.collect()} == {"relevance": 2.0, "scope": 3.0, "sum": 5.0, "min": 2.0}
 
 
 def resolve(spark, text, section="Article 2", title="Some Regulation", others=("Article 3", "Article 4", "Article 13")):
@@ -198,6 +237,30 @@ def test_references(spark):
     assert resolve(spark, "Article (10)", "Section 1, Article 2", others=("Section 2, Article 10", "Section 1, Article 10")) == [("Section 1, Article 10", "intra")]
 
 
+def test_numbers_of_a_mention(spark):
+    rows = [("D1", "Article 1", "Articles (2), (3) and (4); Articles (5) to (8), (7) & (30); Articles (9) to (60); Article 12.3 and 3 years; Articles (4) to (2)", "T")]
+    found = references.mentions(spark.createDataFrame(rows, "doc_id string, section string, text string, doc_title string"))
+    assert [r.number for r in found.orderBy("seq").collect()] == [2, 3, 4, 5, 6, 7, 8, 30, 9, 60, 12, 4, 2]
+
+
+@pytest.mark.parametrize("text,kind,more", [
+    ("Article (3) of Section 2", "plain", {"division": 2}), ("Article (3) of Chapter IV of this Regulation", "here", {"division": 4}), ("Article (3) of Part XIX", "plain", {"division": None}),
+    ("Article (3) of the Financial Regulations", "alias", {"alias": "INS-FIN-001"}), ("Article (3) of the Standards", "named", {"role": "standards"}), ("Article (3) of the Regulation", "named", {"role": "regulation"}),
+    ("Article (3) of these Rules", "other", {}), ("this Article (3)", "self", {}), ("Article (3) of this Article", "self", {}), ("Article (3) of Federal Law", "external", {}), ("Article (3) herein of this Law", "here", {}), ("Article (3)", "plain", {}),
+])
+def test_meanings_of_a_mention(spark, text, kind, more):
+    r = references.mentions(spark.createDataFrame([("D", "S", text)], "doc_id string, section string, text string")).first()
+    assert r.kind == kind and all(r[k] == v for k, v in more.items()), r
+
+
+def test_audit_and_required_edges(spark):
+    edges = spark.createDataFrame([(f"a{i}", f"b{i}") for i in range(9)], "source string, target string")
+    got = references.audit(edges, 4, "s").collect()
+    assert len(got) == 4 and got == references.audit(edges.repartition(3), 4, "s").collect() != references.audit(edges, 4, "t").collect()
+    labels = spark.createDataFrame([("a1",), ("b2",), ("z",), ("a1",)], "evidence_id string")
+    assert tuple(references.with_edges(labels, references.adjacency(edges)).first()) == (3, 2)
+
+
 def test_companions(spark):
     rows = [("R", "Article 1", "Article (2) of the Standards", "Risk Regulation for Insurers"), ("S", "Article 2", "Article (2) of the Standards, and Article (1) of the Regulation", "Risk Standards for Insurers")]
     out = references.resolved(spark.createDataFrame(rows, "doc_id string, section string, text string, doc_title string"))
@@ -259,6 +322,104 @@ def test_curation(spark):
     assert tuple(curation.control_score(key, verdicts).first()) == (1, 1, 1, 1)
 
 
+def test_planting_and_spurious_sections(spark):
+    schema = "id string, minutes double, confidence string, category string, question string, required_evidence array<struct<doc_id: string, section: string, why: string>>"
+    rows = spark.createDataFrame([(f"q{i}", 1.0, "high", "single_hop" if i % 3 else "unanswerable", "x", [("d1", "s2", "")] if i % 3 else []) for i in range(12)], schema)
+    sections = spark.createDataFrame([(f"d{i}", f"s{j}", j) for i in range(50) for j in range(6)], "doc_id string, section string, ord int")
+    planted = curation.plant(rows, sections, "s", 8).collect()
+    assert len(planted) == 8 and sum(r.corrupted for r in planted) == 4 and sorted(r.place for r in planted) == list(range(1, 9))
+    assert sorted(planted) == sorted(curation.plant(rows.repartition(3), sections.repartition(2), "s", 8).collect())
+    with pytest.raises(ValueError):
+        curation.plant(rows, sections, "s", 13)
+    drawn = {r.spurious for r in curation.spurious_sections(rows.where("category = 'unanswerable'").select("id"), sections, "s").collect()}
+    assert len(drawn) > 1 and drawn <= {f"d{i}::s{j}" for i in range(50) for j in range(6)}
+
+
+def test_reviews(spark):
+    schema = "id string, category string, question string, required_evidence array<struct<doc_id: string, section: string, why: string>>"
+    items = spark.createDataFrame([("Q001", "single_hop", "a", [("d", "s1", "w")]), ("Q002", "cross_section", "b", [("d", "s1", ""), ("x", "s9", "")]), ("Q003", "unanswerable", "c", [])], schema)
+    rows = spark.createDataFrame([("d", 1, "s1", "d::s1", "t1"), ("d", 2, "s2", "d::s2", "t2")], "doc_id string, ord int, section string, evidence_id string, text string")
+    seen = {(r.id, r.n): (r.exists, r.text) for r in curation.review(items, rows).collect()}
+    assert seen == {("Q001", 0): (True, "t1"), ("Q002", 0): (True, "t1"), ("Q002", 1): (False, "this section does not exist in the corpus")}
+    marks = lambda group, *a: sorted((r.id, r.doc_id or "", r.section or "", r.cited) for r in curation.recheck(items, rows, group, *a).collect())
+    assert marks("multiple") == [("Q002", "d", "s1", True), ("Q002", "d", "s2", False), ("Q002", "x", "", False)]
+    assert marks("unanswerable") == [("Q003", "", "", False)] and marks("cites", "d::s1")[:2] == [("Q001", "d", "s1", True), ("Q001", "d", "s2", False)]
+    asked = spark.createDataFrame([("q001",), (" Q002 ",), ("q9",)], "asked string")
+    found = {r.asked: (r.id, r.origin) for r in curation.look_up(asked, items.where("id = 'Q001'"), items).collect()}
+    assert found == {"q001": ("Q001", "draft"), " Q002 ": ("Q002", "question"), "q9": (None, None)}
+
+
+def test_bounds_and_prompts(spark):
+    for q, k in (("four", 5), ("x" * 501, 5), ("fine question", 0), ("fine question", 21)):
+        with pytest.raises(ValueError):
+            answers.check_bounds(q, k)
+        assert one(spark, answers.within_bounds(F.col("q"), F.col("k")), q=q, k=k) is False
+    answers.check_bounds("fine question", 20)
+    assert one(spark, answers.within_bounds(F.col("q"), F.col("k")), q="fine question", k=20) is True
+    ctx = spark.createDataFrame([(1, "why?", "b" * 800, 2), (1, "why?", "first", 1)], "query_id int, query string, text string, rank int")
+    assert answers.prompts(ctx, "P {passages} Q {question}!").first().prompt == f"P [1] first\n\n[2] {'b' * 700} Q why?!"
+
+
+def test_rewritten_retrieval_reranks_by_the_question(spark):
+    chunks = spark.createDataFrame([(0, "alpha beta"), (1, "gamma delta alpha"), (2, "gamma gamma")], "idx long, text string")
+    rewrites = spark.createDataFrame([(1, "alpha beta", "gamma gamma gamma")], "query_id long, query string, retrieval_query string")
+    got = retrieval.rewritten(rewrites, lambda q, k: retrieval.bm25(chunks, q, k), chunks, retrieval.lexical_pair, 3, 3).orderBy("rank").collect()
+    assert [r.idx for r in got] == [0, 1, 2] and got[0].score == 100.0
+    assert tuple(retrieval.unchanged_rewrites(rewrites).first()) == (1, 0)
+
+
+def test_encoder_slot(spark):
+    chunks = spark.createDataFrame([(0, "aab"), (1, "bbb"), (2, None)], "idx long, text string")
+    encode = lambda t: F.array(F.regexp_count(t, F.lit("a")), F.regexp_count(t, F.lit("b")))
+    got = retrieval.dense(chunks, spark.createDataFrame([(1, "b")], "query_id long, query string"), encode, 2).orderBy("rank").collect()
+    assert [(r.idx, round(r.score, 3)) for r in got] == [(1, 1.0), (0, 0.447)]
+
+
+@pytest.mark.parametrize("shared", [4_000_000, 0])
+def test_vector_top_with_shared_and_with_joined_queries(spark, monkeypatch, shared):
+    monkeypatch.setattr(retrieval, "SHARED_NUMBERS", shared)
+    rng = random.Random(1)
+    v = [(i, [float(rng.randint(0, 3)) for _ in range(4)]) for i in range(300)]
+    q = [(i, [float(rng.randint(0, 3)) for _ in range(4)]) for i in range(5)]
+    got = {}
+    for r in retrieval.vector_top(spark.createDataFrame(v, "idx long, v array<float>").repartition(5), spark.createDataFrame(q, "query_id long, q array<float>"), 7).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.idx
+    for i, x in q:
+        best = sorted(v, key=lambda r: (-sum(a * b for a, b in zip(x, r[1])), r[0]))[:7]
+        assert [got[i][k] for k in range(1, 8)] == [b[0] for b in best]
+    chunks = spark.createDataFrame([(i, " ".join(rng.choices("abcdef", k=rng.randint(0, 6)))) for i in range(80)], "idx long, text string")
+    asked = spark.createDataFrame([(1, "a b c"), (2, "f"), (3, "")], "query_id long, query string")
+    rows = [(r.query_id, r["rank"], r.idx, round(r.score, 9)) for r in retrieval.hashed_dense(chunks, asked, 9).orderBy("query_id", "rank").collect()]
+    monkeypatch.setattr(retrieval, "SHARED_NUMBERS", 4_000_000 - shared)
+    assert rows == [(r.query_id, r["rank"], r.idx, round(r.score, 9)) for r in retrieval.hashed_dense(chunks, asked, 9).orderBy("query_id", "rank").collect()]
+
+
+def test_page_facts_and_carried_columns(spark):
+    page = "<body class='x page-node-77 y'><main><h1>T</h1>\n<p>C 25/2022</p>\n<p>Effective from 3/12/2024</p>Status: In-Force<br></main><a href='/en/rulebook/banking'>b</a><a href='/f/conduct.pdf'>c</a><a href='/en_net_file_store/a_77.pdf'>p</a></body>"
+    bare = "<html><p>Effective from 2024</p><a href='x.pdf'>x</a></html>"
+    got = {r.doc_id: r for r in ingest.page_facts(spark.createDataFrame([("a", page), ("b", bare), ("c", None)], "doc_id string, html string"), base="https://h").collect()}
+    assert tuple(got["a"])[1:] == ("77", "C 25/2022", "2024-12-03", "in_force", "banking", "https://h/en_net_file_store/a_77.pdf", [])
+    assert got["b"].problems == ["no node id in body class", "unparsable date 2024", "could not determine rulebook section", "no document PDF in the file store"]
+    rows = ingest.carry(spark.createDataFrame([("a", "s", "old"), ("z", "t", "old")], "doc_id string, section string, title string"), spark.createDataFrame([("a", "T", None)], "doc_id string, title string, url string"), ("title", "url"))
+    assert sorted(map(tuple, rows.collect())) == [("a", "s", "T", ""), ("z", "t", "", "")]
+
+
+def test_shared_parts_follow_their_input(spark, tmp_path):
+    from sievewright.plans import parts
+
+    for name in parts.TABLES:
+        spark.range(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    made = []
+
+    def make(s, d):
+        made.append(d)
+        return s.read.parquet(f"{d}/documents.parquet")
+
+    assert [parts.part(spark, str(tmp_path), "p", make).count() for _ in range(2)] == [3, 3] and len(made) == 1
+    spark.range(5).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert parts.part(spark, str(tmp_path), "p", make).count() == 5 and len(made) == 2
+
+
 def test_vector_queries_meet_all_rows(spark, tmp_path):
     from sievewright.plans import catalogue
 
