@@ -15,6 +15,7 @@ the block's offset index and the unpacking of a single frame. The dictionary is
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import struct
 import unicodedata
@@ -38,6 +39,21 @@ _ENTRY = struct.Struct("<qBQI")
 _HEAD = struct.Struct("<II")
 
 
+# The normaliser and pre-tokenizer of files that texts are cut for here; all others go through the library whole.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]}
+
+
+def cut_is_known(path: str) -> bool:
+    """Whether a tokenizer file has the words that WordEncoder cuts texts into."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    return spec.get("normalizer") == NORMALIZER and spec.get("pre_tokenizer") == PRE_TOKENIZER and not spec.get("post_processor") and all(t["content"].startswith("<|") for t in spec.get("added_tokens", ()))
+
+
 def _word_pattern() -> re.Pattern:
     """The tokenizer's words, for lower-case text of characters up to U+017F."""
     marks = {"L": "", "N": "", "W": ""}
@@ -59,7 +75,8 @@ class WordEncoder:
     """Ids of whole texts by a lower-casing tokenizer whose words never cross white space; each word is encoded once.
 
     Texts of characters up to U+017F are cut into the tokenizer's own words. Any other text, and text that may hold a
-    special token, is cut at ASCII white space only and those pieces go through the whole tokenizer.
+    special token, is cut at ASCII white space only and those pieces go through the whole tokenizer. Texts for a tokenizer of
+    other words go through it as a whole.
     """
 
     _ODD = re.compile("[^\x00-\u012f\u0131-\u017f]")
@@ -68,6 +85,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.known = cut_is_known(path)
         self.words = _word_pattern()
         self.shown = _byte_characters()
         self.kept: dict[str, bytes] = {}
@@ -112,6 +130,8 @@ class WordEncoder:
 
     def encode(self, text: str | None) -> bytes:
         text = text or ""
+        if not self.known:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + self.end
         return (self._other(text) if "<|" in text or self._ODD.search(text) else self._plain(text)) + self.end
 
 

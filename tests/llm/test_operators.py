@@ -193,6 +193,35 @@ def test_word_encoder_is_the_tokenizer():
         assert np.frombuffer(encoder.encode(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids + [2], t
 
 
+def test_word_encoder_on_every_code_point():
+    from tokenizers import Tokenizer
+
+    tokenizer, encoder = Tokenizer.from_file(queries.WORD_TOKENIZER), token_io.WordEncoder(queries.WORD_TOKENIZER, 2)
+    points = [c for c in range(0x10000) if not 0xD800 <= c < 0xE000] + list(range(0x1F300, 0x1F700))
+    carried = [f"a{chr(c)}1 {chr(c)}'s x{chr(c)}" for c in points]
+    for t, e in zip(carried, tokenizer.encode_batch(carried, add_special_tokens=False)):
+        assert np.frombuffer(encoder.encode(t), "<u4").tolist() == e.ids + [2], t
+
+
+def test_word_encoder_of_another_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = queries.WORD_TOKENIZER.replace("word_bpe_49k", "byte_bpe_50k")
+    assert token_io.cut_is_known(queries.WORD_TOKENIZER) and not token_io.cut_is_known(path)
+    text = "Some  Words\n<|endoftext|> é"
+    assert np.frombuffer(token_io.WordEncoder(path, 2).encode(text), "<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids + [2]
+
+
+def test_token_files_with_repeated_ids(spark, tmp_path):
+    rows = [(2, "b c", 1), (1, "a", 1), (2, "b c", 2), (2, "d", 3), (None, None, 4), (1, "", 5)]
+    out = f"file://{tmp_path}/tokens"
+    token_io.write_tokens(spark.createDataFrame(rows, "doc_id long, text string, start int"), out, queries.WORD_TOKENIZER, 2, partitions=2)
+    got = token_io.read_tokens(spark, out, with_ids=True).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, 1, 1, 2, 2, 2] and sorted(len(r.ids) for r in got) == [1, 1, 2, 2, 3, 3]
+    ends = [r.start + r.n_tokens for r in got]
+    assert [r.start for r in got] == [0, *ends[:-1]]
+
+
 def jaccard(a, b):
     def shingles(t):
         w = WORD.findall(t)
@@ -482,6 +511,41 @@ def test_neighbours_of_repeated_ids(spark):
     assert {(r.query_id, r.rank) for r in got} == {(q, n) for q in (0, 100, 200) for n in range(1, 11)} and all(r.query_id != r.vec_id for r in got)
 
 
+CONTRACT = {
+    "op1_suffix_dedup": "doc_id bigint n_bytes bigint n_removed bigint n_spans bigint kept_sha256 string",
+    "op2_ann_forest": "query_id bigint rank int vec_id bigint score double",
+    "op3_mix_sources": "doc_id bigint size bigint source_size bigint target double taken bigint",
+    "op4_token_output": "doc_id bigint start bigint n_tokens bigint ids_crc32 bigint",
+    "op5_fingerprints": "doc_id bigint n_chars bigint edited_sha256 string fingerprint string edited_fingerprint string near_edited double near_next double",
+    "op6_simhash_dedup": "doc_id bigint fingerprint string component_id bigint",
+    "op7_line_dedup": "doc_id bigint n_units bigint n_removed bigint removed_spans string",
+    "op8_sentencepiece": "doc_id bigint n_pieces bigint ids_crc32 bigint decodes boolean",
+    "op9_url_filter": "page_id bigint host string path string rule string verdict string",
+    "op10_language_id": "doc_id bigint held_out boolean lang_pred string score double",
+}
+
+
+@pytest.mark.parametrize("name", CONTRACT)
+def test_queries_return_their_columns_for_every_row(spark, name):
+    out = queries.queries()[name](spark, "/root/testdata/sf0.001")
+    words = CONTRACT[name].split()
+    assert dict(zip(words[::2], words[1::2])).items() <= dict(out.dtypes).items()
+    table = "embeddings" if name.startswith("op2") else "pages" if name.startswith("op9") else "documents"
+    rows = spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet")
+    want = 10 * rows.where("vec_id % 100 = 0").count() if table == "embeddings" else rows.count()
+    assert out.count() == want
+
+
+def test_pipeline_keeps_values_of_other_columns(spark):
+    import corpus_pipeline
+
+    texts = ["some plain words that stand here alone", "other words of a second text", "third one is the last of them all"]
+    rows = [(i, t, "en", "a", len(t), f"rid{i}", f"p{i}", i * 10, f"c{i}", i * 100, f"l{i}") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, rid string, spans string, n_removed int, copies string, `copy` int, lang_pred string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert sorted(map(tuple, stage(spark, docs, "").distinct().collect())) == rows, name
+
+
 def test_pipeline_keeps_columns(spark, docs, tmp_path):
     import corpus_pipeline
 
