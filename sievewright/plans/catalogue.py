@@ -106,8 +106,17 @@ def section_lookup(spark, sf):
 
 @query
 def html_sections(spark, sf):
-    p = C.table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), "html")
-    return out(ingest.sections(ingest.html_blocks(p, "h1", "p")).select("doc_id", "section", "section_title", "order", "chars"))
+    """Pages made of the documents' lines, each under a heading; chapters, titles without a body and labels met again among them."""
+    s = C.sections(spark, sf)
+    forms = F.array(*map(F.lit, ("Chapter (%d)", "Article (%d): Rule", "Definitions", "Scope of %d", "Article (%d)", "General")))
+    k = F.pmod("ord", F.lit(6))
+    heading = F.replace(F.element_at(forms, (k + 1).cast("int")), F.lit("%d"), F.col("ord").cast("string"))
+    plain = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    body = F.when(k.isin(0, 3), "").otherwise(F.concat(F.lit("<div class='field--name-body x'><script>no()</script><p>"), plain, F.lit("</p></div>")))
+    each = F.struct("ord", F.concat(F.lit("<h2 class='page-title'>"), heading, F.lit("</h2><br>"), body).alias("html"))
+    p = s.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(each)), lambda x: x["html"]), "\n").alias("html"))
+    rows = ingest.sections(ingest.html_blocks(p))
+    return out(rows.select("doc_id", "section", "section_title", "parent_heading", "order", "duplicate_label", F.char_length(F.regexp_replace("text", "[^A-Za-z]", "")).alias("letters")))
 
 
 @query

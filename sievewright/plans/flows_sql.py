@@ -89,6 +89,13 @@ def all_sql() -> dict[str, str]:
     x = "x AS (SELECT 1)"
     q: dict[str, str] = {}
     q["chunk_overlap"] = overlapping(120, 20)
+    q["html_sections"] = BASE + f"""hd AS (SELECT doc_id, ord, text, ord % 6 AS k, replace(['Chapter (%d)', 'Article (%d): Rule', 'Definitions', 'Scope of %d', 'Article (%d)', 'General'][ord % 6 + 1], '%d', ord::VARCHAR) AS heading, ord % 6 IN (0, 3) OR {STRIPPED.format('text')} = '' AS empty FROM secs),
+      pl AS (SELECT *, coalesce(last_value(CASE WHEN empty AND k = 0 THEN ord END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chapter,
+        lag(CASE WHEN empty AND k <> 0 THEN heading END) OVER (PARTITION BY doc_id ORDER BY ord) AS pending FROM hd),
+      lb AS (SELECT *, CASE WHEN ord = 1 THEN 'Preamble' ELSE CASE WHEN chapter > 0 THEN 'Chapter ' || chapter || ', ' ELSE '' END || CASE k WHEN 1 THEN 'Article ' || ord WHEN 4 THEN 'Article ' || ord ELSE heading END END AS label FROM pl WHERE NOT empty),
+      sn AS (SELECT *, row_number() OVER (PARTITION BY doc_id, label ORDER BY ord) AS seen FROM lb)
+      SELECT doc_id, label || CASE WHEN seen > 1 THEN ' (' || seen || ')' ELSE '' END AS section, CASE WHEN ord = 1 THEN heading ELSE coalesce(pending, heading) END AS section_title,
+        CASE WHEN chapter > 0 THEN 'Chapter (' || chapter || ')' ELSE '' END AS parent_heading, ord - 1 AS "order", seen > 1 AS duplicate_label, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS letters FROM sn"""
     q["claims_parse"] = BASE + CLAIMS + " SELECT query_id, n, length(claim) AS chars, string_agg(rank::VARCHAR, ',' ORDER BY pos) AS numbers FROM cl GROUP BY query_id, n, claim"
     q["tagged_citations"] = BASE + CLAIMS + " SELECT query_id, n, evidence_id, length(claim) AS chars FROM cited"
     q["corrupted_labels"] = BASE + ITEMS + ", " + CORRUPT + " SELECT id, how, evidence_id, replacement FROM broken"
