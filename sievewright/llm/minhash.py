@@ -6,13 +6,16 @@ bins in an order drawn for the empty bin) and takes the first filled one, indepe
 optimal densification. The low 8 bits of each bin are packed, and likeness corrects for their chance agreement.
 
 Null text counts as empty. A text without words has the empty fingerprint: it is like other such texts (1) and
-unlike all others (0); a text of fewer words than a shingle is one shingle. Equal texts have equal fingerprints.
+unlike all others (0); a text of fewer words than a shingle is one shingle. Equal texts have equal fingerprints. Repeated
+rows are rows; only rows that are alike in id and text both, of whatever number, share a bucket that isn't parted. An
+empty table gives an empty one, and only doc_id and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
 
 import math
 import random
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -118,14 +121,21 @@ def as_text(packed: Column) -> Column:
     return F.array_join(F.transform(packed, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
 
 
+#: A key's bucket is parted into at most 2**PARTS.
+PARTS = 12
+_LEAST = -(1 << 63)
+
+
 def _buckets(rows: DataFrame, n: int) -> Column:
-    """The number of the key's bucket, from 0 for the largest keys: n buckets of about as many rows.
+    """The number of a row's bucket, from 0 for the largest keys: n buckets of about as many rows, and more for crowded keys.
 
-    Bounds are looked up in two steps, so a row meets about twice the root of n of them.
+    Bounds are looked up in two steps, so a row meets about twice the root of n of them. A key that stands at several bounds
+    has a bucket of its own, parted by the hash of the text, as that is the order of its rows.
     """
     at = [i / n for i in range(1, n)]
-    bounds = rows.agg(F.percentile_approx("key", at, 10_000)).first()[0] if n > 1 else None
-    bounds = sorted(set(bounds or ()), reverse=True)
+    found = (rows.agg(F.percentile_approx("key", at, 10_000)).first()[0] if n > 1 else None) or []
+    crowded = {k: min(PARTS, (c - 1).bit_length()) for k, c in Counter(found).items() if c > 1}
+    bounds = sorted({*found, *(k - 1 for k in crowded if k > _LEAST)}, reverse=True)
     if not bounds:
         return F.lit(0)
     step = max(1, math.isqrt(len(bounds)))
@@ -134,7 +144,12 @@ def _buckets(rows: DataFrame, n: int) -> Column:
     coarse = F.expr(f"size(filter({array([g[0] for g in groups])}, b -> b >= key))")
     fine = F.expr(f"array({', '.join(array(g) for g in groups)})")
     inside = lambda c: F.when(c == 0, 0).otherwise((c - 1) * step + F.size(F.filter(F.get(fine, c - 1), lambda b: b >= F.col("key"))))
-    return let(coarse, inside)
+    bucket = F.shiftleft(let(coarse, inside).cast("long"), PARTS)
+    if not crowded:
+        return bucket
+    bits = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for k, b in crowded.items() for x in (k, b))), F.col("key")), F.lit(0))
+    rising = F.call_function("shiftrightunsigned", F.col("tie").bitwiseXOR(F.lit(_LEAST)), F.lit(64) - bits)
+    return bucket + F.when(bits > 0, F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1 - rising).otherwise(0)
 
 
 def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
@@ -147,12 +162,12 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     n = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(-(1 << 63))).cast("long").alias("key"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
-    rows = rows.withColumn("bucket", _buckets(rows, n).cast("int"))
+    rows = rows.withColumn("bucket", _buckets(rows, n).cast("long"))
     heads = rows.groupBy("bucket").agg(F.max_by("text", F.struct("key", "tie")).alias("text"))
     # one row for each bucket, and no text in the ordered part
     used = [r.bucket for r in rows.select("bucket").distinct().orderBy("bucket").collect()]
     before = {b: used[i - 1] for i, b in enumerate(used)}
-    place = F.expr(f"element_at(map({', '.join(f'{b}, {p}' for b, p in before.items())}), bucket)") if before else F.col("bucket")
+    place = F.expr(f"element_at(map({', '.join(f'{b}L, {p}L' for b, p in before.items())}), bucket)") if before else F.col("bucket")
     guests = heads.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(None).cast("long").alias("key"), F.lit(None).cast("long").alias("tie"), place.alias("bucket"), F.lit(True).alias("guest"))
     everyone = rows.withColumn("guest", F.lit(False)).unionByName(guests).withColumn("mark", fingerprint(F.col("text")))
     order = Window.partitionBy("bucket").orderBy("guest", F.desc("key"), F.desc("tie"))

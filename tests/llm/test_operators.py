@@ -290,6 +290,18 @@ def plain_line_dedup(rows, least, cut):
     return out
 
 
+@pytest.mark.parametrize("buckets", [1, 7, 60])
+def test_next_of_crowded_ids(spark, buckets):
+    rng = random.Random(buckets)
+    rows = [(rng.choice([None, None, 5, 5, 5, i, -(1 << 63)]), f"text {rng.randrange(500)}" if rng.random() < 0.97 else None) for i in range(400)]
+    d = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, bucket string, tie int").repartition(4)
+    got = [(r.doc_id, r.text, r.next_text) for r in minhash.with_next(d, buckets).select("doc_id", "text", "next_text").collect()]
+    tie = {r.text: r.tie for r in d.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie")).distinct().collect()}
+    order = sorted(((-(1 << 63) if i is None else i, tie[t or ""], t or "") for i, t in rows), reverse=True)
+    want = [(k, t, order[(n + 1) % len(order)][2]) for n, (k, _, t) in enumerate(order)]
+    assert sorted((-(1 << 63) if i is None else i, t, u) for i, t, u in got) == sorted(want)
+
+
 @pytest.mark.parametrize("unit,least", [("sentence", 6), ("sentence", 25), ("line", 1), ("paragraph", 4)])
 def test_line_dedup_against_plain(spark, unit, least):
     rng = random.Random(least)
