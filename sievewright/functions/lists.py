@@ -6,7 +6,9 @@ must no not of on or shall should such that the their there these this to was
 were which who will with within would""".split()
 
 # Stopwords of the failure analysis.
-FAILURE_STOPWORDS = ANSWER_STOPWORDS + "what when how does do can may any".split()
+FAILURE_STOPWORDS = """a an and are as at be been but by for from had has have if in into is it its
+must no not of on or shall should such that the their there these this to was
+were which who will with within would what when how does do can may any""".split()
 
 # Words that feedback never adds to a query.
 FEEDBACK_STOPWORDS = """about above after again against all also among and any are because been
@@ -65,6 +67,18 @@ OTHER_INSTRUMENT = r"^\s*of\s+(?:the|these)\s+[A-Z]"
 ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9, "x": 10}
 MAX_RANGE = 20
 
+# Forms of section headings, by the label that they give; the first that fits counts.
+ARTICLE = r"^Article\s*\(?\s*(\d+)\s*\)?"
+LETTERED = r"^(Appendix|Annex|Schedule)\s*(?:No\.?)?\s*\(?\s*([0-9]+|[A-Z])\s*\)?"
+DIVISION = r"^(Chapter|Part|Section)\s*\(?\s*([A-Za-z]+|\d+)\s*\)?"
+DOTTED = r"^(\d+(?:\.\d+)+)"
+FLAT = r"^(\d+)\s*[.)]\s+\S"
+CONTAINER = r"^(Chapter|Part|Section)\b"
+
+# What a generated context may begin with, and its first sentence.
+PREAMBLE = r"^(sure|certainly|here is|here's)[^:]*:\s*"
+FIRST_SENTENCE = r"^(.{20,400}?[.!?])(\s|$)"
+
 # Names of instruments in running text, and who means the counterpart by them.
 ALIASES = {
     "financial regulations": "INS-FIN-001",

@@ -56,21 +56,19 @@ def section_label(heading: Column) -> Column:
     def got(pattern: str, group: int) -> Column:
         return F.regexp_extract(heading, "(?i)" + pattern, group)
 
-    article, lettered, division = r"^Article\s*\(?\s*(\d+)\s*\)?", r"^(Appendix|Annex|Schedule)\s*(?:No\.?)?\s*\(?\s*([0-9]+|[A-Z])\s*\)?", r"^(Chapter|Part|Section)\s*\(?\s*([A-Za-z]+|\d+)\s*\)?"
-    dotted, flat = r"^(\d+(?:\.\d+)+)", r"^(\d+)\s*[.)]\s+\S"
-    number = F.regexp_replace(got(article, 1), "^0+(?=.)", "")
-    return (
-        F.when(heading.rlike("(?i)" + article), F.concat(F.lit("Article "), number))
-        .when(heading.rlike("(?i)" + lettered), F.concat_ws(" ", F.initcap(got(lettered, 1)), got(lettered, 2)))
-        .when(heading.rlike("(?i)" + division), F.concat_ws(" ", F.initcap(got(division, 1)), F.initcap(got(division, 2))))
-        .when(heading.rlike(dotted), got(dotted, 1))
-        .when(heading.rlike(flat), got(flat, 1))
-        .otherwise(heading)
+    number = F.regexp_replace(got(lists.ARTICLE, 1), "^0+(?=.)", "")
+    forms = (
+        (lists.ARTICLE, F.concat(F.lit("Article "), number)),
+        (lists.LETTERED, F.concat_ws(" ", F.initcap(got(lists.LETTERED, 1)), got(lists.LETTERED, 2))),
+        (lists.DIVISION, F.concat_ws(" ", F.initcap(got(lists.DIVISION, 1)), F.initcap(got(lists.DIVISION, 2)))),
+        (lists.DOTTED, got(lists.DOTTED, 1)),
+        (lists.FLAT, got(lists.FLAT, 1)),
     )
+    return F.coalesce(*(F.when(heading.rlike("(?i)" + pattern), label) for pattern, label in forms), heading)
 
 
 def is_container(heading: Column) -> Column:
-    return heading.rlike(r"(?i)^(Chapter|Part|Section)\b")
+    return heading.rlike("(?i)" + lists.CONTAINER)
 
 
 def indexable_text(text: Column, title: Column, heading: Column, doc_title: Column | None = None) -> Column:
@@ -128,11 +126,11 @@ def instructions(model: Column) -> Column:
 def clean_context(text: Column) -> Column:
     """One sentence of generated context: no preamble, no quotes, at most 400 characters."""
     t = strip(F.regexp_replace(text, r"(?U)\s+", " "))
-    t = F.regexp_replace(t, r"(?i)^(sure|certainly|here is|here's)[^:]*:\s*", "")
+    t = F.regexp_replace(t, "(?i)" + lists.PREAMBLE, "")
     for quote in ('"', "'"):
         t = F.regexp_replace(strip(t), f"^{quote}+|{quote}+$", "")
     t = strip(t)
-    first = F.regexp_extract(t, r"^(.{20,400}?[.!?])(\s|$)", 1)
+    first = F.regexp_extract(t, lists.FIRST_SENTENCE, 1)
     return strip(F.substring(F.when(first != "", first).otherwise(t), 1, 400))
 
 

@@ -6,14 +6,17 @@ Scores are ranked as rounded to 9 digits, ties by idx, so that the order of a su
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lists, text
+from ..sources import scratch
 
 #: Okapi parameters; every negative idf is replaced by EPSILON times the mean idf.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -236,6 +239,30 @@ def generated_rewrite(questions: DataFrame, generate: Callable[[Column], Column]
     return questions.select("query_id", "query", F.coalesce(new, "query").alias("retrieval_query"))
 
 
+def guarded(generate: Callable[[str], str | None]) -> Callable[[Column], Column]:
+    """A generator of one text after the other as a column function; where it raises, the value is null and the question stays."""
+
+    @F.pandas_udf("string")
+    def run(questions: pd.Series) -> pd.Series:
+        def one(q):
+            try:
+                return generate(q)
+            except Exception:  # whatever a model raises, the other questions go on
+                return None
+
+        return questions.map(one).astype(object)
+
+    return run
+
+
+def timed(search: Callable[[DataFrame, int], DataFrame], questions: DataFrame, k: int) -> tuple[DataFrame, float]:
+    """The ranking, computed and kept, and milliseconds per question of the batch (not the latency of one question)."""
+    n = questions.count()
+    began = time.perf_counter()
+    found = scratch.written(search(questions, k), "timed")
+    return found, 1000.0 * (time.perf_counter() - began) / max(n, 1)
+
+
 def rewritten(rewrites: DataFrame, search: Callable[[DataFrame, int], DataFrame], chunks: DataFrame, score_pair: Callable[[Column, Column], Column], pool: int, k: int) -> DataFrame:
     """Retrieval with a rewritten question, reranked against the question as it was asked.
 

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import scratch
+
 ROUNDS, AUC_ROUNDS = 10_000, 4_000
 
 
@@ -52,14 +54,37 @@ def replay(values: DataFrame, seed: str, rounds: int = 10_000) -> DataFrame:
     return values.groupBy(F.lit(1)).applyInPandas(run, "n long, mean double, low double, high double")
 
 
+def running(rows: DataFrame, by: str, *counts: str) -> DataFrame:
+    """rows (by, distinct and never null; counts) with the sums of the counts up to each row as upto_<count>.
+
+    Rows are dealt into ranges and summed within each, so no task holds them all; the ranges' own sums, a row each, are added
+    by the driver. Without a shared folder, where ranges can't be kept, it is one window.
+    """
+    spark = rows.sparkSession
+    if scratch.root(spark) is None:
+        order = Window.orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.select("*", *(F.sum(c).over(order).alias(f"upto_{c}") for c in counts))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = scratch.written(rows.repartitionByRange(n, by).withColumn("range", F.spark_partition_id()), "ranged")
+    totals = sorted(map(tuple, ranged.groupBy("range").agg(*(F.sum(c) for c in counts)).collect()))
+    within = Window.partitionBy("range").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged
+    for i, c in enumerate(counts, 1):
+        before, starts = 0, []
+        for row in totals:
+            starts += [F.lit(row[0]), F.lit(before).cast("long")]
+            before += row[i] or 0
+        start = F.element_at(F.create_map(*starts), F.col("range")) if starts else F.lit(0).cast("long")
+        out = out.withColumn(f"upto_{c}", start + F.sum(c).over(within))
+    return out.drop("range")
+
+
 def auc(scores: DataFrame) -> DataFrame:
-    """scores (positive boolean, score) -> n_positive, n_negative, auc, from mean ranks: no pairs are made."""
-    ranks = scores.withColumn("r", F.rank().over(Window.orderBy("score"))).withColumn("ties", F.count(F.lit(1)).over(Window.partitionBy("score")))
-    place = F.col("r") + (F.col("ties") - 1) / 2.0
-    p, n = F.count_if("positive"), F.count_if(~F.col("positive"))
-    total = F.sum(F.when(F.col("positive"), place).otherwise(0.0))
-    value = F.when((p > 0) & (n > 0), (total - p * (p + 1) / 2.0) / (p * n))
-    return ranks.agg(p.alias("n_positive"), n.alias("n_negative"), value.alias("auc"))
+    """scores (positive boolean, score) -> n_positive, n_negative, auc: of each score the negatives below it, and half of those at it."""
+    counts = scores.groupBy("score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n"))
+    p, n = F.coalesce(F.sum("p"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))
+    wins = F.sum(F.col("p") * (F.col("upto_n") - F.col("n") / 2.0))
+    return running(counts, "score", "n").agg(p.alias("n_positive"), n.alias("n_negative"), F.when((p > 0) & (n > 0), wins / (p * n)).alias("auc"))
 
 
 def auc_bootstrap(scores: DataFrame, seed: str, rounds: int = AUC_ROUNDS) -> DataFrame:
@@ -78,22 +103,20 @@ def auc_bootstrap(scores: DataFrame, seed: str, rounds: int = AUC_ROUNDS) -> Dat
 def abstention_curve(top: DataFrame) -> DataFrame:
     """top (answerable, score) -> threshold, declined_ok, declined_wrong: questions at or below each rounded score.
 
-    A cumulative count over the scores in order takes the place of a join of thresholds with questions.
+    A running count over the scores takes the place of a join of thresholds with questions.
     """
-    at = F.round("score", 2)
-    counts = top.select(F.col("score").alias("at"), F.lit(0).alias("is_threshold"), F.when(F.col("answerable"), 0).otherwise(1).alias("u"), F.when(F.col("answerable"), 1).otherwise(0).alias("a"))
-    points = top.select(at.alias("at")).distinct().select("at", F.lit(1).alias("is_threshold"), F.lit(0).alias("u"), F.lit(0).alias("a"))
-    upto = Window.orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
-    run = counts.unionByName(points).select("at", "is_threshold", F.sum("u").over(upto).alias("declined_ok"), F.sum("a").over(upto).alias("declined_wrong"))
-    return run.where("is_threshold = 1").select(F.col("at").alias("threshold"), "declined_ok", "declined_wrong")
+    counts = top.select(F.col("score").alias("at"), F.lit(0).alias("point"), F.when(F.col("answerable"), 0).otherwise(1).alias("u"), F.when(F.col("answerable"), 1).otherwise(0).alias("a"))
+    points = top.select(F.round("score", 2).alias("at"), F.lit(1).alias("point"), F.lit(0).alias("u"), F.lit(0).alias("a"))
+    each = counts.unionByName(points).groupBy("at").agg(F.max("point").alias("point"), F.sum("u").alias("u"), F.sum("a").alias("a"))
+    return running(each, "at", "u", "a").where("point = 1").select(F.col("at").alias("threshold"), F.col("upto_u").alias("declined_ok"), F.col("upto_a").alias("declined_wrong"))
 
 
 def upper_median(rows: DataFrame, column: str, name: str = "median") -> DataFrame:
     """One row: sorted[n // 2] of a column without its nulls, from a histogram of its values."""
     histogram = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    upto = histogram.withColumn("upto", F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    upto = running(histogram, "v", "n")
     total = histogram.agg(F.sum("n").alias("total"))
-    return upto.crossJoin(F.broadcast(total)).where(F.col("upto") > F.floor(F.col("total") / 2)).agg(F.min("v").alias(name))
+    return upto.crossJoin(F.broadcast(total)).where(F.col("upto_n") > F.floor(F.col("total") / 2)).agg(F.min("v").alias(name))
 
 
 COMBINED = ("relevance", "scope", "sum", "min")

@@ -368,6 +368,32 @@ def test_rewritten_retrieval_reranks_by_the_question(spark):
     assert tuple(retrieval.unchanged_rewrites(rewrites).first()) == (1, 0)
 
 
+def test_a_generator_that_raises_leaves_the_question(spark):
+    def generate(q):
+        if "bad" in q:
+            raise RuntimeError("no model")
+        return f" about {q} "
+
+    asked = spark.createDataFrame([(1, "good"), (2, "bad one")], "query_id long, query string")
+    got = {r.query_id: r.retrieval_query for r in retrieval.generated_rewrite(asked, retrieval.guarded(generate)).collect()}
+    assert got == {1: "good about good", 2: "bad one"}
+
+
+def test_timed(spark):
+    chunks = spark.createDataFrame(CORPUS, "idx long, text string")
+    found, ms = retrieval.timed(lambda q, k: retrieval.bm25(chunks, q, k), spark.createDataFrame([(1, "risk")], "query_id long, query string"), 2)
+    assert found.count() == 2 and ms > 0
+
+
+def test_running_sums(spark):
+    rows = [(i / 7, i % 3, 1) for i in range(200)]
+    got = statistics.running(spark.createDataFrame(rows, "v double, a int, b int").repartition(5), "v", "a", "b").orderBy("v").collect()
+    assert [(r.upto_a, r.upto_b) for r in got] == [(sum(x[1] for x in rows[: i + 1]), i + 1) for i in range(200)]
+    assert statistics.running(spark.createDataFrame([], "v double, a int"), "v", "a").count() == 0
+    none = statistics.auc(spark.createDataFrame([], "positive boolean, score double")).first()
+    assert tuple(none) == (0, 0, None)
+
+
 def test_encoder_slot(spark):
     chunks = spark.createDataFrame([(0, "aab"), (1, "bbb"), (2, None)], "idx long, text string")
     encode = lambda t: F.array(F.regexp_count(t, F.lit("a")), F.regexp_count(t, F.lit("b")))

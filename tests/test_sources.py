@@ -61,3 +61,33 @@ def test_writers(spark):
     assert "secret" not in str(writers.redact(cited).collect())
     with pytest.raises(ValueError):
         writers.redact(cited.withColumn("excerpt", F.lit("x")))
+
+
+def test_missing_files_and_pages(spark, tmp_path):
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        readers.json_lines(spark, f"file://{tmp_path}/none.jsonl", "a int")
+    assert readers.json_lines(spark, f"file://{tmp_path}/none.jsonl", "a int", missing_ok=True).count() == 0
+    (tmp_path / "r.csv").write_text("doc_id,title\na,x\na,y\n")
+    assert readers.registry_rows(spark, f"file://{tmp_path}/r.csv").count() == 2
+    pages = spark.createDataFrame([("a", "<p>")], "doc_id string, html string")
+    assert [r.doc_id for r in readers.missing_pages(pages, spark.createDataFrame([("a",), ("b",)], "doc_id string")).collect()] == ["b"]
+
+
+def test_unreadable_cache_is_made_anew(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "key int, text string")
+    compute = lambda new: new.selectExpr("key", "upper(text) as value")
+    path = f"file://{tmp_path}/cache"
+    for _ in range(2):
+        assert {r.value for r in readers.cached(spark, path, rows, "key", compute).collect()} == {"A", "B"}
+    for f in (tmp_path / "cache").glob("*.parquet"):
+        f.write_bytes(b"broken")
+    for f in (tmp_path / "cache").glob(".*.crc"):
+        f.unlink()
+    assert {r.value for r in readers.cached(spark, path, rows, "key", compute).collect()} == {"A", "B"}
+
+
+def test_corpus_digest(spark):
+    rows = spark.createDataFrame([(str(i), f"t{i}") for i in range(50)], "id string, text string")
+    digest = readers.corpus_digest(rows, "id", "text")
+    assert digest == readers.corpus_digest(rows.repartition(7), "id", "text") != readers.corpus_digest(rows.where("id <> '7'"), "id", "text")
+    assert digest != readers.corpus_digest(rows.withColumn("text", F.when(F.col("id") == "3", "x").otherwise(F.col("text"))), "id", "text")
