@@ -46,7 +46,7 @@ LIST = 32
 #: Shingle width and Jaccard similarity of near copies, and the shared listed shingles that a pair is kept for.
 NEAR_WORDS, NEAR, TALLY = 5, 0.8, 4
 #: Documents that the order of shingles is learned from (to twice as many), and shingles that it names.
-SAMPLE, COMMON = 16_384, 100_000
+SAMPLE, COMMON = 8_192, 100_000
 #: A longer list isn't paired in full: MEETINGS of a member's crowded lists deal it into groups of about MEET.
 CROWD, MEET, MEETINGS = 64, 16, 2
 
@@ -171,7 +171,7 @@ def _counted(words: int, seed: int):
 
 def common_shingles(docs: DataFrame, words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of shingles that at least three texts of a bounded sample hold, in order, and how many do."""
-    sample = hash_sample(docs, SAMPLE, "doc_id").select("text").limit(2 * SAMPLE).dropDuplicates(["text"])
+    sample = hash_sample(docs, SAMPLE, "doc_id").select("text")
     counts = sample.mapInArrow(_counted(words, seed), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 2")
     found = counts.orderBy(F.desc("n"), "h").limit(COMMON).collect()
     found = sorted((r.h % (1 << 64), r.n) for r in found)
