@@ -116,7 +116,7 @@ def plain_windows(paragraphs, budget, overlap):
 def test_windows_against_a_plain_version(spark, budget, overlap):
     rng = random.Random(budget + overlap)
     rows = [(i, [" ".join(rng.choice(["a", "b.", "c;", "d"]) for _ in range(rng.choice([1, 2, 3, 5, 9, 10, 11, 30, 60]))) for _ in range(rng.randint(1, 15))]) for i in range(60)]
-    got = spark.createDataFrame(rows, "i int, p array<string>").select("i", ingest.windows(F.col("p"), budget, overlap).alias("w")).collect()
+    got = spark.createDataFrame(rows, "i int, p array<string>").select("i", ingest.windows(F.col("p"), F.transform("p", T.word_count), budget, overlap).alias("w")).collect()
     assert {r.i: r.w for r in got} == {i: plain_windows(p, budget, overlap) for i, p in rows}
 
 
