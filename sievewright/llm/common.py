@@ -104,5 +104,17 @@ def hash_sample(df: DataFrame, size: int, *keys: str, total: int | None = None)
     return df.where(F.xxhash64(*keys) <= bound)
 
 
+_HELD: dict[tuple, object] = {}
+
+
+def held(key: tuple, build):
+    """What build() makes, kept in this process until another key is asked for: a worker that goes from one operator to the
+    next holds the tables of one of them only."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = build()
+    return _HELD[key]
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)

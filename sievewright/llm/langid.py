@@ -23,11 +23,13 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import held
+
 #: Bounded training sample: distinct texts of a language, their characters together, and languages (the most frequent).
 SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGES = 300, 30_000, 64
 STRETCH = 2_048
-#: Characters parsed at once.
-GROUP = 4_000_000
+#: Characters parsed at once, and rows.
+GROUP, ROWS = 2_000_000, 2_000
 _LETTER = regex.compile(r"\p{L}")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -73,11 +75,16 @@ class CrossParser:
         self.symbol = np.zeros(0x110000, np.int32)  # 0 is a character that no language has
         self.symbol[[ord(c) for c in characters]] = np.arange(1, len(characters) + 1)
         self.size = len(characters) + 1
-        automata = [SuffixAutomaton(training[x]).next for x in self.langs]
-        self.roots = np.cumsum([0, *map(len, automata)])[:-1]
-        edges = [(base + state, self.symbol[ord(c)], base + to) for base, steps in zip(self.roots, automata) for state, step in enumerate(steps) for c, to in step.items()]
-        state, symbol, to = np.array(edges, np.int64).reshape(-1, 3).T
-        self._file(state * self.size + symbol, to)
+        # one automaton at a time, as numbers
+        edges, bases = [np.zeros((0, 2), np.int64)], [0]
+        for x in self.langs:
+            steps, base = SuffixAutomaton(training[x]).next, bases[-1]
+            flat = np.fromiter((v for state, step in enumerate(steps) for c, to in step.items() for v in ((base + state) * self.size + int(self.symbol[ord(c)]), base + to)), np.int64)
+            edges.append(flat.reshape(-1, 2))
+            bases.append(base + len(steps))
+        self.roots = np.array(bases[:-1], np.int64)
+        keys, to = np.concatenate(edges).T
+        self._file(keys, to)
         every = np.arange(self.size)
         self.first = np.stack([self._step(root, every) for root in self.roots]) if self.langs else np.zeros((0, self.size), np.int64)
 
@@ -169,16 +176,9 @@ class CrossParser:
         return found, score
 
 
-_PARSERS: dict[int, tuple[dict, CrossParser]] = {}
-
-
 def _parser(training: dict[str, str]) -> CrossParser:
     """One parser in each worker process for the same training texts."""
-    key = hash(tuple(sorted(training.items())))
-    if key not in _PARSERS or _PARSERS[key][0] != training:
-        _PARSERS.clear()
-        _PARSERS[key] = (training, CrossParser(training))
-    return _PARSERS[key][1]
+    return held(("langid", *sorted(training.items())), lambda: CrossParser(training))
 
 
 def learn(docs: DataFrame, docs_per_lang: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS, most: int = LANGUAGES) -> dict[str, str]:
@@ -214,7 +214,7 @@ def predict(docs: DataFrame, training: dict[str, str], pred: str = "lang_pred",
 
     def run(batches):
         parser = _parser(shared.value)
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             langs, scores = parser.predict(batch.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*others, pred, score])
 

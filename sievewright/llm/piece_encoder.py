@@ -27,8 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType
 
+from .common import held
+
 BLANK = "▁"
-KEPT, LONGEST = 500_000, 64
+KEPT, LONGEST = 400_000, 64
 BPE, UNIGRAM = 2, 1
 
 
@@ -184,13 +186,8 @@ class PieceEncoder:
         return text[1:] if self.model.prefix and text.startswith(" ") else text
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
-
-
 def encoder(path: str) -> PieceEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+    return held(("pieces", path), lambda: PieceEncoder(path))
 
 
 def encode(docs: DataFrame, path: str, with_ids: bool = False, text: str = "text") -> DataFrame:

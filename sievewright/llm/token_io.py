@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import hash_sample
+from .common import hash_sample, held
 
 MAGIC = b"SVTK1\0"
 BLOCK_BYTES = 4_000_000
@@ -135,13 +135,8 @@ class WordEncoder:
         return (self._other(text) if "<|" in text or self._ODD.search(text) else self._plain(text)) + self.end
 
 
-_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
-
-
 def encoder(path: str, end_id: int) -> WordEncoder:
-    if (path, end_id) not in _ENCODERS:
-        _ENCODERS[path, end_id] = WordEncoder(path, end_id)
-    return _ENCODERS[path, end_id]
+    return held(("words", path, end_id), lambda: WordEncoder(path, end_id))
 
 
 def train_dictionary(docs: DataFrame, path: str, end_id: int) -> bytes:
