@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, line_dedup, minhash, mixing, piece_encoder, simhash, suffix_dedup, token_io, url_filter
+from . import ann, conversations, langid, line_dedup, merkle, minhash, mixing, piece_encoder, simhash, suffix_dedup, token_counts, token_io, url_filter
 from .common import scratch_path, table, with_rid
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -68,6 +68,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), WORD_TOKENIZER)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(table(spark, sf_dir, "conversations"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -98,4 +110,7 @@ FROM judged GROUP BY doc_id"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": LINE_DEDUP_SQL, "op9_url_filter": url_filter.judge_sql()}
+    return {
+        "op7_line_dedup": LINE_DEDUP_SQL, "op9_url_filter": url_filter.judge_sql(),
+        "op12_conversation_repair": conversations.repair_sql(), "op13_merkle_manifest": merkle.manifest_sql(),
+    }
