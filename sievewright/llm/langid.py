@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import held
 
-#: Bounded training sample: distinct texts of a language, their characters together, and languages (the most frequent).
-SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGES = 300, 30_000, 64
+#: Bounded training sample: distinct texts of a language, their characters together, all languages' characters together, and the
+#: characters that each language has at any rate, however many there are.
+SAMPLE_DOCS, SAMPLE_CHARS, ALL_CHARS, LEAST_CHARS = 300, 30_000, 1_920_000, 500
 STRETCH = 2_048
 #: Characters parsed at once, and rows.
 GROUP, ROWS = 2_000_000, 2_000
@@ -181,21 +182,22 @@ def _parser(training: dict[str, str]) -> CrossParser:
     return held(("langid", *sorted(training.items())), lambda: CrossParser(training))
 
 
-def learn(docs: DataFrame, docs_per_lang: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS, most: int = LANGUAGES) -> dict[str, str]:
+def learn(docs: DataFrame, docs_per_lang: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS, all_chars: int = ALL_CHARS) -> dict[str, str]:
     """Training text by language, from a sample of docs (text, lang) that is bounded for each language.
 
     Of each language, the distinct texts with the smallest hashes are taken, whatever their length or number of copies,
-    so no labelled language is lost, and reruns agree. All give the same number of characters, out of their middle.
-    Only the `most` most frequent labels count as languages.
+    and reruns agree. All give the same number of characters, out of their middle. Every label is learned: where there are so many that
+    `chars` of each would be more than all_chars together, each has fewer (LEAST_CHARS at least).
     """
     rows = docs.where("lang is not null").where(F.trim("text") != "")
-    langs = [r.lang for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()]
-    if not langs:
-        return {}
-    keyed = rows.where(F.col("lang").isin(langs)).withColumn("key", F.xxhash64("text"))
+    keyed = rows.withColumn("key", F.xxhash64("text"))
     order = Window.partitionBy("lang").orderBy("key")
     first = keyed.select("lang", "key").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs_per_lang)
-    bounds = {r.lang: (r.key, max(1, chars // r.n)) for r in first.groupBy("lang").agg(F.max("key").alias("key"), F.max("n").alias("n")).collect()}
+    found = first.groupBy("lang").agg(F.max("key").alias("key"), F.max("n").alias("n")).collect()
+    if not found:
+        return {}
+    chars = min(chars, max(LEAST_CHARS, all_chars // len(found)))
+    bounds = {r.lang: (r.key, max(1, chars // r.n)) for r in found}
     of = lambda i: F.element_at(F.create_map(*(F.lit(x) for lang, b in bounds.items() for x in (lang, b[i]))), F.col("lang"))
     length, part = F.char_length("text"), of(1).cast("int")
     middle = F.col("text").substr(F.greatest(F.lit(1), F.floor((length - part) / 2).cast("int") + 1), part)

@@ -191,24 +191,27 @@ def encoder(path: str) -> PieceEncoder:
 
 
 def encode(docs: DataFrame, path: str, with_ids: bool = False, text: str = "text") -> DataFrame:
-    """docs with a text column -> its other columns, n_pieces, ids_crc32, decodes (the ids give the text back), and ids if asked for."""
-    others = [c for c in docs.columns if c not in (text, "n_pieces", "ids_crc32", "decodes", "ids")]
+    """docs with a text column -> its other columns, n_pieces, ids_crc32, decodes (the ids give the text back), and ids if asked for.
+
+    Columns of these names, whatever their case, are replaced."""
+    new = {text.lower(), "n_pieces", "ids_crc32", "decodes", "ids"}
+    others = [c for c in docs.columns if c.lower() not in new]
     schema = docs.select(*others).schema.add("n_pieces", "long").add("ids_crc32", "long").add("decodes", "boolean")
     schema = schema.add("ids", ArrayType(IntegerType())) if with_ids else schema
 
     def run(batches):
         e = encoder(path)
         for batch in batches:
-            new: list[list] = [[], [], [], []]
+            made: list[list] = [[], [], [], []]
             for t in batch.column(text):
                 t = t.as_py() or ""
                 raw = e.encode_bytes(t)
-                for c, v in zip(new, (len(raw) // 4, zlib.crc32(raw), e.decode_bytes(raw) == t, np.frombuffer(raw, "<i4") if with_ids else None)):
+                for c, v in zip(made, (len(raw) // 4, zlib.crc32(raw), e.decode_bytes(raw) == t, np.frombuffer(raw, "<i4") if with_ids else None)):
                     c.append(v)
-            arrays = [*(batch.column(c) for c in others), pa.array(new[0], pa.int64()), pa.array(new[1], pa.int64()), pa.array(new[2], pa.bool_())]
+            arrays = [*(batch.column(c) for c in others), pa.array(made[0], pa.int64()), pa.array(made[1], pa.int64()), pa.array(made[2], pa.bool_())]
             names = [*others, "n_pieces", "ids_crc32", "decodes"]
             if with_ids:
-                arrays.append(pa.array(new[3], pa.list_(pa.int32())))
+                arrays.append(pa.array(made[3], pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
@@ -217,7 +220,7 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False, text: str = "text
 
 def decode(ids: DataFrame, path: str) -> DataFrame:
     """A table with an ids column -> its other columns and text."""
-    others = [c for c in ids.columns if c not in ("ids", "text")]
+    others = [c for c in ids.columns if c.lower() not in ("ids", "text")]
 
     def run(batches):
         e = encoder(path)

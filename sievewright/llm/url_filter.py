@@ -4,11 +4,11 @@ The model is trained on the driver from a small labelled table of URLs (a parame
 full-batch gradient descent from zero, so it is the same each time. N-grams of the host and of the path are hashed apart,
 into SLOTS slots by md5, which any SQL engine has. Scoring is DataFrame functions only.
 
-LABELLED names hosts by what their words commonly stand for; none of them is a host of the tables that the queries run
-on, so these are held-out data (the tests measure accuracy by host).
+LABELLED names hosts by the categories of web filters and directories, in the same forms for both classes, and none of them shares a part
+with a host of the tables that the queries run on; so the default knows little of those, and whoever has labels gives a table.
 
-A null url, or one without `://`, has an empty host and path, meets no rule and is judged on no n-gram (the bias). Each
-row is judged alone: repeated rows come out repeated, an empty table gives an empty one, and of the table's columns only
+A null url, or one without `://`, has an empty host and path, meets no rule and is judged on no n-gram (the bias). A score of
+exactly 0 blocks. Urls of any length are judged as a whole, each n-gram once. Each row is judged alone: repeated rows come out repeated, an empty table gives an empty one, and of the table's columns only
 page_id and url are read, so others can't clash.
 """
 
@@ -26,29 +26,25 @@ EPOCHS, RATE, DECAY = 300, 0.5, 1e-3
 #: (host, path, verdict)
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 
-#: Labelled URLs that the model is trained from by default: true for those to block.
+#: Category names as web filters and directories use them, to block and to allow. No part of a host of the tables stands among them.
+CATEGORIES = {
+    True: (
+        "aggressive", "alcohol", "costtraps", "cryptojacking", "dating", "drugs", "fortunetelling", "gambling", "hacking", "lingerie", "malware", "phishing",
+        "piracy", "porn", "redirector", "ringtones", "spyware", "stalkerware", "tobacco", "violence", "warez", "weapons",
+    ),
+    False: (
+        "automobile", "banking", "biology", "business", "celebrity", "chat", "clothing", "computers", "cooking", "education", "family", "finance", "fitness", "football",
+        "forum", "games", "government", "hardware", "health", "hobby", "homestyle", "hospitals", "humor", "internet", "investing", "jobsearch", "kids", "library", "maps",
+        "media", "medicine", "military", "movies", "museum", "music", "newspapers", "outdoors", "physics", "podcasts", "politics", "psychology", "radio", "recreation",
+        "reference", "religion", "science", "shopping", "society", "software", "sports", "television", "travel", "weather", "webmail",
+    ),
+}
+#: Labelled URLs that the model is trained from by default: true for those to block. Both classes have the same forms.
 LABELLED = tuple(
-    (f"{scheme}://{prefix}{host}{path}", label)
-    for label, hosts in (
-        (True, (
-            "royal-casino.net", "casinoroulette.com", "online-poker.org", "slots-jackpot.com", "sports-bets.net", "bestbetting.com", "lottery-winner.info", "win-big-prizes.com",
-            "discount-pills.net", "pharmacy-pills.com", "buy-viagra.org", "cheap-meds.info", "weightloss-pills.com", "cheap-loans.net", "free-money.biz", "free-gifts.com",
-            "ads-network.com", "popup-ads.net", "click-tracker.com", "adserver-track.org", "spam-mailer.com", "link-farm.net", "linkspam.info", "seo-farm.biz",
-            "adult-video.com", "adultchat.net", "xxx-movies.com", "sex-cams.org", "hot-singles.info", "nude-pics.net",
-        )),
-        (False, (
-            "library.org", "citymuseum.org", "university.edu", "weather-report.net", "gardening.info", "city-council.gov", "dailynews.com", "openmaps.org", "railway-times.net",
-            "schoolbooks.com", "recipes-kitchen.net", "astronomy.org", "heritage-trust.org", "cyclingclub.net", "the-herald.com", "northern-theatre.org", "history-notes.net",
-            "riverbank.org", "thelocalpaper.com", "mathematics.edu", "translation.net", "station-hotel.com", "foundation.org", "teaching-union.org", "thinkers.net", "another-journal.com",
-            "otherworld-books.com", "bibliotheque.fr", "nachrichten.de", "universidad.es", "parliament.gov", "hospital.org", "engineering.edu", "chemistry-letters.org", "orchestra.org",
-            "marathon.org", "the-botanist.net", "farmers-union.org", "bakery.com", "architecture.net", "north-harbour.org", "theatre-tickets.com", "photographers.net", "ornithology.org",
-            "furniture.com", "mountain-rescue.org", "sailing-school.com", "programming.dev", "opensource.dev", "geology.edu", "literature.org", "earth-sciences.edu", "archive.org.uk",
-            "court-records.gov", "statistics.gov", "airport.com", "ferries.net", "veterinary.org", "neighbours.net", "tailoring.com", "woodland.org", "the-thirteenth.net",
-            "electronics.com", "painting.org", "childrens-books.org", "observatory.edu", "physics-forum.net", "village-hall.org", "cooking-at-home.com", "example-school.org",
-        )),
-    )
-    for host in hosts
-    for scheme, prefix, path in (("https", "www.", "/"), ("http", "", "/en/index.html"), ("https", "news.", "/2024/05/item?id=7"))
+    (form.format(name), block)
+    for block, names in CATEGORIES.items()
+    for name in names
+    for form in ("https://www.{}.com/", "http://{}-online.net/index.html", "https://my{}.info/2024/05/item?id=7")
 )
 #: Rows of a labelled table at most.
 MOST_LABELLED = 10_000
