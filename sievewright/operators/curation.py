@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lists, text
-from .statistics import upper_median
+from .statistics import running, upper_median
 
 #: How a question may have come about.
 SOURCES = ["hand_written", "derived_from_document_structure", "llm_drafted_human_verified"]
@@ -72,8 +72,9 @@ def blocking_reasons() -> Column:
 def promote(drafts: DataFrame, questions: DataFrame) -> DataFrame:
     """Drafts without blocking reasons, with the next ids Q### in the order of the drafts' own ids."""
     last = questions.agg(F.coalesce(F.max(F.regexp_extract("id", r"^Q(\d+)$", 1).try_cast("int")), F.lit(0)).alias("last"))
-    ready = drafts.where(F.size(blocking_reasons()) == 0).withColumn("n", F.row_number().over(Window.orderBy("id")))
-    return ready.crossJoin(last).withColumn("new_id", F.format_string("Q%03d", F.col("last") + F.col("n"))).drop("n", "last")
+    ready = drafts.where(F.size(blocking_reasons()) == 0).withColumn("ready", F.lit(1))
+    numbered = running(ready, "id", "ready").crossJoin(F.broadcast(last))  # one row
+    return numbered.withColumn("new_id", F.format_string("Q%03d", F.col("last") + F.col("upto_ready"))).drop("ready", "upto_ready", "last")
 
 
 def neighbours(rows: DataFrame) -> DataFrame:

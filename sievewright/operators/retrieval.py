@@ -11,12 +11,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lists, text
 from ..sources import scratch
+from . import blocked
 
 #: Okapi parameters; every negative idf is replaced by EPSILON times the mean idf.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -30,9 +30,12 @@ def postings(chunks: DataFrame) -> DataFrame:
 
 def term_statistics(posted: DataFrame, chunks: DataFrame) -> DataFrame:
     """term, df, idf over the whole corpus; empty chunks count as chunks."""
-    n = chunks.agg(F.count(F.lit(1)).alias("chunks"))
-    df = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.crossJoin(F.broadcast(n)).select("term", "df", (F.log(F.col("chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    return _idf(posted.groupBy("term").agg(F.count(F.lit(1)).alias("df")), chunks.agg(F.count(F.lit(1)).alias("chunks")))
+
+
+def _idf(df: DataFrame, size: DataFrame) -> DataFrame:
+    """df (term, df) and one row with the number of chunks -> term, df, idf."""
+    raw = df.crossJoin(F.broadcast(size)).select("term", "df", (F.log(F.col("chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))  # one row
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
@@ -56,96 +59,73 @@ def pad(ranked: DataFrame, questions: DataFrame, chunks: DataFrame, k: int) -> D
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def weighted_postings(chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """idx, term, weight: BM25 weight of each posting; only those of the given terms if there are any.
+#: Terms of questions that are sent to every task; more of them meet the postings as Spark sees fit.
+ASKED = 1_000_000
 
-    A chunk's length rides along with its tokens, so the text is read once for the postings and once for the mean.
-    """
-    tokens = chunks.select("idx", text.tokenize(F.col("text")).alias("t"))
-    posted = tokens.select("idx", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("idx", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    mean = tokens.agg(F.avg(F.size("t")).alias("avgdl"))
-    statistics = term_statistics(posted, chunks)
-    if terms is not None:
-        asked = terms.select("term").distinct()
-        posted, statistics = posted.join(asked, "term", "left_semi"), statistics.join(asked, "term", "left_semi")
-    parts = posted.join(statistics, "term").crossJoin(F.broadcast(mean))
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return parts.select("idx", "term", weight.alias("weight"))
 
+def posted_with_lengths(chunks: DataFrame, partitions: int | None = None) -> DataFrame:
+    """chunks (idx, text) -> idx, dl, term, tf: the postings with their chunk's length; a chunk without tokens has one row of a null term.
 
-def query_terms(questions: DataFrame) -> DataFrame:
-    """query_id, term, n: repeats count."""
-    return questions.select("query_id", F.explode(text.tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("n"))
-
-
-def bm25(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
-    """Top k chunks a question; a question without tokens gets none."""
-    return bm25_of(weighted_postings(chunks, query_terms(questions)), chunks, questions, k)
+    Tokens are dealt by chunk once and stay there: neither counting a chunk's terms nor adding up its scores moves them again.
+    """
+    tokens = chunks.select("idx", text.tokenize(F.coalesce("text", F.lit(""))).alias("t"))
+    dealt = tokens.repartition(partitions, "idx") if partitions else tokens.repartition("idx")
+    each = dealt.select("idx", F.size("t").alias("dl"), F.explode_outer("t").alias("term"))
+    return each.groupBy("idx", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25_of(weights: DataFrame, chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
-    """bm25 with weights (idx, term, weight) that were made before."""
-    hits = query_terms(questions).join(weights, "term")
-    scored = hits.groupBy("query_id", "idx").agg(F.sum(F.col("n") * F.col("weight")).alias("score"))
-    return pad(rank_rows(scored, k), questions, chunks, k)
+def corpus_size(posted: DataFrame) -> DataFrame:
+    """One row: chunks, avgdl."""
+    return posted.groupBy("idx").agg(F.first("dl").alias("dl")).agg(F.count(F.lit(1)).alias("chunks"), F.avg("dl").alias("avgdl"))
 
 
-def sparse(weights: DataFrame, questions: DataFrame, k: int) -> DataFrame:
-    """weights (idx, term, weight) of any sparse encoder; top k by the dot product with question weights (query_id, term, weight)."""
-    hits = questions.withColumnRenamed("weight", "qw").join(weights, "term")
-    return rank_rows(hits.groupBy("query_id", "idx").agg(F.sum(F.col("qw") * F.col("weight")).alias("score")), k)
+def statistics_of(posted: DataFrame, size: DataFrame) -> DataFrame:
+    """As term_statistics, of postings with lengths and the corpus's size."""
+    return _idf(posted.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df")), size)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def query_terms(questions: DataFrame) -> DataFrame:
+    """query_id, term, n: repeats count."""
+    return questions.select("query_id", F.explode(text.tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
-#: Numbers (of 8 bytes) of query vectors that are shared with every task; more queries than that meet the vectors as a join.
-SHARED_NUMBERS = 4_000_000
+def bm25_weight(idf: Column, tf: Column, dl: Column, avgdl: float) -> Column:
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(avgdl)))
 
 
-def _best_of_batches(shared, k: int, dense):
-    """The k best rows of each batch for every query; dense(batch) gives ids and a matrix with a row for each."""
+def bm25_of(posted: DataFrame, statistics: DataFrame, size: DataFrame, chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """bm25 over postings with lengths, their statistics and size, as they may be kept: only the terms asked for are weighed.
 
-    def run(batches):
-        ids, matrix = shared.value
-        for batch in batches:
-            idx, m = dense(batch)
-            out: list[list] = [[], [], []]
-            for query, row in zip(ids, (matrix @ m.T) if len(idx) else ()):
-                # a score that is rounded up may pass one that is not, so a little more than the k best are looked at
-                near = np.flatnonzero(row >= np.partition(row, -k)[-k] - 1e-8) if len(row) > k else np.arange(len(row))
-                best = near[np.lexsort((idx[near], -np.round(row[near], 9)))[:k]]
-                for c, v in zip(out, (np.full(len(best), query), idx[best], row[best])):
-                    c.append(v)
-            columns = [np.concatenate(c) if c else np.zeros(0, t) for c, t in zip(out, (np.int64, np.int64, float))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "idx", "score"])
+    The questions' terms go to the postings, so that a chunk's scores are added up where its postings lie (bucketed by idx, without an
+    exchange), and of each task only the k best chunks of a question leave it.
+    """
+    avgdl = size.first().avgdl or 0.0
+    asked = scratch.written(query_terms(questions).join(statistics.select("term", "idf"), "term"), "asked")
+    asked = F.broadcast(asked) if asked.limit(ASKED + 1).count() <= ASKED else asked
+    hits = posted.join(asked, "term")
+    scored = hits.groupBy("idx", "query_id").agg(F.sum(F.col("n") * bm25_weight(F.col("idf"), F.col("tf"), F.col("dl"), avgdl)).alias("score"))
+    return pad(rank_rows(scored.select("query_id", "idx", "score"), k), questions, chunks, k)
 
-    return run
 
+def bm25(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """Top k chunks a question; a question without tokens gets none."""
+    posted = scratch.written(posted_with_lengths(chunks), "posted")
+    size = corpus_size(posted)
+    return bm25_of(posted, statistics_of(posted, size), size, chunks, questions, k)
 
-def vector_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """vectors (idx, v), queries (query_id, q): exact top k by inner product. The stated queries meet every vector.
 
-    Queries of up to SHARED_NUMBERS numbers are shared with the tasks, which keep the k best of each batch; more meet the
-    vectors row by row.
-    """
-    spark = vectors.sparkSession
-    queries = queries.select("query_id", "q")
-    size = queries.agg(F.sum(F.size("q"))).first()[0] or 0
-    if size > SHARED_NUMBERS:
-        return rank_rows(vectors.crossJoin(queries).select("query_id", "idx", dot(F.col("q"), F.col("v")).alias("score")), k)
-    rows = queries.orderBy("query_id").collect()
-    if not rows:
-        return spark.createDataFrame([], "query_id long, idx long, score double, rank int")
-    shared = spark.sparkContext.broadcast(([r.query_id for r in rows], np.array([r.q for r in rows], float)))
+def sparse(weights: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """weights (idx, term, weight) of any sparse encoder; top k by the dot product with question weights (query_id, term, weight)."""
+    hits = questions.withColumnRenamed("weight", "qw").join(weights, "term")
+    return rank_rows(hits.groupBy("query_id", "idx").agg(F.sum(F.col("qw") * F.col("weight")).alias("score")), k)
 
-    def dense(batch):
-        numbers = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(float)
-        return batch.column("idx").to_numpy(), numbers.reshape(batch.num_rows, -1)
 
-    near = vectors.select(F.col("idx").cast("long").alias("idx"), "v").mapInArrow(_best_of_batches(shared, k, dense), "query_id long, idx long, score double")
-    return rank_rows(near, k)
+def vector_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """vectors (idx, v), queries (query_id, q): exact top k by inner product, as a product of blocks. Null vectors take no part."""
+    left = queries.where("q is not null").select(F.col("query_id").cast("long").alias("query_id"), "q")
+    right = vectors.where("v is not null").select(F.col("idx").cast("long").alias("idx"), "v")
+    packed = blocked.packed(right, blocked.of_arrays("idx", "v")), blocked.packed(left, blocked.of_arrays("query_id", "q"))
+    return rank_rows(blocked.best_products(*packed, k), k)
 
 
 def _hashed_counts(rows: DataFrame, key: str, column: str, dims: int) -> DataFrame:
@@ -160,19 +140,8 @@ def hashed_vectors(rows: DataFrame, key: str, column: str, dims: int = 256) -> D
     return counts.join(norms, key).select(key, "dim", (F.col("n") / F.col("norm")).alias("weight"))
 
 
-def hashed_dense(chunks: DataFrame, questions: DataFrame, k: int, dims: int = 256) -> DataFrame:
-    """Inner product of hashed vectors. Questions of up to SHARED_NUMBERS numbers are shared with the tasks, more are joined."""
-    left = hashed_vectors(questions, "query_id", "query", dims)
-    spark = chunks.sparkSession
-    if left.count() > SHARED_NUMBERS // dims:
-        hits = left.withColumnRenamed("weight", "qw").join(hashed_vectors(chunks, "idx", "text", dims), "dim")
-        return rank_rows(hits.groupBy("query_id", "idx").agg(F.sum(F.col("qw") * F.col("weight")).alias("score")), k)
-    rows = left.orderBy("query_id", "dim").collect()
-    ids = sorted({r.query_id for r in rows})
-    matrix = np.zeros((len(ids), dims))
-    for r in rows:
-        matrix[ids.index(r.query_id), r.dim] = r.weight
-    shared = spark.sparkContext.broadcast((ids, matrix))
+def _hashed_blocks(rows: DataFrame, key: str, column: str, dims: int) -> DataFrame:
+    """Unit vectors of hashed tokens, in blocks."""
 
     def dense(batch):
         m = np.zeros((batch.num_rows, dims))
@@ -180,11 +149,15 @@ def hashed_dense(chunks: DataFrame, questions: DataFrame, k: int, dims: int = 25
         row = np.repeat(np.arange(batch.num_rows), np.diff(batch.column("parts").offsets.to_numpy()))
         m[row, part.field("dim").to_numpy()] = part.field("n").to_numpy()
         norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
-        # a chunk that shares no part with a question isn't found, as by the join
-        return batch.column("idx").to_numpy(), np.divide(m, norm, out=m, where=norm > 0)
+        return batch.column("id").to_numpy(), np.divide(m, norm, out=m, where=norm > 0)
+
+    parts = _hashed_counts(rows, key, column, dims).groupBy(key).agg(F.collect_list(F.struct("dim", "n")).alias("parts"))
+    return blocked.packed(parts.select(F.col(key).cast("long").alias("id"), "parts"), dense)
 
-    packed = _hashed_counts(chunks, "idx", "text", dims).groupBy("idx").agg(F.collect_list(F.struct("dim", "n")).alias("parts"))
-    near = packed.select(F.col("idx").cast("long").alias("idx"), "parts").mapInArrow(_best_of_batches(shared, k, dense), "query_id long, idx long, score double")
+
+def hashed_dense(chunks: DataFrame, questions: DataFrame, k: int, dims: int = 256) -> DataFrame:
+    """Inner product of hashed vectors. A chunk that shares no part with a question isn't found."""
+    near = blocked.best_products(_hashed_blocks(chunks, "idx", "text", dims), _hashed_blocks(questions, "query_id", "query", dims), k)
     return rank_rows(near.where("score > 0"), k)
 
 
@@ -290,6 +263,25 @@ def dense(chunks: DataFrame, questions: DataFrame, encode: Callable[[Column], Co
     return vector_top(encoded(chunks, "idx", "text", encode, instructions[1]), q, k)
 
 
+def pooled(logits: DataFrame, key: str = "idx") -> DataFrame:
+    """logits (key, position, term, logit, mask) of a masked-language model -> key, term, weight: the largest log(1 + relu(logit)) of any position.
+
+    Padding, whose mask is 0, weighs nothing; weights of 0 are left out. The maximum is taken in each task before rows are dealt.
+    """
+    weight = F.log1p(F.greatest(F.col("logit"), F.lit(0.0))) * F.col("mask")
+    return logits.groupBy(key, "term").agg(F.max(weight).alias("weight")).where("weight > 0")
+
+
+def learned_sparse(chunks: DataFrame, questions: DataFrame, model: Callable[[DataFrame, str, str], DataFrame], k: int, positions: int = 512) -> tuple[DataFrame, DataFrame]:
+    """Sparse retrieval by a model (table, key, text column -> key, position, term, logit, mask): the ranking, and the chunks' weights.
+
+    The first `positions` positions of a text are looked at, on both sides alike.
+    """
+    seen = lambda rows, key, column: pooled(model(rows, key, column).where(F.col("position") < positions), key)
+    weights = scratch.written(seen(chunks, "idx", "text"), "weights")
+    return sparse(weights, seen(questions, "query_id", "query"), k), weights
+
+
 def sparse_expansion(weights: DataFrame, top: int = 12) -> DataFrame:
     """weights (idx, term, weight) -> idx, place, term, weight: the heaviest terms of each chunk above zero, ties by the term."""
     place = F.row_number().over(Window.partitionBy("idx").orderBy(F.desc(F.round("weight", 9)), "term"))

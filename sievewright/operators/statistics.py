@@ -13,24 +13,51 @@ from ..sources import scratch
 ROUNDS, AUC_ROUNDS = 10_000, 4_000
 
 
-def draws(seed: str, n: Column, rounds_col: Column) -> Column:
-    """n indices from 0 to n - 1 for a round, from md5 of seed, round and draw: the same in any engine."""
-    text = lambda i: F.concat_ws(":", F.lit(seed), rounds_col.cast("string"), i.cast("string"))
-    return F.transform(F.sequence(F.lit(1), n), lambda i: F.pmod(F.conv(F.substring(F.md5(text(i)), 1, 8), 16, 10).cast("long"), n.cast("long")))
+#: Draws that a row of the plan stands for before they become rows themselves.
+DRAWS = 4_096
 
 
-def bootstrap(values: DataFrame, seed: str, rounds: int = ROUNDS) -> DataFrame:
-    """values (key, value) -> n, mean, low, high: the 95 % interval of the mean over resampled questions.
+def placed(values: DataFrame) -> DataFrame:
+    """values (key, value) as a table (place from 0 in the order of keys, value)."""
+    upto = running(values.select("key", F.col("value").cast("double").alias("value"), F.lit(1).alias("one")), "key", "one")
+    return scratch.written(upto.select((F.col("upto_one") - 1).alias("place"), "value"), "placed")
+
 
-    A row of the plan is a round: it holds the values once, not a row for each draw.
+def drawn(table: DataFrame, seed: str, rounds: int) -> DataFrame:
+    """A placed table -> (round from 1, value): in each round as many rows as the table has, drawn with replacement.
+
+    The draw of a round is md5 of seed, round and number: the same in any engine. Rounds are dealt over tasks in pieces of DRAWS, and
+    a draw finds its value by a join on the place, for which Spark sends the table to every task where it is small.
     """
-    packed = values.agg(F.transform(F.array_sort(F.collect_list(F.struct("key", "value"))), lambda x: x["value"].cast("double")).alias("v")).withColumn("n", F.size("v"))
-    each = packed.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    drawn = F.aggregate(draws(seed, F.col("n"), F.col("round")), F.lit(0.0), lambda a, i: a + F.get("v", i.cast("int"))) / F.col("n")
-    means = each.where("n > 0").select("n", "v", drawn.alias("mean"))
-    mean = F.aggregate(F.first("v"), F.lit(0.0), lambda a, x: a + x) / F.first("n")
-    at = lambda i: F.get(F.sort_array(F.collect_list("mean")), i)
-    return means.agg(F.first("n").alias("n"), mean.alias("mean"), at(int(0.025 * rounds)).alias("low"), at(int(0.975 * rounds) - 1).alias("high"))
+    spark = table.sparkSession
+    n = table.count()
+    pieces = -(-n // DRAWS)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rounds * n // 2_000_000)
+    piece = spark.range(0, rounds * pieces, 1, tasks).select((F.floor(F.col("id") / max(pieces, 1)) + 1).alias("round"), (F.pmod("id", F.lit(max(pieces, 1))) * DRAWS).alias("before"))
+    each = piece.select("round", F.explode(F.sequence(F.col("before") + 1, F.least(F.col("before") + DRAWS, F.lit(n)))).alias("i"))
+    text = F.concat_ws(":", F.lit(seed), F.col("round").cast("string"), F.col("i").cast("string"))
+    place = F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), F.lit(max(n, 1)))
+    return each.select("round", place.alias("place")).join(table, "place").select("round", "value")
+
+
+def interval(column: str, rounds: int) -> tuple[Column, Column]:
+    """Aggregates of one value a round: the ends of the middle 95 %. As many values as there are rounds are sorted, whatever the table's size."""
+    at = lambda i: F.get(F.sort_array(F.collect_list(column)), i)
+    return at(int(0.025 * rounds)), at(int(0.975 * rounds) - 1)
+
+
+def bootstrap_means(values: DataFrame, seed: str, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """values (key, value) -> (round, mean) of the resampled values, and the placed values."""
+    table = placed(values)
+    return drawn(table, seed, rounds).groupBy("round").agg(F.avg("value").alias("mean")), table
+
+
+def bootstrap(values: DataFrame, seed: str, rounds: int = ROUNDS) -> DataFrame:
+    """values (key, value) -> n, mean, low, high: the 95 % interval of the mean over resampled questions; nulls where there is no value."""
+    means, table = bootstrap_means(values, seed, rounds)
+    low, high = interval("mean", rounds)
+    whole = table.agg(F.nullif(F.count(F.lit(1)), F.lit(0)).cast("int").alias("n"), F.avg("value").alias("mean"))
+    return whole.crossJoin(F.broadcast(means.agg(low.alias("low"), high.alias("high"))))  # one row each
 
 
 def paired(a: DataFrame, b: DataFrame, seed: str, rounds: int = ROUNDS) -> DataFrame:
@@ -87,17 +114,28 @@ def auc(scores: DataFrame) -> DataFrame:
     return running(counts, "score", "n").agg(p.alias("n_positive"), n.alias("n_negative"), F.when((p > 0) & (n > 0), wins / (p * n)).alias("auc"))
 
 
+def bootstrap_aucs(scores: DataFrame, seed: str, rounds: int = AUC_ROUNDS) -> DataFrame:
+    """scores (key, positive, score) -> (round, auc), each class resampled on its own.
+
+    In a round each distinct score counts how often it was drawn on either side; its positives win against the negatives below it
+    and half of those at it, so no pairs are made.
+    """
+    sides = {flag: placed(scores.where(F.col("positive") == flag).select("key", F.col("score").alias("value"))) for flag in (True, False)}
+    n = {flag: table.count() for flag, table in sides.items()}
+    each = None
+    for flag, tag in ((True, "p"), (False, "u")):
+        one = drawn(sides[flag], f"{seed}:{tag}", rounds).select("round", "value", F.lit(int(flag)).alias("p"), F.lit(int(not flag)).alias("u"))
+        each = one if each is None else each.unionByName(one)
+    counts = each.groupBy("round", "value").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    below = F.sum("u").over(Window.partitionBy("round").orderBy("value")) - F.col("u")
+    wins = counts.select("round", (F.col("p") * (below + F.col("u") / 2.0)).alias("wins"))
+    return wins.groupBy("round").agg((F.sum("wins") / float(max(n[True] * n[False], 1))).alias("auc")).where(F.lit(n[True] > 0 and n[False] > 0))
+
+
 def auc_bootstrap(scores: DataFrame, seed: str, rounds: int = AUC_ROUNDS) -> DataFrame:
     """low, high of the AUC; each class is resampled on its own. scores (key, positive, score)."""
-    side = lambda flag: F.transform(F.array_sort(F.collect_list(F.when(F.col("positive") == flag, F.struct("key", "score")))), lambda x: x["score"])
-    packed = scores.agg(side(True).alias("p"), side(False).alias("u")).where((F.size("p") > 0) & (F.size("u") > 0))
-    each = packed.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    pick = lambda c, tag: F.transform(draws(f"{seed}:{tag}", F.size(c), F.col("round")), lambda i: F.get(c, i.cast("int")))
-    each = each.select("round", pick("p", "p").alias("p"), pick("u", "u").alias("u"))
-    wins = lambda a: F.aggregate("u", F.lit(0.0), lambda s, u: s + F.when(a > u, 1.0).when(a == u, 0.5).otherwise(0.0))
-    value = F.aggregate("p", F.lit(0.0), lambda s, a: s + wins(a)) / (F.size("p") * F.size("u"))
-    at = lambda i: F.get(F.sort_array(F.collect_list("auc")), i)
-    return each.select(value.alias("auc")).agg(at(int(0.025 * rounds)).alias("low"), at(int(0.975 * rounds) - 1).alias("high"))
+    low, high = interval("auc", rounds)
+    return bootstrap_aucs(scores, seed, rounds).agg(low.alias("low"), high.alias("high"))
 
 
 def abstention_curve(top: DataFrame) -> DataFrame:

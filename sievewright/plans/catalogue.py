@@ -391,11 +391,8 @@ def interaction_2x2(spark, sf):
 def config_grid(spark, sf):
     """An ablation over window sizes as one plan: the budget is a column of the result."""
     d = C.table(spark, sf, "documents").select(F.concat_ws("::", F.col("doc_id").cast("string"), F.lit("P")).alias("chunk_id"), F.col("doc_id").cast("string").alias("doc_id"), F.lit("P").alias("section"), "text")
-    rows = None
-    for budget in (60, 120, 240):
-        one = ingest.chunk_sections(d, budget, 0).agg(F.lit(budget).alias("budget"), F.count(F.lit(1)).alias("chunks"), F.count_if(F.col("part") > 0).alias("split"))
-        rows = one if rows is None else rows.unionByName(one)
-    return out(rows)
+    every = ingest.chunk_grid(d, [(60, 0), (120, 0), (240, 0)])
+    return out(every.groupBy("budget").agg(F.count(F.lit(1)).alias("chunks"), F.count_if(F.col("part") > 0).alias("split")))
 
 
 # --- references

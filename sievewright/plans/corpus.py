@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import retrieval
+from . import parts
 from .parts import part
 
 
@@ -26,6 +27,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def buckets(spark: SparkSession, sf_dir: str) -> int:
+    return parts.buckets_of(spark, sf_dir, ("documents",))
+
+
 def sections(spark, sf_dir) -> DataFrame:
     """doc_id (string), ord, section, evidence_id, text, title, source."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n", -1)).alias("n", "text"))
@@ -84,14 +89,22 @@ def categorised(spark, sf_dir) -> DataFrame:
     return questions(spark, sf_dir).join(n, "query_id", "left").select("query_id", "query", kind.alias("category"))
 
 
-def weights(spark, sf_dir) -> DataFrame:
-    """idx, term, weight of all postings, ordered by term, so that a reader of some terms skips most of it."""
-    return part(spark, sf_dir, "weights", lambda s, d: retrieval.weighted_postings(chunks(s, d)).repartitionByRange("term").sortWithinPartitions("term"))
+def posted(spark, sf_dir) -> DataFrame:
+    """idx, dl, term, tf of all postings, bucketed by chunk."""
+    return part(spark, sf_dir, "posted", lambda s, d: retrieval.posted_with_lengths(chunks(s, d), buckets(s, d)), ("documents",), by="idx")
+
+
+def corpus_size(spark, sf_dir) -> DataFrame:
+    return part(spark, sf_dir, "size", lambda s, d: retrieval.corpus_size(posted(s, d)).coalesce(1), ("documents",))
+
+
+def term_statistics(spark, sf_dir) -> DataFrame:
+    return part(spark, sf_dir, "terms", lambda s, d: retrieval.statistics_of(posted(s, d), corpus_size(s, d)), ("documents",))
 
 
 def search(spark, sf_dir):
-    """BM25 over the stored weights, as a ranking system of any questions."""
-    return lambda asked, k: retrieval.bm25_of(weights(spark, sf_dir), chunks(spark, sf_dir), asked, k)
+    """BM25 over the kept postings, as a ranking system of any questions."""
+    return lambda asked, k: retrieval.bm25_of(posted(spark, sf_dir), term_statistics(spark, sf_dir), corpus_size(spark, sf_dir), chunks(spark, sf_dir), asked, k)
 
 
 def lexical(spark, sf_dir, k=10) -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators on small fixtures with known results."""
 
+import hashlib
 import math
 import random
 import re
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievewright.functions import text as T
-from sievewright.operators import answers, curation, ingest, metrics, obligation, references, retrieval, statistics, temporal
+from sievewright.operators import answers, blocked, curation, ingest, metrics, obligation, references, retrieval, statistics, temporal, windows
 
 
 def one(spark, expression, **values):
@@ -113,11 +114,36 @@ def plain_windows(paragraphs, budget, overlap):
 
 
 @pytest.mark.parametrize("budget,overlap", [(10, 0), (10, 3), (10, 9), (25, 12)])
-def test_windows_against_a_plain_version(spark, budget, overlap):
+def test_windows_against_a_plain_version(budget, overlap):
     rng = random.Random(budget + overlap)
-    rows = [(i, [" ".join(rng.choice(["a", "b.", "c;", "d"]) for _ in range(rng.choice([1, 2, 3, 5, 9, 10, 11, 30, 60]))) for _ in range(rng.randint(1, 15))]) for i in range(60)]
-    got = spark.createDataFrame(rows, "i int, p array<string>").select("i", ingest.windows(F.col("p"), F.transform("p", T.word_count), budget, overlap).alias("w")).collect()
-    assert {r.i: r.w for r in got} == {i: plain_windows(p, budget, overlap) for i, p in rows}
+    rows = [[" ".join(rng.choice(["a", "b.", "c;", "d"]) for _ in range(rng.choice([1, 2, 3, 5, 9, 10, 11, 30, 60]))) for _ in range(rng.randint(0, 15))] for _ in range(200)]
+    assert windows.windows(rows, budget, overlap) == [plain_windows(p, budget, overlap) for p in rows]
+    assert windows.windows([], budget, overlap) == []
+
+
+def test_words_and_paragraphs_as_the_column_functions_have_them(spark):
+    rng = random.Random(2)
+    blanks = [*windows.SPACE, "\x1c", "\x1f", "\u200b", "\n\n", "\n \n"]
+    texts = ["", "a", *("".join(rng.choice(["w", "x.", "é", rng.choice(blanks)]) for _ in range(rng.randint(1, 40))) for _ in range(400))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r for r in rows.select("i", T.word_count(F.col("t")).alias("n"), T.paragraphs(F.col("t")).alias("p"), T.clause_sentences(F.col("t")).alias("s")).collect()}
+    for i, t in enumerate(texts):
+        assert (got[i].n, got[i].p, got[i].s) == (len(windows.words(t)), windows.paragraphs(t), windows._CLAUSE.split(t)), repr(t)
+
+
+def test_chunk_grid_reads_once_and_equals_single_settings(spark):
+    rng = random.Random(8)
+    texts = [None, "", "\n\n", *("\n".join(" ".join(rng.choice(["a", "b.", "c;"]) for _ in range(rng.randint(1, 40))) for _ in range(rng.randint(1, 12))) for _ in range(40))]
+    rows = spark.createDataFrame([(f"d{i}::s", f"d{i}", "s", t) for i, t in enumerate(texts)], "chunk_id string, doc_id string, section string, text string").repartition(3)
+    settings = [(10, 0), (10, 3), (30, 12)]
+    grid = ingest.chunk_grid(rows, settings)
+    assert grid.select("doc_id").where("doc_id = 'd0'").count() == 0  # a null text has no chunk
+    for budget, overlap in settings:
+        one = ingest.chunk_sections(rows, budget, overlap)
+        assert sorted(map(tuple, grid.where((F.col("budget") == budget) & (F.col("overlap") == overlap)).drop("budget", "overlap").collect())) == sorted(map(tuple, one.collect()))
+        for i, t in enumerate(texts[1:], 1):
+            want = [t] if len(t.split()) <= budget else plain_windows(t.split("\n"), budget, overlap)
+            assert [r.text for r in one.where(f"doc_id = 'd{i}'").orderBy("part").collect()] == want
 
 
 CORPUS = [(0, "The board sets the risk appetite."), (1, "Paid up capital of the company."), (2, "The actuarial function reports.")]
@@ -401,23 +427,95 @@ def test_encoder_slot(spark):
     assert [(r.idx, round(r.score, 3)) for r in got] == [(1, 1.0), (0, 0.447)]
 
 
-@pytest.mark.parametrize("shared", [4_000_000, 0])
-def test_vector_top_with_shared_and_with_joined_queries(spark, monkeypatch, shared):
-    monkeypatch.setattr(retrieval, "SHARED_NUMBERS", shared)
+def nearest(v, x, k):
+    return [r[0] for r in sorted(v, key=lambda r: (-sum(a * b for a, b in zip(x, r[1])), r[0]))[:k]]
+
+
+@pytest.mark.parametrize("pack,group,product", [(blocked.PACK, blocked.GROUP, blocked.PRODUCT), (40, 120, 50)])
+def test_vector_top_in_one_block_and_in_many(spark, monkeypatch, pack, group, product):
+    monkeypatch.setattr(blocked, "PACK", pack)
     rng = random.Random(1)
     v = [(i, [float(rng.randint(0, 3)) for _ in range(4)]) for i in range(300)]
-    q = [(i, [float(rng.randint(0, 3)) for _ in range(4)]) for i in range(5)]
+    q = [(i, [float(rng.randint(0, 3)) for _ in range(4)]) for i in range(25)]
+    vectors = spark.createDataFrame([*v, (999, None)], "idx long, v array<float>").where("v is not null").repartition(5)
+    queries = spark.createDataFrame(q, "query_id long, q array<float>").repartition(3)
+    sides = blocked.packed(vectors, blocked.of_arrays("idx", "v"), pack), blocked.packed(queries, blocked.of_arrays("query_id", "q"), pack)
     got = {}
-    for r in retrieval.vector_top(spark.createDataFrame(v, "idx long, v array<float>").repartition(5), spark.createDataFrame(q, "query_id long, q array<float>"), 7).collect():
+    for r in retrieval.rank_rows(blocked.best_products(*sides, 7, group, product), 7).collect():
         got.setdefault(r.query_id, {})[r["rank"]] = r.idx
-    for i, x in q:
-        best = sorted(v, key=lambda r: (-sum(a * b for a, b in zip(x, r[1])), r[0]))[:7]
-        assert [got[i][k] for k in range(1, 8)] == [b[0] for b in best]
-    chunks = spark.createDataFrame([(i, " ".join(rng.choices("abcdef", k=rng.randint(0, 6)))) for i in range(80)], "idx long, text string")
-    asked = spark.createDataFrame([(1, "a b c"), (2, "f"), (3, "")], "query_id long, query string")
-    rows = [(r.query_id, r["rank"], r.idx, round(r.score, 9)) for r in retrieval.hashed_dense(chunks, asked, 9).orderBy("query_id", "rank").collect()]
-    monkeypatch.setattr(retrieval, "SHARED_NUMBERS", 4_000_000 - shared)
-    assert rows == [(r.query_id, r["rank"], r.idx, round(r.score, 9)) for r in retrieval.hashed_dense(chunks, asked, 9).orderBy("query_id", "rank").collect()]
+    assert {i: [g[k] for k in range(1, 8)] for i, g in got.items()} == {i: nearest(v, x, 7) for i, x in q}
+
+
+def test_vector_top_without_rows_and_without_cross_join(spark):
+    v = spark.createDataFrame([(1, [1.0, 2.0]), (2, None)], "idx long, v array<double>")
+    q = spark.createDataFrame([(7, [1.0, 1.0]), (8, None)], "query_id long, q array<double>")
+    top = retrieval.vector_top(v, q, 3)
+    assert [(r.query_id, r.idx, r.score, r["rank"]) for r in top.collect()] == [(7, 1, 3.0, 1)]
+    plan = top._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "Broadcast" not in plan
+    assert retrieval.vector_top(v.limit(0), q, 3).count() == 0 and retrieval.vector_top(v, q.limit(0), 3).count() == 0
+
+
+def test_hashed_dense_against_a_plain_version(spark):
+    rng = random.Random(1)
+    texts = [" ".join(rng.choices("abcdef", k=rng.randint(0, 6))) for _ in range(80)]
+    asked = {1: "a b c", 2: "f", 3: ""}
+
+    def unit(t, dims=8):
+        out = [0.0] * dims
+        for w in t.split():
+            out[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dims] += 1
+        norm = math.sqrt(sum(x * x for x in out))
+        return [x / norm for x in out] if norm else out
+
+    chunks = spark.createDataFrame(list(enumerate(texts)), "idx long, text string")
+    got = retrieval.hashed_dense(chunks, spark.createDataFrame(list(asked.items()), "query_id long, query string"), 9, 8).orderBy("query_id", "rank").collect()
+    want = []
+    for q, text in asked.items():
+        scored = [(round(sum(a * b for a, b in zip(unit(text), unit(t))), 9), -i) for i, t in enumerate(texts)]
+        want += [(q, k, -i, s) for k, (s, i) in enumerate(sorted([x for x in scored if x[0] > 0], reverse=True)[:9], 1)]
+    assert [(r.query_id, r["rank"], r.idx, round(r.score, 9)) for r in got] == want
+
+
+def plain_draws(seed, n, r):
+    return [int(hashlib.md5(f"{seed}:{r}:{i}".encode()).hexdigest()[:8], 16) % n for i in range(1, n + 1)]
+
+
+@pytest.mark.parametrize("piece", [statistics.DRAWS, 7])
+def test_bootstraps_against_plain_versions(spark, monkeypatch, piece):
+    monkeypatch.setattr(statistics, "DRAWS", piece)
+    rng = random.Random(3)
+    values = [(i, rng.random()) for i in range(40)]
+    table = spark.createDataFrame(values, "key long, value double").repartition(4)
+    means, _ = statistics.bootstrap_means(table, "s", 60)
+    want = {r: sum(values[j][1] for j in plain_draws("s", 40, r)) / 40 for r in range(1, 61)}
+    assert {r["round"]: pytest.approx(r["mean"]) for r in means.collect()} == want
+    ends = sorted(want.values())
+    got = statistics.bootstrap(table, "s", 60).first()
+    assert (got.n, got.low, got.high) == (40, pytest.approx(ends[1]), pytest.approx(ends[57]))
+    scores = [(i, i % 3 == 0, float(rng.randint(0, 4))) for i in range(30)]
+    p, u = ([s for _, f, s in scores if f == flag] for flag in (True, False))
+    aucs = statistics.bootstrap_aucs(spark.createDataFrame(scores, "key long, positive boolean, score double"), "s", 20)
+    for r in aucs.collect():
+        a, b = [p[j] for j in plain_draws("s:p", len(p), r["round"])], [u[j] for j in plain_draws("s:u", len(u), r["round"])]
+        assert r.auc == pytest.approx(sum((x > y) + 0.5 * (x == y) for x in a for y in b) / (len(a) * len(b)))
+    assert aucs.count() == 20
+    none = statistics.bootstrap(table.where("false"), "s", 5).first()
+    assert none.n is None and none.low is None
+    assert statistics.bootstrap_aucs(spark.createDataFrame([(1, True, 1.0)], "key long, positive boolean, score double"), "s", 5).count() == 0
+
+
+def test_rounds_of_a_bootstrap_are_dealt_over_tasks(spark):
+    table = statistics.placed(spark.createDataFrame([(i, float(i)) for i in range(50)], "key long, value double"))
+    each = statistics.drawn(table, "s", 1_000)
+    sizes = each.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) >= 8 and max(r["count"] for r in sizes) <= 2 * 50_000 / 8
+
+
+def test_promotion_numbers_over_ranges(spark):
+    drafts = spark.createDataFrame([(f"d{i:03}", 1.0, "high", "single_hop", ["e"]) for i in range(200)], "id string, minutes double, confidence string, category string, required_evidence array<string>").repartition(6)
+    out = curation.promote(drafts, spark.createDataFrame([("Q041",), ("X9",)], "id string"))
+    assert {r.id: r.new_id for r in out.collect()} == {f"d{i:03}": f"Q{42 + i:03}" for i in range(200)}
 
 
 def test_page_facts_and_carried_columns(spark):
