@@ -51,6 +51,13 @@ FORCES = {
     "permissive": r"(?iU)\b(?:may|is\s+permitted|are\s+permitted|is\s+allowed|are\s+allowed|is\s+entitled|are\s+entitled|can\b|at\s+its\s+discretion)\b",
     "advisory": r"(?iU)\b(?:should|ought\s+to|is\s+encouraged|are\s+encouraged|is\s+expected\s+to|are\s+expected\s+to|best\s+practice|recommended)\b",
 }
+#: Of these, one stands in every text that the pattern of a force is found in.
+FORCE_STEMS = {
+    "prohibitive": ["shall", "must", "may", "can", "permitted", "prohibited", "forbidden"],
+    "mandatory": ["shall", "must", "required", "obliged", "obligated", "has", "have"],
+    "permissive": ["may", "permitted", "allowed", "entitled", "can", "discretion"],
+    "advisory": ["should", "ought", "encouraged", "expected", "best", "recommended"],
+}
 FORCE_ORDER = ["prohibitive", "mandatory", "permissive", "advisory", "none"]
 
 # Patterns of references between sections.

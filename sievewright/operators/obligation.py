@@ -8,13 +8,36 @@ from pyspark.sql import functions as F
 from ..functions import lists
 
 
+def _folded(passage: Column) -> Column:
+    """Lower case, with the letters that the patterns' Unicode case takes for s, i and k."""
+    return F.lower(F.translate(passage, "\u017f\u0131\u0130\u212a", "siik"))
+
+
 def forces(passage: Column) -> Column:
-    """Array of the forces present, strongest first; prohibitions are cut out before the rest is looked for."""
-    rest = F.regexp_replace(passage, lists.FORCES["prohibitive"], " ")
-    found = [F.when(passage.rlike(lists.FORCES["prohibitive"]), "prohibitive")]
-    found += [F.when(rest.rlike(lists.FORCES[f]), f) for f in lists.FORCE_ORDER[1:4]]
-    present = F.array_compact(F.array(*found))
-    return F.when(F.size(present) == 0, F.array(F.lit("none"))).otherwise(present)
+    """Array of the forces present, strongest first; prohibitions are cut out before the rest is looked for.
+
+    A pattern is only searched for in texts that hold one of its stems, which is far cheaper to see.
+    """
+    def may_hold(folded: Column, force: str) -> Column:
+        hit = F.lit(False)
+        for stem in reversed(lists.FORCE_STEMS[force]):
+            hit = folded.contains(stem) | hit
+        return hit
+
+    def found(p: Column, folded: Column, force: str) -> Column:
+        return F.when(may_hold(folded, force) & p.rlike(lists.FORCES[force]), force)
+
+    def let(value: Column, body) -> Column:
+        return F.element_at(F.transform(F.array(value), body), 1)
+
+    def rest(x: Column) -> Column:
+        cut = F.when(x["first"].isNull(), x["p"]).otherwise(F.regexp_replace(x["p"], lists.FORCES["prohibitive"], " "))
+        again = lambda y: F.array_compact(F.array(x["first"], *(found(y["p"], y["f"], f) for f in lists.FORCE_ORDER[1:4])))
+        return let(cut, lambda c: let(F.struct(c.alias("p"), F.when(x["first"].isNull(), x["f"]).otherwise(_folded(c)).alias("f")), again))
+
+    first = lambda x: F.struct(x["p"].alias("p"), x["f"].alias("f"), found(x["p"], x["f"], "prohibitive").alias("first"))
+    present = let(let(F.struct(passage.alias("p"), _folded(passage).alias("f")), first), rest)
+    return let(present, lambda all_: F.when(F.size(all_) == 0, F.array(F.lit("none"))).otherwise(all_))
 
 
 def strongest(passage: Column) -> Column:

@@ -104,12 +104,12 @@ def bm25_of(posted: DataFrame, statistics: DataFrame, size: DataFrame, chunks: D
     asked = F.broadcast(asked) if asked.limit(ASKED + 1).count() <= ASKED else asked
     hits = posted.join(asked, "term")
     scored = hits.groupBy("idx", "query_id").agg(F.sum(F.col("n") * bm25_weight(F.col("idf"), F.col("tf"), F.col("dl"), avgdl)).alias("score"))
-    return pad(rank_rows(scored.select("query_id", "idx", "score"), k), questions, chunks, k)
+    return pad(scratch.written(rank_rows(scored.select("query_id", "idx", "score"), k), "ranked"), questions, chunks, k)
 
 
 def bm25(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     """Top k chunks a question; a question without tokens gets none."""
-    posted = scratch.written(posted_with_lengths(chunks), "posted")
+    posted = scratch.bucketed(posted_with_lengths(chunks, int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "posted", "idx")
     size = corpus_size(posted)
     return bm25_of(posted, statistics_of(posted, size), size, chunks, questions, k)
 

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lists, text
-from ..operators import answers, curation, ingest, metrics, references, retrieval, statistics
+from ..operators import ablation, answers, curation, generation, ingest, metrics, references, retrieval, statistics
+from ..sources import scratch
 from . import catalogue as Q
 from . import corpus as C
 from .catalogue import out, query
@@ -268,3 +269,104 @@ def failure_counts(spark, sf):
 @query
 def completeness(spark, sf):
     return out(metrics.completeness(Q._required(spark, sf), C.with_evidence(C.lexical(spark, sf), spark, sf)))
+
+
+# --- generators
+
+
+def _reply(prompts: list[str]) -> list[str | None]:
+    """A stand-in for a generator: by the question's length it raises, refuses, gives nothing, or cites the first two passages."""
+    def one(prompt: str) -> str | None:
+        question = prompt.rsplit("\n\nQuestion: ", 1)[1]
+        n = len(question)
+        if n % 7 == 0:
+            raise ValueError(f"{n} characters")
+        return "Not covered by these passages, sorry." if n % 5 == 0 else None if n % 11 == 0 else f"{question[:20]} [1]. {question[20:40]} [2]."
+
+    return [one(p) for p in prompts]
+
+
+@query
+def generated_answers(spark, sf):
+    """Answers of a generator that also refuses and fails; declined questions never reach it."""
+    ctx = Q._context(spark, sf)
+    rows = generation.answer_questions(C.questions(spark, sf), ctx, _reply, 60.0)
+    rows = scratch.written(rows, "answers")
+    cited = answers.tagged(rows.where("not abstained"), ctx).groupBy("query_id").agg(F.count(F.lit(1)).alias("citations"))
+    told = rows.join(cited, "query_id", "left")
+    return out(told.select("query_id", "abstained", F.regexp_replace("reason", "[0-9.]+", "#").alias("reason"), F.md5("answer").alias("answer"), F.coalesce("citations", F.lit(0)).alias("citations")))
+
+
+def _situate(prompts: list[str]) -> list[str | None]:
+    """A stand-in for a generator of contexts, which tells its prompt's length; it raises on some."""
+    def one(prompt: str) -> str:
+        if len(prompt) % 13 == 0:
+            raise ValueError("unlucky")
+        title, section = (line.split(": ", 1)[1] for line in prompt.split("\n", 2)[:2])
+        return f'Sure, here it is: "{title} speaks of {section}, at {len(prompt)} characters. And more."'
+
+    return [one(p) for p in prompts]
+
+
+def _situated(spark, sf):
+    d = C.table(spark, sf, "documents").select("doc_id", F.col("source").alias("title"), F.col("lang").alias("section"), "text")
+    return d.withColumn("key", text.fingerprint(F.lit("stand-in"), F.col("title"), F.col("section"), F.col("text"), size=32))
+
+
+@query
+def contextual_chunks(spark, sf):
+    """Chunks behind a context that is generated once for each title, section and text, and kept."""
+    d = _situated(spark, sf)
+    contexts, _ = generation.contextualised(d, _situate, scratch.path(spark, "contexts"))
+    return out(retrieval.with_context(d, contexts).select("doc_id", F.md5("text").alias("digest")))
+
+
+# --- ablations and learned sparse weights
+
+
+#: Budget and overlap of windows; the last leaves all sections whole.
+SETTINGS = [(60, 0), (120, 20), (240, 0), (1_000_000, 0)]
+#: A chunk's number is its document's times this, and its part's.
+PARTS = 1_000_000
+
+
+@query
+def scored_grid(spark, sf):
+    """An ablation over window sizes with scores: all settings are cut, posted, ranked and scored in one plan."""
+    key = F.col("doc_id").cast("string")
+    d = C.table(spark, sf, "documents").select(F.concat_ws("::", key, F.lit("P")).alias("chunk_id"), key.alias("doc_id"), F.lit("P").alias("section"), "text")
+    setting = F.concat_ws("-", F.col("budget").cast("string"), F.col("overlap").cast("string"))
+    grid = ingest.chunk_grid(d, SETTINGS).select(setting.alias("setting"), "budget", "overlap", (F.col("doc_id").cast("long") * PARTS + F.col("part")).alias("idx"), "part", "text")
+    grid = scratch.written(grid, "grid")
+    found = ablation.keyed_bm25(grid, C.questions(spark, sf), 10)
+    evidence = found.select("setting", "query_id", F.floor(F.col("idx") / PARTS).alias("idx"), "rank").join(C.chunks(spark, sf).select("idx", "evidence_id"), "idx").drop("idx")
+    sizes = grid.groupBy("setting", "budget", "overlap").agg(F.count(F.lit(1)).alias("chunks"), F.count_if(F.col("part") > 0).alias("from_splits"), F.count_if(F.col("part") == 1).alias("split"))
+    means = ablation.keyed_means(ablation.keyed_scores(evidence, C.labels(spark, sf), C.questions(spark, sf), sizes), C.categorised(spark, sf))
+    return out(sizes.join(means, "setting"))
+
+
+def _logits(rows, key, column):
+    """A stand-in for a masked-language model: a token speaks for itself and, if it is long, for its beginning; a padded position follows."""
+    tokens = text.tokenize(F.col(column))
+    n = F.length("t")
+    said = F.array(
+        F.struct(F.col("t").alias("term"), (n - 3.0).alias("logit"), F.lit(1).alias("mask")),
+        F.struct(F.concat(F.substring("t", 1, 4), F.lit("*")).alias("term"), ((n - 5) / 2.0).alias("logit"), F.lit(1).alias("mask")),
+        F.struct(F.lit("[pad]").alias("term"), F.lit(9.0).alias("logit"), F.lit(0).alias("mask")),
+    )
+    return rows.select(key, F.posexplode(tokens).alias("position", "t")).select(key, "position", F.explode(said).alias("s")).select(key, "position", "s.*")
+
+
+@query
+def learned_sparse_topk(spark, sf):
+    """From logits to pooled weights to a ranking, with a stand-in model."""
+    found, _ = retrieval.learned_sparse(C.chunks(spark, sf), C.questions(spark, sf), _logits, 10)
+    return Q._found(found)
+
+
+@query
+def learned_sparse_weights(spark, sf):
+    """How many terms a chunk's pooled weights have, and its heaviest."""
+    weights = retrieval.pooled(_logits(C.chunks(spark, sf), "idx", "text").where("position < 512"))
+    top = retrieval.sparse_expansion(weights, 1).select("idx", F.col("term").alias("heaviest"))
+    return out(weights.groupBy("idx").agg(F.count(F.lit(1)).alias("terms"), F.sum("weight").alias("mass")).join(top, "idx"))

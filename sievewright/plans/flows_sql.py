@@ -54,7 +54,7 @@ broken AS (SELECT id, how, CASE WHEN how <> 'spurious' THEN x.d || '::' || x.s E
   FROM cho LEFT JOIN odd USING (id) WHERE how NOT IN ('add', 'swap') OR choice IS NOT NULL)"""
 
 
-def overlapping(budget: int, overlap: int) -> str:
+def overlapping(budget: int, overlap: int, column: str = "md5(text) AS digest") -> str:
     """Greedy windows that repeat the last words of the one before."""
     return """WITH RECURSIVE p0 AS (SELECT doc_id, text, list_filter(list_transform(string_split_regex(text, '\\n\\s*\\n'), lambda s: trim(s, ' ' || chr(10))), lambda s: s <> '') AS a,
         list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s, ' ' || chr(10))), lambda s: s <> '') AS b, len(regexp_extract_all(text, '\\S+')) AS words FROM documents),
@@ -79,8 +79,8 @@ def overlapping(budget: int, overlap: int) -> str:
         SELECT doc_id, part, 1 AS piece, CASE WHEN carry > 0 THEN array_to_string(regexp_extract_all(array_to_string(v, chr(10)), '\\S+')[before - carry + 1 : before], ' ') || chr(10) || body ELSE body END AS text FROM whole JOIN p USING (doc_id)
         UNION ALL SELECT doc_id, part, piece, string_agg(s, ' ' ORDER BY j) FROM cut GROUP BY ALL),
       placed AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part, piece) AS part, count(*) OVER (PARTITION BY doc_id) AS parts, text FROM every)
-      SELECT doc_id || '::P#' || part AS chunk_id, doc_id::VARCHAR AS doc_id, part, parts, md5(text) AS digest FROM placed
-      UNION ALL SELECT doc_id || '::P', doc_id::VARCHAR, 0, 1, md5(text) FROM p WHERE words <= @B""".replace("@B", str(budget)).replace("@O", str(overlap))
+      SELECT doc_id || '::P#' || part AS chunk_id, doc_id::VARCHAR AS doc_id, part, parts, @C FROM placed
+      UNION ALL SELECT doc_id || '::P', doc_id::VARCHAR, 0, 1, @C FROM p WHERE words <= @B""".replace("@C", column).replace("@B", str(budget)).replace("@O", str(overlap))
 
 
 def all_sql() -> dict[str, str]:
@@ -155,4 +155,58 @@ def all_sql() -> dict[str, str]:
     q["system_spread"] = BASE + systems + f"g AS ({grid}) SELECT min(mrr) AS low, max(mrr) AS high, round(max(mrr) - min(mrr), 6) AS spread FROM g"
     q["failure_counts"] = BASE + f"fc AS ({done['failure_taxonomy']}), fx AS (SELECT cause, category FROM fc JOIN cats USING (query_id) UNION ALL SELECT cause, 'all' FROM fc) SELECT cause, category, count(*) AS n FROM fx GROUP BY ALL"
     q["completeness"] = BASE + "hit AS (SELECT DISTINCT query_id, evidence_id FROM lex10 JOIN chunks USING (idx)), per AS (SELECT query_id, count(*) AS n, count(h.evidence_id) AS m FROM labelled l LEFT JOIN hit h USING (query_id, evidence_id) WHERE gain = 2 GROUP BY query_id) SELECT CASE WHEN m = n THEN 'complete' WHEN m > 0 THEN 'partial' ELSE 'total_miss' END AS outcome, count(*) AS n FROM per GROUP BY ALL"
+    q |= generated_sql()
+    q |= grid_sql()
     return q
+
+
+def generated_sql() -> dict[str, str]:
+    """Replies of the stand-in generators, told from the lengths of questions and prompts."""
+    from ..operators import generation
+
+    n = "length(query)"
+    fixed = len(generation.CONTEXT_PROMPT.format(title="", section="", text=""))
+    size = f"({fixed} + length(source) + length(lang) + least(600, length(text)))"
+    return {
+        "generated_answers": BASE + f"""{CONTEXT},
+      tp AS (SELECT query_id, arg_min(score, rank) AS top FROM ctx GROUP BY query_id),
+      rp AS (SELECT query_id, query, top, top IS NULL AS none, coalesce(top <= 60.0, false) AS low,
+        CASE WHEN {n} % 7 = 0 THEN 'error' WHEN {n} % 5 = 0 THEN 'refusal' WHEN {n} % 11 = 0 THEN 'nothing' ELSE 'answer' END AS kind FROM questions LEFT JOIN tp USING (query_id)),
+      ct AS (SELECT query_id, count(DISTINCT evidence_id) AS citations FROM ctx WHERE rank <= 2 GROUP BY query_id)
+      SELECT query_id, none OR low OR kind <> 'answer' AS abstained,
+        CASE WHEN none THEN 'nothing retrieved' WHEN low THEN 'top relevance # at or below threshold #' WHEN kind = 'error' THEN 'the generator failed: ValueError: # characters'
+          WHEN kind = 'refusal' THEN 'the generator declined: the passages don''t answer the question' WHEN kind = 'nothing' THEN 'the generator gave no answer' ELSE '' END AS reason,
+        md5(CASE WHEN none THEN '{generation.NOTHING}' WHEN low THEN '{generation.UNSURE.replace("'", "''")}' WHEN kind = 'refusal' THEN 'Not covered by these passages, sorry.' WHEN kind = 'answer' THEN substr(query, 1, 20) || ' [1]. ' || substr(query, 21, 20) || ' [2].' ELSE '' END) AS answer,
+        CASE WHEN none OR low OR kind <> 'answer' THEN 0 ELSE citations END AS citations
+      FROM rp LEFT JOIN ct USING (query_id)""",
+        "contextual_chunks": f"SELECT doc_id, md5(CASE WHEN {size} % 13 = 0 THEN '' ELSE source || ' speaks of ' || lang || ', at ' || {size} || ' characters.' || chr(10) END || text) AS digest FROM documents",
+    }
+
+
+def grid_sql() -> dict[str, str]:
+    """The scored grid, a setting after the other, and the pooled weights."""
+    settings = ((60, 0), (120, 20), (240, 0), (1_000_000, 0))
+    cut = " UNION ALL ".join(f"SELECT '{b}-{o}' AS setting, {b} AS budget, {o} AS overlap, doc_id::BIGINT AS doc, part, text FROM ({overlapping(b, o, 'text')})" for b, o in settings)
+    found = "".join(f"g{i} AS (SELECT query_id, doc AS idx, rank FROM gr WHERE setting = '{b}-{o}')," + scores(f"m{i}", f"g{i}") for i, (b, o) in enumerate(settings))
+    means = " UNION ALL ".join(f"SELECT '{b}-{o}' AS setting, count(*) AS n, round(avg(recall), 6) AS recall, round(avg(full_recall), 6) AS full_recall, round(avg(mrr), 6) AS mrr FROM m{i} JOIN cats USING (query_id) WHERE k = 10 AND category <> 'unanswerable'" for i, (b, o) in enumerate(settings))
+    grid = BASE + f"""gc AS MATERIALIZED ({cut}),
+      gp AS (SELECT setting, doc, part, term, count(*) AS tf FROM (SELECT setting, doc, part, unnest({tok('text')}) AS term FROM gc) GROUP BY ALL),
+      gl AS (SELECT setting, doc, part, len({tok('text')}) AS dl FROM gc), gz AS (SELECT setting, count(*) AS chunks, avg(dl) AS avgdl FROM gl GROUP BY setting),
+      gd AS (SELECT setting, term, ln(chunks - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT setting, term, count(*) AS df FROM gp GROUP BY ALL) JOIN gz USING (setting)),
+      gi AS (SELECT setting, term, CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER (PARTITION BY setting) ELSE raw END AS idf FROM gd),
+      gs AS (SELECT setting, query_id, doc, part, sum(n * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM qterms JOIN gi USING (term) JOIN gp USING (setting, term) JOIN gl USING (setting, doc, part) JOIN gz USING (setting) GROUP BY ALL),
+      gr AS MATERIALIZED (SELECT setting, query_id, doc, row_number() OVER (PARTITION BY setting, query_id ORDER BY round(coalesce(score, 0.0), 9) DESC, doc, part) AS rank
+        FROM questions CROSS JOIN gl LEFT JOIN gs USING (setting, query_id, doc, part) WHERE len({tok('query')}) > 0 QUALIFY rank <= 10),
+      {found} gm AS ({means}),
+      gn AS (SELECT setting, budget::BIGINT AS budget, overlap::BIGINT AS overlap, count(*) AS chunks, count_if(part > 0)::BIGINT AS from_splits, count_if(part = 1)::BIGINT AS split FROM gc GROUP BY ALL)
+      SELECT * FROM gn JOIN gm USING (setting)"""
+    logits = lambda rows, key, column: f"""SELECT {key}, position, t AS term, length(t) - 3.0 AS logit FROM {rows}_t UNION ALL SELECT {key}, position, substr(t, 1, 4) || '*', (length(t) - 5) / 2.0 FROM {rows}_t"""
+    tokens = lambda rows, key, column: f"{rows}_t AS (SELECT * FROM (SELECT {key}, unnest({tok(column)}) AS t, unnest(range(len({tok(column)}))) AS position FROM {rows}) WHERE position < 512)"
+    pooled = lambda rows, key, column: f"{tokens(rows, key, column)}, {rows}_w AS (SELECT {key}, term, max(ln(1 + greatest(logit, 0))) AS weight FROM ({logits(rows, key, column)}) GROUP BY ALL HAVING weight > 0)"
+    chunks, questions = pooled("chunks", "idx", "text"), pooled("questions", "query_id", "query")
+    top = ranked("SELECT query_id, idx, sum(q.weight * c.weight) AS score FROM questions_w q JOIN chunks_w c USING (term) GROUP BY query_id, idx", 10)
+    return {
+        "scored_grid": grid,
+        "learned_sparse_topk": BASE + f"{chunks}, {questions} SELECT query_id, idx, rank, round(score, 6) AS score FROM ({top})",
+        "learned_sparse_weights": BASE + f"{chunks} SELECT idx, count(*) AS terms, round(sum(weight), 6) AS mass, arg_min(term, (-round(weight, 9), term)) AS heaviest FROM chunks_w GROUP BY idx",
+    }

@@ -34,3 +34,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     schema = df.schema
     df.write.parquet(to)
     return df.sparkSession.read.schema(schema).parquet(to)
+
+
+def bucketed(df: DataFrame, label: str, by: str) -> DataFrame:
+    """As written, dealt by a column into buckets, which later plans that group or join by it read without a shuffle."""
+    spark = df.sparkSession
+    to = path(spark, label)
+    if to is None:
+        return df.repartition(by)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"scratch_{uuid.uuid4().hex}"
+    df.repartition(n, by).write.format("parquet").bucketBy(n, by).sortBy(by).option("path", to).saveAsTable(table)
+    return spark.table(table)

@@ -8,6 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from sievewright.functions import lists
 from sievewright.functions import text as T
 from sievewright.operators import answers, blocked, curation, ingest, metrics, obligation, references, retrieval, statistics, temporal, windows
 
@@ -302,6 +303,19 @@ def test_obligation(spark):
     assert obligation.fidelity(pairs).first().fidelity == 0.5 and obligation.fidelity(pairs.where("false")).first().fidelity == 1.0
 
 
+def test_forces_with_and_without_the_stems(spark):
+    def plain(p):
+        rest = F.regexp_replace(p, lists.FORCES["prohibitive"], " ")
+        found = F.array_compact(F.array(F.when(p.rlike(lists.FORCES["prohibitive"]), "prohibitive"), *(F.when(rest.rlike(lists.FORCES[f]), f) for f in lists.FORCE_ORDER[1:4])))
+        return F.when(F.size(found) == 0, F.array(F.lit("none"))).otherwise(found)
+
+    rng = random.Random(6)
+    words = ["SHALL", "\u017fhall", "not", "must", "may", "mayor", "can", "cannot", "no", "one", "is", "\u0131s", "are", "requ\u0130red", "to", "permitted", "has", "have", "should", "best", "practice", "at", "its", "discretion", "ought", "allowed", "the", "prohibited", "as\u212a"]
+    texts = [None, "", *(" ".join(rng.choices(words, k=rng.randint(1, 6))) for _ in range(1_500))]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", obligation.forces(F.col("t")).alias("a"), plain(F.col("t")).alias("b"))
+    assert not [r for r in rows.collect() if r.a != r.b]
+
+
 def test_temporal(spark):
     known = spark.createDataFrame([("a", "2022-12-30"), ("b", "2026-09-14"), ("c", None), ("d", "2026-09-11")], "doc_id string, commenced string").withColumn("commenced", F.to_date("commenced"))
     rows = spark.createDataFrame([(1, d, r) for r, d in enumerate("abcdbz", 1)], "query_id long, doc_id string, rank int")
