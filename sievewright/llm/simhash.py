@@ -20,9 +20,16 @@ Null or empty text has fingerprint zero and is linked like any other.
 kept over shingles. Shingles are ordered by how many texts of a bounded sample hold them (the order changes the work, not
 the result), then by hash; of a set of n, the first n - ceil(bound * n) + TALLY are listed, and two sets within the bound
 share at least TALLY of these (or all that they must share, if that is fewer). Pairs of one list are tallied, kept from the
-guaranteed minimum up, and verified on the whole sets. In a list of more than CROWD sets (many near copies of one text)
-members first meet in small groups, which joins most of them; then each member outside the list's largest component
-meets all members of other components. Pairs within a component can't change it, so nothing is lost.
+guaranteed minimum up, and verified on the whole sets.
+
+Lists of more than CROWD sets (many near copies of one text, or a phrase that stands everywhere) aren't tallied. Two sets of n
+and m shingles within the bound have bound / (1 + bound) * (n + m) in common, none of them before the first one that they share; so
+at its place i in a set, the partner has at most (n - i) * (1 + bound) / bound - n shingles. That leaves a set in few of
+its crowded lists, and in none where no other set of a fitting size can be reached: a phrase that a third of the corpus shares
+is late in the order, and what is early in a set is its own. What is left first meets in groups of about MEET of the same
+list, which joins nearly all that belong together; then the sets outside a list's largest component meet all others of the list, in
+blocks: a set goes once to a block, where the sets' common shingles are counted by a product of matrices. Pairs within a component
+can't change it, so nothing is lost.
 """
 
 from __future__ import annotations
@@ -47,8 +54,11 @@ LIST = 32
 NEAR_WORDS, NEAR, TALLY = 5, 0.8, 4
 #: Documents that the order of shingles is learned from (to twice as many), and shingles that it names.
 SAMPLE, COMMON = 8_192, 100_000
-#: A longer list isn't paired in full: MEETINGS of a member's crowded lists deal it into groups of about MEET.
-CROWD, MEET, MEETINGS = 64, 16, 2
+#: A longer list isn't tallied: MEETINGS of a member's crowded lists deal it into groups of about MEET, and blocks hold about MEET members
+#: a side (a set of more than HEAVY shingles counts for several).
+CROWD, MEET, MEETINGS, HEAVY = 64, 128, 4, 4_096
+#: Columns of the matrices that common shingles are counted by at a time.
+COLUMNS = 8_192
 
 
 def shingle_hashes(text: str | None, words: int = WORDS, seed: int = SEED) -> list[int]:
@@ -234,11 +244,11 @@ def _sides(rows: DataFrame, *shared: str) -> tuple[DataFrame, DataFrame]:
 
 
 def postings(sets: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
-    """sets (id, size, listed) of distinct sets -> rows (h, id, size, n) of lists of two to `crowd` sets, and of longer ones.
+    """sets (id, size, listed) of distinct sets -> rows (h, id, size, place, n) of lists of two to `crowd` sets, and of longer ones.
 
     The first have a column `long`, too: how many longer lists the set is in.
     """
-    each = sets.select("id", "size", F.explode("listed").alias("h"))
+    each = sets.select("id", "size", F.posexplode("listed").alias("place", "h"))
     counts = each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared, _ = materialise(each.join(counts, "h"), "shared")
     crowded, _ = materialise(shared.where(F.col("n") > crowd), "crowded")
@@ -254,25 +264,107 @@ def tallied(short: DataFrame, least: float) -> DataFrame:
     return tally.where(F.col("n") + F.col("long") >= F.least(F.lit(TALLY), F.ceil(F.lit(least) * F.col("size") - F.lit(1e-9)))).select("a", "b")
 
 
-def meetings(crowded: DataFrame, least: float, meet: int = MEET) -> DataFrame:
-    """(a, b) of members of longer lists that are dealt into one group."""
+def reaching(crowded: DataFrame, least: float) -> DataFrame:
+    """The rows of longer lists at which a set can share its first shingle with another of the list, by both sizes and places."""
+    reach = (F.col("size") - F.col("place")) * ((1 + least) / least) - F.col("size") + 1e-9
+    rows = crowded.withColumn("reach", reach).where(F.col("reach") >= F.col("size") * least - 1e-9)
+    # a list has few distinct sizes, whatever the number of its sets
+    sizes = rows.groupBy("h", "size").agg(F.max("reach").alias("reach"), F.count(F.lit(1)).alias("c"))
+    others = sizes.select("h", F.col("size").alias("m"), F.col("reach").alias("reach_m"))
+    fits = F.col("m").between(F.col("size") * least - 1e-9, F.col("reach")) & (F.col("reach_m") >= F.col("size")) & ((F.col("m") != F.col("size")) | (F.col("c") > 1))
+    partners = sizes.join(others, "h").where(fits).groupBy("h", "size").agg(F.min("m").alias("m"))
+    return rows.join(partners, ["h", "size"]).where(F.col("reach") >= F.col("m")).select("h", "id", "size", "n")
+
+
+def _weight() -> Column:
+    return 1 + F.floor(F.col("size") / HEAVY)
+
+
+def _dealt(count: Column, meet: int, salt: int) -> Column:
+    """A member's block of so many that each weighs about `meet`."""
+    return F.pmod(F.xxhash64(F.lit(salt), "h", "id"), F.ceil(count / meet).cast("long"))
+
+
+#: Sides of a member in a block: met by the others, or met by all.
+LEFT, RIGHT, BOTH = 0, 1, 2
+
+
+def meetings(rows: DataFrame, meet: int = MEET) -> DataFrame:
+    """Blocks (h, p, q, id, side, root) of members of one list that meet each other."""
     order = Window.partitionBy("id").orderBy("n", F.xxhash64("h"))
-    some = crowded.withColumn("place", F.row_number().over(order)).where(F.col("place") <= MEETINGS)
-    group = F.pmod(F.xxhash64("h", "id"), F.ceil(F.col("n") / meet).cast("long"))
-    a, b = _sides(some.select("h", group.alias("g"), "id", "size"), "h", "g")
-    return a.join(b, ["h", "g"]).where("a < b").where(_sizes_allow(least)).select("a", "b").distinct()
+    some = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= MEETINGS)
+    weights = rows.groupBy("h").agg(F.sum(_weight()).alias("w"))
+    return some.join(weights, "h").select("h", _dealt(F.col("w"), meet, 0).alias("p"), F.lit(0).cast("long").alias("q"), "id", F.lit(BOTH).alias("side"), F.col("id").alias("root"))
+
+
+def apart(rows: DataFrame, roots: DataFrame, meet: int = MEET) -> DataFrame:
+    """Blocks (h, p, q, id, side, root) in which members outside a list's largest component meet all of the list."""
+    rooted, _ = materialise(rows.join(roots.withColumnRenamed("node", "id"), "id", "left").select("h", "id", "size", F.coalesce("root", "id").alias("root")), "rooted")
+    sizes = rooted.groupBy("h", "root").agg(F.count(F.lit(1)).alias("c"), F.sum(_weight()).alias("w"))
+    split = sizes.groupBy("h").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.max_by("w", F.struct("c", "root")).alias("main_w"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    split, _ = materialise(split.select("h", "main", "w", (F.col("w") - F.col("main_w")).alias("left_w")), "split")
+    every = rooted.join(split, "h")
+    counts = lambda c: F.sequence(F.lit(0).cast("long"), F.ceil(F.col(c) / meet).cast("long") - 1)
+    p, q = _dealt(F.col("left_w"), meet, 1), _dealt(F.col("w"), meet, 2)
+    left = every.where("root <> main").select("h", p.alias("p"), F.explode(counts("w")).alias("q"), "id", F.lit(LEFT).alias("side"), "root")
+    right = every.select("h", F.explode(counts("left_w")).alias("p"), q.alias("q"), "id", F.lit(RIGHT).alias("side"), "root")
+    return left.unionByName(right)
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each of the left sets has in common with each of the right ones."""
+    sides = []
+    for sets in (left, right):
+        sides.append((np.concatenate([np.zeros(0, np.uint64), *sets]), np.repeat(np.arange(len(sets)), [len(x) for x in sets])))
+    names = np.intersect1d(sides[0][0], sides[1][0])
+    counts = np.zeros((len(left), len(right)), np.int64)
+    places = []
+    for values, owner in sides:
+        at = np.minimum(np.searchsorted(names, values), max(len(names) - 1, 0))
+        kept = names[at] == values if len(names) else np.zeros(len(values), bool)
+        order = np.argsort(at[kept], kind="stable")
+        places.append((at[kept][order], owner[kept][order]))
+    for start in range(0, len(names), COLUMNS):
+        parts = []
+        for (at, owner), n in zip(places, counts.shape):
+            a, b = np.searchsorted(at, (start, start + COLUMNS))
+            m = np.zeros((n, min(COLUMNS, len(names) - start)), np.float32)
+            m[owner[a:b], at[a:b] - start] = 1
+            parts.append(m)
+        counts += (parts[0] @ parts[1].T).astype(np.int64)
+    return counts
+
+
+def _block_links(least: float):
+    names = ("h", "p", "q", "side", "id", "root", "shingles")
+
+    def judged(rows):
+        left, right = ([r for r in rows if r[3] != other] for other in (RIGHT, LEFT))
+        if not left or not right:
+            return None
+        sets = [[np.frombuffer(r[6], np.uint64) for r in side] for side in (left, right)]
+        sizes = [np.array([len(x) for x in side]) for side in sets]
+        ids, roots = ([np.array([r[i] for r in side], np.int64) for side in (left, right)] for i in (4, 5))
+        both = common_counts(*sets)
+        near = (both >= least * (sizes[0][:, None] + sizes[1][None, :] - both) - 1e-9) & (roots[0][:, None] != roots[1][None, :])
+        a, b = np.nonzero(near)
+        pairs = np.unique(np.sort(np.stack([ids[0][a], ids[1][b]], axis=1), axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
+    def run(batches):
+        key, rows = None, []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in names)):
+                if row[:3] != key and rows:
+                    if (out := judged(rows)) is not None:
+                        yield out
+                    rows = []
+                key = row[:3]
+                rows.append(row)
+        if rows and (out := judged(rows)) is not None:
+            yield out
 
-def apart(crowded: DataFrame, roots: DataFrame, least: float) -> DataFrame:
-    """(a, b) of members of a longer list that are in different components: all but pairs of its largest one."""
-    rooted, _ = materialise(crowded.join(roots.withColumnRenamed("node", "id"), "id", "left").select("h", "id", "size", F.coalesce("root", "id").alias("root")), "rooted")
-    sizes = rooted.groupBy("h", "root").agg(F.count(F.lit(1)).alias("c"))
-    split = sizes.groupBy("h").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    split, _ = materialise(split.select("h", "main"), "split")
-    rows = rooted.join(split, "h")
-    a, b = _sides(rows.select("h", "id", "size", "root", "main"), "h")
-    pairs = a.where("root_a <> main_a").join(b, "h").where("root_a <> root_b").where((F.col("root_b") == F.col("main_b")) | (F.col("a") < F.col("b"))).where(_sizes_allow(least))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return run
 
 
 def jaccard_components(docs: DataFrame, words: int = NEAR_WORDS, least: float = NEAR, seed: int = SEED, crowd: int = CROWD, meet: int = MEET) -> DataFrame:
@@ -287,19 +379,26 @@ def jaccard_components(docs: DataFrame, words: int = NEAR_WORDS, least: float =
     classes, _ = materialise(marks.groupBy("d0", "d1").agg(F.min("doc_id").alias("id")), "classes")
     short, crowded = postings(marks.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "id"), crowd)
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        pairs, _ = materialise(pairs, "candidates")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        texts = docs.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi")
-        sets, _ = materialise(texts.mapInArrow(_packed(words, seed), "id long, shingles binary"), "members")
-        both = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a")
-        return materialise(both.select("a", "b", "set_a", "set_b").mapInArrow(_verified(least), "a long, b long"), "links")[0]
+    def members(wanted: DataFrame) -> DataFrame:
+        texts = docs.withColumnRenamed("doc_id", "id").join(wanted.distinct(), "id", "left_semi")
+        return materialise(texts.mapInArrow(_packed(words, seed), "id long, shingles binary"), "members")[0]
 
-    links = linked(tallied(short, least).unionByName(meetings(crowded, least, meet)).distinct())
-    roots, _ = materialise(connected_components(links), "roots")
-    if not is_empty(crowded):
-        links = links.unionByName(linked(apart(crowded, roots, least)))
+    pairs, _ = materialise(tallied(short, least), "candidates")
+    sets = members(pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a")
+    links, _ = materialise(both.select("a", "b", "set_a", "set_b").mapInArrow(_verified(least), "a long, b long"), "links")
+    rows, _ = materialise(reaching(crowded, least), "reaching")
+    if not is_empty(rows):
+        sets = members(rows.select("id"))
+
+        def met(blocks: DataFrame) -> DataFrame:
+            dealt = blocks.join(sets, "id").repartition("h", "p", "q").sortWithinPartitions("h", "p", "q")
+            return materialise(dealt.mapInArrow(_block_links(least), "a long, b long"), "links")[0]
+
+        links = links.unionByName(met(meetings(rows, meet)))
         roots, _ = materialise(connected_components(links), "roots")
+        links = links.unionByName(met(apart(rows, roots, meet)))
+    roots, _ = materialise(connected_components(links), "roots")
     # the root of a component is its least class, and a class is its least doc_id
     named = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("d0", "d1", F.coalesce("root", "id").alias("component_id"))
     return marks.select("doc_id", "d0", "d1").join(named, ["d0", "d1"]).select("doc_id", "component_id")

@@ -105,6 +105,29 @@ def test_near_copies_from_similarity_0_8(spark, crowd):
     assert simhash.jaccard_components(near.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("head,own", [("released under the mit license", 1), (" ".join(f"p{i}" for i in range(14)), 2)])
+def test_unlike_texts_with_a_common_phrase_are_not_paired(spark, head, own):
+    """A phrase in a third of all texts, which are short and unlike: what is sent to blocks doesn't grow with pairs, or at all."""
+    for n in (300, 600):
+        rows = [(i, f"{head} {' '.join(f'word{i}x{k}' for k in range(own))}") for i in range(n)] + [(n + i, f"other text number {i} stands for itself alone") for i in range(2 * n)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        common = spark.sparkContext.broadcast(simhash.common_shingles(docs, 5, 42))
+        sets = docs.mapInArrow(simhash._sets(5, 42, 0.8, common), "id long, d0 long, d1 long, size int, listed array<long>".replace("id long", "doc_id long", 1)).withColumnRenamed("doc_id", "id")
+        short, crowded = simhash.postings(sets)
+        assert simhash.reaching(crowded, 0.8).count() == 0
+        assert simhash.tallied(short, 0.8).count() == 0
+        assert simhash.jaccard_components(docs).where("doc_id <> component_id").count() == 0
+
+
+def test_common_counts(monkeypatch):
+    monkeypatch.setattr(simhash, "COLUMNS", 7)
+    rng = random.Random(2)
+    sets = [np.unique(np.array([rng.randrange(60) for _ in range(rng.randrange(0, 40))], np.uint64)) for _ in range(23)]
+    left, right = sets[:9], sets[9:]
+    assert simhash.common_counts(left, right).tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in right] for a in left]
+    assert simhash.common_counts([], right).shape == (0, 14) and simhash.common_counts([sets[0]], [np.zeros(0, np.uint64)]).tolist() == [[0]]
+
+
 def test_pipeline_drops_near_copies(spark, tmp_path):
     import corpus_pipeline
 
