@@ -105,3 +105,9 @@ CATEGORIES = ["single_hop", "cross_section", "cross_document", "comparative", "a
 DIFFICULTIES = ["easy", "medium", "hard"]
 CONFIDENCES = ["high", "medium", "low"]
 REFUSAL = "not covered by these passages"
+
+# Where a page names its node, its date, its status and its code.
+NODE = r"page-node-(\d+)"
+EFFECTIVE = r"Effective from\s*([\d/]+)"
+STATUS_LINE = r"Status:\s*([A-Za-z \-]+)"
+INSTRUMENT_CODE = r"\n\s*([A-Z]{1,3}\s?\d+/\d{4})\s*(?:Effective|\n)"

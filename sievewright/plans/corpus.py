@@ -23,6 +23,10 @@ REFERENCES = (
 )
 
 
+#: Documents that go by names of their own where references are resolved.
+NAMED = {"4": "INS-FIN-001", "5": "INS-FIN-002", "13": "INS-TAK-013"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -132,7 +136,7 @@ def referring(spark, sf_dir) -> DataFrame:
     """Sections whose texts are made to refer to others: the tables' own prose has no references.
 
     Section n of a document is Article n, and each refers to an article in one of REFERENCES; the first is a range. Documents
-    2k and 2k + 1 are a regulation and its standards.
+    2k and 2k + 1 are a regulation and its standards. Some go by NAMED: what aliases lead to, and a document whose aliases lead to the counterpart.
     """
     s = sections(spark, sf_dir)
     doc = F.col("doc_id").cast("long")
@@ -140,7 +144,8 @@ def referring(spark, sf_dir) -> DataFrame:
     form = F.element_at(F.array(*map(F.lit, REFERENCES)), (F.pmod(doc + F.col("ord") * 3, F.lit(len(REFERENCES))) + 1).cast("int"))
     body = F.replace(F.replace(form, F.lit("{n}"), n.cast("string")), F.lit("{m}"), (n + 2).cast("string"))
     title = F.concat(F.lit("Topic "), F.floor(doc / 2).cast("string"), F.when(F.pmod(doc, F.lit(2)) == 0, " Regulation").otherwise(" Standards"))
-    return s.select("doc_id", F.concat(F.lit("Article "), F.col("ord").cast("string")).alias("section"), "ord", F.concat(body, F.lit(", "), F.col("text")).alias("text"), title.alias("doc_title"))
+    name = F.coalesce(*(F.when(F.col("doc_id") == old, new) for old, new in NAMED.items()), F.col("doc_id"))
+    return s.select(name.alias("doc_id"), F.concat(F.lit("Article "), F.col("ord").cast("string")).alias("section"), "ord", F.concat(body, F.lit(", "), F.col("text")).alias("text"), title.alias("doc_title"))
 
 
 def commencements(spark, sf_dir) -> DataFrame:

@@ -101,7 +101,7 @@ def all_sql() -> dict[str, str]:
     q["corrupted_labels"] = BASE + ITEMS + ", " + CORRUPT + " SELECT id, how, evidence_id, replacement FROM broken"
     q["rewritten_retrieval"] = BASE + REWRITTEN + x + " SELECT query_id, idx, rank, round(score, 6) AS score FROM rre"
     q["rewrite_before_after"] = BASE + both + x + " SELECT category, count(*) AS n, round(avg(s.mrr), 6) AS before, round(avg(w.mrr), 6) AS after FROM s JOIN w USING (query_id, k) JOIN cats USING (query_id) WHERE k = 10 GROUP BY category"
-    q["moved_questions"] = BASE + both + x + " SELECT query_id AS key, round(s.mrr, 6) AS before, round(w.mrr, 6) AS after FROM s JOIN w USING (query_id, k) WHERE k = 10 AND s.mrr <> w.mrr"
+    q["moved_questions"] = BASE + scores("s", "lex10") + scores("d", "dense10") + x + " SELECT query_id AS key, round(s.mrr, 6) AS before, round(d.mrr, 6) AS after FROM s JOIN d USING (query_id, k) WHERE k = 10 AND s.mrr <> d.mrr"
     q["unchanged_rewrites"] = "SELECT count(*) AS n, count_if(length(text) % 3 = 0)::BIGINT AS unchanged FROM benchmark"
     letters = lambda prefix, c: f"list_transform({LETTERS}, lambda c: (length(lower('{prefix}' || {c})) - length(replace(lower('{prefix}' || {c}), c, '')))::DOUBLE)"
     unit = "list_transform(v, lambda y: y / sqrt(list_dot_product(v, v)))"
@@ -114,7 +114,7 @@ def all_sql() -> dict[str, str]:
       SELECT doc_id, ord, coalesce(r.title, '') AS title, coalesce(url, '') AS url, coalesce(code, '') AS code, coalesce(status, '') AS status, coalesce(effective_date, '') AS effective_date FROM secs LEFT JOIN reg r USING (doc_id)"""
     q["page_facts"] = """SELECT page_id::VARCHAR AS doc_id, page_id::VARCHAR AS node_id, 'C ' || (page_id % 12 + 1) || '/2024' AS code, '2024-03-' || lpad((page_id % 12 + 1)::VARCHAR, 2, '0') AS effective_date, 'in_force' AS status,
       CASE WHEN page_id % 3 <> 0 THEN 'insurance' ELSE '' END AS rulebook_section, CASE WHEN page_id % 4 <> 0 THEN 'https://x.org/en_net_file_store/doc_' || page_id || '.PDF' ELSE '' END AS pdf_url,
-      concat_ws('; ', CASE WHEN page_id % 3 = 0 THEN 'could not determine rulebook section' END, CASE WHEN page_id % 4 = 0 THEN 'no document PDF in the file store' END) AS problems FROM pages"""
+      concat_ws('; ', CASE WHEN page_id % 3 = 0 THEN 'no link to a section of the rulebook' END, CASE WHEN page_id % 4 = 0 THEN 'PDFs, but none of the file store' END) AS problems FROM pages"""
     q["sections_in_order"] = BASE + x + " SELECT doc_id, string_agg(section, ',' ORDER BY ord) AS sections FROM secs GROUP BY doc_id"
     scope = f"""pr AS (SELECT doc_id, coalesce(nullif(substr(string_agg(CASE WHEN section IN ('P1', 'P3') THEN text END, ' ' ORDER BY ord), 1, 1400), ''), max(source)) AS profile FROM secs GROUP BY doc_id),
       sq AS (SELECT query_id, query, category <> 'unanswerable' AS positive, coalesce(score, 0.0) AS relevance, list_distinct({tok('query')}) AS qt, list_distinct({tok("coalesce(profile, '')")}) AS pt
@@ -142,7 +142,9 @@ def all_sql() -> dict[str, str]:
     q["label_recheck"] = BASE + ITEMS + f""", {NAMED}, chosen AS (SELECT id, e, n FROM it WHERE n >= 2 OR category = 'unanswerable'),
       docs_ AS (SELECT DISTINCT id, e, unnest(list_transform(e, lambda y: y.d)) AS doc_id FROM chosen WHERE n > 0 UNION ALL SELECT id, e, NULL FROM chosen WHERE n = 0)
       SELECT id, d.doc_id, ord, section, coalesce(list_contains(list_transform(e, lambda y: y.d || '::' || y.s), d.doc_id || '::' || section), false) AS cited FROM docs_ d LEFT JOIN secs s ON s.doc_id = d.doc_id"""
-    q["item_lookup"] = BASE + ITEMS + " SELECT upper(md5(question)) AS asked, md5(question) AS id, CASE WHEN minutes < 9 THEN 'draft' ELSE 'question' END AS origin, md5(question) AS question FROM items"
+    q["item_lookup"] = BASE + ITEMS + """, named AS (SELECT md5(question) AS id, md5(question) AS question, CASE WHEN minutes < 9 THEN 'draft' ELSE 'question' END AS origin FROM items),
+      asked AS (SELECT upper(id) AS asked FROM named UNION ALL SELECT ' ' || id FROM named UNION ALL SELECT 'x' || id FROM named)
+      SELECT asked, id, origin, question FROM asked LEFT JOIN named ON id = lower(trim(asked))"""
     sample = CORRUPT.replace(NAMED, "it AS (SELECT md5(question) AS id, category, minutes, e, len(e) AS n FROM ev ORDER BY md5('" + SEED + ":sample:' || md5(question)), md5(question) LIMIT 10)")
     q["planted_sample"] = BASE + ITEMS + ", " + sample + f""", half AS (SELECT * FROM broken ORDER BY md5('{SEED}:sample:' || id), id LIMIT 5)
       SELECT id, row_number() OVER (ORDER BY md5('{SEED}:shuffle:' || id), id) AS place, h.id IS NOT NULL AS corrupted, coalesce(how, '') AS how, evidence_id, replacement FROM it LEFT JOIN half h USING (id)"""

@@ -74,7 +74,7 @@ labelled AS (SELECT query_id, evidence_id, max(gain) AS gain FROM (
   SELECT query_id, evidence_id, 2 AS gain FROM inside JOIN chunks USING (idx) UNION ALL
   SELECT query_id, evidence_id, 1 FROM inside i JOIN chunks c ON c.idx = i.idx + 1) GROUP BY ALL),
 cats AS (SELECT query_id, query, CASE WHEN count(idx) = 0 THEN 'unanswerable' WHEN count(idx) = 1 THEN 'single_hop' ELSE 'cross_document' END AS category FROM questions LEFT JOIN inside USING (query_id) GROUP BY ALL),
-refs AS (SELECT doc_id, 'Article ' || ord AS section, ord, (doc_id::BIGINT + ord) % 7 + 1 AS a, (doc_id::BIGINT + ord * 3) % 9 AS form, text FROM secs),
+refs AS (SELECT doc_id, CASE doc_id WHEN '4' THEN 'INS-FIN-001' WHEN '5' THEN 'INS-FIN-002' WHEN '13' THEN 'INS-TAK-013' ELSE doc_id END AS name, 'Article ' || ord AS section, ord, (doc_id::BIGINT + ord) % 7 + 1 AS a, (doc_id::BIGINT + ord * 3) % 9 AS form, text FROM secs),
 docedges AS (SELECT DISTINCT c.evidence_id AS source, d.evidence_id AS target FROM chunks c JOIN chunks d ON d.idx = c.idx + 1 WHERE c.evidence_id <> d.evidence_id),
 docnear AS (SELECT source AS node, target AS neighbour FROM docedges UNION SELECT target, source FROM docedges),
 """
@@ -135,12 +135,12 @@ quotes AS (SELECT query_id, n, evidence_id, rtrim(substr(string_agg(sent, ' ' OR
 
 RESOLVED = """
 docs_ AS (SELECT DISTINCT doc_id::BIGINT AS d FROM refs),
-alln AS (SELECT doc_id, section, ord, form, a AS number FROM refs UNION ALL SELECT doc_id, section, ord, form, a + u FROM refs, (SELECT unnest([1, 2]) AS u) WHERE form = 0),
-aim AS (SELECT *, CASE WHEN form = 8 THEN 'INS-FIN-001' WHEN form = 6 AND doc_id::BIGINT % 2 = 0 AND doc_id::BIGINT + 1 IN (SELECT d FROM docs_) THEN (doc_id::BIGINT + 1)::VARCHAR ELSE doc_id END AS at FROM alln),
-res AS (SELECT x.doc_id || '::' || x.section AS source, x.number, CASE WHEN r.section IS NOT NULL THEN x.at || '::Article ' || x.number END AS target,
+alln AS (SELECT doc_id, name, section, ord, form, a AS number FROM refs UNION ALL SELECT doc_id, name, section, ord, form, a + u FROM refs, (SELECT unnest([1, 2]) AS u) WHERE form = 0),
+aim AS (SELECT *, CASE WHEN form = 8 THEN CASE WHEN doc_id IN ('5', '13') THEN '5' ELSE '4' END WHEN form = 6 AND doc_id::BIGINT % 2 = 0 AND doc_id::BIGINT + 1 IN (SELECT d FROM docs_) THEN (doc_id::BIGINT + 1)::VARCHAR ELSE doc_id END AS at FROM alln),
+res AS (SELECT x.name || '::' || x.section AS source, x.number, CASE WHEN r.section IS NOT NULL THEN r.name || '::Article ' || x.number END AS target,
   CASE WHEN form = 2 THEN 'external' WHEN form = 3 THEN 'self' WHEN form = 4 THEN 'other_instrument' WHEN r.section IS NULL THEN 'unresolved'
     WHEN x.at = x.doc_id AND r.ord = x.ord THEN 'self' WHEN x.at = x.doc_id THEN 'intra' ELSE 'cross' END AS outcome
-  FROM aim x LEFT JOIN (SELECT doc_id, section, ord FROM refs) r ON r.doc_id = x.at AND r.ord = x.number),
+  FROM aim x LEFT JOIN (SELECT doc_id, name, section, ord FROM refs) r ON r.doc_id = x.at AND r.ord = x.number),
 edges AS (SELECT DISTINCT source, target, number, outcome = 'cross' AS cross_document FROM res WHERE outcome IN ('intra', 'cross')),
 near AS (SELECT source AS node, target AS neighbour FROM edges UNION SELECT target, source FROM edges)"""
 
@@ -213,9 +213,9 @@ def all_sql() -> dict[str, str]:
     q["tokenize_stats"] = f"SELECT doc_id, len(t) AS tokens, len(list_distinct(t)) AS distinct_tokens, list_max(list_transform(t, lambda x: length(x))) AS longest FROM (SELECT doc_id, {tok('text')} AS t FROM documents)"
     q["content_token_sets"] = f"SELECT doc_id, len(a) AS answer_tokens, len(b) AS failure_tokens, round({share('a', 'b')}, 6) AS share FROM (SELECT doc_id, {content('text')} AS a, {content('text', lists.FAILURE_STOPWORDS)} AS b FROM documents)"
     words = "len(regexp_extract_all(text, '\\S+'))"
-    q["word_counts_census"] = BASE + f"""w AS (SELECT doc_id, evidence_id, {words} AS words FROM secs), d AS (SELECT doc_id, sum(words) AS words FROM w GROUP BY doc_id)
+    q["word_counts_census"] = BASE + f"""w AS (SELECT doc_id, ord, evidence_id, {words} AS words FROM secs), d AS (SELECT doc_id, sum(words) AS words FROM w GROUP BY doc_id)
       SELECT count(DISTINCT doc_id) AS documents, count(*) AS sections, count(*) AS chunks, sum(words)::BIGINT AS words, count_if(words > 40)::BIGINT AS over_budget,
-        list_sort(list(words))[count(*) // 2 + 1] AS upper_median_words, max(words) AS max_words, count(*) - count(DISTINCT evidence_id) AS duplicate_ids, (SELECT count(*) FROM d WHERE words < 50) AS placeholders FROM w"""
+        list_sort(list(words))[count(*) // 2 + 1] AS upper_median_words, max(words) AS max_words, count(*) - count(DISTINCT evidence_id) AS duplicate_ids, (SELECT count(*) FROM d WHERE words < 50) AS placeholders, count_if(ord % 7 <> 0)::BIGINT AS numbered, count_if(ord % 7 = 0)::BIGINT AS prose FROM w"""
     q["document_stats"] = BASE + f"x AS (SELECT 1) SELECT doc_id, count(*) AS sections, sum({words})::BIGINT AS words FROM secs GROUP BY doc_id"
     q["placeholder_documents"] = q["document_stats"] + f" HAVING sum({words}) < 50"
     q["paragraph_explode"] = f"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\\n\\s*\\n'), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '') AS a,
@@ -285,7 +285,7 @@ def all_sql() -> dict[str, str]:
     q["reference_edges"] = BASE + RESOLVED + " SELECT source, target, number, cross_document FROM edges"
     q["reference_census"] = BASE + RESOLVED + " SELECT outcome, count(*) AS n FROM res GROUP BY outcome UNION ALL SELECT 'mentions', count(*) FROM res"
     q["adjacency"] = BASE + RESOLVED + " SELECT node, neighbour FROM near"
-    q["hops"] = BASE + RESOLVED + """, walk AS (SELECT doc_id AS key, neighbour AS node, 1 AS hop FROM refs JOIN near ON node = doc_id || '::' || section WHERE ord = 1
+    q["hops"] = BASE + RESOLVED + """, walk AS (SELECT name AS key, neighbour AS node, 1 AS hop FROM refs JOIN near ON node = name || '::' || section WHERE ord = 1
         UNION SELECT w.key, n.neighbour, w.hop + 1 FROM walk w JOIN near n ON n.node = w.node WHERE w.hop < 3)
       SELECT key, node, min(hop) AS hop FROM walk GROUP BY ALL"""
     q["premise"] = BASE + "p AS (SELECT a.query_id, a.evidence_id AS a, b.evidence_id AS b FROM labelled a JOIN labelled b USING (query_id) WHERE a.evidence_id < b.evidence_id) SELECT query_id, count(*) AS pairs, count_if(EXISTS (SELECT 1 FROM docnear n WHERE n.node = p.a AND n.neighbour = p.b)) AS linked FROM p GROUP BY query_id"
@@ -311,7 +311,10 @@ def all_sql() -> dict[str, str]:
       chk AS (SELECT query_id, len({content('quote')}) > 0 AND (contains(text, quote) OR len(list_intersect({content('quote')}, {content('text')})) >= least(4, len({content('quote')}))) AS ok FROM quotes JOIN last USING (query_id, evidence_id)),
       agg AS (SELECT query_id, count(*) AS c, count_if(ok) AS k FROM chk GROUP BY query_id)
       SELECT query_id, CASE WHEN abstained THEN 0 ELSE coalesce(c, 0) END AS citations, CASE WHEN abstained THEN 1.0 WHEN c IS NULL THEN 0.0 ELSE 1.0 END AS grounded, CASE WHEN abstained THEN 1.0 WHEN c IS NULL THEN 0.0 ELSE round(k / c, 6) END AS supported, abstained::INTEGER::DOUBLE AS abstained FROM dec LEFT JOIN agg USING (query_id)"""
-    q["over_attribution"] = "SELECT item_id AS query_id, item_id % 5 > 2 AS over FROM benchmark"
+    q["over_attribution"] = """WITH h AS (SELECT item_id AS query_id, item_id % 5 AS kind, substr(text, 1, length(text) // 2) AS a, substr(text, length(text) // 2 + 1) AS b FROM benchmark),
+      made AS (SELECT query_id, CASE WHEN kind = 0 THEN 'Not covered by these passages.' WHEN kind < 3 THEN a || ' [1]. And ' || b || ' [2].' ELSE a || ' [1]. And ' || b || ' [2][3]. None [99]. [4, 5] after the tag' END AS answer FROM h),
+      runs AS (SELECT query_id, unnest(regexp_extract_all(answer, '(\\[[0-9]+([ ]*[,;][ ]*[0-9]+)*\\][ ]*)+')) AS run FROM made)
+      SELECT query_id, coalesce(max(len(list_distinct(regexp_extract_all(run, '[0-9]+')))) > 1, false) AS over FROM made LEFT JOIN runs USING (query_id) GROUP BY query_id"""
     q["obligation_drift"] = f"SELECT doc_id, c AS claim_force, s AS source_forces, {DRIFT} AS drift FROM (SELECT doc_id, {_force(1000003)} AS c, {_force(5)} AS s FROM documents)"
     q["obligation_fidelity"] = f"WITH d AS (SELECT {DRIFT} AS d FROM (SELECT {_force(1000003)} AS c, {_force(5)} AS s FROM documents)) SELECT count_if(d = 'preserved') AS preserved, count_if(d = 'strengthened') AS strengthened, count_if(d = 'weakened') AS weakened, count_if(d = 'no_force') AS no_force, round(count_if(d = 'preserved') / count_if(d <> 'no_force'), 6) AS fidelity FROM d"
     q["in_force"] = BASE + DATED + " SELECT query_id, doc_id, rank, in_force FROM judged"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 METADATA = ("section_title string, section_heading string, parent_heading string, doc_title string, title string, doc_type string, url string, effective_date string, "
@@ -10,7 +10,7 @@ METADATA = ("section_title string, section_heading string, parent_heading string
 CHUNKS = f"chunk_id string, doc_id string, section string, text string, metadata struct<{', '.join(f'{n}: {t}' for n, t in (x.strip().rsplit(' ', 1) for x in METADATA.split(',')))}>"
 EVIDENCE = "array<struct<doc_id: string, section: string, why: string>>"
 QUESTIONS = (f"id string, question string, category string, difficulty string, required_evidence {EVIDENCE}, helpful_evidence {EVIDENCE}, answer_sketch string, "
-             "provenance struct<source: string, labelled_on: string, minutes_to_label: double, confidence: string>, retired boolean, _corrupt_record string")
+             "provenance struct<source: string, labelled_on: string, minutes_to_label: double, confidence: string>, retired boolean")
 REGISTRY_COLUMNS = ("doc_id", "title", "url")
 
 
@@ -18,6 +18,34 @@ def _missing(e: Exception) -> bool:
     return "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1), value: every line of text files with its number in its file.
+
+    A file may be split over tasks. Lines are counted in each split, and a split's first line follows those of the splits before it:
+    what is put together is a row for each split, not a line.
+    """
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    splits = rows.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")
+    splits = splits.select("file", "block", (before - F.col("first") + 1).alias("shift"))
+    return rows.join(splits, ["file", "block"]).select("file", (F.col("at") + F.col("shift")).alias("line"), "value")
+
+
+def json_records(spark: SparkSession, path: str, schema: str, comments: str | None = None) -> DataFrame:
+    """file, line, record (a struct of the schema), bad (the line where it isn't such JSON): blank lines, and those that begin with `comments`, are left out."""
+    lines = numbered_lines(spark, path).where("trim(value) <> ''")
+    if comments:
+        lines = lines.where(~F.ltrim("value").startswith(comments))
+    parsed = F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return lines.select("file", "line", parsed.alias("record")).select("file", "line", F.col("record").dropFields("_corrupt_record").alias("record"), F.col("record._corrupt_record").alias("bad"))
+
+
+def _first_bad(records: DataFrame) -> None:
+    bad = records.where("bad is not null").orderBy("file", "line").select("file", "line").first()
+    if bad:
+        raise ValueError(f"{bad.file}:{bad.line}: not valid JSON")
+
+
 def json_lines(spark: SparkSession, path: str, schema: str, missing_ok: bool = False) -> DataFrame:
     """Blank lines are skipped; a missing path is an error of Spark's reader, or an empty table if that is asked for."""
     try:
@@ -31,8 +59,10 @@ def json_lines(spark: SparkSession, path: str, schema: str, missing_ok: bool = F
 
 
 def chunks(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks or sections; raises where there are none."""
-    rows = json_lines(spark, path, CHUNKS)
+    """Chunks or sections; raises ValueError where there are none, and, with file and line, where one isn't JSON."""
+    records = json_records(spark, path, CHUNKS)
+    _first_bad(records)
+    rows = records.select("record.*")
     if not rows.take(1):
         raise ValueError(f"{path} holds no chunks")
     return rows.withColumn("evidence_id", F.concat_ws("::", "doc_id", "section"))
@@ -43,15 +73,9 @@ def questions(spark: SparkSession, path: str, low_confidence: bool = False) -> D
 
     Raises ValueError, with the line, where one isn't JSON, and where none is left.
     """
-    # a file of questions is read whole, so that its lines keep their numbers
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r\n|\r|\n", -1)).alias("n", "value"))
-    lines = files.select("file", "value", (F.col("n") + 1).alias("line"))
-    kept = lines.where("trim(value) <> '' and not startswith(ltrim(value), '//')")
-    parsed = kept.select("file", "line", F.from_json("value", QUESTIONS, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("q"))
-    bad = parsed.where("q._corrupt_record is not null").select("file", "line").orderBy("file", "line").first()
-    if bad:
-        raise ValueError(f"{bad.file}:{bad.line}: not valid JSON")
-    rows = parsed.select("q.*").drop("_corrupt_record").where(~F.coalesce("retired", F.lit(False)))
+    records = json_records(spark, path, QUESTIONS, comments="//")
+    _first_bad(records)
+    rows = records.select("record.*").where(~F.coalesce("retired", F.lit(False)))
     confidence = F.coalesce("provenance.confidence", F.lit("high"))
     rows = rows.withColumn("confidence", confidence)
     rows = rows if low_confidence else rows.where("confidence <> 'low'")
@@ -63,7 +87,7 @@ def questions(spark: SparkSession, path: str, low_confidence: bool = False) -> D
 
 def registry_rows(spark: SparkSession, path: str) -> DataFrame:
     """The document catalogue as it stands, without any check."""
-    rows = spark.read.csv(path, header=True, encoding="UTF-8")
+    rows = spark.read.csv(path, header=True, encoding="UTF-8", escape='"', multiLine=True)  # quotes are doubled
     return rows.toDF(*(c.lstrip("﻿").strip() for c in rows.columns))
 
 

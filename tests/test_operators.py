@@ -537,7 +537,7 @@ def test_page_facts_and_carried_columns(spark):
     bare = "<html><p>Effective from 2024</p><a href='x.pdf'>x</a></html>"
     got = {r.doc_id: r for r in ingest.page_facts(spark.createDataFrame([("a", page), ("b", bare), ("c", None)], "doc_id string, html string"), base="https://h").collect()}
     assert tuple(got["a"])[1:] == ("77", "C 25/2022", "2024-12-03", "in_force", "banking", "https://h/en_net_file_store/a_77.pdf", [])
-    assert got["b"].problems == ["no node id in body class", "unparsable date 2024", "could not determine rulebook section", "no document PDF in the file store"]
+    assert got["b"].problems == ["the body names no node", "not a date: 2024", "no link to a section of the rulebook", "PDFs, but none of the file store"]
     rows = ingest.carry(spark.createDataFrame([("a", "s", "old"), ("z", "t", "old")], "doc_id string, section string, title string"), spark.createDataFrame([("a", "T", None)], "doc_id string, title string, url string"), ("title", "url"))
     assert sorted(map(tuple, rows.collect())) == [("a", "s", "T", ""), ("z", "t", "", "")]
 

@@ -91,3 +91,29 @@ def test_corpus_digest(spark):
     digest = readers.corpus_digest(rows, "id", "text")
     assert digest == readers.corpus_digest(rows.repartition(7), "id", "text") != readers.corpus_digest(rows.where("id <> '7'"), "id", "text")
     assert digest != readers.corpus_digest(rows.withColumn("text", F.when(F.col("id") == "3", "x").otherwise(F.col("text"))), "id", "text")
+
+
+def test_line_numbers_of_split_files(spark, tmp_path):
+    for name, n in (("a", 3_000), ("b", 1), ("c", 700)):
+        (tmp_path / f"{name}.txt").write_text("".join(f"{name}{i} {'x' * (i % 50)}\n" for i in range(1, n + 1)))
+    (tmp_path / "d.txt").write_text("")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        rows = readers.numbered_lines(spark, f"file://{tmp_path}").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(rows) == 3_701
+    assert all(r.value.split()[0] == f"{r.file[-5]}{r.line}" for r in rows)
+
+
+def test_bad_chunk_is_named_by_its_line(spark, tmp_path):
+    ok = json.dumps({"chunk_id": "D::S", "doc_id": "D", "section": "S", "text": "t"})
+    with pytest.raises(ValueError, match=r"c\.jsonl:4: not valid JSON"):
+        readers.chunks(spark, write(tmp_path / "c.jsonl", [ok, "", ok, "{", ok, "["]))
+    with pytest.raises(ValueError, match="holds no chunks"):
+        readers.chunks(spark, write(tmp_path / "e.jsonl", ["", " "]))
+    records = readers.json_records(spark, write(tmp_path / "r.jsonl", ['{"a": 1}', "# x", '{"a": "no"}', "{}"]), "a int", comments="#").orderBy("line").collect()
+    assert [(r.line, r.record.a, r.bad) for r in records] == [(1, 1, None), (3, None, '{"a": "no"}'), (4, None, None)]
