@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import retrieval
+from ..operators import retrieval, substring
 from . import parts
 from .parts import part
 
@@ -59,7 +59,7 @@ def _containing(spark, sf_dir) -> DataFrame:
     """query_id, idx: the documents that contain a passage as it stands.
 
     Candidates come from an equi-join on the passage's longest inner token (the first and the last may be cut words),
-    or, for passages of under three tokens, from all documents; then the text is looked at.
+    or, for passages of under three tokens, from an index of grams; then the text is looked at. An empty passage is in no document.
     """
     tokens = text.tokenize(F.col("query"))
     inner = F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 2, F.lit(0)))
@@ -71,12 +71,23 @@ def _containing(spark, sf_dir) -> DataFrame:
     tokens_of = docs.select("idx", F.explode(F.array_distinct(text.tokenize(F.col("text")))).alias("key"))
     near = tokens_of.join(keyed.where("key is not null").select("query_id", "key"), "key").select("query_id", "idx")
     found = near.join(docs, "idx").join(keyed.select("query_id", "query"), "query_id").where(holds).select("query_id", "idx")
-    short = keyed.where("key is null").select("query_id", "query")
+    short = keyed.where("key is null and query <> ''").select("query_id", "query")
     if short.take(1):
-        found = found.unionByName(short.crossJoin(docs).where(holds).select("query_id", "idx"))
+        listed = substring.gram_index(docs, "idx")
+        near = substring.candidates(listed, substring.gram_counts(listed), short.select("query_id", F.col("query").alias("term")), "query_id", "idx")
+        found = found.unionByName(near.join(docs, "idx").join(short, "query_id").where(holds).select("query_id", "idx"))
     return found.distinct()
 
 
+def grams(spark, sf_dir) -> DataFrame:
+    """gram, evidence_id of the sections, bucketed by gram."""
+    return part(spark, sf_dir, "grams", lambda s, d: substring.gram_index(sections(s, d), "evidence_id").repartition(buckets(s, d), "gram"), ("documents",), by="gram")
+
+
+def gram_counts(spark, sf_dir) -> DataFrame:
+    return part(spark, sf_dir, "gram_counts", lambda s, d: substring.gram_counts(grams(s, d)), ("documents",))
+
+
 def labels(spark, sf_dir) -> DataFrame:
     """query_id, evidence_id, gain: 2 for required texts, 1 for the text of the next document (helpful)."""
     c = chunks(spark, sf_dir).select("idx", "evidence_id")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lists, text
-from ..operators import ablation, answers, curation, generation, ingest, metrics, references, retrieval, statistics
+from ..operators import ablation, answers, curation, generation, ingest, metrics, references, retrieval, statistics, substring
 from ..sources import scratch
 from . import catalogue as Q
 from . import corpus as C
@@ -372,3 +372,11 @@ def learned_sparse_weights(spark, sf):
     weights = retrieval.pooled(_logits(C.chunks(spark, sf), "idx", "text").where("position < 512"))
     top = retrieval.sparse_expansion(weights, 1).select("idx", F.col("term").alias("heaviest"))
     return out(weights.groupBy("idx").agg(F.count(F.lit(1)).alias("terms"), F.sum("weight").alias("mass")).join(top, "idx"))
+
+
+@query
+def keyword_finds(spark, sf):
+    """Sections that hold the beginnings of the third and the fifth token of a passage: all passages in one plan, through the gram index."""
+    t = text.tokenize(F.col("query"))
+    asked = C.questions(spark, sf).select("query_id", F.concat_ws(" ", F.substring(F.get(t, 2), 1, 5), F.substring(F.get(t, 4), 1, 4)).alias("query"))
+    return out(substring.find_all(C.sections(spark, sf), C.grams(spark, sf), C.gram_counts(spark, sf), asked).drop("snippet"))

@@ -157,6 +157,10 @@ def all_sql() -> dict[str, str]:
     q["system_spread"] = BASE + systems + f"g AS ({grid}) SELECT min(mrr) AS low, max(mrr) AS high, round(max(mrr) - min(mrr), 6) AS spread FROM g"
     q["failure_counts"] = BASE + f"fc AS ({done['failure_taxonomy']}), fx AS (SELECT cause, category FROM fc JOIN cats USING (query_id) UNION ALL SELECT cause, 'all' FROM fc) SELECT cause, category, count(*) AS n FROM fx GROUP BY ALL"
     q["completeness"] = BASE + "hit AS (SELECT DISTINCT query_id, evidence_id FROM lex10 JOIN chunks USING (idx)), per AS (SELECT query_id, count(*) AS n, count(h.evidence_id) AS m FROM labelled l LEFT JOIN hit h USING (query_id, evidence_id) WHERE gain = 2 GROUP BY query_id) SELECT CASE WHEN m = n THEN 'complete' WHEN m > 0 THEN 'partial' ELSE 'total_miss' END AS outcome, count(*) AS n FROM per GROUP BY ALL"
+    q["keyword_finds"] = BASE + f"""kq AS (SELECT query_id, list_filter({tok("concat_ws(' ', substr(t[3], 1, 5), substr(t[5], 1, 4))")}, lambda w: length(w) > 2) AS ws FROM (SELECT query_id, {tok('query')} AS t FROM questions)),
+      kl AS (SELECT evidence_id, ord, lower(text) AS low FROM secs)
+      SELECT query_id, ord, evidence_id, list_sum(list_transform(ws, lambda w: (length(low) - length(replace(low, w, ''))) // length(w)))::BIGINT AS hits
+      FROM kq JOIN kl ON len(list_filter(ws, lambda w: contains(low, w))) = len(ws) WHERE len(ws) > 0"""
     q |= generated_sql()
     q |= grid_sql()
     return q
