@@ -8,10 +8,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import readers, scratch, writers
+from ..streaming import postings
 from . import catalogue as Q
 from . import corpus as C
 from .catalogue import out, query
 from .sql import BASE
+from .sql import all_sql as catalogue_sql
 
 
 def _folder(spark, label: str) -> str:
@@ -113,6 +115,16 @@ def redacted_export(spark, sf):
     return out(writers.redact(records, reasons).select("query_id", "reason", F.to_json("citations").alias("citations")))
 
 
+@query
+def streamed_bm25(spark, sf):
+    """BM25 over postings that arrived as a stream of the documents' files."""
+    path, schema = f"{sf}/documents.parque[t]", C.table(spark, sf, "documents").schema  # a pattern, as the table may be a file or a folder
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(path).select(F.col("doc_id").alias("idx"), "text")
+    to = _folder(spark, "stream")
+    postings.postings_stream(stream, f"{to}/posted", f"{to}/checkpoint").awaitTermination()
+    return Q._found(postings.bm25(postings.arrived(spark, f"{to}/posted"), C.questions(spark, sf), 10))
+
+
 def all_sql() -> dict[str, str]:
     return {
         "chunks_round_trip": "SELECT doc_id || '::P' AS chunk_id, doc_id || '::P' AS evidence_id, md5(text) AS digest, source AS title, lang AS code, doc_id % 5 AS place, length(text) AS chars FROM documents",
@@ -120,6 +132,7 @@ def all_sql() -> dict[str, str]:
         "questions_loaded": "SELECT 'Q' || item_id AS id, md5(text) AS digest, 'D' || item_id || '::P1' AS required, 0::BIGINT AS helpful, 'high' AS confidence FROM benchmark WHERE item_id % 4 <> 0 AND item_id % 7 <> 0",
         "registry_loaded": """SELECT doc_id::VARCHAR AS doc_id, 'A "quoted", title of ' || source AS title, 'https://x.org/' || doc_id AS url,
           CASE WHEN doc_id % 3 = 0 THEN DATE '2024-01-01' + (doc_id % 90)::INTEGER WHEN doc_id % 5 <> 0 THEN DATE '2024-01-01' + (doc_id % 60)::INTEGER END AS commenced FROM documents""",
+        "streamed_bm25": catalogue_sql()["bm25_topk"],
         "file_manifest": "SELECT doc_id // 100 AS bucket, strlen(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id)) + 1 AS bytes, sha256(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id) || chr(10)) AS sha256 FROM documents GROUP BY 1",
         "cached_vectors": "SELECT doc_id, md5(text) AS key, CASE WHEN md5(text) < '8' THEN 'first ' ELSE 'second ' END || substr(md5(text), 1, 6) AS value FROM documents",
         "report_texts": """WITH g AS (SELECT lang, count(*) AS n, sum(n_chars) / count(*) AS mean FROM documents GROUP BY lang)
