@@ -8,7 +8,7 @@ largest size down, so that a source misses its target by about its smallest docu
 documents get the extra copy is decided by a hash of the id, so reruns agree.
 
 Null text has size 0, empty sources take nothing, null sources are a source of their own, last in order. Rows of one id
-are rows, and which of them get the extra copy is not defined; an empty table gives an empty one. Only doc_id, text and
+are rows, and which of them get the extra copy is decided by a hash of the text; an empty table gives an empty one. Only doc_id, text and
 source are read, so other columns can't clash.
 """
 
@@ -26,10 +26,10 @@ STEPS = 100
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size in words, and key: the source, never null."""
+    """doc_id, source, size in words, key: the source, never null, and tie: the text's hash, which orders rows of one id."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), key.alias("key"), size.alias("size"))
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), key.alias("key"), size.alias("size"), F.xxhash64("text").alias("tie"))
 
 
 def placed(by_source: DataFrame) -> DataFrame:
@@ -121,10 +121,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
     plan = profile.join(rated, "key").select("key", "size", "n", "whole", "part").groupBy("key").applyInPandas(_settle, "key string, size long, whole long, extra long")
     # the rank of a document among its equals, in two steps: no partition holds a whole group, of which chunks are a 65,536th
     mark = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    marked = rows.select("doc_id", "key", "size", mark.alias("mark"), F.substring(mark, 1, 4).alias("chunk"))
+    marked = rows.select("doc_id", "key", "size", "tie", mark.alias("mark"), F.substring(mark, 1, 4).alias("chunk"))
     chunks = marked.groupBy("key", "size", "chunk").agg(F.count(F.lit(1)).alias("n"))
     chunks = chunks.withColumn("before", F.sum("n").over(Window.partitionBy("key", "size").orderBy("chunk")) - F.col("n")).drop("n")
-    ranked = marked.withColumn("place", F.row_number().over(Window.partitionBy("key", "size", "chunk").orderBy("mark"))).join(chunks, ["key", "size", "chunk"])
+    ranked = marked.withColumn("place", F.row_number().over(Window.partitionBy("key", "size", "chunk").orderBy("mark", "tie"))).join(chunks, ["key", "size", "chunk"])
     out = ranked.join(plan, ["key", "size"]).join(rates.select("key", "source_size", "target"), "key")
     copies = F.col("whole") + F.when(F.col("before") + F.col("place") <= F.col("extra"), 1).otherwise(0)
     return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))

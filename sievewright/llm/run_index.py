@@ -112,7 +112,7 @@ class RunIndex:
         return length
 
     def count(self, pattern: bytes) -> int:
-        """Occurrences of a pattern, by backward search over the runs."""
+        """Occurrences of a pattern, by backward search over the runs; the dedup streams statistics instead, the tests hold the index against this."""
         # rows of smaller symbols; every end of a segment is smaller than all of them
         below = np.concatenate(([0], np.cumsum(np.bincount(self.run_symbols, self.run_lengths, 257))))
         low, high = 0, self.n
