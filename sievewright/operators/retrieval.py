@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import lists, text
@@ -128,9 +128,12 @@ def vector_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return rank_rows(blocked.best_products(*packed, k), k)
 
 
+def _slot(dims: int) -> Column:
+    return F.pmod(F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long"), F.lit(dims)).alias("dim")
+
+
 def _hashed_counts(rows: DataFrame, key: str, column: str, dims: int) -> DataFrame:
-    slot = F.pmod(F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long"), F.lit(dims))
-    return rows.select(key, F.explode(text.tokenize(F.col(column))).alias("term")).groupBy(key, slot.alias("dim")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    return rows.select(key, F.explode(text.tokenize(F.col(column))).alias("term")).groupBy(key, _slot(dims)).agg(F.count(F.lit(1)).cast("double").alias("n"))
 
 
 def hashed_vectors(rows: DataFrame, key: str, column: str, dims: int = 256) -> DataFrame:
@@ -140,8 +143,8 @@ def hashed_vectors(rows: DataFrame, key: str, column: str, dims: int = 256) -> D
     return counts.join(norms, key).select(key, "dim", (F.col("n") / F.col("norm")).alias("weight"))
 
 
-def _hashed_blocks(rows: DataFrame, key: str, column: str, dims: int) -> DataFrame:
-    """Unit vectors of hashed tokens, in blocks."""
+def _hashed_blocks(counts: DataFrame, key: str, dims: int) -> DataFrame:
+    """Unit vectors of hashed tokens, in blocks, from counts (key, dim, n)."""
 
     def dense(batch):
         m = np.zeros((batch.num_rows, dims))
@@ -151,13 +154,20 @@ def _hashed_blocks(rows: DataFrame, key: str, column: str, dims: int) -> DataFra
         norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
         return batch.column("id").to_numpy(), np.divide(m, norm, out=m, where=norm > 0)
 
-    parts = _hashed_counts(rows, key, column, dims).groupBy(key).agg(F.collect_list(F.struct("dim", "n")).alias("parts"))
+    parts = counts.groupBy(key).agg(F.collect_list(F.struct("dim", "n")).alias("parts"))
     return blocked.packed(parts.select(F.col(key).cast("long").alias("id"), "parts"), dense)
 
 
-def hashed_dense(chunks: DataFrame, questions: DataFrame, k: int, dims: int = 256) -> DataFrame:
-    """Inner product of hashed vectors. A chunk that shares no part with a question isn't found."""
-    near = blocked.best_products(_hashed_blocks(chunks, "idx", "text", dims), _hashed_blocks(questions, "query_id", "query", dims), k)
+def hashed_dense(chunks: DataFrame, questions: DataFrame, k: int, dims: int = 256, posted: DataFrame | None = None) -> DataFrame:
+    """Inner product of hashed vectors. A chunk that shares no part with a question isn't found.
+
+    Where the chunks' postings (idx, term, tf) are at hand their tokens needn't be looked for again.
+    """
+    if posted is None:
+        counts = _hashed_counts(chunks, "idx", "text", dims)
+    else:
+        counts = posted.where("term is not null").groupBy("idx", _slot(dims)).agg(F.sum("tf").cast("double").alias("n"))
+    near = blocked.best_products(_hashed_blocks(counts, "idx", dims), _hashed_blocks(_hashed_counts(questions, "query_id", "query", dims), "query_id", dims), k)
     return rank_rows(near.where("score > 0"), k)
 
 
@@ -228,12 +238,25 @@ def guarded(generate: Callable[[str], str | None]) -> Callable[[Column], Column]
     return run
 
 
+def measured(stages: list[tuple[str, Callable[[DataFrame], DataFrame]]], rows: DataFrame) -> tuple[DataFrame, list[dict]]:
+    """rows through stages (name, a function from table to table): the last one's table, and of each stage its rows and milliseconds.
+
+    Each stage's table is kept, so that its time is its own; its rows are counted by an observation on the way, not by another job.
+    """
+    told = []
+    for name, stage in stages:
+        seen = Observation(name)
+        began = time.perf_counter()
+        rows = scratch.written(stage(rows).observe(seen, F.count(F.lit(1)).alias("rows")), "stage")
+        ms = 1000.0 * (time.perf_counter() - began)
+        told.append({"stage": name, "rows": seen.get["rows"], "ms": ms})
+    return rows, told
+
+
 def timed(search: Callable[[DataFrame, int], DataFrame], questions: DataFrame, k: int) -> tuple[DataFrame, float]:
     """The ranking, computed and kept, and milliseconds per question of the batch (not the latency of one question)."""
-    n = questions.count()
-    began = time.perf_counter()
-    found = scratch.written(search(questions, k), "timed")
-    return found, 1000.0 * (time.perf_counter() - began) / max(n, 1)
+    found, (told,) = measured([("search", lambda asked: search(asked, k))], questions)
+    return found, told["ms"] / max(questions.count(), 1)
 
 
 def rewritten(rewrites: DataFrame, search: Callable[[DataFrame, int], DataFrame], chunks: DataFrame, score_pair: Callable[[Column, Column], Column], pool: int, k: int) -> DataFrame:

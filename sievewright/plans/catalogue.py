@@ -196,13 +196,12 @@ def scope_profiles(spark, sf):
 
 @query
 def postings(spark, sf):
-    return out(retrieval.postings(C.chunks(spark, sf)))
+    return out(C.posted(spark, sf).where("term is not null").select("idx", "term", "tf"))
 
 
 @query
 def term_statistics(spark, sf):
-    c = C.chunks(spark, sf)
-    return out(retrieval.term_statistics(retrieval.postings(c), c))
+    return out(C.term_statistics(spark, sf))
 
 
 def _found(df):
@@ -532,7 +531,9 @@ def obligation_fidelity(spark, sf):
 
 
 def _dated(spark, sf):
-    return C.lexical(spark, sf).withColumnRenamed("idx", "doc_id")
+    """Found sections by the name of their document, which stands before their own."""
+    named = C.lexical(spark, sf).withColumn("section", F.concat_ws("::", F.col("idx").cast("string"), F.lit("P1")))
+    return named.withColumn("doc_id", text.doc_prefix(F.col("section")).cast("long")).drop("idx", "section")
 
 
 @query

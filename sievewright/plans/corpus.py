@@ -131,8 +131,8 @@ def lexical(spark, sf_dir, k=10) -> DataFrame:
 
 def dense(spark, sf_dir, k=10) -> DataFrame:
     if k > retrieval.DEPTH:
-        return retrieval.hashed_dense(chunks(spark, sf_dir), questions(spark, sf_dir), k)
-    return part(spark, sf_dir, "dense", lambda s, d: retrieval.hashed_dense(chunks(s, d), questions(s, d), retrieval.DEPTH)).where(F.col("rank") <= k)
+        return retrieval.hashed_dense(chunks(spark, sf_dir), questions(spark, sf_dir), k, posted=posted(spark, sf_dir))
+    return part(spark, sf_dir, "dense", lambda s, d: retrieval.hashed_dense(chunks(s, d), questions(s, d), retrieval.DEPTH, posted=posted(s, d))).where(F.col("rank") <= k)
 
 
 def fused(spark, sf_dir, k=10) -> DataFrame:

@@ -72,9 +72,8 @@ def instruction_prefixes(spark, sf):
 
 
 def _weights(spark, sf):
-    c = C.chunks(spark, sf)
-    posted = retrieval.postings(c)
-    return posted.join(retrieval.term_statistics(posted, c), "term").select("idx", "term", (F.log1p("tf") * F.col("idf")).alias("weight"))
+    posted = C.posted(spark, sf).where("term is not null")
+    return posted.join(C.term_statistics(spark, sf), "term").select("idx", "term", (F.log1p("tf") * F.col("idf")).alias("weight"))
 
 
 @query
@@ -380,3 +379,16 @@ def keyword_finds(spark, sf):
     t = text.tokenize(F.col("query"))
     asked = C.questions(spark, sf).select("query_id", F.concat_ws(" ", F.substring(F.get(t, 2), 1, 5), F.substring(F.get(t, 4), 1, 4)).alias("query"))
     return out(substring.find_all(C.sections(spark, sf), C.grams(spark, sf), C.gram_counts(spark, sf), asked).drop("snippet"))
+
+
+@query
+def measured_stages(spark, sf):
+    """How many rows each stage of a batch has: search, reranking, distinct evidence. Their times differ from run to run and are only told to be there."""
+    q, c = C.questions(spark, sf), C.chunks(spark, sf)
+    stages = [
+        ("search", lambda asked: C.search(spark, sf)(asked, 50)),
+        ("rerank", lambda found: retrieval.rerank(found, c, q, retrieval.lexical_pair, 10)),
+        ("evidence", lambda found: C.with_evidence(found, spark, sf).select("query_id", "evidence_id").distinct()),
+    ]
+    _, told = retrieval.measured(stages, q)
+    return out(spark.createDataFrame([(t["stage"], t["rows"], t["ms"] > 0) for t in told], "stage string, rows long, timed boolean"))

@@ -161,6 +161,10 @@ def all_sql() -> dict[str, str]:
       kl AS (SELECT evidence_id, ord, lower(text) AS low FROM secs)
       SELECT query_id, ord, evidence_id, list_sum(list_transform(ws, lambda w: (length(low) - length(replace(low, w, ''))) // length(w)))::BIGINT AS hits
       FROM kq JOIN kl ON len(list_filter(ws, lambda w: contains(low, w))) = len(ws) WHERE len(ws) > 0"""
+    pairs = f"SELECT query_id, idx, f.rank AS pool_rank, list_distinct({tok('query')}) AS qt, list_distinct({tok('c.text')}) AS ct FROM ml f JOIN questions USING (query_id) JOIN chunks c USING (idx)"
+    best = ranked(f"SELECT query_id, idx, pool_rank, 100.0 * {share('qt', 'ct')} AS score FROM ({pairs})", 10, "pool_rank")
+    q["measured_stages"] = BASE + f"""ml AS (SELECT * FROM lex WHERE rank <= 50), mr AS ({best})
+      SELECT 'search' AS stage, count(*) AS rows, true AS timed FROM ml UNION ALL SELECT 'rerank', count(*), true FROM mr UNION ALL SELECT 'evidence', count(DISTINCT (query_id, evidence_id)), true FROM mr JOIN chunks USING (idx)"""
     q |= generated_sql()
     q |= grid_sql()
     return q

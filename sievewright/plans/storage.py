@@ -115,6 +115,27 @@ def redacted_export(spark, sf):
     return out(writers.redact(records, reasons).select("query_id", "reason", F.to_json("citations").alias("citations")))
 
 
+@query
+def pages_read(spark, sf):
+    """Pages as files of their own, read whole."""
+    path = _folder(spark, "pages")
+    C.table(spark, sf, "pages").select(F.coalesce("html", F.lit("")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    back = readers.html_pages(spark, path, ".txt")
+    whole = F.regexp_replace("html", r"\n\z", "")  # the writer ends each record with a line
+    return out(back.groupBy(F.md5(whole).alias("digest")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("files")))
+
+
+@query
+def reports_found(spark, sf):
+    """Reports among JSON files, some of which are of another kind."""
+    path = _folder(spark, "reports")
+    each = F.transform(F.array_sort(F.collect_list("query_id")), lambda q: F.struct(q.alias("id")))
+    rows = C.questions(spark, sf).groupBy(F.pmod("query_id", F.lit(6)).alias("system")).agg(each.alias("q"))
+    kinds = rows.select("system", F.when(F.col("system") != 2, F.concat(F.lit("system "), F.col("system").cast("string"))).alias("retriever"), F.when(F.col("system") != 4, F.col("q")).alias("per_question"))
+    kinds.write.option("maxRecordsPerFile", 1).json(path)
+    return out(readers.reports(spark, path).select("system", "retriever", F.size("per_question").alias("questions")))
+
+
 @query
 def streamed_bm25(spark, sf):
     """BM25 over postings that arrived as a stream of the documents' files."""
@@ -133,6 +154,8 @@ def all_sql() -> dict[str, str]:
         "registry_loaded": """SELECT doc_id::VARCHAR AS doc_id, 'A "quoted", title of ' || source AS title, 'https://x.org/' || doc_id AS url,
           CASE WHEN doc_id % 3 = 0 THEN DATE '2024-01-01' + (doc_id % 90)::INTEGER WHEN doc_id % 5 <> 0 THEN DATE '2024-01-01' + (doc_id % 60)::INTEGER END AS commenced FROM documents""",
         "streamed_bm25": catalogue_sql()["bm25_topk"],
+        "pages_read": "SELECT md5(coalesce(html, '')) AS digest, count(*) AS n, count(*) AS files FROM pages GROUP BY 1",
+        "reports_found": "SELECT item_id % 6 AS system, 'system ' || item_id % 6 AS retriever, count(*) AS questions FROM benchmark WHERE item_id % 6 NOT IN (2, 4) GROUP BY item_id % 6",
         "file_manifest": "SELECT doc_id // 100 AS bucket, strlen(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id)) + 1 AS bytes, sha256(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id) || chr(10)) AS sha256 FROM documents GROUP BY 1",
         "cached_vectors": "SELECT doc_id, md5(text) AS key, CASE WHEN md5(text) < '8' THEN 'first ' ELSE 'second ' END || substr(md5(text), 1, 6) AS value FROM documents",
         "report_texts": """WITH g AS (SELECT lang, count(*) AS n, sum(n_chars) / count(*) AS mean FROM documents GROUP BY lang)
