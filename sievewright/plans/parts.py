@@ -5,7 +5,7 @@ of the files of the tables that it is made of (`reads`) and of the layout. A ses
 state is another, the part is made anew and the old one is removed. It is written aside and moved into place when it
 is whole, so that a lost writer leaves nothing that is read, and of two writers the first wins.
 
-A part may be bucketed: it is then registered as a table over its folder, and operators that need rows of a key together read it
+A part may be bucketed: it is then read through a table over its folder, and operators that need rows of a key together read it
 without a shuffle. In a local session without a folder a temporary one is used; on a cluster that names none, nothing is kept and
 each query makes its own. What a query shares is made when the query is called, not when its result is read.
 """
@@ -73,11 +73,10 @@ def _put(spark: SparkSession, made: DataFrame, path: str, by: str | None, bucket
 def _read(spark: SparkSession, path: str, by: str | None, buckets: int) -> DataFrame:
     if by is None:
         return spark.read.parquet(path)
-    table = f"part_{hashlib.md5(path.encode()).hexdigest()}"
-    if not spark.catalog.tableExists(table):
-        columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
-        spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS LOCATION '{path}'")
-    return spark.table(table)
+    table = f"part_{uuid.uuid4().hex}"
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+    spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return scratch.unnamed(spark, table)
 
 
 def part(spark: SparkSession, sf_dir: str, name: str, make: Callable[[SparkSession, str], DataFrame], reads: tuple[str, ...] = TABLES, by: str | None = None) -> DataFrame:

@@ -45,4 +45,11 @@ def bucketed(df: DataFrame, label: str, by: str) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"scratch_{uuid.uuid4().hex}"
     df.repartition(n, by).write.format("parquet").bucketBy(n, by).sortBy(by).option("path", to).saveAsTable(table)
-    return spark.table(table)
+    return unnamed(spark, table)
+
+
+def unnamed(spark: SparkSession, table: str) -> DataFrame:
+    """A table over a folder of its own, without its name, which nothing else needs: the files stay."""
+    df = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return df
