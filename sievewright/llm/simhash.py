@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_sample, is_empty, materialise
+from .common import discard, hash_sample, is_empty, materialise
 from .components import connected_components
 
 WORDS = 3
@@ -243,17 +243,17 @@ def _sides(rows: DataFrame, *shared: str) -> tuple[DataFrame, DataFrame]:
     return tuple(rows.select(*shared, *(F.col(c).alias(x if c == "id" else f"{c}_{x}") for c in others)) for x in "ab")
 
 
-def postings(sets: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
-    """sets (id, size, listed) of distinct sets -> rows (h, id, size, place, n) of lists of two to `crowd` sets, and of longer ones.
+def postings(sets: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataFrame, list[str]]:
+    """sets (id, size, listed) of distinct sets -> rows (h, id, size, place, n) of lists of two to `crowd` sets, and of longer ones; the tables they read.
 
     The first have a column `long`, too: how many longer lists the set is in.
     """
     each = sets.select("id", "size", F.posexplode("listed").alias("place", "h"))
     counts = each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared, _ = materialise(each.join(counts, "h"), "shared")
-    crowded, _ = materialise(shared.where(F.col("n") > crowd), "crowded")
+    shared, path = materialise(each.join(counts, "h"), "shared")
+    crowded, other = materialise(shared.where(F.col("n") > crowd), "crowded")
     longs = crowded.groupBy("id").agg(F.count(F.lit(1)).alias("long"))
-    return shared.where(F.col("n") <= crowd).join(longs, "id", "left").withColumn("long", F.coalesce("long", F.lit(0))), crowded
+    return shared.where(F.col("n") <= crowd).join(longs, "id", "left").withColumn("long", F.coalesce("long", F.lit(0))), crowded, [path, other]
 
 
 def tallied(short: DataFrame, least: float) -> DataFrame:
@@ -377,19 +377,22 @@ def jaccard_components(docs: DataFrame, words: int = NEAR_WORDS, least: float =
     common = spark.sparkContext.broadcast(common_shingles(docs, words, seed))
     marks, _ = materialise(docs.mapInArrow(_sets(words, seed, least, common), "doc_id long, d0 long, d1 long, size int, listed array<long>"), "sets")
     classes, _ = materialise(marks.groupBy("d0", "d1").agg(F.min("doc_id").alias("id")), "classes")
-    short, crowded = postings(marks.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "id"), crowd)
+    short, crowded, listed = postings(marks.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "id"), crowd)
 
-    def members(wanted: DataFrame) -> DataFrame:
+    def members(wanted: DataFrame) -> tuple[DataFrame, str]:
         texts = docs.withColumnRenamed("doc_id", "id").join(wanted.distinct(), "id", "left_semi")
-        return materialise(texts.mapInArrow(_packed(words, seed), "id long, shingles binary"), "members")[0]
+        return materialise(texts.mapInArrow(_packed(words, seed), "id long, shingles binary"), "members")
 
-    pairs, _ = materialise(tallied(short, least), "candidates")
-    sets = members(pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    # tables go as soon as nothing reads them
+    rows, reached = materialise(reaching(crowded, least), "reaching")
+    pairs, candidates = materialise(tallied(short, least), "candidates")
+    discard(spark, *listed)
+    sets, held = members(pairs.select(F.explode(F.array("a", "b")).alias("id")))
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a")
     links, _ = materialise(both.select("a", "b", "set_a", "set_b").mapInArrow(_verified(least), "a long, b long"), "links")
-    rows, _ = materialise(reaching(crowded, least), "reaching")
+    discard(spark, candidates, held)
     if not is_empty(rows):
-        sets = members(rows.select("id"))
+        sets, held = members(rows.select("id"))
 
         def met(blocks: DataFrame) -> DataFrame:
             dealt = blocks.join(sets, "id").repartition("h", "p", "q").sortWithinPartitions("h", "p", "q")
@@ -398,6 +401,8 @@ def jaccard_components(docs: DataFrame, words: int = NEAR_WORDS, least: float =
         links = links.unionByName(met(meetings(rows, meet)))
         roots, _ = materialise(connected_components(links), "roots")
         links = links.unionByName(met(apart(rows, roots, meet)))
+        discard(spark, held)
+    discard(spark, reached)
     roots, _ = materialise(connected_components(links), "roots")
     # the root of a component is its least class, and a class is its least doc_id
     named = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("d0", "d1", F.coalesce("root", "id").alias("component_id"))

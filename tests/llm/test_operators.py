@@ -113,7 +113,7 @@ def test_unlike_texts_with_a_common_phrase_are_not_paired(spark, head, own):
         docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
         common = spark.sparkContext.broadcast(simhash.common_shingles(docs, 5, 42))
         sets = docs.mapInArrow(simhash._sets(5, 42, 0.8, common), "id long, d0 long, d1 long, size int, listed array<long>".replace("id long", "doc_id long", 1)).withColumnRenamed("doc_id", "id")
-        short, crowded = simhash.postings(sets)
+        short, crowded, _ = simhash.postings(sets)
         assert simhash.reaching(crowded, 0.8).count() == 0
         assert simhash.tallied(short, 0.8).count() == 0
         assert simhash.jaccard_components(docs).where("doc_id <> component_id").count() == 0
