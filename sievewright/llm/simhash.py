@@ -28,8 +28,8 @@ at its place i in a set, the partner has at most (n - i) * (1 + bound) / bound -
 its crowded lists, and in none where no other set of a fitting size can be reached: a phrase that a third of the corpus shares
 is late in the order, and what is early in a set is its own. What is left first meets in groups of about MEET of the same
 list, which joins nearly all that belong together; then the sets outside a list's largest component meet all others of the list, in
-blocks: a set goes once to a block, where the sets' common shingles are counted by a product of matrices. Pairs within a component
-can't change it, so nothing is lost.
+blocks: a set goes once to a block, where the sets' common shingles are counted by a product of matrices, and what leaves a block are
+its components' stars. Pairs within a component can't change it, so nothing is lost.
 """
 
 from __future__ import annotations
@@ -335,6 +335,24 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return counts
 
 
+def stars(left: np.ndarray, right: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Links (least member, other member) of the components that near pairs of a block make: no more than it has members."""
+    ids = np.unique(np.concatenate([left, right]))
+    a, b = np.searchsorted(ids, left), np.searchsorted(ids, right)
+    linked = np.zeros((len(ids), len(ids)), bool)
+    linked[np.ix_(a, b)] |= near
+    linked |= linked.T
+    label = np.arange(len(ids))
+    while True:
+        least = np.minimum(label, np.where(linked, label[None, :], len(ids)).min(axis=1, initial=len(ids)))
+        least = least[least]
+        if (least == label).all():
+            break
+        label = least
+    others = np.flatnonzero(label != np.arange(len(ids)))
+    return np.stack([ids[label[others]], ids[others]], axis=1)
+
+
 def _block_links(least: float):
     names = ("h", "p", "q", "side", "id", "root", "shingles")
 
@@ -347,9 +365,8 @@ def _block_links(least: float):
         ids, roots = ([np.array([r[i] for r in side], np.int64) for side in (left, right)] for i in (4, 5))
         both = common_counts(*sets)
         near = (both >= least * (sizes[0][:, None] + sizes[1][None, :] - both) - 1e-9) & (roots[0][:, None] != roots[1][None, :])
-        a, b = np.nonzero(near)
-        pairs = np.unique(np.sort(np.stack([ids[0][a], ids[1][b]], axis=1), axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        links = stars(ids[0], ids[1], near)
+        return pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
 
     def run(batches):
         key, rows = None, []

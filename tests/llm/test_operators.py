@@ -128,6 +128,20 @@ def test_common_counts(monkeypatch):
     assert simhash.common_counts([], right).shape == (0, 14) and simhash.common_counts([sets[0]], [np.zeros(0, np.uint64)]).tolist() == [[0]]
 
 
+def test_stars_of_a_block_have_its_components():
+    rng = np.random.default_rng(3)
+    for n, m, share in ((1, 1, 1.0), (5, 7, 0.1), (40, 40, 0.02), (30, 60, 0.3), (3, 0, 0.5)):
+        left = rng.permutation(200)[:n]
+        right = left if n == m else rng.permutation(200)[:m]
+        near = rng.random((n, m)) < share
+        pairs = {(int(left[i]), int(right[j])) for i, j in zip(*np.nonzero(near))}
+        links = simhash.stars(left, right, near)
+        assert len(links) < max(1, len({*left.tolist(), *right.tolist()}))
+        want = reach(200, lambda a, b: (a, b) in pairs or (b, a) in pairs)
+        star = {(int(a), int(b)) for a, b in links}
+        assert reach(200, lambda a, b: (a, b) in star or (b, a) in star) == want
+
+
 def test_pipeline_drops_near_copies(spark, tmp_path):
     import corpus_pipeline
 
