@@ -423,6 +423,12 @@ def test_timed(spark):
     chunks = spark.createDataFrame(CORPUS, "idx long, text string")
     found, ms = retrieval.timed(lambda q, k: retrieval.bm25(chunks, q, k), spark.createDataFrame([(1, "risk")], "query_id long, query string"), 2)
     assert found.count() == 2 and ms > 0
+    rows, told = retrieval.measured([("twice", lambda t: t.unionByName(t)), ("none", lambda t: t.where("idx < 0"))], chunks)
+    assert [(t["stage"], t["rows"]) for t in told] == [("twice", 6), ("none", 0)] and all(t["ms"] > 0 for t in told) and rows.count() == 0
+
+
+def test_document_before_the_section(spark):
+    assert one(spark, T.doc_prefix(F.col("a")), a="INS-1::Article 2::x") == "INS-1" and one(spark, T.doc_prefix(F.col("a")), a="INS-1") == "INS-1"
 
 
 def test_running_sums(spark):

@@ -117,3 +117,8 @@ def test_bad_chunk_is_named_by_its_line(spark, tmp_path):
         readers.chunks(spark, write(tmp_path / "e.jsonl", ["", " "]))
     records = readers.json_records(spark, write(tmp_path / "r.jsonl", ['{"a": 1}', "# x", '{"a": "no"}', "{}"]), "a int", comments="#").orderBy("line").collect()
     assert [(r.line, r.record.a, r.bad) for r in records] == [(1, 1, None), (3, None, '{"a": "no"}'), (4, None, None)]
+
+
+def test_catalogue_with_quotes_and_lines_in_a_field(spark, tmp_path):
+    path = write(tmp_path / "r.csv", ["doc_id,title,url", 'A,"a ""quoted"", title",https://x.org/a', 'B,"two', 'lines",https://x.org/b'])
+    assert {r.doc_id: r.title for r in readers.registry(spark, path).collect()} == {"A": 'a "quoted", title', "B": "two\nlines"}
