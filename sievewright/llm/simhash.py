@@ -57,8 +57,8 @@ SAMPLE, COMMON = 8_192, 100_000
 #: A longer list isn't tallied: MEETINGS of a member's crowded lists deal it into groups of about MEET, and blocks hold about MEET members
 #: a side (a set of more than HEAVY shingles counts for several).
 CROWD, MEET, MEETINGS, HEAVY = 64, 128, 4, 4_096
-#: Columns of the matrices that common shingles are counted by at a time.
-COLUMNS = 8_192
+#: Columns of the matrices that common shingles are counted by at a time, and members unpacked at a time.
+COLUMNS, ROWS = 8_192, 256
 
 
 def shingle_hashes(text: str | None, words: int = WORDS, seed: int = SEED) -> list[int]:
@@ -370,7 +370,7 @@ def _block_links(least: float):
 
     def run(batches):
         key, rows = None, []
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             for row in zip(*(batch.column(c).to_pylist() for c in names)):
                 if row[:3] != key and rows:
                     if (out := judged(rows)) is not None:
