@@ -47,6 +47,13 @@ def test_text_scalars(spark):
     assert one(spark, T.citable(F.col("a")), a=" false ") is False and one(spark, T.citable(F.col("a")), a="") is True
 
 
+def test_sentence_of_401_characters(spark):
+    sentence = "x" * 400 + "."
+    assert one(spark, T.clean_context(F.col("a")), a=f"{sentence} More") == "x" * 400
+    assert one(spark, T.clean_context(F.col("a"), whole=True), a=f"{sentence} More") == sentence
+    assert one(spark, T.clean_context(F.col("a"), whole=True), a="y" * 500) == "y" * 400
+
+
 def page(*parts):
     return "<div class='field--name-body'></div>" + "".join(f"<h2 class='page-title'>{h}</h2>" + (f"<div class='field--name-body'><p>{b}</p></div>" if b else "") for h, b in parts)
 
