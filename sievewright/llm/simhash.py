@@ -57,6 +57,9 @@ SAMPLE, COMMON = 8_192, 100_000
 #: A longer list isn't tallied: MEETINGS of a member's crowded lists deal it into groups of about MEET, and blocks hold about MEET members
 #: a side (a set of more than HEAVY shingles counts for several).
 CROWD, MEET, MEETINGS, HEAVY = 64, 128, 4, 4_096
+#: Fingerprints of a text in `near_components`, the positional bytes that two of one place share, and the bits that they differ in at most:
+#: those that meet, and all of them on average.
+NEAR_MARKS, NEAR_MET, RADIUS, SPREAD = 3, 3, 14, 21
 #: Columns of the matrices that common shingles are counted by at a time, and members unpacked at a time.
 COLUMNS, ROWS = 8_192, 256
 
@@ -73,11 +76,11 @@ def shingle_hashes(text: str | None, words: int = WORDS, seed: int = SEED) -> li
     return [digest(joined[a : b - 1], seed) for a, b in zip(starts, starts[words:])]
 
 
-def fingerprint(hashes: list[int]) -> int:
+def fingerprint(hashes: list[int] | np.ndarray) -> int:
     """Signed 64 bits; a bit is 1 if set in over half of the hashes."""
-    if not hashes:
+    if not len(hashes):
         return 0
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    bits = np.unpackbits(np.asarray(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     ones = bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)
     return int(np.packbits(ones, bitorder="little").view("<i8")[0])
 
@@ -384,30 +387,18 @@ def _block_links(least: float):
     return run
 
 
-def jaccard_components(docs: DataFrame, words: int = NEAR_WORDS, least: float = NEAR, seed: int = SEED, crowd: int = CROWD, meet: int = MEET) -> DataFrame:
-    """docs (doc_id long, unique and never null, text string) -> doc_id, component_id (smallest doc_id reachable).
-
-    Texts are linked if the Jaccard similarity of their sets of word shingles is at least `least`; empty sets are equal.
-    """
+def _closed(docs: DataFrame, marks: DataFrame, classes: DataFrame, pairs: DataFrame, rows: DataFrame, spent: list[str], words: int, least: float, seed: int, meet: int) -> DataFrame:
+    """doc_id, component_id by the pairs (a, b) and the members of one list (h, id, size, n) in `rows` that the exact check leaves; `spent` are tables that go then."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    common = spark.sparkContext.broadcast(common_shingles(docs, words, seed))
-    marks, _ = materialise(docs.mapInArrow(_sets(words, seed, least, common), "doc_id long, d0 long, d1 long, size int, listed array<long>"), "sets")
-    classes, _ = materialise(marks.groupBy("d0", "d1").agg(F.min("doc_id").alias("id")), "classes")
-    short, crowded, listed = postings(marks.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "id"), crowd)
 
     def members(wanted: DataFrame) -> tuple[DataFrame, str]:
         texts = docs.withColumnRenamed("doc_id", "id").join(wanted.distinct(), "id", "left_semi")
         return materialise(texts.mapInArrow(_packed(words, seed), "id long, shingles binary"), "members")
 
-    # tables go as soon as nothing reads them
-    rows, reached = materialise(reaching(crowded, least), "reaching")
-    pairs, candidates = materialise(tallied(short, least), "candidates")
-    discard(spark, *listed)
     sets, held = members(pairs.select(F.explode(F.array("a", "b")).alias("id")))
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a")
     links, _ = materialise(both.select("a", "b", "set_a", "set_b").mapInArrow(_verified(least), "a long, b long"), "links")
-    discard(spark, candidates, held)
+    discard(spark, held)
     if not is_empty(rows):
         sets, held = members(rows.select("id"))
 
@@ -419,8 +410,108 @@ def jaccard_components(docs: DataFrame, words: int = NEAR_WORDS, least: float =
         roots, _ = materialise(connected_components(links), "roots")
         links = links.unionByName(met(apart(rows, roots, meet)))
         discard(spark, held)
-    discard(spark, reached)
+    discard(spark, *spent)
     roots, _ = materialise(connected_components(links), "roots")
     # the root of a component is its least class, and a class is its least doc_id
     named = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("d0", "d1", F.coalesce("root", "id").alias("component_id"))
     return marks.select("doc_id", "d0", "d1").join(named, ["d0", "d1"]).select("doc_id", "component_id")
+
+
+def jaccard_components(docs: DataFrame, words: int = NEAR_WORDS, least: float = NEAR, seed: int = SEED, crowd: int = CROWD, meet: int = MEET) -> DataFrame:
+    """docs (doc_id long, unique and never null, text string) -> doc_id, component_id (smallest doc_id reachable).
+
+    Texts are linked if the Jaccard similarity of their sets of word shingles is at least `least`; empty sets are equal.
+    """
+    spark = docs.sparkSession
+    docs = docs.select("doc_id", "text")
+    common = spark.sparkContext.broadcast(common_shingles(docs, words, seed))
+    marks, _ = materialise(docs.mapInArrow(_sets(words, seed, least, common), "doc_id long, d0 long, d1 long, size int, listed array<long>"), "sets")
+    classes, _ = materialise(marks.groupBy("d0", "d1").agg(F.min("doc_id").alias("id")), "classes")
+    short, crowded, listed = postings(marks.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "id"), crowd)
+
+    # tables go as soon as nothing reads them
+    rows, reached = materialise(reaching(crowded, least), "reaching")
+    pairs, candidates = materialise(tallied(short, least), "candidates")
+    discard(spark, *listed)
+    return _closed(docs, marks, classes, pairs, rows, [candidates, reached], words, least, seed, meet)
+
+
+def _mixed(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The n-th fingerprint's hashes of the same shingles; the first are the shingles' own."""
+    if not n:
+        return hashes
+    x = hashes + np.uint64(n * 0x9E3779B97F4A7C15 % (1 << 64))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def _near_marks(words: int, seed: int, marks: int):
+    """doc_id, text -> doc_id, a digest of the set in two longs, its size, and its fingerprints."""
+
+    def run(batches):
+        for batch in batches:
+            new: list[list] = [[], [], [], []]
+            for t in batch.column("text"):
+                s = _shingle_set(t.as_py(), words, seed)
+                digest = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8")
+                for c, v in zip(new, (digest[0], digest[1], len(s), [fingerprint(_mixed(s, n)) for n in range(marks)])):
+                    c.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(c, k) for c, k in zip(new, kinds))], names=["doc_id", "d0", "d1", "size", "fps"])
+
+    return run
+
+
+def _near_lists(fp: str, n: int) -> Column:
+    """The lists of the n-th fingerprint: every NEAR_MET of its positional bytes; the lowest three bits are the last one's place."""
+
+    def key(number: int, places: tuple[int, ...]) -> Column:
+        out = F.lit(number).cast("long")
+        for i in places:
+            out = F.shiftleft(out, 8).bitwiseOR(F.shiftrightunsigned(fp, 8 * i).bitwiseAND(F.lit(255)))
+        return F.shiftleft(out, 3).bitwiseOR(F.lit(places[-1]))
+
+    every = list(combinations(range(BYTES), NEAR_MET))
+    return F.array(*(key(n * len(every) + i, places) for i, places in enumerate(every)))
+
+
+def near_pairs(listed: DataFrame) -> DataFrame:
+    """listed (list, id, fp) -> (a, b) of one list within RADIUS bits; of the lists that two share only the first gives them."""
+    a, b = (listed.select("list", F.col("id").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "ab")
+    x = F.col("fp_a").bitwiseXOR(F.col("fp_b"))
+    apart = x
+    for n in (4, 2, 1):
+        apart = apart.bitwiseOR(F.shiftrightunsigned(apart, n))
+    last = F.col("list").bitwiseAND(F.lit(7)).cast("int")
+    upto = F.get(F.array(*(F.lit(0x0101010101010101 >> 8 * (BYTES - 1 - i)).cast("long") for i in range(BYTES))), last)
+    return a.join(b, "list").where("a < b").where(F.bit_count(x) <= RADIUS).where(F.bit_count(apart.bitwiseAND(upto)) == last + 1 - NEAR_MET).select("a", "b")
+
+
+def near_components(docs: DataFrame, words: int = NEAR_WORDS, least: float = NEAR, seed: int = SEED, marks: int = NEAR_MARKS, crowd: int = CROWD, meet: int = MEET) -> DataFrame:
+    """docs (doc_id long, unique and never null, text string) -> doc_id, component_id (smallest doc_id reachable).
+
+    Texts are linked if SimHash brings them together and the Jaccard similarity of their sets of word shingles is at least
+    `least`; empty sets are equal. They come together where NEAR_MET positional bytes of one of their fingerprints are the same.
+    """
+    spark = docs.sparkSession
+    docs = docs.select("doc_id", "text")
+    found, _ = materialise(docs.mapInArrow(_near_marks(words, seed, marks), "doc_id long, d0 long, d1 long, size int, fps array<long>"), "marks")
+    classes, _ = materialise(found.groupBy("d0", "d1").agg(F.min("doc_id").alias("id")), "classes")
+    kinds, other = materialise(found.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "size", "fps"), "kinds")
+    spent, short, crowded = [other], None, None
+    for n in range(marks):
+        each = kinds.select("id", F.get("fps", F.lit(n)).alias("fp")).select("id", "fp", F.explode(_near_lists("fp", n)).alias("list"))
+        sized = each.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("list"))).where("n > 1")
+        listed, path = materialise(sized, "listed")
+        pairs, candidates = materialise(near_pairs(listed.where(F.col("n") <= crowd)), "pairs")
+        rows = listed.where(F.col("n") > crowd).select(F.col("list").alias("h"), "id", "n")
+        short, crowded = (one if every is None else every.unionByName(one) for every, one in ((short, pairs), (crowded, rows)))
+        spent += [path, candidates]
+    rows, path = materialise(crowded.join(kinds.select("id", "size"), "id").select("h", "id", "size", "n"), "crowded")
+    sides = [kinds.select(F.col("id").alias(x), F.col("size").alias(f"size_{x}"), F.col("fps").alias(f"fps_{x}")) for x in "ab"]
+    bits = F.aggregate(F.zip_with("fps_a", "fps_b", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
+    both = short.distinct().join(sides[0], "a").join(sides[1], "b").where(_sizes_allow(least)).where(bits <= SPREAD * marks)
+    pairs, candidates = materialise(both.select("a", "b"), "candidates")
+    discard(spark, *spent)
+    return _closed(docs, found, classes, pairs, rows, [candidates, path], words, least, seed, meet)

@@ -119,6 +119,32 @@ def test_unlike_texts_with_a_common_phrase_are_not_paired(spark, head, own):
         assert simhash.jaccard_components(docs).where("doc_id <> component_id").count() == 0
 
 
+@pytest.mark.parametrize("crowd", [3, 64])
+def test_near_copies_met_through_fingerprints(spark, crowd):
+    """Just the texts that share three positional bytes of a fingerprint and are alike are linked; lists too long to pair lose none of these."""
+    rng, made = random.Random(5), []
+    for t in prose(6, 25, 120):
+        made += [t, None, "", t]
+        for edits in (1, 2, 3, 5):
+            w = t.split()
+            for _ in range(edits):
+                w[rng.randrange(len(w))] = "edit%d" % rng.randrange(9)
+            made.append(" ".join(w))
+    made += [f"released under the mit license word{i}" for i in range(60)]
+    sets = [five(t) for t in made]
+    marks = [[simhash.fingerprint(simhash._mixed(simhash._shingle_set(t, 5, 42), n)) for n in range(simhash.NEAR_MARKS)] for t in made]
+    octets = lambda x: (x & (2**64 - 1)).to_bytes(8, "little")
+    meets = lambda a, b: any(sum(x == y for x, y in zip(octets(m), octets(n))) >= 3 for m, n in zip(marks[a], marks[b]))
+    want = reach(len(made), lambda a, b: alike(sets[a], sets[b]) >= 0.8 and meets(a, b))
+    exact = reach(len(made), lambda a, b: alike(sets[a], sets[b]) >= 0.8)
+    near = spark.createDataFrame([(i, t) for i, t in enumerate(made)], "doc_id long, text string").repartition(4)
+    got = dict(map(tuple, simhash.near_components(near, crowd=crowd, meet=2).collect()))
+    assert [got[i] for i in range(len(made))] == want
+    removed = lambda roots: sum(r != i for i, r in enumerate(roots))
+    assert removed(want) >= 0.9 * removed(exact)
+    assert simhash.near_components(near.where("false")).count() == 0
+
+
 def test_common_counts(monkeypatch):
     monkeypatch.setattr(simhash, "COLUMNS", 7)
     rng = random.Random(2)
