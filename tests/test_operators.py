@@ -584,3 +584,21 @@ def test_vector_queries_meet_all_rows(spark, tmp_path):
     assert {q: [i for _, i in sorted(x)] for q, x in got.items()} == best
     share = {r.query_id: r.share for r in catalogue.queries()["vector_label_recall"](spark, str(tmp_path)).collect()}
     assert share == {q: round(sum(i % 3 == q % 3 for i in x) / 10, 6) for q, x in best.items()}
+
+
+def test_weighed_postings(spark, monkeypatch):
+    """Common terms go to the postings, rarer ones are dealt: together they are a plain join, and asked terms score as over all weights."""
+    monkeypatch.setattr(retrieval, "COMMON", 2)
+    texts = ["a b c", "a a b", "a d", "", "e a b b"]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "idx long, text string")
+    posted = retrieval.posted_with_lengths(chunks)
+    stats = retrieval.statistics_of(posted, retrieval.corpus_size(posted))
+    plain = posted.where("term is not null").join(stats, "term").select("idx", "term", (F.log1p("tf") * F.col("idf")).alias("weight"))
+    got = retrieval.weighed(posted, stats)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+    asked = spark.createDataFrame([(1, "a", 2.0), (1, "e", 1.0), (2, "c", 1.0), (2, "zz", 1.0)], "query_id long, term string, weight double")
+    rows = lambda df: sorted((r.query_id, r.idx, round(r.score, 9), r["rank"]) for r in df.collect())
+    assert rows(retrieval.sparse_of(posted, stats, asked, 3)) == rows(retrieval.sparse(plain, asked, 3))
+    monkeypatch.setattr(retrieval, "COMMON", 1)
+    # postings of the common term aren't dealt by term
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
