@@ -602,3 +602,10 @@ def test_weighed_postings(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "COMMON", 1)
     # postings of the common term aren't dealt by term
     assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_content_tokens_look_stopwords_up(spark):
+    """In order, each once; no search through the list of stopwords for every token."""
+    rows = spark.createDataFrame([("The board SHALL the board report", ), ("a an of", ), (None, )], "a string").coalesce(1).select(T.content_tokens(F.col("a"), ("the", "shall")).alias("t"))
+    assert [r.t for r in rows.collect()] == [["board", "report"], [], None]
+    assert "array_contains" not in rows._jdf.queryExecution().analyzed().toString()
