@@ -40,3 +40,16 @@ def test_short_passages_are_found_through_grams(spark, tmp_path):
     spark.createDataFrame(list(enumerate(passages)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = sorted(map(tuple, corpus.containing(spark, str(tmp_path)).select("query_id", "idx").collect()))
     assert got == sorted((q, i) for q, p in enumerate(passages) for i, t in enumerate(texts) if t and p in t)
+
+
+def test_one_reading_finds_what_the_index_finds(spark):
+    """Terms across rows, at both ends, overlapping themselves, repeated; null and empty texts, and letters that are lower-cased to ASCII."""
+    texts = ["aaaa banana", "nana", "xaaa", "aa", "", None, "Bananas \u0130nk KELVIN \u212aelvin", "na\nna ban", "anana\u00e9banana", "aab"] * 3
+    rows = spark.createDataFrame([(f"e{i}", i % 4, t) for i, t in enumerate(texts)], "evidence_id string, ord int, text string").repartition(3)
+    queries = spark.createDataFrame([(1, "aaa"), (2, "banana nan"), (3, "ana ana"), (4, "ab"), (5, ""), (6, "kelvin"), (7, "aaa banana"), (8, "zzzz"), (9, "nk kelvin"), (10, "aab")], "query_id long, query string")
+    index = substring.gram_index(rows, "evidence_id")
+    want = sorted(map(tuple, substring.find_all(rows, index, substring.gram_counts(index), queries).drop("snippet").select("query_id", "ord", "evidence_id", "hits").collect()))
+    found = substring.scan_all(rows, queries)
+    assert sorted(map(tuple, found.collect())) == want and want
+    assert "Exchange" not in substring.scan_all(rows.coalesce(1), queries)._jdf.queryExecution().executedPlan().toString().replace("Exchange RoundRobinPartitioning", "")
+    assert substring.scan_all(rows, queries.where("query_id in (4, 5)")).count() == 0
