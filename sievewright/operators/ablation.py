@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..sources import scratch
-from . import metrics
-from .retrieval import ASKED, EPSILON, K1, B, query_terms
+from . import metrics, scored
+from .retrieval import ASKED, EPSILON, K1, B, posted_with_lengths, query_terms
 
 
 def keyed_bm25(chunks: DataFrame, questions: DataFrame, k: int, key: str = "setting") -> DataFrame:
@@ -20,9 +20,7 @@ def keyed_bm25(chunks: DataFrame, questions: DataFrame, k: int, key: str = "sett
 
     As retrieval.bm25, with unmatched chunks in the order of idx behind the others. Settings are few: a row for each is sent to every task.
     """
-    tokens = chunks.select(key, "idx", text.tokenize(F.coalesce("text", F.lit(""))).alias("t"))
-    tokens = tokens.repartition(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "idx")
-    posted = tokens.select(key, "idx", F.size("t").alias("dl"), F.explode_outer("t").alias("term")).groupBy(key, "idx", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    posted = posted_with_lengths(chunks, int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
     posted = scratch.bucketed(posted, "posted", "idx")  # dealt by idx already
     size = posted.groupBy(key, "idx").agg(F.first("dl").alias("dl")).groupBy(key).agg(F.count(F.lit(1)).alias("chunks"), F.avg("dl").alias("avgdl"))
     size = F.broadcast(scratch.written(size, "size"))
@@ -32,12 +30,19 @@ def keyed_bm25(chunks: DataFrame, questions: DataFrame, k: int, key: str = "sett
     mean = F.broadcast(raw.groupBy(key).agg(F.avg("raw").alias("mean")))
     idf = raw.join(mean, key).select(key, "term", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
     asked = scratch.written(query_terms(questions).join(idf, "term"), "asked")
-    asked = F.broadcast(asked) if asked.limit(ASKED + 1).count() <= ASKED else asked
-    hits = posted.join(asked, [key, "term"]).join(size, key)
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy(key, "query_id", "idx").agg(F.sum(F.col("n") * weight).alias("score"))
+    if asked.limit(ASKED + 1).count() <= ASKED:
+        numbers, named = scored.numbered(asked.select("term"), "number"), scored.numbered(asked.select("query_id"), "question")
+        groups = scored.numbered(size.select(key), "grp")
+        terms = asked.select(key, "term", "idf").distinct().join(F.broadcast(numbers), "term").join(F.broadcast(groups), key)
+        weights = posted.join(F.broadcast(terms), [key, "term"]).join(size, key).select("grp", "idx", F.col("number").alias("term"), weight.alias("weight"))
+        told = query_terms(questions).join(F.broadcast(numbers), "term").join(F.broadcast(named), "query_id").select("question", F.col("number").alias("term"), F.col("n").alias("weight"))
+        sums = scored.best_of(weights, told, named, numbers.count(), k, groups.count()).join(F.broadcast(groups), "grp").select(key, "query_id", "idx", "score")
+    else:
+        hits = posted.join(asked, [key, "term"]).join(size, key)
+        sums = hits.groupBy(key, "query_id", "idx").agg(F.sum(F.col("n") * weight).alias("score"))
     order = Window.partitionBy(key, "query_id").orderBy(F.desc(F.round("score", 9)), "idx")
-    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
+    best = sums.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
     best = scratch.written(best, "best")
     # the first k unmatched chunks that a question can need are among the first k of the setting
     head = chunks.select(key, "idx").withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("idx"))).where(F.col("n") <= k).drop("n")

@@ -622,3 +622,50 @@ def test_windows_are_handed_on_by_few_millions_of_characters():
     made = list(windows.cut_batches(["key"], [(1_000_000, 0)])(iter([batch])))
     assert len(made) == 2 and [k for m in made for k in m.column("key").to_pylist()] == list("abcd")
     assert [t for m in made for t in m.column("text").to_pylist()] == texts
+
+
+def test_scores_as_products_are_a_plain_join_and_sum(spark, monkeypatch):
+    """Several pieces, blocks of questions and cuts; the k best of each task are among the rows, with the sums of a join, zero weights too."""
+    from sievewright.operators import scored
+
+    monkeypatch.setattr(scored, "ROWS", 40)
+    monkeypatch.setattr(scored, "CELLS", 30)
+    monkeypatch.setattr(scored, "QUESTIONS", 2)
+    monkeypatch.setattr(scored, "HELD", 10)
+    rng = random.Random(5)
+    for low in (1, -1):
+        held = {(i, t): rng.choice((low, 0, 1, 2)) if low < 0 else rng.randint(1, 3) for i in range(60) for t in rng.sample("abcdefg", 3)}
+        asked = {(q, t): float(rng.randint(1, 2)) for q in range(1, 6) for t in rng.sample("abcdefgz", 2)}
+        weights = spark.createDataFrame([(i, t, float(w)) for (i, t), w in held.items()], "idx long, term string, weight double")
+        questions = spark.createDataFrame([(q, t, w) for (q, t), w in asked.items()], "query_id long, term string, weight double")
+        want = {}
+        for (q, t), w in asked.items():
+            for i in range(60):
+                if (i, t) in held:
+                    want[q, i] = want.get((q, i), 0.0) + w * held[i, t]
+        best = {(q, i): r for q in range(1, 6) for r, (_, i) in enumerate(sorted((-s, i) for (p, i), s in want.items() if p == q)[:4], 1)}
+        got = retrieval.sparse(weights, questions, 4).collect()
+        assert {(r.query_id, r.idx): r["rank"] for r in got} == best
+        assert all(r.score == want[r.query_id, r.idx] for r in got)
+
+
+def test_scores_leave_a_task_as_its_best_only(spark):
+    """No row for each pair of a question and a chunk is grouped: the sums are a product where the postings lie."""
+    chunks = spark.createDataFrame([(i, f"a b{i % 3}") for i in range(30)], "idx long, text string")
+    asked = spark.createDataFrame([(1, "a b1"), (2, "b2")], "query_id long, query string")
+    posted = retrieval.posted_with_lengths(chunks, 4)
+    plan = posted._jdf.queryExecution().executedPlan().toString()
+    # the text is dealt, not its tokens
+    assert plan.index("regexp_extract_all") < plan.index("Exchange")
+    found = retrieval.hashed_dense(chunks, asked, 3, posted=posted)
+    assert "MapInArrow" in (plan := found._jdf.queryExecution().executedPlan().toString()) and "packed" not in plan
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, retrieval.hashed_dense(chunks, asked, 3).collect()))
+
+
+def test_what_a_model_makes_of_a_text_stays_in_its_task(spark):
+    def model(rows, key, column):
+        return rows.select(key, F.posexplode(T.tokenize(F.col(column))).alias("position", "term")).select("*", F.lit(1.0).alias("logit"), F.lit(1).alias("mask"))
+
+    chunks = spark.createDataFrame([(1, "a b c"), (2, "b c a")], "idx long, text string")
+    _, weights = retrieval.learned_sparse(chunks, spark.createDataFrame([(7, "a x")], "query_id long, query string"), model, 5, partitions=4)
+    assert weights._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
