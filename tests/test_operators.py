@@ -669,3 +669,20 @@ def test_what_a_model_makes_of_a_text_stays_in_its_task(spark):
     chunks = spark.createDataFrame([(1, "a b c"), (2, "b c a")], "idx long, text string")
     _, weights = retrieval.learned_sparse(chunks, spark.createDataFrame([(7, "a x")], "query_id long, query string"), model, 5, partitions=4)
     assert weights._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_ways_without_a_negative_have_no_row(spark, tmp_path):
+    """Where every passage stands in a document there is nothing to compare, and the SQL gives no row."""
+    import duckdb
+
+    from sievewright.plans import flows
+
+    docs = [(i, "web", "en", 20, f"alpha w{i} beta gamma\nline two w{i}\nthree.") for i in range(6)]
+    spark.createDataFrame(docs, "doc_id long, source string, lang string, n_chars long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for passages, n in (([(1, "alpha w1 beta"), (2, "w3 beta gamma")], 0), ([(1, "alpha w1 beta"), (2, "nowhere w3 beta")], 4)):
+        spark.createDataFrame(passages, "item_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/benchmark.parquet")
+        db = duckdb.connect()
+        for name in ("documents", "benchmark"):
+            db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+        want = sorted(db.execute(flows.all_sql()["scope_strategies"]).fetchall())
+        assert len(want) == n and sorted(map(tuple, flows.scope_strategies(spark, str(tmp_path)).collect())) == want
