@@ -17,10 +17,12 @@ Null or empty text has fingerprint zero and is linked like any other.
 
 `jaccard_components` joins texts whose sets of shingles have a Jaccard similarity of at least a bound, exactly. Two texts at
 0.8 lie some ten bits apart, where byte positions guarantee nothing, so the same inverted index with count filtering is
-kept over shingles. Shingles are ordered by how many texts of a bounded sample hold them (the order changes the work, not
-the result), then by hash; of a set of n, the first n - ceil(bound * n) + TALLY are listed, and two sets within the bound
+kept over shingles. Shingles are ordered by how many texts of a sample hold them (the order changes the work, not the
+result), then by hash; the sample is a share of the texts, so that what more than CROWD texts hold is known at any size; of a set of n, the first n - ceil(bound * n) + TALLY are listed, and two sets within the bound
 share at least TALLY of these (or all that they must share, if that is fewer). Pairs of one list are tallied, kept from the
-guaranteed minimum up, and verified on the whole sets.
+guaranteed minimum up, and verified on the whole sets: candidates that hang together are one group, to which each set goes
+once, whatever the number of its pairs. Of groups that weigh over MEET, each set first meets one partner; of their other pairs
+only those of different components are verified, as pairs.
 
 Lists of more than CROWD sets (many near copies of one text, or a phrase that stands everywhere) aren't tallied. Two sets of n
 and m shingles within the bound have bound / (1 + bound) * (n + m) in common, none of them before the first one that they share; so
@@ -52,8 +54,10 @@ BITS = 2
 LIST = 32
 #: Shingle width and Jaccard similarity of near copies, and the shared listed shingles that a pair is kept for.
 NEAR_WORDS, NEAR, TALLY = 5, 0.8, 4
-#: Documents that the order of shingles is learned from (to twice as many), and shingles that it names.
-SAMPLE, COMMON = 8_192, 100_000
+#: Documents that the order of shingles is learned from (one of SHARE, at least SAMPLE, to twice as many), and shingles that it names.
+SAMPLE, SHARE, COMMON = 8_192, 8, 500_000
+#: Bits of the filter that texts pass before their sets are packed; more members let more texts pass, a join drops these.
+FILTER = 1 << 25
 #: A longer list isn't tallied: MEETINGS of a member's crowded lists deal it into groups of about MEET, and blocks hold about MEET members
 #: a side (a set of more than HEAVY shingles counts for several).
 CROWD, MEET, MEETINGS, HEAVY = 64, 128, 4, 4_096
@@ -183,12 +187,22 @@ def _counted(words: int, seed: int):
 
 
 def common_shingles(docs: DataFrame, words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of shingles that at least three texts of a bounded sample hold, in order, and how many do."""
-    sample = hash_sample(docs, SAMPLE, "doc_id").select("text")
+    """The hashes of shingles that at least three texts of a sample hold, in order, and how many do."""
+    total = docs.count()
+    sample = hash_sample(docs, max(SAMPLE, total // SHARE), "doc_id", total=total).select("text")
     counts = sample.mapInArrow(_counted(words, seed), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 2")
-    found = counts.orderBy(F.desc("n"), "h").limit(COMMON).collect()
-    found = sorted((r.h % (1 << 64), r.n) for r in found)
-    return np.array([h for h, _ in found], np.uint64), np.array([n for _, n in found], np.int64)
+    counts, path = materialise(counts, "counts")
+    # the least count that leaves COMMON shingles; there are no more counts than texts of the sample, and few of them
+    named, least = 0, None
+    for row in counts.groupBy("n").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("n")).toLocalIterator():
+        if named + row.c > COMMON:
+            break
+        named, least = named + row.c, row.n
+    found = counts.where(F.lit(False) if least is None else F.col("n") >= least).toArrow()
+    discard(docs.sparkSession, path)
+    names = found.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(names)
+    return names[order], found.column("n").to_numpy()[order]
 
 
 def _sets(words: int, seed: int, least: float, common):
@@ -215,9 +229,27 @@ def _sets(words: int, seed: int, least: float, common):
     return run
 
 
-def _packed(words: int, seed: int):
+def _place() -> Column:
+    """The bit of an id in the filter."""
+    return F.xxhash64("id").bitwiseAND(F.lit(FILTER - 1))
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """ids (id) -> FILTER bits, as bytes; a set bit may also be another id's. Its size doesn't depend on the number of ids."""
+    octets = ids.select(_place().alias("at")).groupBy(F.shiftright("at", 3).alias("octet")).agg(F.bit_or(F.expr("shiftleft(1, int(at & 7))")).alias("bits")).toArrow()
+    bits = np.zeros(FILTER // 8, np.uint8)
+    bits[octets.column("octet").to_numpy()] = octets.column("bits").to_numpy()
+    return bits
+
+
+def _packed(words: int, seed: int, wanted):
+    """id, text, at -> id and packed set of those that pass the filter."""
+
     def run(batches):
+        bits = wanted.value
         for batch in batches:
+            at = batch.column("at").to_numpy()
+            batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
             sets = [_shingle_set(t.as_py(), words, seed).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
@@ -253,7 +285,9 @@ def postings(sets: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataFrame,
     """
     each = sets.select("id", "size", F.posexplode("listed").alias("place", "h"))
     counts = each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    counts, counted = materialise(counts, "counts")  # alone, so that its shuffle is gone when the next begins
     shared, path = materialise(each.join(counts, "h"), "shared")
+    discard(sets.sparkSession, counted)
     crowded, other = materialise(shared.where(F.col("n") > crowd), "crowded")
     longs = crowded.groupBy("id").agg(F.count(F.lit(1)).alias("long"))
     return shared.where(F.col("n") <= crowd).join(longs, "id", "left").withColumn("long", F.coalesce("long", F.lit(0))), crowded, [path, other]
@@ -387,31 +421,60 @@ def _block_links(least: float):
     return run
 
 
-def _closed(docs: DataFrame, marks: DataFrame, classes: DataFrame, pairs: DataFrame, rows: DataFrame, spent: list[str], words: int, least: float, seed: int, meet: int) -> DataFrame:
-    """doc_id, component_id by the pairs (a, b) and the members of one list (h, id, size, n) in `rows` that the exact check leaves; `spent` are tables that go then."""
-    spark = docs.sparkSession
+def groups(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """pairs (a, b) of candidates and sizes (id, size) -> id, h, w: the group of candidates that hang together, and its weight."""
+    grouped = connected_components(pairs).select(F.col("node").alias("id"), F.col("root").alias("h")).join(sizes, "id")
+    return grouped.select("id", "h").join(grouped.groupBy("h").agg(F.sum(_weight()).alias("w")), "h")
 
-    def members(wanted: DataFrame) -> tuple[DataFrame, str]:
-        texts = docs.withColumnRenamed("doc_id", "id").join(wanted.distinct(), "id", "left_semi")
-        return materialise(texts.mapInArrow(_packed(words, seed), "id long, shingles binary"), "members")
 
-    sets, held = members(pairs.select(F.explode(F.array("a", "b")).alias("id")))
-    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a")
-    links, _ = materialise(both.select("a", "b", "set_a", "set_b").mapInArrow(_verified(least), "a long, b long"), "links")
-    discard(spark, held)
-    if not is_empty(rows):
-        sets, held = members(rows.select("id"))
+def crossing(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) that known components (node, root) don't join."""
+    each = pairs
+    for x in "ab":
+        each = each.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x, "left")
+    return each.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
-        def met(blocks: DataFrame) -> DataFrame:
-            dealt = blocks.join(sets, "id").repartition("h", "p", "q").sortWithinPartitions("h", "p", "q")
-            return materialise(dealt.mapInArrow(_block_links(least), "a long, b long"), "links")[0]
 
-        links = links.unionByName(met(meetings(rows, meet)))
-        roots, _ = materialise(connected_components(links), "roots")
-        links = links.unionByName(met(apart(rows, roots, meet)))
-        discard(spark, held)
-    discard(spark, *spent)
+def _closed(docs: DataFrame, marks: DataFrame, classes: DataFrame, pairs: DataFrame, rows: DataFrame, spent: list[str], words: int, least: float, seed: int, meet: int) -> DataFrame:
+    """doc_id, component_id by the pairs (a, b) and the members of one list (h, id, size, n) in `rows` that the exact check leaves; `spent` are tables that go then."""
+    spark = docs.sparkSession
+    grouped, grouping = materialise(groups(pairs, marks.select(F.col("doc_id").alias("id"), "size")), "groups")
+    # what a member meets, so that each step moves the sets that it needs only
+    uses = [grouped.select("id", (F.col("w") <= meet).alias("small"), (F.col("w") > meet).alias("large"), F.lit(False).alias("listed"))]
+    uses.append(rows.select("id", F.lit(False).alias("small"), F.lit(False).alias("large"), F.lit(True).alias("listed")))
+    wanted = uses[0].unionByName(uses[1]).groupBy("id").agg(*(F.bool_or(c).alias(c) for c in ("small", "large", "listed")))
+    wanted, other = materialise(wanted, "wanted")
+    passed = spark.sparkContext.broadcast(id_filter(wanted))
+    texts = docs.select(F.col("doc_id").alias("id"), "text").withColumn("at", _place())
+    sets, held = materialise(texts.mapInArrow(_packed(words, seed, passed), "id long, shingles binary").join(wanted, "id"), "members")
+    discard(spark, other)
+
+    def met(blocks: DataFrame, used: str) -> DataFrame:
+        dealt = blocks.join(sets.where(used).select("id", "shingles"), "id").repartition("h", "p", "q").sortWithinPartitions("h", "p", "q")
+        return materialise(dealt.mapInArrow(_block_links(least), "a long, b long"), "links")[0]
+
+    def verified(some: DataFrame) -> DataFrame:
+        sides = [sets.where("large").select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab"]
+        both = some.join(sides[1], "b").join(sides[0], "a")
+        return materialise(both.select("a", "b", "set_a", "set_b").mapInArrow(_verified(least), "a long, b long"), "links")[0]
+
+    small = grouped.where(F.col("w") <= meet).select("h", F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("q"), "id", F.lit(BOTH).alias("side"), F.col("id").alias("root"))
+    large, others = materialise(pairs.join(grouped.where(F.col("w") > meet).select(F.col("id").alias("a")), "a", "left_semi"), "large")
+    left, lists = not is_empty(large), not is_empty(rows)
+    links = met(small, "small")
+    if lists:
+        links = links.unionByName(met(meetings(rows, meet), "listed"))
+    if left:
+        links = links.unionByName(verified(large.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")))
     roots, _ = materialise(connected_components(links), "roots")
+    # what is joined already needs no more pairs
+    if left:
+        links = links.unionByName(verified(crossing(large, roots)))
+    if lists:
+        links = links.unionByName(met(apart(rows, roots, meet), "listed"))
+    discard(spark, held, grouping, others, *spent)
+    if left or lists:
+        roots, _ = materialise(connected_components(links), "roots")
     # the root of a component is its least class, and a class is its least doc_id
     named = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("d0", "d1", F.coalesce("root", "id").alias("component_id"))
     return marks.select("doc_id", "d0", "d1").join(named, ["d0", "d1"]).select("doc_id", "component_id")
