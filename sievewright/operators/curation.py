@@ -211,7 +211,12 @@ def fill(old: DataFrame, new: DataFrame, key: str, columns: list[str], force: bo
 
 def fetch_mode(title: Column, heading: Column, least: float = 0.8) -> Column:
     """entire_section where the page's heading has most of the title's words, else page."""
-    return F.when(text.overlap_share(F.array_distinct(text.tokenize(title)), F.array_distinct(text.tokenize(heading))) >= least, "entire_section").otherwise("page")
+    return mode_of(text.overlap_share(F.array_distinct(text.tokenize(title)), F.array_distinct(text.tokenize(heading))), least)
+
+
+def mode_of(share: Column, least: float = 0.8) -> Column:
+    """The mode by the share of the title's words that the heading has."""
+    return F.when(share >= least, "entire_section").otherwise("page")
 
 
 def failure_counts(causes: DataFrame, questions: DataFrame) -> DataFrame:

@@ -686,3 +686,14 @@ def test_ways_without_a_negative_have_no_row(spark, tmp_path):
             db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
         want = sorted(db.execute(flows.all_sql()["scope_strategies"]).fetchall())
         assert len(want) == n and sorted(map(tuple, flows.scope_strategies(spark, str(tmp_path)).collect())) == want
+
+
+def test_title_overlap_cuts_each_text_twice(spark, tmp_path):
+    from sievewright.plans import catalogue
+
+    rows = [(1, "One two.\nthree two"), (2, "same words. same words\nx"), (3, None), (4, ""), (5, "all gone\nand a b c d")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalogue.queries()["title_overlap"](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 2
+    assert {r.doc_id: r.mode for r in got.collect()} == {1: "page", 2: "entire_section", 3: "page", 4: "page", 5: "entire_section"}
