@@ -10,7 +10,7 @@ relaxes the best way to that position:
   ranks would give other ids.)
 
 Text is cut before blanks and around new lines where no piece of the model crosses, and each cut piece of text is
-encoded once. Characters outside the vocabulary become byte pieces. Null text counts as empty. The model writes a blank
+encoded once while it is kept: those met again outlive those met once. Characters outside the vocabulary become byte pieces. Null text counts as empty. The model writes a blank
 as U+2581, so a text that holds this character itself decodes to one with a blank in its place, and `decodes` is false.
 Of ways of equal score the one with the longest last piece wins. Repeated rows are rows, an empty table gives an empty
 one, other columns stay, and columns of the names that are written are replaced.
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -67,7 +68,7 @@ class PieceEncoder:
         self.model = m = PieceModel(path)
         self.automaton = ahocorasick.Automaton()
         for piece, i in m.normal.items():
-            self.automaton.add_word(piece, (len(piece), i, piece))
+            self.automaton.add_word(piece, (len(piece), i))
         self.automaton.make_automaton()
         self.floor = min(m.scores) - 10.0
         self.by_byte = {i: b for b, i in m.bytes.items()}
@@ -76,7 +77,8 @@ class PieceEncoder:
         # where to cut: nowhere that a piece may cross
         self.cut = re.compile(r"\n| *[^ \n]+| +" if not inside and not lines else r"(?s:.+)")
         self.kept: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.older: dict[str, bytes] = {}
+        self.pairs: dict[int, bool] = {}
 
     def _merged(self, text: str) -> list[str]:
         """Merge neighbours by rank, the leftmost of equals first; text is short."""
@@ -92,71 +94,98 @@ class PieceEncoder:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def _follows(self, left: str, right: str) -> bool:
-        key = (left, right)
-        ok = self.pairs.get(key)
-        if ok is None:
-            ok = self._merged(left + right) == ([left, right] if right else [left])
-            if len(self.pairs) >= KEPT:
-                self.pairs.clear()
-            self.pairs[key] = ok
+    def _follows(self, left: int, right: int) -> bool:
+        """Whether merging gives these two pieces again; left is negative where right begins a stretch."""
+        pieces = self.model.pieces
+        wanted = [pieces[left], pieces[right]] if left >= 0 else [pieces[right]]
+        ok = self._merged("".join(wanted)) == wanted
+        if len(self.pairs) >= KEPT:
+            self.pairs.clear()
+        self.pairs[left * len(pieces) + right] = ok
         return ok
 
-    def _whole(self, piece: str) -> bool:
-        return self._follows(piece, "")
-
     def _run(self, text: str) -> list[int]:
         """Ids of text without blanks (they are BLANK by now): one pass over the ends that the automaton reports."""
-        n = len(text)
-        unigram = self.model.kind == UNIGRAM
-        best: list = [None] * (n + 1)  # (score, piece, id, start); a start of a stretch is ()
-        best[0] = ()
-        scores, floor = self.model.scores, self.floor
-        ends: list[list] = [[] for _ in range(n + 1)]
-        for last, (size, i, piece) in self.automaton.iter(text):
-            ends[last + 1].append((size, i, piece))
-        for end in range(1, n + 1):
-            for size, i, piece in ends[end]:
-                before = best[end - size]
-                if before is None:
-                    continue
-                if unigram:
-                    score = (before[0] if before else 0.0) + scores[i]
-                    if best[end] is None or score > best[end][0]:
-                        best[end] = (score, piece, i, end - size)
-                elif (self._follows(before[1], piece) if before and before[1] is not None else self._whole(piece)):
-                    best[end] = (0.0, piece, i, end - size)
-                    break
-            if text[end - 1] not in self.model.normal:
-                before = best[end - 1]
-                score = (before[0] if before else 0.0) + floor
-                if best[end] is None or (unigram and score > best[end][0]):
-                    best[end] = (score, None, self.model.unknown, end - 1)
+        ways = self._summed(text) if self.model.kind == UNIGRAM else self._ranked(text)
+        pieces = self.model.pieces
         out: list[int] = []
-        end = n
+        end = len(text)
         while end:
-            _, piece, i, start = best[end]
-            if piece is None:
-                out.extend(self.model.bytes[b] for b in reversed(text[start:end].encode()))
+            i = ways[end]
+            if i < 0:
+                out.extend(self.model.bytes[b] for b in reversed(text[end - 1].encode()))
+                end -= 1
             else:
                 out.append(i)
-            end = start
+                end -= len(pieces[i])
         out.reverse()
         return out
 
+    def _ranked(self, text: str) -> list:
+        """The last piece of the one way to each position, -1 for a character outside the vocabulary and for the start."""
+        n, normal = len(text), self.model.normal
+        pairs, count = self.pairs, len(self.model.pieces)
+        last: list = [None] * (n + 1)
+        last[0], at = -1, 0
+
+        def settle(start: int, stop: int) -> None:
+            for p in range(start, stop):
+                if last[p] is None and text[p - 1] not in normal:
+                    last[p] = -1
+
+        for stop, (size, i) in self.automaton.iter(text):
+            end = stop + 1
+            if end > at:
+                if last[at] is None or stop > at:
+                    settle(at, end)
+                at = end
+            elif last[end] is not None:
+                continue
+            before = last[end - size]
+            if before is None:
+                continue
+            ok = pairs.get(before * count + i)
+            if ok is None:
+                ok = self._follows(before, i)
+            if ok:
+                last[end] = i
+        settle(at, n + 1)
+        return last
+
+    def _summed(self, text: str) -> list:
+        """The last piece of the way of the best sum to each position, -1 for a character outside the vocabulary."""
+        n, normal = len(text), self.model.normal
+        scores, floor = self.model.scores, self.floor
+        last: list = [None] * (n + 1)
+        best: list = [None] * (n + 1)
+        best[0] = 0.0
+        ends: list[list] = [[] for _ in range(n + 1)]
+        for stop, found in self.automaton.iter(text):
+            ends[stop + 1].append(found)
+        for end in range(1, n + 1):
+            for size, i in ends[end]:
+                before = best[end - size]
+                if before is not None and (best[end] is None or before + scores[i] > best[end]):
+                    best[end], last[end] = before + scores[i], i
+            if text[end - 1] not in normal:
+                before = best[end - 1]
+                if before is not None and (best[end] is None or before + floor > best[end]):
+                    best[end], last[end] = before + floor, -1
+        return last
+
     def encode_bytes(self, text: str | None) -> bytes:
         """Ids as little-endian u32."""
         if not text:
             return b""
-        kept, out = self.kept, []
+        kept, older, out = self.kept, self.older, []
         text = text.replace(BLANK, " ")  # the model can't tell them apart
         for part in self.cut.findall(" " + text if self.model.prefix else text):
             ids = kept.get(part)
             if ids is None:
-                ids = np.array(self._run(part.replace(" ", BLANK)), "<u4").tobytes()
+                ids = older.get(part) or array("I", self._run(part.replace(" ", BLANK))).tobytes()
                 if len(part) <= LONGEST:
-                    if len(kept) >= KEPT:
-                        kept.clear()
+                    if len(kept) >= KEPT // 2:
+                        self.kept, self.older = kept, older = {}, kept
                     kept[part] = ids
             out.append(ids)
         return b"".join(out)

@@ -491,6 +491,16 @@ def test_pieces_are_the_library_s(spark, docs, texts):
     assert piece_encoder.encode(empty(spark), queries.PIECE_MODEL).count() == 0
 
 
+def test_words_met_again_are_encoded_once(monkeypatch):
+    monkeypatch.setattr(piece_encoder, "KEPT", 8)
+    encoder, met = piece_encoder.PieceEncoder(queries.PIECE_MODEL), []
+    run = encoder._run
+    monkeypatch.setattr(encoder, "_run", lambda t: met.append(t) or run(t))
+    text = "".join(f"the w{i} " for i in range(50))
+    assert encoder.decode(encoder.encode(text)) == text
+    assert met.count("▁the") <= 1 and len(met) < 55 and len(encoder.kept) + len(encoder.older) <= 8
+
+
 def test_url_rules_and_method(spark):
     urls = [None, "", "no scheme", "http://", "https://A.Example.ORG/es/1?x", "http://example.org/en/12", "http://example.org/en/2", "http://x.org?q=/", "http://z.org", "ftp://b.com/fr/", "http://com/de/", "http://notexample.org/es/", "http://a.net/x://y/fr/", "http://a.com/\nfr/", "http://www.cheap-pills.example.net/en/7", "http://thethe.example.net/en/7"]
     rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
