@@ -153,3 +153,26 @@ def test_postings_are_scored_where_they_lie(spark, tmp_path):
     stats = {r.term: r.df for r in retrieval.statistics_of(posted, size).collect()}
     want = {r.term: r.df for r in retrieval.term_statistics(retrieval.postings(chunks), chunks).collect()}
     assert stats == want
+
+
+def test_grid_writes_neither_chunks_nor_postings(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    from sievewright.plans import catalogue
+    from sievewright.sources import scratch
+
+    rng = random.Random(9)
+    line = lambda n: " ".join(rng.choices([f"w{i}." if i % 5 == 0 else f"w{i}" for i in range(900)], k=n))
+    texts = ["\n".join(line(rng.choice([3, 20, 70, 130])) for _ in range(rng.randint(1, 6))) for _ in range(30)] + [None, "", "\ta\xa0b\n"]
+    spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, t[5:60]) for i, t in enumerate(texts[:8])] + [(8, "zz")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    names, write = [], scratch.written
+    monkeypatch.setattr(scratch, "written", lambda df, label: names.extend(df.columns) or write(df, label))
+    monkeypatch.setattr(scratch, "bucketed", lambda df, label, by: names.extend(df.columns) or df)
+    rows = catalogue.queries()["scored_grid"](spark, str(tmp_path)).collect()
+    assert not {"text", "tf"} & set(names)
+    db = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    columns = ", ".join(rows[0].__fields__)
+    assert sorted(map(tuple, rows)) == sorted(db.execute(f"SELECT {columns} FROM ({catalogue.oracle_sql()['scored_grid']})").fetchall())
