@@ -176,3 +176,18 @@ def test_grid_writes_neither_chunks_nor_postings(spark, tmp_path, monkeypatch):
         db.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
     columns = ", ".join(rows[0].__fields__)
     assert sorted(map(tuple, rows)) == sorted(db.execute(f"SELECT {columns} FROM ({catalogue.oracle_sql()['scored_grid']})").fetchall())
+
+
+def test_settings_of_too_many_asked_terms_meet_by_a_join(spark, monkeypatch):
+    monkeypatch.setattr(ablation, "ASKED", 0)
+    rng = random.Random(4)
+    texts = {s: [" ".join(rng.choices("abcdefgh", k=rng.randint(0, 9))) for _ in range(n)] for s, n in (("x", 30), ("y", 12))}
+    rows = [(s, i, t) for s, every in texts.items() for i, t in enumerate(every)]
+    asked = spark.createDataFrame([(1, "a b"), (2, "h"), (3, ""), (4, "zz")], "query_id long, query string")
+    found = ablation.keyed_bm25(spark.createDataFrame(rows, "setting string, idx long, text string"), asked, 5)
+    got = sorted((r.setting, r.query_id, r["rank"], r.idx, round(r.score, 9)) for r in found.collect())
+    want = []
+    for s, every in texts.items():
+        one = retrieval.bm25(spark.createDataFrame(list(enumerate(every)), "idx long, text string"), asked, 5)
+        want += [(s, r.query_id, r["rank"], r.idx, round(r.score, 9)) for r in one.collect()]
+    assert got == sorted(want)
